@@ -13,7 +13,8 @@ are still outside the bucket's largest component are at last compared with every
 whose size permits a link; so no link between different components is lost to the shortcut.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing, not even each other;
-rows of equal text are linked; a null id stands alone unless its text is shared; other columns are ignored.
+rows of equal text are linked; rows without an id are linked like others, but a group's id is the smallest that is
+there, or null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import lower_ascii, same_rows, written
@@ -36,6 +37,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Shingles that are sketched at once, unless one text has more.
 BLOCK = 400_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Nodes of texts without an id lie from here on, above all ids.
+_NO_ID = 1 << 62
 
 
 def shingles(text: Column, words: int) -> Column:
@@ -189,7 +192,9 @@ def near_duplicates(
     rows = base.mapInArrow(_band_batches, "doc_id long, h long, h2 long, n long, bands array<long>")
     rows = written(rows, "sketches")
     nodes = rows.where("n > 0").groupBy("h", "h2").agg(
-        F.coalesce(F.min("doc_id"), F.min("h")).alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        F.coalesce(F.min("doc_id"), F.min("h").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))).alias("node"),
+        F.first("n").alias("n"),
+        F.first("bands").alias("bands"),
     )
     nodes = written(nodes, "nodes")
     each = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -209,9 +214,8 @@ def near_duplicates(
     met = rows.drop("bands").join(
         named, same_rows([F.col("h"), F.col("h2")], [F.col("_h"), F.col("_h2")]) & (F.col("n") > 0), "left"
     )
-    return met.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "h", "h2"
-    )
+    smallest = F.when(F.col("component") >= _NO_ID, F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
+    return met.select("doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"), "h", "h2")
 
 
 def op4_near_duplicates(docs: DataFrame) -> DataFrame:
