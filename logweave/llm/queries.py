@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import decontaminate, langid, linededup, minhash, packing, sharding
+from logweave.llm import audio, decontaminate, langid, linededup, minhash, packing, quality, secrets, sharding, toxicity
 from logweave.llm.common import table
 
 
@@ -26,6 +26,18 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op4_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op5_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.op7_audio(table(spark, sf_dir, "documents"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8_pack(table(spark, sf_dir, "documents"))
 
@@ -34,14 +46,22 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op9_language(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op10_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
         "op2_line_dedup": op2_line_dedup,
         "op3_shard": op3_shard,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_secrets": op5_secrets,
+        "op6_toxicity": op6_toxicity,
+        "op7_audio": op7_audio,
         "op8_pack": op8_pack,
         "op9_language": op9_language,
+        "op10_quality": op10_quality,
     }
 
 
