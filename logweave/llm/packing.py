@@ -13,6 +13,7 @@ piece; repeated rows are packed each; an empty table gives no rows; other column
 from __future__ import annotations
 
 import array
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,10 @@ from logweave.llm.ordinals import numbered
 CAPACITY = 2048
 CLOSING = (0).to_bytes(4, "little")
 #: White-space-free chunks whose ids are remembered by a worker, about 150 bytes each.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 700_000
+#: Marks that end a chunk as tokens of their own, and strings that are no words to the tokenizer.
+CLOSING_MARKS = ".,;:!?%$*&#|)"
+SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 SALTS = 256
 PER_SALT = 200_000
 #: Python's split() also cuts at these, which are no white space for the tokenizer.
@@ -39,32 +43,69 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones themselves, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Token ids of texts as little-endian bytes. The vocabulary splits at white space and drops it, so the ids of a
-    text are those of its chunks in turn; chunks are encoded once and remembered."""
+    """Token ids of texts as little-endian bytes.
+
+    The vocabulary splits at white space and drops it, so the ids of a text are those of its chunks in turn. Chunks
+    are encoded once and remembered. A chunk of letters and closing punctuation is split there, as the tokenizer
+    does, and its letters go straight to the tokenizer's model; any other chunk goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str, memo: int = MEMO_CHUNKS) -> None:
         self.tokenizer, self.memo, self.most = _tokenizer(path), {}, memo
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array.array("I", e.ids).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if any(c in text for c in ODD_SPACE):
-                out.append(self._ids([text])[0])
-                continue
-            chunks = text.split()
-            new = [c for c in dict.fromkeys(chunks) if c not in self.memo]
-            if new:
-                if len(self.memo) + len(new) > self.most:
-                    self.memo.clear()
-                    new = list(dict.fromkeys(chunks))
-                self.memo.update(zip(new, self._ids(new), strict=True))
-            out.append(b"".join(map(self.memo.__getitem__, chunks)))
-        return out
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def _whole(self, text: str) -> bytes:
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        found = self.memo.get(word)
+        if found is None:
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = self.memo[word] = array.array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        core = chunk.rstrip(CLOSING_MARKS)
+        if not core.isalpha() or chunk in SPECIAL or "\u03a3" in core:  # a capital sigma's lower case depends on its place
+            return self._whole(chunk)
+        tail, core = chunk[len(core) :], unicodedata.normalize("NFC", core).lower()
+        if not core.isalpha():
+            return self._whole(chunk)
+        ids = self._letters(core)
+        if tail:
+            marks = self.memo.get(tail)
+            if marks is None:
+                marks = self.memo[tail] = self._whole(tail)
+            ids += marks
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if any(c in text for c in ODD_SPACE):
+            return self._whole(text)
+        memo, chunks = self.memo, text.split()
+        if len(memo) > self.most:
+            memo.clear()
+        for c in set(chunks).difference(memo):
+            memo[c] = self._chunk(c)
+        return b"".join(map(memo.__getitem__, chunks))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a vocabulary: a Python worker keeps what it has learnt from one task to the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY):
@@ -73,12 +114,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
         for pdf in batches:
             rows = []
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for d, h, ids in zip(pdf["doc_id"], pdf["h"], encoder.encode(texts), strict=True):
-                ids += CLOSING
+            for d, h, t in zip(pdf["doc_id"], pdf["h"], pdf["text"], strict=True):
+                ids = (encode(t) if isinstance(t, str) else b"") + CLOSING
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((d, h, i, at // 4, len(part) // 4, zlib.crc32(part)))
