@@ -21,23 +21,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import written
+from logweave.llm.common import same_rows, written
 
 MIN_WORDS = 50
 
 
-def _lines(base: DataFrame, text: str) -> DataFrame:
-    """Rows (d, r, i, at, h1, h2, w): the i-th line that is not blank, at its place in the text, its id and its words."""
-    split = base.select(
-        F.col("_dedup_d").alias("d"),
-        F.col("_dedup_r").alias("r"),
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (d, t, r, i, at, h1, h2, w): the i-th line that is not blank of row r, at its place in the text, its id and
+    its words; d is the document's id and t the hash of its text."""
+    split = docs.select(
+        F.col(doc_id).alias("d"),
+        F.xxhash64(F.col(text)).alias("t"),
+        F.monotonically_increasing_id().alias("r"),
         F.transform(F.split(F.col(text), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b"))).alias("l"),
     ).where(F.col("l").isNotNull())
     places = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get(F.col("l"), i) != "")
-    rows = split.select("d", "r", "l", F.posexplode(places).alias("i", "at"))
+    rows = split.select("d", "t", "r", "l", F.posexplode(places).alias("i", "at"))
     line = F.get(F.col("l"), F.col("at"))
     return rows.select(
         "d",
+        "t",
         "r",
         "i",
         "at",
@@ -107,10 +110,9 @@ def _blocks(lines: DataFrame, min_words: int) -> DataFrame:
     return each.select("d", "r", "seg", "x.i", "x.m").where("m is not null").distinct()
 
 
-def repeated_lines(base: DataFrame, text: str, min_words: int) -> DataFrame:
-    """Rows (r, at): the lines to delete. base has the columns _dedup_d (document id) and _dedup_r (row number)."""
-    lines = written(_lines(base, text), "lines")
-    ranked = _ranked(lines, ["h1", "h2"]).drop("h1", "h2")
+def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
+    """Rows (d, t, r, at): the lines to delete, of the stored table of lines."""
+    ranked = _ranked(lines, ["h1", "h2"]).drop("h1", "h2", "t")
     inside = Window.partitionBy("r").orderBy("i")
     level = written(ranked.withColumn("seg", F.col("i") - F.row_number().over(inside)), "rank0")
     blocks = written(_blocks(level, min_words), "blocks")
@@ -132,34 +134,55 @@ def repeated_lines(base: DataFrame, text: str, min_words: int) -> DataFrame:
             level = written(_ranked(pairs.withColumnRenamed("rank", "prev"), ["prev", "next"]).drop("prev", "next"), f"rank{k + 1}")
         k += 1
     if found is None:
-        return lines.select("r", "at").limit(0)
+        return lines.select("d", "t", "r", "at").limit(0)
     covered = found.select("r", F.explode(F.sequence("i", F.col("i") + F.col("m") - 1)).alias("i")).distinct()
-    return covered.join(lines.select("r", "i", "at"), ["r", "i"]).select("r", "at")
+    return covered.join(lines.select("d", "t", "r", "i", "at"), ["r", "i"]).select("d", "t", "r", "at")
+
+
+def _per_text(lines: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows (_d, _t, _n, _first, _late): of the _n rows with an equal id and text, the lines that the first loses and
+    those that each other one loses."""
+    per_row = gone.groupBy("d", "t", "r").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    rows = lines.where("i = 0").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t"))
+    rows = rows.agg(F.count(F.lit(1)).alias("_n"), F.min("r").alias("_r"))
+    met = per_row.join(rows, same_rows([F.col("d"), F.col("t")], [F.col("_d"), F.col("_t")]))
+    return met.groupBy("_d", "_t", "_n").agg(
+        F.max(F.when(F.col("r") == F.col("_r"), F.col("gone"))).alias("_first"),
+        F.max(F.when(F.col("r") != F.col("_r"), F.col("gone"))).alias("_late"),
+    )
 
 
 def line_dedup(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """docs with text less its repeated runs, and n_lines, n_removed and the array removed_lines."""
-    base = written(
-        docs.withColumn("_dedup_d", F.col(doc_id)).withColumn("_dedup_r", F.monotonically_increasing_id()), "line-docs"
-    )
-    gone = (
-        repeated_lines(base, text, min_words)
-        .groupBy(F.col("r").alias("_dedup_r"))
-        .agg(F.array_sort(F.collect_set("at")).alias("_gone"))
-    )
-    gone = written(gone, "gone")
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    new = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    """docs with text less its repeated runs, and n_lines, n_removed and the array removed_lines.
+
+    The texts are shuffled once, by a merge join at any size: the deletions grow with the corpus.
+    """
+    lines = written(_lines(docs, doc_id, text), "lines")
+    gone = written(_per_text(lines, repeated_lines(lines, min_words)), "gone")
+    keyed = docs.withColumn("_h", F.xxhash64(F.col(text)))
+    cond = same_rows([F.col(doc_id), F.col("_h")], [F.col("_d"), F.col("_t")])
+    if gone.where("_n > 1").limit(1).count():
+        # rows that repeat an id and a text are told apart by numbers
+        many = keyed.join(gone.where("_n > 1").select("_d", "_t"), cond, "left_semi")
+        nth = Window.partitionBy(doc_id, "_h").orderBy(F.lit(0))
+        many = many.withColumn("_k", F.row_number().over(nth))
+        single = keyed.join(gone.where("_n > 1").select("_d", "_t"), cond, "left_anti")
+        keyed = single.withColumn("_k", F.lit(1)).unionByName(many)
+    else:
+        keyed = keyed.withColumn("_k", F.lit(1))
+    met = keyed.join(gone.hint("merge"), cond, "left")
+    met = met.withColumn("_gone", F.when(F.col("_k") == 1, F.col("_first")).otherwise(F.col("_late")))
+    split = F.split(F.col(text), "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
+    new = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
     return (
-        base.join(gone, "_dedup_r", "left")
-        .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+        met.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long"))
         .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
         .withColumn("removed_lines", F.coalesce("_gone", F.array().cast("array<int>")))
         .withColumn(text, F.when(F.col("_gone").isNotNull(), new).otherwise(F.col(text)))
-        .drop("_gone", "_dedup_r", "_dedup_d")
+        .drop("_gone", "_first", "_late", "_n", "_k", "_d", "_t", "_h")
     )
 
 
