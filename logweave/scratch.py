@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Vectored reads keep direct buffers as large as a column chunk for each thread that has ever read one.
+READ_OPTIONS = {"parquet.hadoop.vectored.io.enabled": "false"}
+
 _own_root: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -46,4 +49,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/logweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.options(**READ_OPTIONS).schema(df.schema).parquet(path)
