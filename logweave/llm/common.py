@@ -1,59 +1,19 @@
-"""Shared pieces of the training-data operators: scratch tables and row identity."""
+"""Shared pieces of the training-data operators: tables, row identity, salts."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_root: str | None = None
-_written: list[tuple[SparkSession, str]] = []
+from logweave.scratch import READ_OPTIONS, written
+
+__all__ = ["UPPER", "lower_ascii", "same_rows", "spread", "table", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a temporary one only where it is unset."""
-    global _own_root
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="logweave-")
-    return f"file://{_own_root}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended: its files stay for whoever cleans the shared folder
-        pass
-
-
-def _remove_all() -> None:
-    while _written:
-        _remove(*_written.pop())
-
-
-atexit.register(_remove_all)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as Parquet to the shared scratch folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/logweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.options(**READ_OPTIONS).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -33,7 +33,7 @@ from logweave.llm.labelled import held_out, sample
 INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
 NEAR = 3
 SHORTEST, LONGEST = 3, 8
-SEED_WEIGHT, MOST_WEIGHT = 4.0, 7.0
+SEED_WEIGHT, MOST_WEIGHT, LEAST_ODDS = 4.0, 7.0, 2.5
 MEMO_WORDS = 400_000
 
 #: Words of the four languages in the corpus that the symbols stand for.
@@ -111,7 +111,7 @@ def _varied(rows: list[tuple[set[str], int]]) -> list[tuple[set[str], int]]:
     """One of the texts whose words have the same least hash: near copies would count as evidence many times."""
     seen, out = set(), []
     for words, y in rows:
-        key = min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), default=-1)
+        key = min((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), default=-1), y
         if key not in seen:
             seen.add(key)
             out.append((words, y))
@@ -127,16 +127,27 @@ def choose_units(rows: list[tuple[set[str], int]]) -> dict[str, float]:
     has = Counter(u for w in toxic for u in _units(w))
     found = {u for u, n in has.items() if n >= least}
     not_ = Counter(u for w in other for u in _units(w) & found)
+    letters = sorted({u[-1] for u in found})
     out: dict[str, float] = {}
     for u in sorted(found, key=lambda u: (len(u), u)):
         odds = math.log((has[u] + 0.5) / (len(toxic) + 1) * (len(other) + 1) / (not_[u] + 0.5))
-        if odds >= 3.0 and not any(u[:k] in out for k in range(SHORTEST, len(u))):
-            out[u] = min(odds, MOST_WEIGHT)
+        if odds >= LEAST_ODDS and not any(u[:k] in out for k in range(SHORTEST, len(u))):
+            out[_longest(u, has, letters)] = min(odds, MOST_WEIGHT)
     return out
 
 
+def _longest(unit: str, has: Counter, letters: list[str]) -> str:
+    """The unit with all the letters that nearly every word behind it goes on with: "idiot$" rather than "idi"."""
+    while not unit.endswith("$"):
+        longer = [unit + c for c in letters if has[unit + c] >= 0.9 * has[unit]]
+        if not longer:
+            break
+        unit = max(longer, key=lambda u: has[u])
+    return unit
+
+
 class Model:
-    def __init__(self, units: dict[str, float], curve: tuple[float, float, float] = (-3.0, 1.0, 0.5)) -> None:
+    def __init__(self, units: dict[str, float], curve: tuple[float, ...] = (-3.0, 0.6, 0.8, 0.0, 0.0)) -> None:
         self.units, self.curve = units, curve
         self.seeds = {w: c for c, ws in SEEDS.items() for w in ws.split()}
         machine = grammar()
@@ -180,27 +191,28 @@ class Model:
                 score += x[1] * factor
         return out
 
-    def evidence(self, text: str, memo=None) -> tuple[float, float]:
-        """The highest clause score and the logarithm of their sum."""
+    def evidence(self, text: str, memo=None) -> tuple[float, ...]:
+        """The highest clause score, the sum of all, the sum by length, and the length, the last three as logarithms."""
         scores = [s for _, s in self.clauses(text, memo)]
-        return (max(scores), math.log1p(sum(scores))) if scores else (0.0, 0.0)
+        length = math.log1p(len(text) / 100)
+        if not scores:
+            return 0.0, 0.0, 0.0, length
+        return max(scores), math.log1p(sum(scores)), math.log1p(1000 * sum(scores) / len(text)), length
 
     def score(self, text: str, memo=None) -> float:
-        a, b, c = self.curve
-        x, z = self.evidence(text, memo)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * z))))
+        x = sum(a * b for a, b in zip(self.curve, (1.0, *self.evidence(text, memo)), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton's method with a little ridge; slopes are not below zero."""
+def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Logistic regression by Newton's method with a little ridge."""
     a = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(3)
-    for _ in range(30):
+    w, ridge = np.zeros(a.shape[1]), 0.05 * np.eye(a.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + 0.01 * w
-        h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + 0.01 * np.eye(3)
-        w = w - np.clip(np.linalg.solve(h, g), -2, 2)
-    return float(w[0]), float(max(w[1], 0)), float(max(w[2], 0))
+        h = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + ridge
+        w = w - np.clip(np.linalg.solve(h, a.T @ (p - y) + ridge @ w), -1, 1)
+    return tuple(float(v) for v in w)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
