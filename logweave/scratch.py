@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Vectored reads keep direct buffers as large as a column chunk for each thread that has ever read one.
+#: Vectored reads keep direct buffers as large as a column chunk for each thread that has ever read one; in runs of many
+#: small tasks they outgrew the heap.
 READ_OPTIONS = {"parquet.hadoop.vectored.io.enabled": "false"}
 
 _own_root: str | None = None
