@@ -1,6 +1,480 @@
+"""Catalogue of the operators beside the pipe language, over the adapter's events and the other tables."""
+
+from __future__ import annotations
+
+import datetime as dt
+from functools import cache
+
+from pyspark.sql import functions as F
+
+from logweave.catalog.adapter import AS_OF, SQL, events, flat, table
+from logweave.catalog.pipe_queries import registry
+from logweave.functions import ip
+from logweave.operators import analytics, correlate, enrich, ingest, killchain, severity, sigma
+from logweave.sources import json_formats, line_formats
+
+ID = "SELECT id FROM ev WHERE "
+
+
+def _rule(name: str, detection: dict, **kw) -> sigma.Rule:
+    return sigma.Rule.parse({"id": name, "title": name, "detection": detection} | kw)
+
+
+#: Rules of the catalogue and the condition that each stands for.
+RULES: dict[str, tuple[dict, str, dict]] = {
+    "q_rule_contains": ({"sel": {"message|contains": ["ERROR", "sign"], "HostName|endswith": "1"}, "condition": "sel"}, "(message LIKE '%error%' OR message LIKE '%sign%') AND host_name LIKE '%1'", {}),
+    "q_rule_glob": ({"sel": {"user": "U1?", "rule_name": "rule_*"}, "condition": "sel"}, "lower(user_name) LIKE 'u1_' AND lower(rule_name) LIKE 'rule\\_%' ESCAPE '\\'", {}),
+    "q_rule_regex": ({"sel": {"message|re": "^(CLICK|view) by u[0-9]{2}$"}, "condition": "sel"}, "regexp_matches(message, '^(click|view) by u[0-9]{2}$')", {}),
+    "q_rule_numeric": ({"sel": {"bytes_total|gte": 5000, "SourcePort|lt": 2000}, "condition": "sel"}, "bytes_total >= 5000 AND src_port < 2000", {}),
+    "q_rule_all_of": ({"sel_a": {"action": "deny"}, "sel_b": {"dst_port": [443, 502]}, "f": {"severity": "low"}, "condition": "all of sel_* and not f"}, "action = 'deny' AND dst_port IN (443, 502) AND severity <> 'low'", {}),
+    "q_rule_n_of": ({"a": {"action": "deny"}, "b": {"dst_port": 502}, "c": {"severity": "high"}, "condition": "2 of them"}, "(action = 'deny')::INT + (dst_port = 502)::INT + (severity = 'high')::INT >= 2", {}),
+    "q_rule_not": ({"sel": {"rule_name": None}, "x": {"app|exists": True}, "condition": "not (sel or x)"}, "rule_name IS NOT NULL AND app IS NULL", {}),
+    "q_rule_keywords": ({"kw": ["purchase", "H16"], "condition": "kw"}, "log_type = 'purchase' OR host_name = 'h16'", {}),
+    "q_rule_raw_key": ({"sel": {"k|lte": 3}, "condition": "sel"}, "CAST(json_extract_string(raw, '$.k') AS DOUBLE) <= 3", {}),
+    "q_rule_base64": ({"sel": {"message|base64offset|contains": "by u1"}, "k": {"message|windash|contains": "by"}, "condition": "sel or (k and not k)"}, "false", {}),
+    "q_rule_cidr": ({"sel": {"src_ip|cidr": ["10.1.0.0/16", "10.2.3.0/24"]}, "condition": "sel"}, "src_ip LIKE '10.1.%' OR src_ip LIKE '10.2.3.%'", {}),
+    "q_rule_fieldref": ({"sel": {"vendor|fieldref": "product"}, "b": {"log_type|fieldref": "raw_action"}, "c": {"dst_port|fieldref": "dst_port"}, "condition": "(sel or b) or c"}, "true", {}),
+    "q_rule_cased": ({"a": {"action|cased": "DENY"}, "b": {"action|cased": "deny"}, "condition": "a or b"}, "action = 'deny'", {}),
+    "q_rule_logsource": ({"sel": {"severity": "HIGH"}, "condition": "sel"}, "severity = 'high' AND vendor = 'cisco' AND log_type = 'http'", {"logsource": {"vendor": "cisco", "service": "http"}}),
+    "q_rule_datamodel": ({"sel": {"severity": "high"}, "condition": "sel"}, "severity = 'high' AND log_type = 'modbus'", {"datamodels": "industrial"}),
+}
+
+
+@cache
+def _tags() -> dict[str, str]:
+    return {k: m.tag for m in registry().models for k in (m.name.lower(), m.tag.lower())}
+
+
+def _rules(names) -> list[sigma.Rule]:
+    return [_rule(n, RULES[n][0], **RULES[n][2]) for n in names]
+
+
+def _rule_query(name: str):
+    def query(spark, sf_dir):
+        rows = events(spark, sf_dir)
+        rows = registry().tag(rows) if RULES[name][2].get("datamodels") else rows
+        compiled = sigma.compile_rules(_rules([name]), rows.columns, _tags(), spark)
+        assert not compiled.disabled, compiled.disabled
+        return sigma.matches(rows, compiled).where(F.size("rule_ids") > 0).select("id")
+
+    return query
+
+
+LEVELS = {"q_rule_contains": ("high", ["attack.t1110", "attack.credential_access"]), "q_rule_cidr": ("medium", ["attack.t1021.001", "attack.lateral_movement"]), "q_rule_all_of": ("critical", ["attack.t1110", "attack.initial_access"]), "q_rule_numeric": ("low", ["attack.exfiltration"])}
+
+
+def _alerts(spark, sf_dir):
+    """Alerts of four rules with technique and tactic tags; the alert id is event and rule."""
+    rows = events(spark, sf_dir)
+    rules = [_rule(n, RULES[n][0], level=level, tags=tags) for n, (level, tags) in LEVELS.items()]
+    found = sigma.alerts(rows, sigma.compile_rules(rules, rows.columns, _tags()))
+    order = F.array_position(F.array(*[F.lit(n) for n in LEVELS]), F.col("rule_id"))
+    return found.withColumns({"alert_id": F.col("event_id") * 10 + order, "status": F.lit("new")})
+
+
+_ALERTS = (
+    "al AS (SELECT *, id * 10 + no AS alert_id FROM (SELECT ev.*, 'q_rule_contains' AS rule_id, 1 AS no, 'high' AS level, ['T1110'] AS techniques, ['credential access'] AS tactics FROM ev WHERE "
+    + RULES["q_rule_contains"][1]
+    + " UNION ALL SELECT ev.*, 'q_rule_cidr', 2, 'medium', ['T1021.001'], ['lateral movement'] FROM ev WHERE "
+    + RULES["q_rule_cidr"][1]
+    + " UNION ALL SELECT ev.*, 'q_rule_all_of', 3, 'critical', ['T1110'], ['initial access'] FROM ev WHERE "
+    + RULES["q_rule_all_of"][1]
+    + " UNION ALL SELECT ev.*, 'q_rule_numeric', 4, 'low', CAST([] AS VARCHAR[]), ['exfiltration'] FROM ev WHERE "
+    + RULES["q_rule_numeric"][1]
+    + "))"
+)
+
+
+def _all_matches(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    names = [n for n in RULES if n != "q_rule_datamodel"]
+    compiled = sigma.compile_rules(_rules(names), rows.columns, _tags())
+    return sigma.matches(rows, compiled).select("id", F.explode("rule_ids").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- correlations ------------------------------------------------------------------------------------------------------
+
+CORRELATIONS = {
+    "q_corr_threshold": correlate.Correlation("c1", "Many failures", 7 * 86400, 4, ("user_name",), {"action": "FAILED-logon"}),
+    "q_corr_distinct": correlate.Correlation("c2", "Many users on a host", 10 * 86400, 9, ("host_name",), {"action": ["deny", "allow"]}, "user_name"),
+    "q_corr_multi_key": correlate.Correlation("c3", "Noisy pair", 86400 * 30, 45, ("host_name", "dst_port"), {}),
+}
+_CORR_SQL = {
+    "q_corr_threshold": "SELECT user_name, count(*) AS n, min(event_time) AS first_seen, max(event_time) AS last_seen FROM ev WHERE event_time BETWEEN TIMESTAMP '2024-01-24' AND TIMESTAMP '2024-01-31' AND action = 'failed-logon' GROUP BY 1 HAVING count(*) >= 4",
+    "q_corr_distinct": "SELECT host_name, count(DISTINCT user_name) AS n, min(event_time) AS first_seen, max(event_time) AS last_seen FROM ev WHERE event_time BETWEEN TIMESTAMP '2024-01-21' AND TIMESTAMP '2024-01-31' AND action IN ('deny', 'allow') GROUP BY 1 HAVING count(DISTINCT user_name) >= 9",
+    "q_corr_multi_key": "SELECT host_name, dst_port, count(*) AS n, min(event_time) AS first_seen, max(event_time) AS last_seen FROM ev WHERE event_time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31' GROUP BY 1, 2 HAVING count(*) >= 45",
+}
+
+
+def _corr(name: str):
+    return lambda spark, sf_dir: correlate.correlate(events(spark, sf_dir), CORRELATIONS[name], AS_OF)
+
+
+def _corr_alerts(spark, sf_dir):
+    rule = CORRELATIONS["q_corr_threshold"]
+    found = correlate.correlate(events(spark, sf_dir), rule, AS_OF)
+    return correlate.alerts(found, rule, AS_OF).select("rule_id", "user_name", "message", "dedup_hash")
+
+
+def _corr_buckets(spark, sf_dir):
+    rule = correlate.Correlation("c4", "Failures in six hours", 21600, 12, ("severity",), {"action": "failed-logon"})
+    return correlate.buckets(events(spark, sf_dir), rule)
+
+
+# -- analytics ---------------------------------------------------------------------------------------------------------
+
+
+def _form(spark, sf_dir):
+    found = analytics.form_search(events(spark, sf_dir), equal={"severity": "medium"}, address="10.1.0.0/16", contains={"message": "CLICK"}, words='click -h3')
+    return found.select("id", "src_ip")
+
+
+def _page(spark, sf_dir):
+    return analytics.page(events(spark, sf_dir).where("action = 'deny'"), 20, 40).select("id", "event_time")
+
+
+def _known(spark, sf_dir):
+    return analytics.entities(events(spark, sf_dir))
+
+
+def _new_associations(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    as_of = dt.datetime(2024, 1, 3)
+    rows = rows.where(F.col("event_time") < F.lit(as_of))
+    found = analytics.new_associations(analytics.entities(rows), analytics.entity_links(rows), as_of, hours=24)
+    return found.select("entity_type", "entity_value", "peer_type", "peer_value", "n")
+
+
+def _risk(spark, sf_dir):
+    return analytics.risk(_alerts(spark, sf_dir), AS_OF).withColumn("score", F.round("score", 4))
+
+
+def _rule_stats(spark, sf_dir):
+    found = _alerts(spark, sf_dir)
+    rules = spark.createDataFrame([(n,) for n in [*LEVELS, "never"]], "rule_id string")
+    return analytics.rule_stats(rules, found, found.where("severity = 'low'"))
+
+
+def _related(spark, sf_dir):
+    found = _alerts(spark, sf_dir)
+    seen = found.where("rule_id = 'q_rule_all_of'").select("user_name", F.lit(None).cast("string").alias("host_name"), "src_ip").where("user_name in ('u3', 'u4')")
+    return analytics.related_open_alerts(found, seen).select("alert_id", "user_name")
+
+
+def _cases(spark, sf_dir):
+    found = _alerts(spark, sf_dir).withColumn("case_id", F.when(F.col("user_name").isin("u1", "u2", "u3"), F.col("user_name")))
+    cases = spark.createDataFrame([("u1", "low"), ("u2", "critical"), ("u99", "medium")], "case_id string, severity string")
+    return analytics.case_rollup(cases, found)
+
+
+SUPPRESSIONS = [{"id": 1, "rule_id": "Q_RULE_CIDR", "src_ip": "10.1.0.0/17"}, {"id": 2, "user_name": "u5"}, {"id": 3}, {"id": 4, "host_name": "h5", "enabled": False}]
+
+
+def _suppress(spark, sf_dir):
+    found = analytics.suppress(_alerts(spark, sf_dir), SUPPRESSIONS)
+    return found.groupBy("status", "suppression_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ot(spark, sf_dir):
+    operation = F.when(F.col("id") % 6 == 0, "write").when(F.col("id") % 10 == 0, "control").otherwise("read")
+    return analytics.ot_events(events(spark, sf_dir), operation)
+
+
+def _ot_conversations(spark, sf_dir):
+    rows = _ot(spark, sf_dir)
+    out = analytics.ot_conversations(rows, AS_OF, new_hours=24 * 10)
+    return flat(out.select("src_ip", "dst_ip", "events", "writes", "controls", "class", "protocols"))
+
+
+def _chains(spark, sf_dir):
+    found = _alerts(spark, sf_dir).where("event_time < timestamp '2024-01-06'")
+    return killchain.chains(found, gap_s=600).select("alert_id", "chain_id")
+
+
+def _stories(spark, sf_dir):
+    found = killchain.chains(_alerts(spark, sf_dir).where("event_time < timestamp '2024-01-06'"), gap_s=600)
+    out = killchain.stories(found)
+    return flat(out.select("chain_id", "alert_count", "severity", "stages", "tactic_count", "signature"))
+
+
+def _rules_frame(spark):
+    rules = [sigma.Rule.parse({"id": n, "title": n, "detection": RULES[n][0], "level": level, "tags": tags}) for n, (level, tags) in LEVELS.items()]
+    return spark.createDataFrame([(r.id, r.level, list(r.techniques), list(r.tactics)) for r in rules], "rule_id string, level string, techniques array<string>, tactics array<string>")
+
+
+CONTROLS = [("F1", "AC-7", "T1110"), ("F1", "AC-17", "T1021.001"), ("F1", "AC-17", "T1105"), ("F2", "6.2", "T1110"), ("F2", "6.2", "T1021.001"), ("F2", "9.9", "T9999")]
+
+
+def _compliance(spark, sf_dir):
+    controls = spark.createDataFrame(CONTROLS, "framework string, control string, technique string")
+    return analytics.compliance(controls, _rules_frame(spark), _alerts(spark, sf_dir))
+
+
+# -- enrichment --------------------------------------------------------------------------------------------------------
+
+NETS = [("10.0.0.0/8", "corp"), ("10.1.0.0/16", "site-1"), ("10.1.4.0/24", "lab"), ("10.2.0.0/15", "site-2"), ("10.3.2.128/25", "dmz"), ("2001:db8::/32", "six")]
+RANGES = [(0xC6330000, 0xC633FFFF, "AA"), (0xC6330100, 0xC63301FF, "BB"), (0xC6330180, 0xC63302FF, "CC")]
+
+
+def _scope(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return rows.select("id", ip.scope(F.col("src_ip")).alias("src_scope"), ip.scope(F.col("dst_ip")).alias("dst_scope"), ip.scope(F.concat(F.lit("172."), F.col("id") % 64, F.lit(".0.1"))).alias("odd_scope"))
+
+
+def _prefix(spark, sf_dir):
+    return enrich.longest_prefix(events(spark, sf_dir).select("id", "src_ip"), "src_ip", enrich.networks(spark, NETS), "zone")
+
+
+def _geo(spark, sf_dir):
+    segments = enrich.range_table(spark, enrich.flatten_ranges(RANGES))
+    return enrich.range_label(events(spark, sf_dir).select("id", "dst_ip"), "dst_ip", segments, "country")
+
+
+def _assets(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.concat(F.lit("h"), "n_nationkey").alias("alias"), F.concat(F.lit("asset-"), "n_nationkey").alias("asset_id")).where("n_nationkey < 6")
+    more = spark.createDataFrame([("10.0.1.1", "asset-ip"), ("198.51.0.10", "asset-dst")], "alias string, asset_id string")
+    nets = enrich.networks(spark, [("10.3.0.0/16", "asset-net")])
+    return enrich.assets(events(spark, sf_dir).select("id", "host_name", "src_ip", "dst_ip"), names.unionByName(more), nets).select("id", "asset_id")
+
+
+def _ioc(spark, sf_dir):
+    iocs = spark.createDataFrame([("97.0.0.0/8", "cidr", "high"), ("mail6.example.com", "domain", "medium"), ("example.org", "domain", "low")], "indicator string, ioc_type string, severity string")
+    docs = table(spark, sf_dir, "documents")
+    found = enrich.ioc_matches(docs, "doc_id", F.col("text"), iocs)
+    return found.select("doc_id", "indicator", "ioc_type", "severity")
+
+
+# -- ingest ------------------------------------------------------------------------------------------------------------
+
+
+def _action(**doc):
+    return ingest.Action.parse({"id": "a"} | doc)
+
+
+def _mask_hash(spark, sf_dir):
+    a = _action(action="mask", when={"severity": "high"}, mask={"fields": ["user_name"], "method": "hash", "salt": "s"})
+    return ingest.apply_actions(events(spark, sf_dir), [a]).select("id", "user_name", "message", "raw")
+
+
+def _mask_regex(spark, sf_dir):
+    a = _action(action="mask", when={"action": ["allow"]}, mask={"patterns": ["u[0-9]+"], "raw": ["k"], "fields": ["src_ip"]})
+    return ingest.apply_actions(events(spark, sf_dir), [a]).select("id", "user_name", "message", "raw", "src_ip")
+
+
+def _sample(spark, sf_dir):
+    a = _action(action="sample", when={"log_type": "click"}, sample={"percent": 25, "key": ["user_name", "dst_port"]})
+    return ingest.apply_actions(events(spark, sf_dir), [a]).select("id")
+
+
+def _route(spark, sf_dir):
+    a = [_action(action="route", when={"dst_port": "22"}, route={"vendor": "ssh", "product": "gw"}, order=2), _action(id="b", action="drop", when={"vendor": {"contains": "cis"}, "severity": "high"}, order=1)]
+    return flat(ingest.apply_actions(events(spark, sf_dir), a).select("id", "vendor", "product", "applied"))
+
+
+def _dedup(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    twice = rows.unionByName(rows.where("id % 3 = 0"))
+    out = ingest.dedup(twice, ingest.dedup(rows.where("id % 10 = 0")))
+    return out.select("id")
+
+
+def _mapper(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("rule_name", F.when(F.col("id") % 2 == 0, F.col("rule_name")))
+    mappers = [
+        ingest.Mapper("message", "CLICK", {"k": "rule_name"}, vendor="mapped"),
+        ingest.Mapper("message", "by u", {"k": "rule_name", "missing": "app"}, product="second"),
+    ]
+    return ingest.map_fields(rows, mappers).select("id", "vendor", "product", "rule_name", "app")
+
+
+# -- parsers over text built in both engines -----------------------------------------------------------------------------
+
+
+def _text(expression: str):
+    return lambda spark, sf_dir: events(spark, sf_dir).select("id", F.expr(expression).alias("value"))
+
+
+WEBLOG = "concat(src_ip, ' - ', user_name, ' [', date_format(event_time, 'dd/MMM/yyyy:HH:mm:ss'), ' +0000] \"GET /', log_type, '/', id, ' HTTP/1.1\" ', CASE WHEN id % 7 = 0 THEN '404' WHEN id % 11 = 0 THEN '503' ELSE '200' END, ' ', bytes_total, ' \"-\" \"agent/', id % 3, '\"')"
+KV = "concat('date=2024-01-02 time=03:04:05 devname=\"fw', id % 3, '\" logid=\"1\" type=\"traffic\" subtype=\"forward\" level=\"Notice\" srcip=', src_ip, ' dstip=', dst_ip, ' srcport=', src_port, ' dstport=', dst_port, ' proto=6 action=\"', action, '\" policyid=', id % 5, ' sentbyte=', bytes_total, ' rcvdbyte=10 msg=\"hello there\"')"
+SYSLOG = "concat('<', 8 * (id % 24) + id % 8, '>1 2024-01-02T03:04:05Z ', host_name, ' app', id % 4, ' ', id, ' ID47 - text ', id)"
+ECS = "concat('{\"@timestamp\":\"2024-01-02T03:04:05Z\",\"source\":{\"ip\":\"', src_ip, '\",\"port\":', src_port, '},\"event\":{\"action\":\"', action, '\"},\"user\":{\"name\":\"', user_name, '\"},\"host\":{\"name\":\"', host_name, '\"},\"network\":{\"bytes\":', bytes_total, ',\"transport\":\"TCP\"}}')"
+ASA = "concat('<166>Jan 02 2024 03:04:05 fw', id % 3, ' : %ASA-', id % 8, '-106023: Deny ', protocol, ' src outside:', src_ip, '/', src_port, ' dst inside:', dst_ip, '/', dst_port, ' by access-group')"
+CEF = "concat('CEF:0|Acme|Gate\\\\|way|1.0|', id % 9, '|Blocked thing|', id % 11, '|src=', src_ip, ' spt=', src_port, ' dst=', dst_ip, ' act=', action, ' suser=', user_name, ' in=', bytes_total, ' out=5 msg=a b\\\\=c')"
+
+
+def _parsed(parse, expression: str, *columns: str):
+    def query(spark, sf_dir):
+        return parse(_text(expression)(spark, sf_dir).select("value")).select(*columns)
+
+    return query
+
+
+_SEV8 = "list_extract(['emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'informational', 'debug'], CAST(id % 8 + 1 AS INT))"
+_FAC = "list_extract(['kern', 'user', 'mail', 'daemon', 'auth', 'syslog', 'lpr', 'news', 'uucp', 'cron', 'authpriv', 'ftp', 'ntp', 'audit', 'console', 'solaris-cron', 'local0', 'local1', 'local2', 'local3', 'local4', 'local5', 'local6', 'local7'], CAST(id % 24 + 1 AS INT))"
+PARSED = {
+    "q_parse_weblog": (_parsed(line_formats.web_access, WEBLOG, "src_ip", "user_name", "action", "severity", "rule_name", "bytes_total", "message"), "SELECT src_ip, user_name, 'GET' AS action, CASE WHEN id % 7 = 0 THEN 'warning' WHEN id % 11 = 0 THEN 'error' END AS severity, CASE WHEN id % 7 = 0 THEN 'HTTP 404' WHEN id % 11 = 0 THEN 'HTTP 503' ELSE 'HTTP 200' END AS rule_name, bytes_total, concat('GET /', log_type, '/', id, ' HTTP/1.1') AS message FROM ev"),
+    "q_parse_kv": (_parsed(line_formats.fortinet_fortigate, KV, "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "action", "host_name", "rule_name", "bytes_total", "severity", "message", "log_type"), "SELECT src_ip, dst_ip, src_port, dst_port, 'tcp' AS protocol, action, concat('fw', id % 3) AS host_name, concat('policy ', id % 5) AS rule_name, bytes_total + 10 AS bytes_total, 'notice' AS severity, 'hello there' AS message, 'forward' AS log_type FROM ev"),
+    "q_parse_syslog_pri": (_parsed(line_formats.generic_syslog, SYSLOG, "log_type", "severity", "host_name", "app", "rule_name", "message"), f"SELECT {_FAC} AS log_type, {_SEV8} AS severity, host_name, concat('app', id % 4) AS app, 'ID47' AS rule_name, concat('text ', id) AS message FROM ev"),
+    "q_parse_json_ecs": (_parsed(json_formats.generic_json, ECS, "vendor", "src_ip", "src_port", "action", "user_name", "host_name", "bytes_total", "protocol"), "SELECT 'json' AS vendor, src_ip, src_port, action, user_name, host_name, bytes_total, 'tcp' AS protocol FROM ev"),
+    "q_parse_asa": (_parsed(line_formats.cisco_asa, ASA, "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "severity", "action", "host_name", "rule_name"), f"SELECT src_ip, dst_ip, src_port, dst_port, protocol, {_SEV8} AS severity, 'deny' AS action, concat('fw', id % 3) AS host_name, concat('%ASA-', id % 8, '-106023') AS rule_name FROM ev"),
+    "q_parse_cef": (_parsed(line_formats.cef, CEF, "vendor", "product", "log_type", "severity", "src_ip", "dst_ip", "src_port", "action", "user_name", "bytes_total", "message", "rule_name"), "SELECT 'acme' AS vendor, 'gate|way' AS product, concat('', id % 9) AS log_type, CASE WHEN id % 11 <= 3 THEN 'low' WHEN id % 11 <= 6 THEN 'medium' WHEN id % 11 <= 8 THEN 'high' ELSE 'very-high' END AS severity, src_ip, dst_ip, src_port, action, user_name, bytes_total + 5 AS bytes_total, 'a b=c' AS message, 'Blocked thing' AS rule_name FROM ev"),
+}
+
+
+# -- star schema ---------------------------------------------------------------------------------------------------------
+
+
+def _lookup(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    nations = enrich.bounded(table(spark, sf_dir, "nation"))
+    joined = customers.join(nations, customers.c_nationkey == nations.n_nationkey)
+    return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+def _monthly(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_returnflag").agg(F.round(F.sum("l_extendedprice"), 0).alias("revenue"), F.count(F.lit(1)).alias("n"))
+    return rows.orderBy(F.col("n").desc(), "month", "l_returnflag").limit(10)
+
+
 def queries():
-    return {}
+    out = {n: _rule_query(n) for n in RULES} | {n: _corr(n) for n in CORRELATIONS} | {n: q for n, (q, _) in PARSED.items()}
+    ev = events
+    return out | {
+        "q_rules_all_matches": _all_matches,
+        "q_corr_alerts": _corr_alerts,
+        "q_corr_buckets": _corr_buckets,
+        "q_form_search_cidr": _form,
+        "q_form_search_page": _page,
+        "q_distinct_values": lambda s, d: analytics.distinct_values(ev(s, d), "host_name"),
+        "q_totals": lambda s, d: analytics.totals(ev(s, d), AS_OF),
+        "q_daily_counts": lambda s, d: analytics.daily_counts(ev(s, d)),
+        "q_entity_activity": lambda s, d: analytics.daily_counts(ev(s, d).where("user_name = 'u7'"), "action"),
+        "q_source_activity": lambda s, d: analytics.source_activity(ev(s, d)),
+        "q_top_sources": lambda s, d: analytics.top_values(ev(s, d), "src_ip", 12),
+        "q_silent_sources": lambda s, d: analytics.silent_sources(ev(s, d).where("log_type <> 'error' or event_time < timestamp '2024-01-26'"), AS_OF),
+        "q_entities": lambda s, d: _known(s, d),
+        "q_entity_links": lambda s, d: analytics.entity_links(ev(s, d)),
+        "q_new_entities": lambda s, d: analytics.new_entities(_known(s, d), dt.datetime(2024, 1, 1, 12), 24).select("entity_type", "entity_value"),
+        "q_new_associations": _new_associations,
+        "q_risk_score": _risk,
+        "q_alert_levels": lambda s, d: analytics.counts_by(_alerts(s, d), "level"),
+        "q_alert_techniques_unnest": lambda s, d: analytics.technique_counts(_alerts(s, d)),
+        "q_rule_stats_left_joins": _rule_stats,
+        "q_related_alerts_semi": _related,
+        "q_case_rollup": _cases,
+        "q_suppression": _suppress,
+        "q_playbook_match": lambda s, d: analytics.playbook_matches(_alerts(s, d), {"min_level": "high", "techniques": ["T1110"]}).select("alert_id"),
+        "q_ot_summary": lambda s, d: analytics.ot_summary(_ot(s, d)),
+        "q_ot_assets": lambda s, d: flat(analytics.ot_assets(_ot(s, d))),
+        "q_ot_conversations": _ot_conversations,
+        "q_killchain_components": _chains,
+        "q_killchain_stories": _stories,
+        "q_coverage_rollup": lambda s, d: analytics.coverage(_rules_frame(s)),
+        "q_tactic_coverage": lambda s, d: analytics.tactic_coverage(_rules_frame(s)),
+        "q_compliance": _compliance,
+        "q_scope_labels": _scope,
+        "q_cidr_longest_prefix": _prefix,
+        "q_geo_range_join": _geo,
+        "q_asset_precedence": _assets,
+        "q_ioc_match_documents": _ioc,
+        "q_mask_hash": _mask_hash,
+        "q_mask_regex": _mask_regex,
+        "q_sample_hash": _sample,
+        "q_route_drop": _route,
+        "q_dedup_hash": _dedup,
+        "q_mapper_fill_empty": _mapper,
+        "q_severity_rank": lambda s, d: ev(s, d).groupBy("user_name").agg(severity.highest(F.col("severity")).alias("highest")),
+        "q_nation_customer_lookup": _lookup,
+        "q_lineitem_monthly_top": _monthly,
+    }
+
+
+_OT = "ot AS (SELECT *, CASE WHEN id % 6 = 0 THEN 'write' WHEN id % 10 = 0 THEN 'control' ELSE 'read' END AS operation FROM ev WHERE log_type = 'modbus')"
+_ENT = "ent AS (SELECT t AS entity_type, v AS entity_value, min(event_time) AS first_seen, max(event_time) AS last_seen, count(*) AS event_count FROM (SELECT event_time, 'user' AS t, user_name AS v FROM {0} UNION ALL SELECT event_time, 'host', host_name FROM {0} UNION ALL SELECT event_time, 'ip', src_ip FROM {0}) GROUP BY 1, 2)"
+_LINK = "lnk AS (SELECT t AS entity_type, v AS entity_value, pt AS peer_type, pv AS peer_value, min(event_time) AS first_seen, max(event_time) AS last_seen, count(*) AS n FROM (SELECT event_time, 'user' AS t, user_name AS v, 'ip' AS pt, src_ip AS pv FROM {0} UNION ALL SELECT event_time, 'user', user_name, 'host', host_name FROM {0} UNION ALL SELECT event_time, 'host', host_name, 'ip', dst_ip FROM {0}) GROUP BY 1, 2, 3, 4)"
+_RANK = "list_position(['informational', 'low', 'medium', 'high', 'critical'], {0})"
+_AENT = "ae AS (SELECT alert_id, event_time, unnest(['user|' || user_name, 'host|' || host_name, 'ip|' || src_ip]) AS e FROM al WHERE event_time < TIMESTAMP '2024-01-06')"
+_CHAIN = (
+    _AENT + ", lg AS (SELECT alert_id AS a, lag(alert_id) OVER w AS b, event_time - lag(event_time) OVER w AS gap FROM ae WINDOW w AS (PARTITION BY e ORDER BY event_time, alert_id)), "
+    "ed AS (SELECT a, b FROM lg WHERE b IS NOT NULL AND gap <= INTERVAL 600 SECOND UNION SELECT b, a FROM lg WHERE b IS NOT NULL AND gap <= INTERVAL 600 SECOND), "
+    "re AS (SELECT alert_id AS a, alert_id AS b FROM al WHERE event_time < TIMESTAMP '2024-01-06' UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b = ed.a), "
+    "ch AS (SELECT a AS alert_id, min(b) AS chain_id FROM re GROUP BY a)"
+)
+_IPNUM = "CAST(string_split({0}, '.')[{1}] AS INT)"
+
+
+def _kc(t):
+    return f"CASE WHEN list_contains(tl, '{t.replace('-', ' ')}') THEN '{t}' END"
 
 
 def oracle_sql():
-    return {}
+    ev = f"ev AS ({SQL})"
+    w = f"WITH {ev} "
+    wa = f"WITH {ev}, {_ALERTS} "
+    out = {n: w + ID + sql for n, (_, sql, _) in RULES.items()} | {n: w + sql for n, sql in _CORR_SQL.items()} | {n: w + sql for n, (_, sql) in PARSED.items()}
+    names = [n for n in RULES if n != "q_rule_datamodel"]
+    out["q_rules_all_matches"] = w + " UNION ALL ".join(f"SELECT '{n}' AS rule_id, count(*) AS n FROM ev WHERE {RULES[n][1]} HAVING count(*) > 0" for n in names)
+    bucket = int(AS_OF.replace(tzinfo=dt.timezone.utc).timestamp()) // (7 * 86400)
+    out["q_corr_alerts"] = w + f"SELECT 'c1' AS rule_id, user_name, concat(n, ' events in 604800 s for ', user_name) AS message, sha256(concat('c1|', user_name, '|{bucket}')) AS dedup_hash FROM ({_CORR_SQL['q_corr_threshold']})"
+    out["q_corr_buckets"] = w + "SELECT time_bucket(INTERVAL 6 HOUR, event_time, TIMESTAMP '1970-01-01') AS bucket, severity, count(*) AS n FROM ev WHERE action = 'failed-logon' GROUP BY 1, 2 HAVING count(*) >= 12"
+    out["q_form_search_cidr"] = w + "SELECT id, src_ip FROM ev WHERE severity = 'medium' AND src_ip LIKE '10.1.%' AND message LIKE '%click%' AND host_name <> 'h3'"
+    out["q_form_search_page"] = w + "SELECT id, event_time FROM ev WHERE action = 'deny' ORDER BY event_time DESC, id DESC LIMIT 20 OFFSET 40"
+    out["q_distinct_values"] = w + "SELECT DISTINCT host_name FROM ev ORDER BY 1 LIMIT 200"
+    out["q_totals"] = w + "SELECT count(*) AS events, count(*) FILTER (WHERE event_time >= TIMESTAMP '2024-01-30') AS last_day, count(DISTINCT vendor) AS vendors, count(DISTINCT src_ip) AS sources, min(event_time) AS first_seen, max(event_time) AS last_seen FROM ev"
+    out["q_daily_counts"] = w + "SELECT CAST(event_time AS DATE) AS day, count(*) AS n FROM ev GROUP BY 1"
+    out["q_entity_activity"] = w + "SELECT CAST(event_time AS DATE) AS day, action, count(*) AS n FROM ev WHERE user_name = 'u7' GROUP BY 1, 2"
+    out["q_source_activity"] = w + "SELECT vendor, log_type, max(event_time) AS last_seen, count(*) AS n FROM ev GROUP BY 1, 2"
+    out["q_top_sources"] = w + "SELECT src_ip, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, src_ip LIMIT 12"
+    out["q_silent_sources"] = w + "SELECT vendor, log_type, max(event_time) AS last_seen, count(*) AS n FROM ev WHERE (log_type <> 'error' OR event_time < TIMESTAMP '2024-01-26') AND event_time BETWEEN TIMESTAMP '2024-01-24' AND TIMESTAMP '2024-01-31' GROUP BY 1, 2 HAVING count(*) >= 10 AND max(event_time) < TIMESTAMP '2024-01-30'"
+    out["q_entities"] = f"WITH {ev}, {_ENT.format('ev')} SELECT * FROM ent"
+    out["q_entity_links"] = f"WITH {ev}, {_LINK.format('ev')} SELECT * FROM lnk"
+    out["q_new_entities"] = f"WITH {ev}, {_ENT.format('ev')} SELECT entity_type, entity_value FROM ent WHERE first_seen >= TIMESTAMP '2023-12-31 12:00:00'"
+    out["q_new_associations"] = f"WITH {ev}, e2 AS (SELECT * FROM ev WHERE event_time < TIMESTAMP '2024-01-03'), {_ENT.format('e2')}, {_LINK.format('e2')} SELECT l.entity_type, l.entity_value, l.peer_type, l.peer_value, l.n FROM lnk l JOIN ent e USING (entity_type, entity_value) WHERE l.first_seen >= TIMESTAMP '2024-01-02' AND e.first_seen < l.first_seen - INTERVAL 1 HOUR"
+    out["q_risk_score"] = wa + ", x AS (SELECT (CASE level WHEN 'critical' THEN 10.0 WHEN 'high' THEN 6.0 WHEN 'medium' THEN 3.0 ELSE 1.0 END) * power(0.5, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(event_time)) / 1e6 / (7 * 86400.0)) AS s, unnest([{'t': 'user', 'v': user_name}, {'t': 'host', 'v': host_name}, {'t': 'ip', 'v': src_ip}]) AS e FROM al WHERE event_time >= TIMESTAMP '2024-01-01') SELECT e.t AS entity_type, e.v AS entity_value, round(sum(s), 4) AS score, count(*) AS alerts FROM x GROUP BY 1, 2"
+    out["q_alert_levels"] = wa + "SELECT level, count(*) AS n FROM al GROUP BY 1"
+    out["q_alert_techniques_unnest"] = wa + "SELECT technique, count(*) AS n FROM (SELECT unnest(techniques) AS technique FROM al) GROUP BY 1"
+    out["q_rule_stats_left_joins"] = wa + "SELECT r.rule_id, coalesce(a.n, 0) AS alerts, a.last_alert, coalesce(s.n, 0) AS suppressed FROM (SELECT unnest(['" + "', '".join([*LEVELS, "never"]) + "']) AS rule_id) r LEFT JOIN (SELECT rule_id, count(*) AS n, max(event_time) AS last_alert FROM al GROUP BY 1) a USING (rule_id) LEFT JOIN (SELECT rule_id, count(*) AS n FROM al WHERE severity = 'low' GROUP BY 1) s USING (rule_id)"
+    out["q_related_alerts_semi"] = wa + "SELECT alert_id, user_name FROM al WHERE EXISTS (SELECT 1 FROM al x WHERE x.rule_id = 'q_rule_all_of' AND x.user_name IN ('u3', 'u4') AND (x.user_name = al.user_name OR x.src_ip = al.src_ip))"
+    top = f"greatest({_RANK.format('c.severity')}, coalesce(m.top, 0))"
+    out["q_case_rollup"] = wa + f"SELECT c.case_id, list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST({top} AS INT)) AS severity, coalesce(m.n, 0) AS alert_count FROM (VALUES ('u1', 'low'), ('u2', 'critical'), ('u99', 'medium')) c(case_id, severity) LEFT JOIN (SELECT user_name, count(*) AS n, max({_RANK.format('level')}) AS top FROM al WHERE user_name IN ('u1', 'u2', 'u3') GROUP BY 1) m ON m.user_name = c.case_id"
+    third = _IPNUM.format("src_ip", 3)
+    out["q_suppression"] = wa + f"SELECT CASE WHEN suppression_id IS NULL THEN 'new' ELSE 'suppressed' END AS status, suppression_id, count(*) AS n FROM (SELECT CASE WHEN rule_id = 'q_rule_cidr' AND src_ip LIKE '10.1.%' AND {third} < 128 THEN '1' WHEN user_name = 'u5' THEN '2' END AS suppression_id FROM al) GROUP BY 1, 2"
+    out["q_playbook_match"] = wa + "SELECT alert_id FROM al WHERE level IN ('high', 'critical') AND list_contains(techniques, 'T1110')"
+    wo = f"WITH {ev}, {_OT} "
+    out["q_ot_summary"] = wo + "SELECT log_type AS protocol, count(*) AS events, count(*) FILTER (WHERE operation = 'read') AS reads, count(*) FILTER (WHERE operation = 'write') AS writes, count(*) FILTER (WHERE operation = 'control') AS controls, count(DISTINCT dst_ip) AS controllers, max(event_time) AS last_seen FROM ot GROUP BY 1"
+    out["q_ot_assets"] = wo + "SELECT dst_ip, 'modbus' AS protocols, count(DISTINCT src_ip) AS masters, count(*) AS events, count(*) FILTER (WHERE operation IN ('write', 'control')) AS changes, max(event_time) AS last_seen FROM ot GROUP BY 1"
+    out["q_ot_conversations"] = wo + "SELECT src_ip, dst_ip, count(*) AS events, count(*) FILTER (WHERE operation = 'write') AS writes, count(*) FILTER (WHERE operation = 'control') AS controls, CASE WHEN min(event_time) < TIMESTAMP '2024-01-21' THEN 'known' WHEN count(*) FILTER (WHERE operation IN ('write', 'control')) > 0 THEN 'new-writer' ELSE 'new' END AS class, 'modbus' AS protocols FROM ot GROUP BY 1, 2"
+    wk = f"WITH RECURSIVE {ev}, {_ALERTS}, {_CHAIN} "
+    out["q_killchain_components"] = wk + "SELECT alert_id, chain_id FROM ch"
+    stages = "array_to_string(list_sort(list_filter([" + ", ".join(_kc(t) for t in ("initial-access", "credential-access", "lateral-movement", "exfiltration")) + "], lambda x: x IS NOT NULL)), ',')"
+    out["q_killchain_stories"] = wk + f", g AS (SELECT chain_id, count(*) AS alert_count, max({_RANK.format('level')}) AS top, list_distinct(flatten(list(tactics))) AS tl, sha256('kc|' || string_agg(CAST(alert_id AS VARCHAR), ',' ORDER BY alert_id)) AS signature FROM ch JOIN al USING (alert_id) GROUP BY 1) SELECT chain_id, alert_count, list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST(top AS INT)) AS severity, {stages} AS stages, CAST(len(tl) AS INT) AS tactic_count, signature FROM g WHERE len(tl) >= 2"
+    out["q_coverage_rollup"] = "SELECT * FROM (VALUES ('T1110', 2, 'critical'), ('T1021.001', 1, 'medium')) t(technique, rules, highest)"
+    out["q_tactic_coverage"] = "SELECT * FROM (VALUES ('credential access', 1, 1), ('lateral movement', 1, 1), ('initial access', 1, 1), ('exfiltration', 1, 0)) t(tactic, rules, techniques)"
+    rows = ", ".join(str(c) for c in CONTROLS)
+    out["q_compliance"] = wa + f", k AS (SELECT * FROM (VALUES {rows}) t(framework, control, technique)), f AS (SELECT technique, count(*) AS n FROM (SELECT unnest(techniques) AS technique FROM al) GROUP BY 1) SELECT framework, control, count(DISTINCT technique) AS techniques, count(DISTINCT CASE WHEN technique IN ('T1110', 'T1021.001') THEN technique END) AS covered, coalesce(sum(n), 0)::BIGINT AS alerts FROM k LEFT JOIN f USING (technique) GROUP BY 1, 2"
+    out["q_scope_labels"] = w + f"SELECT id, 'private' AS src_scope, CASE WHEN {_IPNUM.format('dst_ip', 3)} = 100 THEN 'documentation' ELSE 'public' END AS dst_scope, CASE WHEN id % 64 BETWEEN 16 AND 31 THEN 'private' ELSE 'public' END AS odd_scope FROM ev"
+    a, b, c = (_IPNUM.format("src_ip", i) for i in (2, 3, 4))
+    out["q_cidr_longest_prefix"] = w + f"SELECT id, src_ip, CASE WHEN {a} = 1 AND {b} = 4 THEN 'lab' WHEN {a} = 1 THEN 'site-1' WHEN {a} = 3 AND {b} = 2 AND {c} >= 128 THEN 'dmz' WHEN {a} IN (2, 3) THEN 'site-2' ELSE 'corp' END AS zone FROM ev"
+    b, c = (_IPNUM.format("dst_ip", i) for i in (3, 4))
+    out["q_geo_range_join"] = w + f"SELECT id, dst_ip, CASE WHEN {b} = 1 THEN 'BB' WHEN {b} = 2 THEN 'CC' ELSE 'AA' END AS country FROM ev"
+    out["q_asset_precedence"] = w + "SELECT id, CASE WHEN host_name IN ('h0', 'h1', 'h2', 'h3', 'h4', 'h5') THEN 'asset-' || substr(host_name, 2) WHEN src_ip = '10.0.1.1' THEN 'asset-ip' WHEN dst_ip = '198.51.0.10' THEN 'asset-dst' WHEN src_ip LIKE '10.3.%' THEN 'asset-net' END AS asset_id FROM ev"
+    dot = "regexp_extract_all(text, '(?:[^0-9.]|^)((?:[0-9]{1,3}\\.){3}[0-9]{1,3})', 1)"
+    domain = "regexp_matches(lower(text), '(?:^|[^a-z0-9.@-]){0}(?:[^a-z0-9-]|$)')"
+    out["q_ioc_match_documents"] = (
+        f"SELECT doc_id, '97.0.0.0/8' AS indicator, 'cidr' AS ioc_type, 'high' AS severity FROM documents WHERE len(list_filter({dot}, lambda x: x LIKE '97.%')) > 0 "
+        f"UNION ALL SELECT doc_id, 'mail6.example.com', 'domain', 'medium' FROM documents WHERE {domain.format('mail6[.]example[.]com')} "
+        f"UNION ALL SELECT doc_id, 'example.org', 'domain', 'low' FROM documents WHERE {domain.format('example[.]org')}"
+    )
+    hidden = "'sha256:' || substr(sha256('s' || user_name), 1, 16)"
+    hit = "severity = 'high'"
+    swap = f"CASE WHEN {hit} AND length(user_name) >= 3 THEN replace(message, user_name, {hidden}) ELSE message END"
+    out["q_mask_hash"] = w + f"SELECT id, CASE WHEN {hit} THEN {hidden} ELSE user_name END AS user_name, {swap} AS message, raw FROM ev"
+    out["q_mask_regex"] = w + "SELECT id, CASE WHEN action = 'allow' THEN '[redacted]' ELSE user_name END AS user_name, CASE WHEN action = 'allow' THEN regexp_replace(message, 'u[0-9]+', '[redacted]', 'g') ELSE message END AS message, CASE WHEN action = 'allow' THEN regexp_replace(raw, '(\"k\": *)[0-9]+', '\\1\"[redacted]\"') ELSE raw END AS raw, CASE WHEN action <> 'allow' THEN src_ip END AS src_ip FROM ev"
+    out["q_sample_hash"] = w + "SELECT id FROM ev WHERE log_type <> 'click' OR CAST(concat('0x', substr(sha256(concat(user_name, chr(31), dst_port)), 1, 15)) AS BIGINT) % 10000 < 2500"
+    out["q_route_drop"] = w + "SELECT id, CASE WHEN dst_port = 22 THEN 'ssh' ELSE vendor END AS vendor, CASE WHEN dst_port = 22 THEN 'gw' ELSE product END AS product, CASE WHEN dst_port = 22 THEN 'a' ELSE '' END AS applied FROM ev WHERE NOT (vendor LIKE '%cis%' AND severity = 'high')"
+    out["q_dedup_hash"] = w + "SELECT id FROM ev WHERE id % 10 <> 0"
+    out["q_mapper_fill_empty"] = w + "SELECT id, CASE WHEN message LIKE '%click%' THEN 'mapped' ELSE vendor END AS vendor, CASE WHEN message LIKE '%click%' THEN product ELSE 'second' END AS product, coalesce(CASE WHEN id % 2 = 0 THEN rule_name END, json_extract_string(raw, '$.k')) AS rule_name, app FROM ev"
+    out["q_severity_rank"] = w + f"SELECT user_name, list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST(max({_RANK.format('severity')}) AS INT)) AS highest FROM ev GROUP BY 1"
+    out["q_nation_customer_lookup"] = "SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"
+    out["q_lineitem_monthly_top"] = "SELECT strftime(l_shipdate, '%Y-%m') AS month, l_returnflag, round(sum(l_extendedprice), 0) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, month, l_returnflag LIMIT 10"
+    return out

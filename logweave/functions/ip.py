@@ -51,45 +51,55 @@ V6_SCOPES = [
 ]
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once: expressions are trees, and a large one that is used often explodes."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _hex(number: Column, digits: int) -> Column:
     return F.lpad(F.lower(F.hex(number)), digits, "0")
 
 
 def _v4_hex(text: Column) -> Column:
-    return F.concat(*[_hex(F.split_part(text, F.lit("."), F.lit(i)).try_cast("int"), 2) for i in range(1, 5)])
+    return bind(F.split(text, r"\."), lambda p: F.concat(*[_hex(F.get(p, i).try_cast("int"), 2) for i in range(4)]))
 
 
 def _groups(text: Column) -> Column:
     """The colon-separated groups of a part of an IPv6 address, four digits each; a dotted tail is two groups."""
     parts = F.array_remove(F.split(text, ":"), "")
-    each = F.transform(
-        parts,
-        lambda g: F.when(g.rlike(_V4), F.array(F.substring(_v4_hex(g), 1, 4), F.substring(_v4_hex(g), 5, 4))).otherwise(
-            F.array(F.lpad(g, 4, "0"))
-        ),
-    )
-    return F.flatten(each)
+    four = lambda g: bind(_v4_hex(g), lambda h: F.array(F.substring(h, 1, 4), F.substring(h, 5, 4)))
+    return F.flatten(F.transform(parts, lambda g: F.when(g.rlike(_V4), four(g)).otherwise(F.array(F.lpad(g, 4, "0")))))
 
 
 def _v6_hex(text: Column) -> Column:
-    sides = F.split(text, "::", -1)
-    head, tail = _groups(F.get(sides, 0)), _groups(F.coalesce(F.get(sides, 1), F.lit("")))
-    missing = 8 - F.size(head) - F.size(tail)
-    fill = F.when(missing > 0, F.array_repeat(F.lit("0000"), F.greatest(missing, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    good = F.when(F.size(sides) == 2, missing >= 1).otherwise((F.size(sides) == 1) & (missing == 0))
     clean = text.rlike(r"^[0-9a-f:.]+$") & ~text.rlike(r"[0-9a-f]{5}|:::|^:[^:]|[^:]:$")
-    joined = F.array_join(F.concat(head, fill, tail), "")
-    return F.when(clean & good & (F.length(joined) == 32), joined)
+    none = F.array().cast("array<string>")
+
+    def joined(sides: Column, head: Column, tail: Column) -> Column:
+        missing = 8 - F.size(head) - F.size(tail)
+        fill = F.when(missing > 0, F.array_repeat(F.lit("0000"), F.greatest(missing, F.lit(0)))).otherwise(none)
+        good = F.when(F.size(sides) == 2, missing >= 1).otherwise((F.size(sides) == 1) & (missing == 0))
+        return F.when(good, F.array_join(F.concat(head, fill, tail), ""))
+
+    whole = bind(
+        F.split(text, "::", -1),
+        lambda s: bind(
+            _groups(F.get(s, 0)), lambda h: bind(_groups(F.coalesce(F.get(s, 1), F.lit(""))), lambda t: joined(s, h, t))
+        ),
+    )
+    return F.when(clean, bind(whole, lambda w: F.when(F.length(w) == 32, w)))
 
 
 def key(address: Column) -> Column:
     """The sortable key; null if the text is no address. A zone (%eth0) is dropped."""
-    text = F.lower(F.btrim(F.split_part(address, F.lit("%"), F.lit(1))))
-    six = _v6_hex(text)
-    return (
-        F.when(text.rlike(_V4), F.concat(F.lit("4"), _v4_hex(text)))
-        .when(text.contains(":") & six.startswith(_MAPPED), F.concat(F.lit("4"), F.substring(six, 25, 8)))
-        .when(text.contains(":"), F.concat(F.lit("6"), six))
+
+    def six(text: Column) -> Column:
+        mapped = lambda h: F.when(h.startswith(_MAPPED), F.concat(F.lit("4"), F.substring(h, 25, 8))).otherwise(F.concat(F.lit("6"), h))
+        return bind(_v6_hex(text), mapped)
+
+    return bind(
+        F.lower(F.btrim(F.split_part(address, F.lit("%"), F.lit(1)))),
+        lambda t: F.when(t.rlike(_V4), F.concat(F.lit("4"), _v4_hex(t))).when(t.contains(":"), six(t)),
     )
 
 
@@ -106,8 +116,14 @@ def bounds(cidr: str) -> tuple[str, str]:
 
 
 def inside(address_key: Column, cidr: str) -> Column:
-    low, high = bounds(cidr)
-    return F.coalesce(address_key.between(low, high) & (F.length(address_key) == len(low)), F.lit(False))
+    return within(address_key, [cidr])
+
+
+def within(address_key: Column, cidrs: list[str]) -> Column:
+    """Whether any of the networks holds the address; no address is in none."""
+    limits = [bounds(c) for c in cidrs]
+    test = lambda k: reduce(lambda a, b: a | b, [k.between(low, high) & (F.length(k) == len(low)) for low, high in limits])
+    return F.coalesce(bind(address_key, test), F.lit(False))
 
 
 def masked(address_key: Column, length: Column) -> Column:
@@ -129,13 +145,19 @@ def network(cidr: str) -> tuple[str, int]:
 
 def scope(address: Column) -> Column:
     """private, loopback, link-local, cgnat, multicast, documentation, reserved or public; null if no address."""
-    k = key(address)
-    found = reduce(lambda acc, x: acc.when(inside(k, x[0]), x[1]), [*V4_SCOPES, *V6_SCOPES], F.when(k.isNull(), F.lit(None)))
-    return found.otherwise("public")
+
+
+    def named(k: Column) -> Column:
+        out = F.when(k.isNull(), F.lit(None).cast("string"))
+        for cidr, label in [*V4_SCOPES, *V6_SCOPES]:
+            low, high = bounds(cidr)
+            out = out.when(k.between(low, high) & (F.length(k) == len(low)), label)
+        return out.otherwise("public")
+
+    return bind(key(address), named)
 
 
 def clean(address: Column) -> Column:
     """Canonical text or null; unspecified addresses are null."""
-    text = F.btrim(address)
-    k = key(text)
-    return F.when(k.isNotNull() & ~k.isin("400000000", "6" + "0" * 32), F.lower(text))
+    real = lambda text: F.when(~F.coalesce(key(text), F.lit("400000000")).isin("400000000", "6" + "0" * 32), text)
+    return bind(F.lower(F.btrim(address)), real)

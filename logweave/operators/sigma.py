@@ -125,6 +125,10 @@ class Compiler:
             return there if expected in (True, "true", "yes", 1) else ~there
         values = expected if isinstance(expected, list) else [expected]
         tests = [self.one(name, modifiers, v) for v in values]
+        if "cidr" in modifiers and "all" not in modifiers and values:
+            for v in values:
+                ip.bounds(str(v))  # a network that cannot be read disables the rule
+            return self.each(name, lambda v: ip.within(ip.key(v), [str(x) for x in values]))
         if not tests:
             return F.lit(False)
         return reduce((lambda a, b: a & b) if "all" in modifiers else (lambda a, b: a | b), tests)

@@ -31,8 +31,7 @@ TIME_FORMATS = (
 
 def when_set(value: Column) -> Column:
     """Null for empty text."""
-    text = F.btrim(value.cast("string"))
-    return F.when(text != "", text)
+    return F.nullif(F.btrim(value.cast("string")), F.lit(""))
 
 
 def first_set(*values: Column) -> Column:
@@ -56,12 +55,26 @@ def timestamp(value: Column, year: int | None = None) -> Column:
     """
     text = F.regexp_replace(F.btrim(value.cast("string"), F.lit(' "*:')), r"\s+", " ")
     text = F.regexp_replace(text, r" (UTC|GMT|Z)$", "")
-    number = F.when(text.rlike(r"^\d{9,}(\.\d+)?$|^\d\.\d+E\d+$"), text.try_cast("double"))
-    micros = F.when(number > 1e14, number).when(number > 1e11, number * 1e3).otherwise(number * 1e6)
     y = F.lit(str(year)) if year else F.date_format(F.current_date(), "yyyy")
-    dated = F.when(text.rlike(r"^[A-Z][a-z]{2} \d{1,2} \d{2}:\d{2}:\d{2}"), F.concat(F.substring(text, 1, 3), F.lit(" "), F.split_part(text, F.lit(" "), F.lit(2)), F.lit(" "), y, F.lit(" "), F.split_part(text, F.lit(" "), F.lit(3))))
-    vendor = [F.try_to_timestamp(F.coalesce(dated, text), F.lit(f)) for f in TIME_FORMATS]
-    return F.coalesce(F.timestamp_micros(micros.cast("long")), F.when(~text.rlike(r"^\d+$"), text.try_cast("timestamp")), *vendor)
+
+    def dated(t: Column) -> Column:
+        """"Jan 2 03:04:05" with a year."""
+        parts = F.split(t, " ")
+        spelled = F.concat_ws(" ", F.get(parts, 0), F.get(parts, 1), y, F.get(parts, 2))
+        return F.when(t.rlike(r"^[A-Z][a-z]{2} \d{1,2} \d{2}:\d{2}:\d{2}"), spelled).otherwise(t)
+
+    def epoch(n: Column) -> Column:
+        micros = F.when(n > 1e14, n).when(n > 1e11, n * 1e3).otherwise(n * 1e6)
+        return F.timestamp_micros(micros.cast("long"))
+
+    def read(t: Column) -> Column:
+        vendor = lambda d: F.coalesce(*[F.try_to_timestamp(d, F.lit(f)) for f in TIME_FORMATS])
+        number = t.rlike(r"^\d{9,}(\.\d+)?$|^\d\.\d+E\d+$")
+        return F.when(number, ip.bind(t.try_cast("double"), epoch)).when(
+            ~t.rlike(r"^\d+$"), F.coalesce(t.try_cast("timestamp"), ip.bind(dated(t), vendor))
+        )
+
+    return ip.bind(text, read)
 
 
 def host_port(value: Column) -> tuple[Column, Column]:
