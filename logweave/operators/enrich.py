@@ -152,7 +152,12 @@ def identities(events: DataFrame, aliases: DataFrame, out: str = "identity_id")
 
 def context_tags(columns: dict[str, Column]) -> Column:
     """Sorted, lower-cased set of role-prefixed labels; null where there is none."""
-    each = [F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v, role=role: F.concat(F.lit(f"{role}:"), F.lower(v))) for role, c in columns.items()]
+
+
+    def labelled(role: str, labels: Column) -> Column:
+        return F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda v: F.concat(F.lit(f"{role}:"), F.lower(v)))
+
+    each = [labelled(role, c) for role, c in columns.items()]
     found = F.array_sort(F.array_distinct(F.concat(*each)))
     return F.when(F.size(found) > 0, found)
 
@@ -210,11 +215,13 @@ def replace_feed(store: DataFrame, new: DataFrame, source: str) -> DataFrame:
 
 def observables(rows: DataFrame, id_: str, text: Column) -> DataFrame:
     """Distinct (id, ioc_type, value) of what a text mentions."""
-    found = []
-    for kind, pattern in _KINDS.items():
-        values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.rtrim(F.lower(v), F.lit(".,);")))
-        found.append(F.transform(F.array_distinct(values), lambda v, kind=kind: F.struct(F.lit(kind).alias("ioc_type"), v.alias("value"))))
-    return rows.select(F.col(id_), F.explode(F.concat(*found)).alias("o")).select(id_, "o.ioc_type", "o.value")
+    found = F.concat(*[_mentions(text, kind, pattern) for kind, pattern in _KINDS.items()])
+    return rows.select(F.col(id_), F.explode(found).alias("o")).select(id_, "o.ioc_type", "o.value")
+
+
+def _mentions(text: Column, kind: str, pattern: str) -> Column:
+    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.rtrim(F.lower(v), F.lit(".,);")))
+    return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("ioc_type"), v.alias("value")))
 
 
 def ioc_matches(rows: DataFrame, id_: str, text: Column, iocs: DataFrame) -> DataFrame:

@@ -40,9 +40,12 @@ class Source:
     keys: tuple[tuple[str, ...], ...] = ()
     vendor_product: bool = False
 
-    def value(self) -> Column:
+    def value(self, available: list[str]) -> Column:
+        """Null where the events have no such column."""
         if self.vendor_product:
             return F.concat_ws(" ", "vendor", "product")
+        if self.column and self.column not in available:
+            return F.lit(None).cast("string")
         return F.col(self.column) if self.column else raw_json.first_scalar(F.col("raw"), [list(k) for k in self.keys])
 
 
@@ -142,8 +145,8 @@ class Registry:
         """Equal for equal definitions, in whatever order they are written."""
         parts = []
         for m in self.models:
-            clauses = sorted(json.dumps(sorted([t.column, t.keys, sorted(t.values)] for t in c), default=str) for c in m.clauses)
-            fields = sorted(json.dumps([k, s.column, s.keys, s.vendor_product]) for k, s in m.fields)
+            clauses = sorted(json.dumps(sorted([t.column or "", t.keys, sorted(t.values)] for t in c), default=str) for c in m.clauses)
+            fields = sorted(json.dumps([k, s.column or "", s.keys, s.vendor_product]) for k, s in m.fields)
             parts.append(json.dumps([m.name, m.tag, clauses, fields]))
         return hashlib.sha256("\n".join(sorted(parts)).encode()).hexdigest()
 
@@ -158,7 +161,7 @@ class Registry:
 
     def projection(self, model: Model, available: list[str]) -> list[tuple[str, Column]]:
         pairs = [(c, F.col(c)) for c in ("id", "event_time") if c in available]
-        pairs += [(name, source.value()) for name, source in model.fields]
+        pairs += [(name, source.value(available)) for name, source in model.fields]
         taken = {name for name, _ in pairs}
         return pairs + [(c, F.col(c)) for c in TAIL if c in available and c not in taken]
 

@@ -189,8 +189,9 @@ def test_streams_equal_batches(spark, tmp_path):
     out = str(tmp_path / "alerts")
     ordered = str(tmp_path / "ordered")
     rows.coalesce(1).write.parquet(ordered)
-    late = rows.where("id = 0").withColumn("event_time", F.lit(t + dt.timedelta(days=1)))
-    late.write.mode("append").parquet(ordered)
-    runner.correlate_to(runner.read_events(spark, ordered, rows.schema), rule, out, str(tmp_path / "m2"), slide_s=300).awaitTermination(120)
+    for days in (1, 2):  # later events move the watermark past the last windows
+        late = rows.where("id = 1").withColumn("event_time", F.lit(t + dt.timedelta(days=days)))
+        late.coalesce(1).write.mode("append").parquet(ordered)
+    runner.correlate_to(runner.read_events(spark, ordered, rows.schema, files_per_batch=1), rule, out, str(tmp_path / "m2"), slide_s=300).awaitTermination(120)
     got = {(r.window_start, r.user_name, r.n) for r in spark.read.parquet(out).collect()}
     assert got == {(r.bucket, r.user_name, r.n) for r in correlate.buckets(rows, rule).collect()}
