@@ -7,10 +7,9 @@ of independent samples. Bands of ROWS coordinates are candidates' buckets: at a
 of the BANDS bands with probability (1 - 0.85^6)^32 < 3e-7, at 0.3 it shares one with 2 %.
 
 Links are confirmed on the full sets of 64-bit shingle hashes. Groups are not expanded into pairs. Equal texts are
-one node. In each bucket the members are compared with the one that shares most buckets with others, which in a
-group of copies is the text they come from, and then with a second one outside its component. Only members that
-are still outside the bucket's largest component are at last compared with every member of other components
-whose size permits a link; so no link between different components is lost to the shortcut.
+one node. In each bucket the members are compared with its leader, the one that shares most buckets with others, which
+in a group of copies is the text they come from. Where members stay in different components, _rest() finds all
+pairs that may still link them by an index of their differences from the leader; no link is lost to the shortcut.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing, not even each other;
 rows of equal text are linked; rows without an id are linked like others, but a group's id is the smallest that is
@@ -23,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweave.llm.common import lower_ascii, same_rows, written
-from logweave.llm.components import components
+from logweave.operators.graph import components
 
 WORDS = 5
 SIMILARITY = 80
@@ -148,34 +147,56 @@ def _with_component(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _most_apart(n: Column, m: Column, similarity: int) -> Column:
+    """How many shingles two linked sets of these sizes may not share: x / (n + m - x) >= s bounds n + m - 2 x."""
+    return F.floor((n + m) * (100 - similarity) / (100 + similarity)).cast("int")
+
+
+def _rest(members: DataFrame, leads: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """All pairs that may link different components, without looking at all pairs of a bucket.
+
+    Where a bucket's members are in several components, each member x is described by its difference D(x) from the
+    set of the bucket's leader. Two members of different components are not both linked to the leader, so if they are
+    similar enough, at most T shingles apart, their differences must share (|D(x)| + |D(y)| - T) / 2 elements, which
+    is above zero. Hence the T + 1 rarest elements of both share one, and at the first that they share enough must be
+    left on both sides. Both conditions are exact: they only leave out pairs that cannot link.
+    """
+    mixed = members.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    open_ = members.join(mixed.where("_lo <> _hi").select("key"), "key").join(leads.select("key", "to"), "key")
+    around = written(open_.select("to", "node", "n", "component").distinct(), "around")
+    sizes = around.groupBy("to", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("to").agg(F.max(F.struct("c", "component")).alias("m")).select("to", F.col("m.component").alias("main"))
+    around = around.join(main, "to").withColumn("apart", F.col("component") != F.col("main")).drop("main")
+    met = around.join(sets.select("node", F.col("set").alias("sx")), "node")
+    met = met.join(sets.select(F.col("node").alias("to"), F.col("set").alias("sl")), "to")
+    missing = F.transform(F.array_except("sl", "sx"), lambda v: F.bitwise_not(v))
+    met = met.withColumn("d", F.concat(F.array_except("sx", "sl"), missing)).drop("sx", "sl")
+    each = written(met.withColumn("size", F.size("d")).withColumn("e", F.explode("d")).drop("d"), "differences")
+    common = each.groupBy("to", "e").agg(F.count(F.lit(1)).alias("f"))
+    rarest = Window.partitionBy("to", "node").orderBy("f", "e")
+    each = each.join(common, ["to", "e"]).withColumn("place", F.row_number().over(rarest))
+    largest = F.floor(F.col("n") * 100 / similarity).cast("int")
+    each = each.where(F.col("place") <= _most_apart(F.col("n"), largest, similarity) + 1)
+    each = written(each.where("f > 1").drop("f"), "prefixes")
+    other = each.select("to", "e", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "component", "size", "place")])
+    need = (F.col("size") + F.col("_size") - _most_apart(F.col("n"), F.col("_n"), similarity)) / 2
+    enough = 1 + F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place")) >= need
+    met = each.where("apart").join(
+        other, (each["to"] == other["to"]) & (each["e"] == other["e"]) & (F.col("component") != F.col("_component")) & _fits("n", "_n", similarity) & enough
+    )
+    return met.select(*_pair(F.col("node"), F.col("_node"))).distinct()
+
+
 def _links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Confirmed pairs that connect what the members of a bucket (key, node, n, score) can connect."""
-    lead = members.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("lead"))
-    met = members.join(lead, "key").select("node", "n", F.col("lead.node").alias("to"), F.col("lead.n").alias("m"))
-    met = met.where((F.col("node") != F.col("to")) & _fits("n", "m", similarity))
+    leads = members.groupBy("key").agg(F.max(F.struct("score", "node", "n")).alias("lead"))
+    leads = written(leads.select("key", F.col("lead.node").alias("to"), F.col("lead.n").alias("m")), "leads")
+    met = members.join(leads, "key").where((F.col("node") != F.col("to")) & _fits("n", "m", similarity))
     first = written(met.select(*_pair(F.col("node"), F.col("to"))).distinct(), "pairs")
     links = written(_confirmed(first, sets, similarity), "links")
-    tried = first
-    for name in ("second", "rest"):
-        now = written(_with_component(members, components(links)), f"members-{name}")
-        # buckets whose members are in several components
-        mixed = now.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        open_ = now.join(mixed.where("_lo <> _hi").select("key"), "key")
-        part = open_.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("score", "node", "n")).alias("top"))
-        main = part.groupBy("key").agg(F.max(F.struct("c", "component")).alias("main")).select("key", F.col("main.component").alias("main"))
-        if name == "second":
-            outside = part.join(main, "key").where("component <> main")
-            lead = outside.groupBy("key").agg(F.max(F.struct(F.col("top"), F.col("component"))).alias("l"))
-            lead = lead.select("key", F.col("l.top.node").alias("to"), F.col("l.top.n").alias("m"), F.col("l.component").alias("other"))
-        else:
-            lead = open_.join(main, "key").where("component <> main")
-            lead = lead.select("key", F.col("node").alias("to"), F.col("n").alias("m"), F.col("component").alias("other"))
-        met = open_.join(lead, "key").where((F.col("component") != F.col("other")) & _fits("n", "m", similarity))
-        pairs = met.select(*_pair(F.col("node"), F.col("to"))).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs-{name}")
-        links = written(links.unionByName(_confirmed(pairs, sets, similarity)), f"links-{name}")
-        tried = tried.unionByName(pairs)
-    return links
+    now = written(_with_component(members, components(links)), "members")
+    rest = written(_rest(now, leads, sets, similarity), "rest")
+    return written(links.unionByName(_confirmed(rest, sets, similarity)), "links")
 
 
 def near_duplicates(
