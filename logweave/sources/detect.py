@@ -36,7 +36,7 @@ TEXT_SIGNS = [
     (r"(?s)devname=.*logid=|logid=.*devname=", "fortinet_fortigate"),
     (r"(?i)<HOST_LIST_VM_DETECTION_OUTPUT|<HOST_LIST>|<DETECTION_LIST>", "qualys"),
     (r"(?m),(?:TRAFFIC|THREAT|SYSTEM|CONFIG|GLOBALPROTECT|DECRYPTION|AUTHENTICATION),", "paloalto_syslog"),
-    (r"(?i)consolidated_audit|api_audit|NTNX.*flow", "nutanix_pc"),
+    (r"(?i)consolidated_audit|api_audit|\bSRC=\S+ DST=\S+.* ORIG=", "nutanix_pc"),
     (r"(?i)<\d{1,3}>.*\"(?:audit_event|object_name|share_name)\"", "nutanix_files"),
     (r"(?m)^(?:<\d{1,3}>)?\d+\s+\S+\s+\S+\s+(?:flows|urls|ids-alerts|events|security_event|firewall)\s", "meraki"),
     (r'(?m)^\S+ \S+ \S+ \[[^\]]+\] "[A-Z]+ [^"]*" \d{3} ', "web_access"),
@@ -48,6 +48,7 @@ JSON_SIGNS = [
     ({"SchemaVersion", "ProductArn"}, "aws_securityhub"),
     ({"schemaVersion", "service", "severity", "type"}, "aws_guardduty"),
     ({"serviceSource"}, "defender_xdr"),
+    ({"incidentWebUrl"}, "defender_xdr"),
     ({"operationName", "resourceId"}, "azure_activity"),
     ({"userPrincipalName", "appDisplayName"}, "entra_signin"),
     ({"protoPayload"}, "gcp_audit"),

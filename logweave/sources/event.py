@@ -23,7 +23,7 @@ TIME_FORMATS = (
     "MMM dd yyyy HH:mm:ss[.SSS]",
     "M/d/yyyy h:mm:ss a",
     "MM/dd/yyyy HH:mm:ss",
-    "EEE, dd MMM yyyy HH:mm:ss Z",
+    "d MMM yyyy HH:mm:ss Z",
     "yyyy-MM-dd HH:mm:ss,SSS",
     "yyyy-MM-dd HH:mm:ss:SSS",
 )
@@ -54,7 +54,7 @@ def timestamp(value: Column, year: int | None = None) -> Column:
     A date without a year takes the given one, or the current one.
     """
     text = F.regexp_replace(F.btrim(value.cast("string"), F.lit(' "*:')), r"\s+", " ")
-    text = F.regexp_replace(text, r" (UTC|GMT|Z)$", "")
+    text = F.regexp_replace(text, r" (UTC|GMT|Z)$|^[A-Z][a-z]{2}, ", "")
     y = F.lit(str(year)) if year else F.date_format(F.current_date(), "yyyy")
 
     def dated(t: Column) -> Column:
