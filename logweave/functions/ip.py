@@ -14,6 +14,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?!$)|$)){4}$"
+_V4_PART = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4_WHOLE = rf"{_V4_PART}(?:\.{_V4_PART}){{3}}"
+_GROUP = "[0-9a-f]{1,4}"
+#: IPv4, eight groups (the last two may be dotted), or fewer around one "::"; a zone may follow.
+_ADDRESS = (
+    rf"^(?:{_V4_WHOLE}|(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{6}}{_V4_WHOLE}|::(?:{_GROUP}:){{6}}{_GROUP}"
+    rf"|(?=.*::)(?!.*::.*::)(?!.*:::)(?!:[^:])(?:(?:{_GROUP})?:){{1,7}}(?:{_GROUP}|:|{_V4_WHOLE})?(?<!(?<!:):))(?:%\S+)?)$"
+)
 _MAPPED = "00000000000000000000ffff"
 
 #: Special-purpose ranges of the IANA registries and their scopes.
@@ -158,6 +166,6 @@ def scope(address: Column) -> Column:
 
 
 def clean(address: Column) -> Column:
-    """Canonical text or null; unspecified addresses are null."""
-    real = lambda text: F.when(~F.coalesce(key(text), F.lit("400000000")).isin("400000000", "6" + "0" * 32), text)
-    return bind(F.lower(F.btrim(address)), real)
+    """Lower-cased text of an address or null; unspecified addresses are null. A pattern is enough here: no key is made."""
+    text = F.lower(F.btrim(address))
+    return F.when(text.rlike(_ADDRESS) & ~text.rlike(r"^(?:0\.0\.0\.0|[0:]+)$"), text)

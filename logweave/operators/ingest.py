@@ -111,8 +111,12 @@ def pairs(text: Column, sep: str = " ") -> Column:
     values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda v: F.btrim(v, F.lit('"')))
     # the reversed arrays put the last value of a key first, and only firsts are kept
     zipped = F.reverse(F.arrays_zip(keys.alias("k"), values.alias("v")))
-    first = F.filter(zipped, lambda x, i: F.array_position(F.transform(zipped, lambda y: y["k"]), x["k"]) == i + 1)
-    return F.map_from_entries(first)
+
+    def firsts(z: Column) -> Column:
+        names = F.transform(z, lambda y: y["k"])
+        return ip.bind(names, lambda n: F.map_from_entries(F.filter(z, lambda x, i: F.array_position(n, x["k"]) == i + 1)))
+
+    return ip.bind(zipped, firsts)
 
 
 # -- actions -----------------------------------------------------------------------------------------------------------

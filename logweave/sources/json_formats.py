@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.sources.event import PROTOCOLS, events, first_set, host_port, lookup, timestamp, to_long, when_set
+from logweave.functions.ip import bind
+from logweave.sources.event import events, host_port, lookup, timestamp, to_long, when_set
 
 Get = Callable[..., Column]
 
@@ -31,16 +32,28 @@ def flat(text: Column, levels: int = 3) -> Column:
         key = F.lower(e["key"] if prefix is None else F.concat_ws(".", prefix, e["key"]))
         return F.struct(key.alias("key"), e["value"].alias("value"))
 
-    level = F.transform(_entries(text), lambda e: named(None, e))
-    out = level
-    for _ in range(levels - 1):
+    def below(level: Column) -> Column:
         nested = F.filter(level, lambda e: e["value"].startswith("{"))
-        level = F.flatten(F.transform(nested, lambda e: F.transform(_entries(e["value"]), lambda x: named(e["key"], x))))
-        out = F.concat(out, level)
-    value = lambda v: F.when(v.startswith("["), F.get(F.filter(F.from_json(v, "array<string>"), lambda x: ~x.rlike(r"^\s*[\[{]")), 0)).when(~v.startswith("{"), v)
-    kept = F.filter(F.transform(out, lambda e: F.struct(e["key"], value(e["value"]).alias("value"))), lambda e: F.length(e["value"]) > 0)
-    distinct = F.array_distinct(F.transform(kept, lambda e: e["key"]))
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.get(F.filter(kept, lambda e: e["key"] == k), 0)["value"]))
+        return F.flatten(F.transform(nested, lambda e: F.transform(_entries(e["value"]), lambda x: named(e["key"], x))))
+
+    def value(v: Column) -> Column:
+        first = F.get(F.filter(F.from_json(v, "array<string>"), lambda x: ~x.rlike(r"^\s*[\[{]")), 0)
+        return F.when(v.startswith("["), first).when(~v.startswith("{"), v)
+
+    def to_map(every: Column) -> Column:
+        kept = F.filter(F.transform(every, lambda e: F.struct(e["key"], value(e["value"]).alias("value"))), lambda e: F.length(e["value"]) > 0)
+
+        def of(k: Column) -> Column:
+            first = lambda name: F.get(F.filter(k, lambda e: e["key"] == name), 0)["value"]
+            return bind(F.array_distinct(F.transform(k, lambda e: e["key"])), lambda d: F.map_from_arrays(d, F.transform(d, first)))
+
+        return bind(kept, of)
+
+    def deeper(level: Column, left: int) -> Column:
+        """The level's entries and all below, to that many more levels."""
+        return level if left == 0 else F.concat(level, bind(below(level), lambda x: deeper(x, left - 1)))
+
+    return bind(F.transform(_entries(text), lambda e: named(None, e)), lambda top: bind(deeper(top, levels - 1), to_map))
 
 
 def with_flat(rows: DataFrame) -> tuple[DataFrame, Get]:
