@@ -6,21 +6,20 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
-from pyspark.sql import SparkSession  # noqa: E402
+from logweave.session import session as make_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "4g")
-        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
-        .config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
-        .getOrCreate()
-    )
+    extra = {
+        "spark.master": "local[4]",
+        "spark.sql.shuffle.partitions": "4",
+        "spark.ui.enabled": "false",
+        "spark.driver.memory": "4g",
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}",
+    }
+    session = make_session("tests", **extra)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
