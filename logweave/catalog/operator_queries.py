@@ -238,7 +238,7 @@ def _assets(spark, sf_dir):
 
 
 def _ioc(spark, sf_dir):
-    iocs = spark.createDataFrame([("97.0.0.0/8", "cidr", "high"), ("mail6.example.com", "domain", "medium"), ("example.org", "domain", "low")], "indicator string, ioc_type string, severity string")
+    iocs = spark.createDataFrame([("233.0.0.0/8", "cidr", "high"), ("114.0.0.0/8", "cidr", "low"), ("mail6.example.com", "domain", "medium"), ("example.org", "domain", "low")], "indicator string, ioc_type string, severity string")
     docs = table(spark, sf_dir, "documents")
     found = enrich.ioc_matches(docs, "doc_id", F.col("text"), iocs)
     return found.select("doc_id", "indicator", "ioc_type", "severity")
@@ -461,7 +461,8 @@ def oracle_sql():
     dot = "regexp_extract_all(text, '(?:[^0-9.]|^)((?:[0-9]{1,3}\\.){3}[0-9]{1,3})', 1)"
     domain = "regexp_matches(lower(text), '(?:^|[^a-z0-9.@-]){0}(?:[^a-z0-9-]|$)')"
     out["q_ioc_match_documents"] = (
-        f"SELECT doc_id, '97.0.0.0/8' AS indicator, 'cidr' AS ioc_type, 'high' AS severity FROM documents WHERE len(list_filter({dot}, lambda x: x LIKE '97.%')) > 0 "
+        f"SELECT doc_id, '233.0.0.0/8' AS indicator, 'cidr' AS ioc_type, 'high' AS severity FROM documents WHERE len(list_filter({dot}, lambda x: x LIKE '233.%')) > 0 "
+        f"UNION ALL SELECT doc_id, '114.0.0.0/8', 'cidr', 'low' FROM documents WHERE len(list_filter({dot}, lambda x: x LIKE '114.%')) > 0 "
         f"UNION ALL SELECT doc_id, 'mail6.example.com', 'domain', 'medium' FROM documents WHERE {domain.format('mail6[.]example[.]com')} "
         f"UNION ALL SELECT doc_id, 'example.org', 'domain', 'low' FROM documents WHERE {domain.format('example[.]org')}"
     )
