@@ -130,7 +130,10 @@ def repeated_lines(lines: DataFrame, min_words: int) -> DataFrame:
         found = late if found is None else found.unionByName(late)
         if 2 * size <= longest:
             ahead = Window.partitionBy("r", "seg").orderBy("i")
-            pairs = level.withColumn("next", F.lead("rank", size).over(ahead)).where("next is not null")
+            # positions whose prefix does not repeat have gone, so the row size further on may not be line i + size; where
+            # the longer prefix does repeat, all of them are there
+            pairs = level.withColumn("next", F.lead("rank", size).over(ahead)).withColumn("j", F.lead("i", size).over(ahead))
+            pairs = pairs.where(F.col("j") == F.col("i") + size).drop("j")
             level = written(_ranked(pairs.withColumnRenamed("rank", "prev"), ["prev", "next"]).drop("prev", "next"), f"rank{k + 1}")
         k += 1
     if found is None:

@@ -131,6 +131,23 @@ def test_line_dedup_keeps_the_first_of_repeated_rows(spark, rng):
     assert linededup.line_dedup(docs(spark, [text]).limit(0)).count() == 0
 
 
+def test_line_dedup_doubles_only_adjacent_lines(spark):
+    x, y, z, w, q = (" ".join(f"{n}{j}" for j in range(13)) for n in "xyzwq")
+    u, v = (" ".join(f"{n}{j}" for j in range(13)) for n in "uv")
+    texts = ["\n".join(t) for t in ([x, y, u, z, w, q], [x, y, v, z, w, q], [u], [v])]
+    out = {r.doc_id: r for r in linededup.line_dedup(docs(spark, texts), min_words=50).collect()}
+    assert [out[i].text for i in range(4)] == texts and all(r.n_removed == 0 for r in out.values())
+
+
+def test_line_dedup_of_templated_texts_equals_brute_force(spark):
+    rng = random.Random(11)
+    pool = [" ".join(f"l{n}w{j}" for j in range(rng.randrange(3, 9))) for n in range(14)]
+    template = [rng.choice(pool) for _ in range(12)]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < 0.2 else line for line in template) for _ in range(40)]
+    out = {r.doc_id: r.text for r in linededup.line_dedup(docs(spark, texts), min_words=25).collect()}
+    assert [out[i] for i in range(len(texts))] == dedup_brute(texts, 25)
+
+
 # -- sharding -------------------------------------------------------------------------------------------------------
 
 
