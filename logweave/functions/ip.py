@@ -151,6 +151,32 @@ def network(cidr: str) -> tuple[str, int]:
     return text[: 1 + -(-net.prefixlen // 4)], net.prefixlen
 
 
+def networked(cidr: Column) -> Column:
+    """network() of a column, as a struct (prefix, length); null if the text is no network. A network of IPv4 in IPv6 is
+    the IPv4 network. Lengths may be written as IPv4 net or host masks, a missing one is the whole address."""
+
+    def length(t: Column, bits: Column) -> Column:
+        size = F.split_part(t, F.lit("/"), F.lit(2))
+        mask = F.lpad(F.conv(F.substring(F.when(size.rlike(_V4), F.concat(F.lit("4"), _v4_hex(size))), 2, 8), 16, 2), 32, "0")
+        ones = lambda m: F.when(m.rlike("^1*0*$"), F.length(F.regexp_extract(m, "^1*", 0)))
+        zeros = lambda m: F.when(m.rlike("^0*1+$"), F.length(F.regexp_extract(m, "^0*", 0)))
+        masks = F.when(bits == 32, bind(mask, lambda m: F.coalesce(ones(m), zeros(m))))
+        n = F.when(~t.contains("/"), bits).when(size.rlike("^[0-9]+$"), size.try_cast("int")).otherwise(masks)
+        return bind(n, lambda n: F.when((n <= bits) & ~t.rlike(r"/.*/|^[^:]*%"), n))
+
+    def net(t: Column, k: Column, n: Column) -> Column:
+        mapped = t.contains(":") & k.startswith("4")
+        of = lambda key_, n_: F.struct(masked(key_, n_).alias("prefix"), n_.cast("int").alias("length"))
+        wide = F.concat(F.lit("6" + _MAPPED), F.substring(k, 2, 8))
+        return F.when(k.isNotNull() & n.isNotNull(), F.when(~mapped, of(k, n)).when(n >= 96, of(k, n - 96)).otherwise(of(wide, n)))
+
+    def read(t: Column) -> Column:
+        bits = F.when(t.contains(":"), 128).otherwise(32)
+        return bind(key(F.split_part(t, F.lit("/"), F.lit(1))), lambda k: bind(length(t, bits), lambda n: net(t, k, n)))
+
+    return bind(F.lower(F.btrim(cidr)), read)
+
+
 def scope(address: Column) -> Column:
     """private, loopback, link-local, cgnat, multicast, documentation, reserved or public; null if no address."""
 

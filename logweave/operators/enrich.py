@@ -37,7 +37,7 @@ def longest_prefix(rows: DataFrame, address: str, nets: DataFrame, out: str) ->
     """
     lengths = [(r["f"], r["length"]) for r in nets.select(F.substring("prefix", 1, 1).alias("f"), "length").distinct().collect()]
     if not lengths:
-        return rows.withColumn(out, F.lit(None).cast("string"))
+        return rows.withColumn(out, F.lit(None).cast(nets.schema["label"].dataType))
     k = ip.key(F.col("address"))
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(n).alias("length")) for f, n in sorted(lengths)]))
     distinct = rows.select(F.col(address).alias("address")).where("address is not null").distinct().withColumn("k", k).where("k is not null")
@@ -229,10 +229,8 @@ def ioc_matches(rows: DataFrame, id_: str, text: Column, iocs: DataFrame) -> Dat
     seen = observables(rows, id_, text)
     exact = iocs.where("ioc_type <> 'cidr'").select("ioc_type", F.col("indicator").alias("value"), "severity")
     hits = seen.join(bounded(exact), ["ioc_type", "value"]).select(id_, F.col("value").alias("indicator"), "ioc_type", "severity")
-    cidrs = [(r["indicator"], r["severity"]) for r in iocs.where("ioc_type = 'cidr'").select("indicator", "severity").limit(BROADCAST_ROWS).collect()]
-    if cidrs:
-        nets = networks(rows.sparkSession, [(c, f"{c}|{s}") for c, s in cidrs])
-        inside = longest_prefix(seen.where("ioc_type = 'ip'"), "value", nets, "_n").where("_n is not null")
-        parts = F.split("_n", r"\|")
-        hits = hits.unionByName(inside.select(id_, parts[0].alias("indicator"), F.lit("cidr").alias("ioc_type"), parts[1].alias("severity")).distinct())
-    return hits
+    label = F.struct("indicator", "severity").alias("label")
+    nets = iocs.where("ioc_type = 'cidr'").select(ip.networked(F.col("indicator")).alias("n"), label)
+    nets = nets.where("n is not null").select("n.prefix", "n.length", "label")
+    inside = longest_prefix(seen.where("ioc_type = 'ip'"), "value", nets, "_n").where("_n is not null")
+    return hits.unionByName(inside.select(id_, "_n.indicator", F.lit("cidr").alias("ioc_type"), "_n.severity").distinct())

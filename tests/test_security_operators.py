@@ -128,6 +128,31 @@ def test_indicators(spark):
     assert enrich.replace_feed(feed, feed.limit(1), "f").count() == 1
 
 
+def test_indicators_keep_every_network(spark, monkeypatch):
+    monkeypatch.setattr(enrich, "BROADCAST_ROWS", 3)
+    rows = spark.createDataFrame([(i, f"from 10.{i}.2.3 on") for i in range(12)], "id int, t string")
+    iocs = spark.createDataFrame([(f"10.{i}.0.0/16", "cidr", None if i == 4 else f"s{i}") for i in range(12)] + [("10.0.0.0/99", "cidr", "low")], "indicator string, ioc_type string, severity string")
+    got = sorted((r.id, r.indicator, r.severity) for r in enrich.ioc_matches(rows, "id", F.col("t"), iocs).collect())
+    assert got == [(i, f"10.{i}.0.0/16", None if i == 4 else f"s{i}") for i in range(12)]
+    assert enrich.ioc_matches(rows, "id", F.col("t"), iocs.limit(0)).count() == 0
+
+
+def test_network_columns_equal_the_constants(spark):
+    rng = random.Random(8)
+    texts = [f"{ipaddress.ip_address(rng.getrandbits(32))}/{rng.randrange(33)}" for _ in range(80)] + [f"{ipaddress.ip_address(rng.getrandbits(128))}/{rng.randrange(129)}" for _ in range(80)]
+    texts += [" 10.1.2.3/08 ", "10.1.2.3", "2001:DB8::1", "10.1.2.3/255.255.240.0", "10.1.2.3/0.0.15.255", "10.1.2.3/0.0.0.0", "::/0", "::ffff:0:0/90"]
+    texts += ["10.1.2.3/33", "::1/129", "10.1.2.3/", "10.1.2.3/8/8", "10.1.2.3/255.0.255.0", "::1/255.0.0.0", "x/8", "", "10.1.2.3/-1", "10.1.2.3/99999999999"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [("::ffff:10.1.2.3/104",), (None,)], "t string").select("t", ip.networked(F.col("t")).alias("n"))
+    got = {r.t: r.n and tuple(r.n) for r in rows.collect()}
+    for t in texts:
+        try:
+            want = ip.network(t)
+        except ValueError:
+            want = None
+        assert got[t] == want, t
+    assert got["::ffff:10.1.2.3/104"] == ip.network("10.1.2.3/8") and got[None] is None
+
+
 def test_actions_in_order(spark):
     rows = spark.createDataFrame([event(1, user_name="alice", message="alice (alicebob) says alice", src_ip="1.1.1.1", raw='{"alice": "alice", "pin": 1234, "q": "x"}', action="a"), event(2, action="b")], EVENT)
     acts = [ingest.Action.parse(d) for d in (
