@@ -3,7 +3,11 @@
 Candidates are found by three patterns: assignments to secret-like names, access keys and long hexadecimal tokens.
 The hashes of their values are counted over the corpus, by distinct repositories and owners: a value that many
 of them hold is a published example, one that a single repository and few owners hold is live-looking. Values
-assigned somewhere and live-looking are looked for wherever they stand alone, which adds spans of kind "reuse".
+assigned somewhere and live-looking are looked for wherever they stand alone, which adds spans of kind "reuse": a
+whole run of value characters, what follows the first "=" of a run, or a piece between "=" with or without the "="
+behind it (or all but the last of them), each also less its closing full stops or all its closing punctuation. Every
+such text of the least length of an assigned value is compared, by an equi-join with the live-looking values; of
+reuses in one another the longest stays.
 
 Defined cases: a null text has no spans; spans are code points, end exclusive; a null repository or owner counts as
 one more; repeated rows get one result row each and count once as owners; other columns are ignored.
@@ -23,15 +27,24 @@ ASSIGN = rf"{NAMES}[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Runs of value characters with a digit, found at their beginning only.
-BARE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z+/_.=-]*+[0-9][A-Za-z0-9+/_.=-]*+"
-BARE_LEAST = 12
+#: Runs of value characters, and what may be a value in them: (pattern, group).
+_ALL, _PART = "[A-Za-z0-9+/_.=-]", "[A-Za-z0-9+/_.-]"
+RUN = _ALL + "{%d,}" % LEAST["assign"]
+PLAIN = "^[A-Za-z0-9+/_.-]*[A-Za-z0-9]$"
+ALONE = [
+    *[(rf"(?<!{_ALL}){_ALL}*{last}", 0) for last in (_ALL, "[A-Za-z0-9+/_=-]", "[A-Za-z0-9]")],
+    *[(rf"(?<!{_ALL}){_PART}*+=++({_ALL}*{last})", 1) for last in (_ALL, "[A-Za-z0-9+/_=-]", "[A-Za-z0-9]")],
+    *[(rf"(?<!{_PART}){_PART}*{last}", 0) for last in (_PART, "[A-Za-z0-9+/_-]", "[A-Za-z0-9]")],
+    (rf"(?<!{_PART}){_PART}+=+", 0),
+    (rf"(?<!{_PART}){_PART}+=+(?==)", 0),
+]
 #: A value of at least so many repositories or owners is an example.
 EXAMPLE_REPOSITORIES, EXAMPLE_OWNERS = 2, 4
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Matches, leftmost and non-overlapping, as structs (start, kind, end, value hash); short ones are dropped."""
+def _spans(text: Column, kind: int, pattern: str, group: int, least: int, among: Column | None = None) -> Column:
+    """Matches, leftmost and non-overlapping, as structs (start, kind, end, value hash); short ones are dropped. With
+    hashes to look among, others are dropped too, and a span is that of the value, with which the match ends."""
     found = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
@@ -42,34 +55,60 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["all"])
+        first = start if among is None else end - F.length(x["value"])
         span = F.struct(
-            start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(x["value"]).alias("vh")
+            first.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(x["value"]).alias("vh")
         )
         # only long enough values are appended: the others just move the place
-        kept = F.when(F.length(x["value"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        wanted = F.length(x["value"]) >= least
+        if among is not None:
+            wanted = wanted & F.array_contains(among, F.xxhash64(x["value"]))
+        kept = F.when(wanted, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.when(x["all"].isNull(), acc).otherwise(F.struct(end.alias("at"), kept.alias("out")))
 
     return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, *, doc_id: str, text: str, repository: str, owner: Column) -> DataFrame:
-    """Rows (doc_id, h, repo, owner, base, bare): spans of the patterns, and runs that may be values standing alone."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def _base(t: Column) -> Column:
     none = F.array().cast("array<struct<start:int,kind:int,end:int,vh:bigint>>")
     assign = F.when(t.rlike(NAMES + r"[\"']?\x20*[:=]"), _spans(t, 0, ASSIGN, 1, LEAST["assign"])).otherwise(none)
     access = F.when(t.contains("AKIA"), _spans(t, 1, ACCESS, 0, LEAST["access"])).otherwise(none)
     hexes = F.when(t.rlike("[0-9a-f]{%d}" % LEAST["hex"]), _spans(t, 2, HEX, 0, LEAST["hex"])).otherwise(none)
-    bare = F.when(t.rlike("[0-9]"), _spans(t, 3, BARE, 0, BARE_LEAST)).otherwise(none)
+    return F.array_sort(F.concat(assign, access, hexes))
+
+
+def scan(docs: DataFrame, *, doc_id: str, text: str, repository: str, owner: Column) -> DataFrame:
+    """Rows (doc_id, h, repo, owner, base): spans of the patterns."""
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.xxhash64(F.col(text)).alias("h"),
         F.col(repository).alias("repo"),
         owner.alias("owner"),
-        F.array_sort(F.concat(assign, access, hexes)).alias("base"),
-        bare.alias("bare"),
+        _base(F.coalesce(F.col(text), F.lit(""))).alias("base"),
     )
 
 
+def reuses(docs: DataFrame, known: DataFrame, *, doc_id: str, text: str) -> DataFrame:
+    """Rows (doc_id, h, start, kind, end): the values of known (vh) that stand alone. The texts that hold any are found
+    first, so that places are counted in those only."""
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
+    runs = F.array_distinct(F.regexp_extract_all("t", F.lit(RUN), F.lit(0)))
+    runs = keyed.select("doc_id", "h", F.explode(runs).alias("r"))
+    forms = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("r", F.lit(p), F.lit(g)) for p, g in ALONE])))
+    each = runs.select("doc_id", "h", F.explode(F.when(F.col("r").rlike(PLAIN), F.array("r")).otherwise(forms)).alias("v"))
+    each = each.where(F.length("v") >= LEAST["assign"]).select("doc_id", "h", F.xxhash64("v").alias("vh"))
+    hold = each.join(known, "vh").groupBy("doc_id", "h").agg(F.collect_set("vh").alias("_among"))
+    hold = written(hold.withColumnsRenamed({"doc_id": "_d", "h": "_h"}), "secret-reuse")
+    met = keyed.join(hold, same_rows([F.col("doc_id"), F.col("h")], [F.col("_d"), F.col("_h")]))
+    found = F.concat(*[_spans(F.col("t"), 3, p, g, LEAST["assign"], F.col("_among")) for p, g in ALONE])
+    met = met.select("doc_id", "h", _base(F.col("t")).alias("base"), F.array_distinct(found).alias("found"))
+    met = met.select("doc_id", "h", "base", "found", F.explode("found").alias("b"))
+    inside = lambda x: (x["start"] <= F.col("b.start")) & (F.col("b.end") <= x["end"])
+    met = met.where(~F.exists("base", lambda x: (x["start"] < F.col("b.end")) & (F.col("b.start") < x["end"])))
+    met = met.where(~F.exists("found", lambda x: inside(x) & (x["end"] - x["start"] > F.col("b.end") - F.col("b.start"))))
+    return met.select("doc_id", "h", "b.start", "b.kind", "b.end")
+
+
 def ownership(spans: DataFrame) -> DataFrame:
     """Rows (vh, n_docs, n_repos, n_owners, assigned): how widely each value is held. Counted in two steps, so that a
     value that a third of the corpus holds is combined before the shuffle."""
@@ -112,14 +151,9 @@ def secrets(
     example = (F.col("n_repos") >= EXAMPLE_REPOSITORIES) | (F.col("n_owners") >= EXAMPLE_OWNERS)
     owners = owners.withColumn("example", example)
     rated = held.join(owners.select("vh", "example"), "vh")
-    # live-looking assigned values that stand alone
-    alone = rows.where(F.size("bare") > 0).select("doc_id", "h", "repo", "base", F.explode("bare").alias("b"))
-    alone = alone.where(~F.exists("base", lambda x: (x["start"] < F.col("b.end")) & (F.col("b.start") < x["end"])))
-    alone = alone.select("doc_id", "h", "b.start", "b.kind", "b.end", F.col("b.vh").alias("vh"))
-    known = owners.where("assigned and not example").select("vh", "example")
-    every = rated.select("doc_id", "h", "start", "kind", "end", "example").unionByName(
-        alone.join(known, "vh").select("doc_id", "h", "start", "kind", "end", "example")
-    )
+    known = owners.where("assigned and not example").select("vh")
+    alone = reuses(docs, known, doc_id=doc_id, text=text).withColumn("example", F.lit(False))
+    every = rated.select("doc_id", "h", "start", "kind", "end", "example").unionByName(alone)
     per_doc = every.groupBy("doc_id", "h").agg(
         F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("spans"),
         F.count_distinct(F.when(~F.col("example"), F.struct("start", "kind"))).alias("n_live"),

@@ -298,6 +298,20 @@ def test_secrets_of_repeated_rows(spark):
     assert secrets.op5_secrets(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_secrets_are_found_again_in_every_form(spark):
+    values = ["hunter2xyz", "correct-horse-battery", "S3cr3tV4lue99zz", "c29tZXRoaW5n==", "abc123", "ends.with-dash-", "aaaa=bbbb"]
+    forms = ["see {} there", "it was {}.", "({}), twice: {}...", "key={}", "key={}.", "a=b={}", "{}=name"]
+    texts = [f"password={v}" for v in values] + [f.replace("{}", v) for v in values[:-1] for f in forms] + ["see aaaa=bbbb.", "x=aaaa=bbbb.", None, "xhunter2xyz hunter2xyz9 password=abc123 abc12"]
+    out = {r.doc_id: r.spans for r in secrets.op5_secrets(docs(spark, texts)).collect()}
+    at = len(values)
+    for v in values[:-1]:
+        for f in forms:
+            t = f.replace("{}", v)
+            assert out[at] == ",".join(f"reuse:{m.start()}:{m.end()}" for m in re.finditer(re.escape(v), t)), t
+            at += 1
+    assert [out[at], out[at + 1], out[at + 2]] == ["reuse:4:13", "reuse:2:11", ""] and out[at + 3] == "assign:24:39"
+
+
 # -- classifiers ----------------------------------------------------------------------------------------------------
 
 
