@@ -4,13 +4,14 @@ Per language, a suffix automaton of sampled labelled text recognises exactly the
 is parsed into the longest phrases that the automaton knows, one after another; the language whose automaton needs the
 fewest phrases, normalised as the cross-parsing entropy phrases * log2(size of the text learnt) / symbols, wins, ties by name.
 Texts are read as lower-case letters with one blank for anything between them, in blocks of BLOCK symbols that
-are parsed side by side (a block ends a phrase, the same for all languages).
+are parsed side by side (a block ends a phrase, the same for all languages). Every letter that was learnt is a symbol;
+the transitions by the DENSE most frequent ones are a table, those by the others are sorted and searched.
 
 Learning is bounded: DOCS_PER_LANG documents of each language, chosen by a hash of the id, with at most
 CHARS_PER_DOC characters each. Prediction reads whole texts and nothing but the text.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0, as is everything if no language can be
-learnt; letters that were never learnt are phrases of their own; repeated rows get equal results; null ids are held in.
+learnt; letters that a language never learnt are phrases of their own; equal texts are learnt once; repeated rows get equal results; null ids are held in.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 DOCS_PER_LANG = 48
 CHARS_PER_DOC = 800
-ALPHABET = 48
+DENSE = 48
 BLOCK = 1024
 #: Symbols that are parsed side by side.
 AT_ONCE = 4_000_000
@@ -69,13 +70,13 @@ class SuffixAutomaton:
 
 
 class Reader:
-    """Texts as arrays of symbols: 0 blank, 1 other letters, 2.. the alphabet."""
+    """Texts as arrays of symbols: 0 blank, 1 letters never learnt, 2.. the alphabet, with the padding's symbol left out."""
 
     def __init__(self, alphabet: str) -> None:
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.int32)
         self.table[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
         for i, c in enumerate(alphabet):
-            self.table[ord(c)] = i + 2
+            self.table[ord(c)] = i + 2 if i < DENSE else i + 3
 
     def __call__(self, text: str) -> np.ndarray:
         s = self.table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -86,46 +87,79 @@ class Reader:
 
 
 class Model:
-    """Languages with one table: row of a state, column of a symbol, value (row of the next state) * 2 + phrase ended."""
+    """Languages with one table: row of a state, column of a symbol, value (row of the next state) * 4 + phrases ended.
+    rare has the transitions by symbols beyond the table: sorted keys of state and symbol, and their values."""
 
     def __init__(self, texts: dict[str, list[str]]) -> None:
         letters = Counter(c for ts in texts.values() for t in ts for c in t.lower() if c.isalpha())
-        self.alphabet = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET])
-        self.width = len(self.alphabet) + 3  # the last symbol is padding
+        self.alphabet = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0])))
+        self.width = min(len(self.alphabet), DENSE) + 3  # the last symbol is padding
+        self.n_rare = max(len(self.alphabet) - DENSE, 1)
         read, self.langs = Reader(self.alphabet), sorted(texts)
-        tables, self.roots, self.bits, at = [], [], [], 0
+        tables, self.roots, self.bits, at, rare = [], [], [], 0, []
         for lang in self.langs:
-            symbols = np.concatenate([read(t) for t in texts[lang]] or [np.zeros(0, np.uint8)]).tolist()
-            tables.append(self._table(SuffixAutomaton(symbols), at))
+            symbols = np.concatenate([read(t) for t in texts[lang]] or [np.zeros(0, np.int32)]).tolist()
+            auto = SuffixAutomaton(symbols)
+            tables.append(self._table(auto, at))
+            rare += [
+                ((s + at) * self.n_rare + c - self.width, (t + at) * self.width * 4)
+                for s, following in enumerate(auto.next) for c, t in following.items() if c >= self.width
+            ]
             self.roots.append(at * self.width)
             self.bits.append(math.log2(len(symbols) + 2))
             at += len(tables[-1])
-        self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+        kind = np.int32 if at * self.width * 4 < 2**31 - 4 else np.int64
+        self.table = np.concatenate([t.astype(kind) for t in tables]).reshape(-1) if tables else np.zeros(0, kind)
+        self.rare = np.array(sorted(rare), np.int64).reshape(-1, 2).T.copy()
 
     def _table(self, auto: SuffixAutomaton, at: int) -> np.ndarray:
         w = self.width
-        root = [(auto.next[0].get(c, 0) + at) * w * 2 + 1 for c in range(w)]
-        out = np.tile(np.array(root, np.int32), (len(auto.next), 1))
+        # no transition ends the phrase; a letter that the root does not know either is one of its own
+        root = [(auto.next[0][c] + at) * w * 4 + 1 if c in auto.next[0] else at * w * 4 + 2 for c in range(w)]
+        out = np.tile(np.array(root, np.int64), (len(auto.next), 1))
+        out[0] = [at * w * 4 + 1] * w
         for s, following in enumerate(auto.next):
             for c, t in following.items():
-                out[s, c] = (t + at) * w * 2
-        out[:, w - 1] = (np.arange(len(auto.next), dtype=np.int32) + at) * w * 2  # padding stays
+                if c < w:
+                    out[s, c] = (t + at) * w * 4
+        out[:, w - 1] = (np.arange(len(auto.next), dtype=np.int64) + at) * w * 4  # padding stays
         return out
 
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
         """Phrases per language and block; blocks has a column for each block, padded below."""
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], blocks.shape[1], axis=1)
+        roots = np.array(self.roots, self.table.dtype)[:, None]
+        state = np.repeat(roots, blocks.shape[1], axis=1)
         count = np.zeros(state.shape, np.int32)
         lanes = blocks.shape[1]
-        for row in blocks:
+        for row, beyond in zip(blocks, (blocks >= self.width).any(axis=1), strict=True):
             while lanes and row[lanes - 1] == self.width - 1:  # blocks are sorted by falling length
                 lanes -= 1
             if not lanes:
                 break
-            v = self.table[state[:, :lanes] + row[:lanes]]
-            count[:, :lanes] += v & 1
-            state[:, :lanes] = v >> 1
-        return count + 1
+            if beyond:
+                here = row[:lanes]
+                v = self.table[state[:, :lanes] + np.minimum(here, self.width - 1)]
+                at = np.flatnonzero(here >= self.width)
+                v[:, at] = self._rare(state[:, at], here[at], roots)
+            else:
+                v = self.table[state[:, :lanes] + row[:lanes]]
+            count[:, :lanes] += v & 3
+            state[:, :lanes] = v >> 2
+        return count + (state != roots)
+
+    def _rare(self, state: np.ndarray, symbols: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        """Values as in the table, for symbols beyond it."""
+        keys, values = self.rare
+
+        def look(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            wanted = rows.astype(np.int64) // self.width * self.n_rare + symbols - self.width
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return keys[at] == wanted, values[at]
+
+        known, following = look(state)
+        begins, first = look(np.broadcast_to(roots, state.shape))
+        fresh = np.where(begins, first + 1, roots * 4 + np.where(state == roots, 1, 2))
+        return np.where(known, following, fresh)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         read, out = self.reader(), []
@@ -187,9 +221,12 @@ def learn(
 ) -> Model:
     """Fits on the documents that are not held out. Each task keeps docs_per_lang rows of a language before the shuffle."""
     rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(doc_id)))
-    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("k"), F.substring(text, 1, chars_per_doc).alias("t"))
-    first = Window.partitionBy("lang").orderBy("k", "t")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_lang)
+    text_part = F.substring(text, 1, chars_per_doc)
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("k"), text_part.alias("t"), F.xxhash64(text_part).alias("h"))
+    each = rows.groupBy("lang", "h").agg(F.min("k").alias("k"))  # equal texts count once
+    first = Window.partitionBy("lang").orderBy("k", "h")
+    each = each.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_lang).drop("k")
+    rows = rows.join(F.broadcast(each), ["lang", "h"]).groupBy("lang", "_n").agg(F.min("t").alias("t"))
     texts: dict[str, list[str]] = {}
     for r in sorted(rows.select("lang", "_n", "t").collect()):
         texts.setdefault(r["lang"], []).append(r["t"])

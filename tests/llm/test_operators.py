@@ -525,3 +525,42 @@ def test_cross_parsing_takes_longest_phrases(rng):
         # a symbol that was never learnt ends the phrase before it and is one itself
         unknown = sum(c not in read for c in t)
         assert abs(int(got[0, 0]) - phrases) <= unknown + 1
+
+
+def test_cross_parsing_of_many_letters_is_exact():
+    rng = random.Random(21)
+    letters = [chr(0x4E00 + i) for i in range(200)] + list("abcdefgh")
+    learnt = {"x": "".join(rng.choice(letters[:120] + [" "]) for _ in range(700)).strip(), "y": "".join(rng.choice(letters[80:] + [" "]) for _ in range(700)).strip()}
+    model = langid.Model({k: [v] for k, v in learnt.items()})
+    clean = {k: " ".join(v.split()) for k, v in learnt.items()}
+    for _ in range(30):
+        at = rng.randrange(500)
+        q = " ".join((learnt["x"][at : at + 30] + "".join(rng.choice([*letters, "\u0416", "\u0429", " "]) for _ in range(30))).split())
+        got = model.phrases(np.ascontiguousarray(model.reader()(q)[:, None]))[:, 0].tolist()
+        want = []
+        for lang in model.langs:
+            i = n = 0
+            while i < len(q):
+                m = 1
+                while i + m < len(q) and q[i : i + m + 1] in clean[lang]:
+                    m += 1
+                i, n = i + m, n + 1
+            want.append(n)
+        assert got == want
+
+
+def test_languages_of_many_letters_and_copies(spark):
+    rng = random.Random(22)
+    word = lambda first, n: "".join(chr(first + rng.randrange(n)) for _ in range(3))
+    shared = [word(0x4E00, 48) for _ in range(200)]
+    own = {x: [word(first, 200) for _ in range(100)] for x, first in (("jj", 0x5000), ("kk", 0x6000))}
+    text = lambda lang: " ".join(rng.choice(shared if rng.random() < 0.7 else own[lang]) for _ in range(80))
+    langs = [rng.choice(["jj", "kk"]) for _ in range(90)]
+    frame = docs(spark, [text(x) for x in langs], langs=langs)
+    rows = {r.doc_id: r for r in langid.op9_language(frame).collect()}
+    assert [rows[i].lang_pred for i in range(90)] == langs
+    copies = docs(spark, ["kopie"] * 300 + list("uvwxyzq"), langs=["aa"] * 307)
+    held = {i for i in range(300, 307) if zlib.crc32(str(i).encode()) % 3 == 1}
+    model = langid.learn(copies, docs_per_lang=8)
+    assert set(model.alphabet) == set("kopie") | {c for i, c in enumerate("uvwxyzq", 300) if i not in held}
+    assert model.bits[0] < 4
