@@ -12,7 +12,7 @@ in a group of copies is the text they come from. Where members stay in different
 pairs that may still link them by an index of their differences from the leader; no link is lost to the shortcut.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing, not even each other;
-rows of equal text are linked; rows without an id are linked like others, but a group's id is the smallest that is
+rows of equal text are linked; different texts under one id are linked only if they are similar; rows without an id are linked like others, but a group's id is the smallest that is
 there, or null; other columns are ignored.
 """
 
@@ -36,8 +36,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Shingles that are sketched at once, unless one text has more.
 BLOCK = 400_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Nodes of texts without an id lie from here on, above all ids.
-_NO_ID = 1 << 62
 
 
 def shingles(text: Column, words: int) -> Column:
@@ -213,11 +211,12 @@ def near_duplicates(
     rows = base.mapInArrow(_band_batches, "doc_id long, h long, h2 long, n long, bands array<long>")
     rows = written(rows, "sketches")
     nodes = rows.where("n > 0").groupBy("h", "h2").agg(
-        F.coalesce(F.min("doc_id"), F.min("h").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))).alias("node"),
+        F.min("doc_id").alias("least"),
         F.first("n").alias("n"),
         F.first("bands").alias("bands"),
     )
-    nodes = written(nodes, "nodes")
+    # ids may be shared by different texts, so the text makes the node
+    nodes = written(nodes.withColumn("node", F.xxhash64("h", "h2")), "nodes")
     each = nodes.select("node", "n", F.explode("bands").alias("key"))
     counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = written(each.join(counts, "key"), "buckets")
@@ -229,13 +228,18 @@ def near_duplicates(
     texts = texts.join(wanted, ["h", "h2"]).groupBy("node").agg(F.first("t").alias("t"))
     sets = written(texts.select("node", shingles(F.col("t"), words).alias("set")), "sets")
     comps = components(_links(members, sets, similarity))
-    named = _with_component(nodes.select("h", "h2", "node"), comps).select(
-        F.col("h").alias("_h"), F.col("h2").alias("_h2"), "component"
+    linked = comps.select("node", "component").join(nodes.select("node", "least"), "node")
+    least = linked.groupBy("component").agg(F.min("least").alias("_least"))
+    linked = linked.join(least, "component").select("node", "_least", F.lit(True).alias("_linked"))
+    named = nodes.select("h", "h2", "node", "least").join(linked, "node", "left").select(
+        F.col("h").alias("_h"),
+        F.col("h2").alias("_h2"),
+        F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("least")).alias("component"),
     )
     met = rows.drop("bands").join(
         named, same_rows([F.col("h"), F.col("h2")], [F.col("_h"), F.col("_h2")]) & (F.col("n") > 0), "left"
     )
-    smallest = F.when(F.col("component") >= _NO_ID, F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
+    smallest = F.when(F.col("_h").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return met.select("doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"), "h", "h2")
 
 

@@ -252,6 +252,14 @@ def test_near_duplicates_without_ids_and_rows(spark, rng):
     assert minhash.op4_near_duplicates(docs(spark, [text]).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_different_texts_under_one_id(spark):
+    rng = random.Random(31)
+    a, b, c = (words(rng, 80, 5000) for _ in range(3))
+    texts, ids = [a, b, edited(rng, a, 1), edited(rng, b, 1), c, edited(rng, c, 1), edited(rng, c, 1)], [5, 5, 7, 3, 9, None, 9]
+    rows = minhash.near_duplicates(docs(spark, texts, ids=ids), words=3, similarity=85).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in rows) == [(-1, 9), (3, 3), (5, 3), (5, 5), (7, 5), (9, 9), (9, 9)]
+
+
 def test_sketch_agreement_is_the_similarity():
     rng = np.random.default_rng(1)
     both = rng.integers(0, 2**63, 700, dtype=np.uint64)
