@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +19,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder the session names in spark.checkpoint.dir. Where it is unset, a local session gets a temporary
+    folder; on a cluster that is an error, since executors would not share it."""
     global _own_root
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="logweave-")
     return f"file://{_own_root}"
@@ -36,14 +42,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def _remove_all() -> None:
-    while _written:
+def _remove_all(keep: int = 0) -> None:
+    while len(_written) > keep:
         _remove(*_written.pop())
 
 
 atexit.register(_remove_all)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Scratch tables written inside are removed at the end: for steps whose result has been stored elsewhere by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _remove_all(before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written as Parquet to the shared scratch folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
