@@ -6,6 +6,9 @@ share over 13 words or more always meets in the join of fingerprints. Each meeti
 windows around the gram are compared word by word along the diagonal, and only equal ones count.
 Items of fewer than 13 words are one window each; their whole length is the gram.
 
+Long texts are read in runs of whole words that overlap by a window less a word, so that no array grows with a text.
+Hits are rows (document, first word, word behind the last, item) from the join to the last count.
+
 Defined cases: a null or word-less text has no words, no hits and is not contaminated; a null or word-less
 item matches nothing; an item id that is null is written as "null"; repeated document rows give one result
 row each, repeated items count once; other columns of the inputs are ignored, whatever their names.
@@ -13,17 +16,19 @@ row each, repeated items count once; other columns of the inputs are ignored, wh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import lower_ascii, same_rows
+from logweave.llm.common import LONG_TEXT, RUN_WORDS, lower_ascii, same_rows, word_runs, written
 
 WINDOW = 13
 GRAM = 6
 PER_WINDOW = WINDOW - GRAM + 1
-#: Low bits of a fingerprint hold the gram's position; a row of Spark cannot hold more words than that.
-POSITION_BITS = 30
+#: Low bits of a fingerprint hold the gram's position in its run of words. A text of up to LONG_TEXT bytes is one run.
+POSITION_BITS = 20
 POSITION_MASK = (1 << POSITION_BITS) - 1
+#: What separates words: in the text as it is, and when A-Z is lower-cased.
+SPACE = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fingerprints of the benchmark are broadcast up to this many rows of about 250 bytes; beyond it they are shuffled.
 BROADCAST_ROWS = 200_000
@@ -38,23 +43,25 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def _starts(n: Column) -> Column:
+    """0 .. n - 1; empty if n is not above 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def _grams(hashes: Column, size: int) -> Column:
     """Per start position, the hash of that many words with the position in its low bits."""
-    starts = F.sequence(F.lit(0).cast("long"), (F.size(hashes) - size).cast("long"))
-    packed = F.transform(
-        starts,
-        lambda i: F.xxhash64(F.slice(hashes, i.cast("int") + 1, size), F.lit(size))
-        .bitwiseAND(F.lit(~POSITION_MASK))
-        .bitwiseOR(i),
-    )
-    return F.when(F.size(hashes) >= size, packed).otherwise(F.array().cast("array<long>"))
+
+    def gram(i: Column) -> Column:
+        key = F.xxhash64(*[F.get(hashes, i + k) for k in range(size)], F.lit(size))
+        return key.bitwiseAND(F.lit(~POSITION_MASK)).bitwiseOR(i.cast("long"))
+
+    return F.transform(_starts(F.size(hashes) - (size - 1)), gram)
 
 
 def _winnow(grams: Column) -> Column:
     """The least gram of each window, once."""
-    starts = F.sequence(F.lit(1), F.size(grams) - (PER_WINDOW - 1))
-    least = F.transform(starts, lambda i: F.array_min(F.slice(grams, i, PER_WINDOW)))
-    return F.when(F.size(grams) >= PER_WINDOW, F.array_distinct(least)).otherwise(F.array().cast("array<long>"))
+    starts = _starts(F.size(grams) - (PER_WINDOW - 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.least(*[F.get(grams, i + k) for k in range(PER_WINDOW)])))
 
 
 def _fingerprints(df: DataFrame, short: list[int], out: str) -> DataFrame:
@@ -73,14 +80,27 @@ def _pos(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit(POSITION_MASK)).cast("int")
 
 
-def benchmark_fingerprints(bench: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
-    """Rows (key, item, ipos, win, first, near): near holds the item's words around the gram, first is the place of its first word."""
-    items = (
-        bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("t"))
-        .distinct()
-        .select("item", word_hashes(F.col("t")).alias("wh"))
-        .where(F.size("wh") > 0)
+def _runs(docs: DataFrame, doc_id: str, text: str, long_text: int, run_words: int) -> DataFrame:
+    """Rows (doc_id, thash, c, own, wh): of the c-th run of a text's words, how many are its own, and the hashes of
+    these and of the WINDOW - 1 words behind them."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    runs = docs.select(
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(F.col(text)).alias("thash"),
+        F.posexplode_outer(word_runs(body, SPACE, WINDOW - 1, long_text=long_text, run_words=run_words)).alias("c", "x"),
     )
+    joined = F.when(F.col("x.next").isNull(), F.col("x.run")).otherwise(F.concat_ws(" ", "x.run", "x.next"))
+    runs = runs.select("doc_id", "thash", F.coalesce("c", F.lit(0)).alias("c"), F.col("x.next").isNull().alias("last"), word_hashes(joined).alias("wh"))
+    return runs.select("doc_id", "thash", "c", F.when(F.col("last"), F.size("wh")).otherwise(F.lit(run_words)).alias("own"), "wh")
+
+
+def benchmark_fingerprints(
+    bench: DataFrame, id_col: str, text_col: str, long_text: int = LONG_TEXT, run_words: int = RUN_WORDS
+) -> tuple[DataFrame, list[int]]:
+    """Rows (key, item, ipos, win, first, near): near holds the item's words around the gram, first is the place of its first word."""
+    items = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("t")).distinct()
+    items = _runs(items, "item", "t", long_text, run_words).where((F.size("wh") > 0) & ((F.col("c") == 0) | (F.size("wh") >= WINDOW)))
+    items = items.select(F.col("doc_id").alias("item"), "wh")
     short = sorted(
         r[0] for r in items.where(F.size("wh") < WINDOW).select(F.size("wh").alias("n")).distinct().collect()
     )  # at most twelve lengths
@@ -93,7 +113,7 @@ def benchmark_fingerprints(bench: DataFrame, id_col: str, text_col: str) -> tupl
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.select("item", "wh", "win", F.explode("fp").alias("p")).select(
+    out = out.select("item", "wh", "win", F.explode_outer("fp").alias("p")).where("p is not null").select(
         "item", "wh", "win", _key(F.col("p")).alias("key"), _pos(F.col("p")).alias("ipos")
     )
     first = F.greatest(F.lit(0), F.col("ipos") - (PER_WINDOW - 1))
@@ -123,21 +143,7 @@ def _equal_windows() -> Column:
     return F.when(lo <= hi, spans)
 
 
-def _covered(spans: Column) -> Column:
-    """Words inside any of the spans, which come sorted by start."""
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("reach"))
-    return F.aggregate(
-        spans,
-        zero,
-        lambda acc, x: F.struct(
-            (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], acc["reach"]))).alias("n"),
-            F.greatest(acc["reach"], x["e"]).alias("reach"),
-        ),
-        lambda acc: acc["n"],
-    )
-
-
-def contamination(
+def meetings(
     docs: DataFrame,
     bench: DataFrame,
     *,
@@ -146,56 +152,84 @@ def contamination(
     item_id: str = "item_id",
     item_text: str = "text",
     broadcast_rows: int = BROADCAST_ROWS,
+    long_text: int = LONG_TEXT,
+    run_words: int = RUN_WORDS,
 ) -> DataFrame:
-    """Per document row: id, text hash, n_words, hit spans (in words) and the items whose windows occur in it.
+    """Rows (doc_id, thash, c, own, item, s, e), stored: for each run of words of each document one without an item, and
+    for each window of an item that occurs in it, at the words s to e - 1 of the document, one with the item.
 
     One pass over the documents. The benchmark's fingerprints are broadcast if there are at most broadcast_rows
-    of them; otherwise both sides are shuffled by fingerprint and the words of documents that met are joined back.
+    of them; otherwise both sides are shuffled by fingerprint and the words of runs that met are joined back.
     """
-    fps, short = benchmark_fingerprints(bench, item_id, item_text)
+    fps, short = benchmark_fingerprints(bench, item_id, item_text, long_text, run_words)
     small = fps.limit(broadcast_rows + 1).count() <= broadcast_rows
-    base = docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("thash"), word_hashes(F.col(text)).alias("wh")
-    )
+    base = _runs(docs, doc_id, text, long_text, run_words)
+    # the first row of each run stands for itself; its key is outside the fingerprints' range and evenly dealt
+    mark = F.col("p") == -1
     prints = _fingerprints(base, short, "fp").select(
-        "doc_id", "thash", "wh", F.explode(F.concat(F.array(F.lit(-1).cast("long")), F.col("fp"))).alias("p")
-    )
-    # the first row of each document stands for itself; its key is outside the fingerprints' range and evenly dealt
-    own = F.col("p") == -1
-    prints = prints.withColumn(
-        "key", F.when(own, F.lit(1 << 40) + F.pmod(F.col("thash"), F.lit(1 << 20))).otherwise(_key(F.col("p")))
+        "doc_id", "thash", "c", "own", "wh", F.explode_outer(F.concat(F.array(F.lit(-1).cast("long")), F.col("fp"))).alias("p")
     )
+    key = F.when(mark, F.lit(1 << 60) + F.pmod(F.col("thash"), F.lit(1 << 20))).otherwise(_key(F.col("p")))
+    prints = prints.withColumn("key", key)
+    met_some = mark | F.col("item").isNotNull()
     if small:
-        met = prints.join(F.broadcast(fps), "key", "left").where(own | F.col("item").isNotNull())
+        met = prints.join(F.broadcast(fps), "key", "left").where(met_some)
     else:
-        met = prints.drop("wh").join(fps, "key", "left").where(own | F.col("item").isNotNull())
-        rows = base.dropDuplicates(["doc_id", "thash"]).select(
-            F.col("doc_id").alias("_d"), F.col("thash").alias("_t"), "wh"
-        )
-        met = met.join(
-            rows, same_rows([F.col("doc_id"), F.col("thash")], [F.col("_d"), F.col("_t")]), "inner"
-        ).drop("_d", "_t")
+        met = written(prints.drop("wh").join(fps, "key", "left").where(met_some), "met")
+        at = ["doc_id", "thash", "c"]
+        wanted = met.where(~mark).select(*[F.col(k).alias(f"_{k}") for k in at]).distinct()
+        same = same_rows([F.col(k) for k in at], [F.col(f"_{k}") for k in at])
+        rows = base.join(wanted, same).groupBy(*[f"_{k}" for k in at]).agg(F.first("wh").alias("wh"))
+        met = met.join(rows, same, "left").drop(*[f"_{k}" for k in at])
     met = met.withColumn("dpos", _pos(F.col("p"))).select(
         "doc_id",
         "thash",
-        F.when(own, F.size("wh")).alias("n"),
-        F.when(own, F.lit(None)).otherwise(F.col("item")).alias("item"),
-        F.when(~own, _equal_windows()).alias("spans"),
+        "c",
+        F.when(mark, F.col("own")).alias("own"),
+        F.when(~mark, F.col("item")).alias("item"),
+        F.when(~mark, _equal_windows()).alias("spans"),
     )
-    met = met.where(F.col("n").isNotNull() | (F.size("spans") > 0))
-    out = met.groupBy("doc_id", "thash").agg(
-        F.max("n").cast("long").alias("n_words"),
-        F.count("n").alias("_rows"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.collect_set("item")).alias("items"),
+    met = met.where(F.col("own").isNotNull() | (F.size("spans") > 0))
+    first = F.col("c").cast("long") * run_words
+    met = met.select("doc_id", "thash", "c", "own", "item", F.explode_outer("spans").alias("x"))
+    return written(met.select("doc_id", "thash", "c", "own", "item", (first + F.col("x.s")).alias("s"), (first + F.col("x.e")).alias("e")), "meetings")
+
+
+def contamination(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
+    """Per document row: doc_id, thash (the text's hash), n_words, n_hit (words inside occurring windows), items (those
+    whose windows occur, sorted) and spans, the longest stretches [s, e) of hit words. Arguments as those of meetings()."""
+    met = meetings(docs, bench, **kw)
+    by = ["doc_id", "thash"]
+    runs = F.sum("own").cast("long").alias("_words"), F.count(F.when(F.col("c") == 0, 1)).alias("_rows")
+    rows = met.where("own is not null").groupBy(*by).agg(*runs)
+    hits = met.where("item is not null")
+    # windows from one word on are combined before the shuffle; a document's are then read in order, never held
+    ends = hits.groupBy(*by, "s").agg(F.max("e").alias("e"))
+    before = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("reach", F.max("e").over(before))
+    begins = F.col("reach").isNull() | (F.col("s") > F.col("reach"))
+    upto = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("stretch", F.sum(begins.cast("int")).over(upto))
+    ends = ends.groupBy(*by, "stretch").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    spans = ends.groupBy(*by).agg(F.sum(F.col("e") - F.col("s")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    items = hits.select(*by, "item").distinct().groupBy(*by).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = spans.join(items.withColumnsRenamed({b: f"_{b}" for b in by}), same_rows([F.col(b) for b in by], [F.col(f"_{b}") for b in by]))
+    found = found.select(*[F.col(b).alias(f"_{b}") for b in by], "n_hit", "spans", "items")
+    out = rows.join(found, same_rows([F.col(b) for b in by], [F.col(f"_{b}") for b in by]), "left")
+    out = out.select(
+        *by,
+        F.expr("_words div _rows").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("spans", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("spans"),
+        "_rows",
     )
     return out.withColumn("_one", F.explode(F.array_repeat(F.lit(1), F.col("_rows").cast("int")))).drop("_one", "_rows")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
-    """contamination() with its figures: n_hit words inside occurring windows, n_items, contaminated."""
-    out = contamination(docs, bench, **kw).withColumn("n_hit", _covered(F.col("spans")))
-    return out.select(
+    """contamination() with n_items and contaminated: at least a word of twenty is hit."""
+    return contamination(docs, bench, **kw).select(
         "doc_id",
         "thash",
         "n_words",
