@@ -31,10 +31,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id. Of rows with an equal id and
-    text one stays; rows without an id stay unless they are linked to one with an id."""
+    """One document of each group of near duplicates stays, the one with the smallest id, or any one of a group without
+    ids. Of rows with an equal id and text one stays."""
     groups = minhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    kept = groups.where("kept").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
     kept = written(kept.withColumnsRenamed({"doc_id": "_d", "h": "_h"}), "kept")
     out = docs.select(*COLUMNS).withColumn("_t", F.xxhash64("text"))
     out = out.join(kept, same_rows([F.col("doc_id"), F.col("_t")], [F.col("_d"), F.col("_h")]))
