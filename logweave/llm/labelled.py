@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.common import written
+
 FOLDS = 5
-#: Documents of each label, chosen by a hash of the id, and the longest text that is learnt from.
+#: Documents of each label, chosen by a hash of the id. Their texts are read whole, by the executors.
 PER_LABEL = 3000
-LONGEST = 12_000
+#: Ids are first drawn by comparing their hash's last bits with a bound, for so many more than are wanted.
+HASHES, MORE, MARGIN = 1 << 30, 1.1, 200
 
 
 def held_out(doc_id: Column) -> Column:
@@ -23,17 +29,31 @@ def sample(
     doc_id: str = "doc_id",
     text: str = "text",
     per_label: int = PER_LABEL,
-    longest: int = LONGEST,
-) -> list[tuple[str, int]]:
-    """Distinct texts with their label (0 or 1), in a fixed order; never a document that is held out.
-
-    At most per_label labels of a kind leave a task, and texts above longest characters are passed over, so that what
-    reaches the driver is bounded by 2 * per_label * longest characters.
+) -> DataFrame:
+    """Stored rows (k, y, h, t): the whole texts of somewhat more than per_label documents of each label (0 or 1), their
+    hash h and a number k to order them by; never a document that is held out, nor an empty text. Of several texts
+    under one id the one with the least hash is taken. No window and no sort goes over a label.
     """
-    kept = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
-    kept = kept.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).withColumn("_k", F.xxhash64("_id"))
-    by_hash = Window.partitionBy("_y").orderBy("_k", "_id")
-    kept = kept.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_label)
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).where(F.length("t").between(1, longest))
-    found = texts.join(F.broadcast(kept.select("_id", "_y", "_k")), "_id").select("_k", "_id", "_y", "t").collect()
-    return list({r["t"]: r["_y"] for r in sorted(found, key=lambda r: (r["_k"], r["_id"], r["_y"], r["t"]))}.items())
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
+    known = known.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("y")).distinct()
+    drawn = F.lit(False)
+    for y, n in known.groupBy("y").count().collect():  # two rows
+        bound = HASHES if n <= per_label else int(min(1.0, (MORE * per_label + MARGIN) / n) * HASHES)
+        drawn = drawn | ((F.col("y") == y) & (F.pmod(F.xxhash64("_id"), F.lit(HASHES)) < bound))
+    known = known.where(drawn).select("_id", "y", F.xxhash64("_id").alias("k"))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).where(F.length("t") > 0)
+    found = texts.join(F.broadcast(known), "_id")  # twice per_label rows and a margin
+    return written(found.groupBy("_id", "y", "k").agg(F.min_by("t", "h").alias("t"), F.min("h").alias("h")).drop("_id"), "labelled")
+
+
+def chosen(rows: Iterable[dict[str, Any]], per_label: int = PER_LABEL) -> list[dict[str, Any]]:
+    """At most per_label rows of each label, the least by k, equal texts once (the last label counts), in a fixed order."""
+    by_text = {}
+    for r in sorted(rows, key=lambda r: (r["k"], r["y"], r["h"])):
+        by_text[r["h"]] = {**r, "k": by_text.get(r["h"], r)["k"]}
+    left, out = {0: per_label, 1: per_label}, []
+    for r in sorted(by_text.values(), key=lambda r: (r["k"], r["h"])):
+        if left[r["y"]] > 0:
+            left[r["y"]] -= 1
+            out.append(r)
+    return out

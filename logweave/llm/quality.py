@@ -3,7 +3,8 @@
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)): all pairwise interactions of
 the features at a cost linear in their number. The features are the text's distinct words, hashed into BUCKETS and
 scaled to unit length, and the standardised statistics of stats(). Neither labels nor language, source or id are read.
-It is fitted on the bounded sample of labelled.sample() by AdaGrad in a fixed order.
+It is fitted on the bounded sample of labelled.sample() by AdaGrad in a fixed order; executors read the sample's texts,
+whole, and the driver gets their features: at most BUCKETS numbers and the statistics of a text.
 
 Defined cases: null and empty texts score as a text without words; without labels of both kinds every score is the
 share of label 1 (0.5 without any); equal texts have equal scores.
@@ -11,16 +12,20 @@ share of label 1 (0.5 without any); equal texts have equal scores.
 
 from __future__ import annotations
 
-import re
+import operator
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.labelled import held_out, sample
+from logweave.llm.common import small_batches
+from logweave.llm.labelled import PER_LABEL, chosen, held_out, sample
 
 BUCKETS = 1 << 14
 RANK = 6
@@ -29,38 +34,58 @@ RATE = 0.08
 WEIGHT_DECAY = 2e-4
 THRESHOLD = 0.3
 MEMO_WORDS = 300_000
+#: Words whose weights are gathered at once, unless one text has more.
+AT_ONCE = 500_000
 
-_SYMBOL = re.compile(r"[^\w\s.,;:'’\"()?-]")
-_MARKED = re.compile(r"[^\w\s.,;:'’\"()?-]+(?=\s|$)")
-_LETTER = re.compile(r"[^\W\d_]")
-_DIGIT = re.compile(r"\d")
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_STOP = re.compile(r"[.?!](?=\s|$)")
 STATS = 14
+#: Kinds of characters, as bits. Plain marks are no symbols.
+LETTER, UPPER, DIGIT, SPACE, SYMBOL, STOP, PIPE, BANG = (1 << i for i in range(8))
+PLAIN_MARKS = frozenset("_.,;:'’\"()?-")
+
+
+@lru_cache(1)
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of every code point, and for every kind which of the bits it has."""
+    chars = np.arange(0x110000, dtype=np.uint32).view("<U1")
+    is_ = {name: getattr(np.char, name)(chars) for name in ("isalpha", "isalnum", "isdecimal", "isspace", "isupper")}
+    table = LETTER * is_["isalpha"] | DIGIT * is_["isdecimal"] | SPACE * is_["isspace"]
+    table[:0x100] |= UPPER * (is_["isalpha"] & is_["isupper"])[:0x100]
+    symbol = ~(is_["isalnum"] | is_["isspace"])
+    symbol[[ord(c) for c in PLAIN_MARKS]] = False
+    table |= SYMBOL * symbol
+    for bit, marks in ((STOP, ".?!"), (PIPE, "|"), (BANG, "!")):
+        table[[ord(c) for c in marks]] |= bit
+    return table.astype(np.uint8), (np.arange(256)[:, None] >> np.arange(8) & 1).astype(float)
 
 
 def stats(text: str, words: list[str]) -> list[float]:
     n, chars = len(words), len(text)
     if not n:
         return [1.0] + [0.0] * (STATS - 1)
+    table, bits = _kinds()
+    kind = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    letters, upper, digits, spaces, symbols, _, pipes, bangs = np.bincount(kind, minlength=256) @ bits
+    space = (kind & SPACE) != 0
+    ends = np.append(space[1:], True)
+    word_ends, begins = np.flatnonzero(~space & ends), ~space
+    begins[1:] &= space[:-1]
+    lengths = word_ends - np.flatnonzero(begins) + 1
     lines = text.count("\n") + 1
-    distinct = len(set(words))
-    letters = len(_LETTER.findall(text))
     return [
         0.0,
         np.log1p(n),
-        sum(map(len, words)) / n,
-        distinct / n,
-        sum(a == b for a, b in zip(words, words[1:])) / n,
-        len(_UPPER.findall(text)) / max(1, letters),
-        len(_SYMBOL.findall(text)) / n,
-        len(_MARKED.findall(text)) / n,
-        text.count("|") / n,
-        text.count("!") / n,
-        len(_DIGIT.findall(text)) / chars,
-        len(_STOP.findall(text)) / n,
+        (chars - spaces) / n,
+        len(set(words)) / n,
+        sum(map(operator.eq, words, islice(words, 1, None))) / n,
+        upper / max(1, letters),
+        symbols / n,
+        np.count_nonzero((kind & SYMBOL).astype(bool) & ends) / n,
+        pipes / n,
+        bangs / n,
+        digits / chars,
+        np.count_nonzero((kind & STOP).astype(bool) & ends) / n,
         np.log1p(n / lines),
-        sum(len(w) <= 3 for w in words) / n,
+        np.count_nonzero(lengths <= 3) / n,
     ]
 
 
@@ -78,17 +103,20 @@ class Featurizer:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word buckets, their number per text, statistics."""
-        at, sizes, rows, get = [], [], [], self.memo.get
+        at, sizes, rows = [np.zeros(0, np.int64)], [], []
         for text in texts:
             words = text.split()
-            found = set()
-            for w in set(words):
-                b = get(w)
-                found.add(self._bucket(w) if b is None else b)
-            at.append(np.fromiter(sorted(found), np.int64, len(found)))
-            sizes.append(len(found))
+            distinct = set(words)
+            for w in distinct.difference(self.memo):
+                self._bucket(w)
+            try:
+                found = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))
+            except KeyError:  # the memory was cleared meanwhile
+                found = np.array([self._bucket(w) for w in distinct], np.int64)
+            at.append(np.unique(found))
+            sizes.append(len(at[-1]))
             rows.append(stats(text, words))
-        return np.concatenate(at) if at else np.zeros(0, np.int64), np.array(sizes, np.int64), np.array(rows).reshape(-1, STATS)
+        return np.concatenate(at), np.array(sizes, np.int64), np.array(rows, float).reshape(-1, STATS)
 
 
 class FactorisationMachine:
@@ -98,25 +126,36 @@ class FactorisationMachine:
     def dense(self, rows: np.ndarray) -> np.ndarray:
         return np.clip((rows - self.mean) / self.scale, -6, 6) / 2
 
+    def _sums(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Per text, the sums over its words of w, v and v^2."""
+        table = np.column_stack([self.w[:BUCKETS], self.v[:BUCKETS], (self.v[:BUCKETS] ** 2).sum(axis=1)])
+        out, ends = np.zeros((len(sizes), table.shape[1])), np.concatenate([[0], np.cumsum(sizes)])
+        begin = 0
+        while begin < len(sizes):
+            to = max(begin + 1, int(np.searchsorted(ends, ends[begin] + AT_ONCE, "right")) - 1)
+            some = begin + np.flatnonzero(sizes[begin:to])
+            if len(some):
+                out[some] = np.add.reduceat(table[at[ends[begin] : ends[to]]], ends[some] - ends[begin], axis=0)
+            begin = to
+        return out
+
     def score(self, at: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Linear-time scores: sums of v x and v^2 x^2 per text."""
-        n, ends = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+        """Linear-time scores: sums of w x, v x and v^2 x^2 per text."""
         dense, x = self.dense(rows), 1 / np.sqrt(np.maximum(sizes, 1))
-        vd = self.v[BUCKETS:]
-        out = np.empty(n)
-        for i in range(n):
-            words = at[ends[i] : ends[i + 1]]
-            v, d = self.v[words], dense[i]
-            linear = self.w0 + self.w[words].sum() * x[i] + (self.w[BUCKETS:] * d).sum()
-            total = v.sum(axis=0) * x[i] + (vd * d[:, None]).sum(axis=0)
-            squares = (v * v).sum(axis=0) * x[i] ** 2 + (vd * vd * (d * d)[:, None]).sum(axis=0)
-            out[i] = linear + 0.5 * (total * total - squares).sum()
+        sums, vd = self._sums(at, sizes), self.v[BUCKETS:]
+        linear = self.w0 + sums[:, 0] * x + (self.w[BUCKETS:] * dense).sum(axis=1)
+        total = sums[:, 1:-1] * x[:, None] + (dense[:, :, None] * vd).sum(axis=1)
+        squares = sums[:, -1] * x**2 + (dense * dense * (vd * vd).sum(axis=1)).sum(axis=1)
+        out = linear + 0.5 * ((total * total).sum(axis=1) - squares)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> FactorisationMachine:
-    y = np.array([r[1] for r in rows], float)
-    at, sizes, dense = Featurizer()([r[0] for r in rows])
+    """Fits on texts and their labels."""
+    return fit_features(*Featurizer()([r[0] for r in rows]), np.array([r[1] for r in rows], float), epochs)
+
+
+def fit_features(at: np.ndarray, sizes: np.ndarray, dense: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> FactorisationMachine:
     rng = np.random.default_rng(7)
     w, v = np.zeros(BUCKETS + STATS), rng.normal(0, 0.05, (BUCKETS + STATS, RANK))
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
@@ -149,8 +188,24 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> FactorisationMachi
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
-    return fit(sample(docs, labels, "quality"))
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> FactorisationMachine:
+    def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Featurizer()
+        for batch in batches:
+            at, sizes, rows = read(batch.column("t").to_pylist())
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            words = pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32)))
+            dense = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * STATS), pa.array(rows.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in "kyh"], words, dense], names=["k", "y", "h", "words", "dense"])
+
+    with small_batches(docs.sparkSession):
+        texts = sample(docs, labels, "quality", per_label=per_label)
+        got = texts.mapInArrow(featurize, "k long, y int, h long, words array<int>, dense array<double>").toArrow()
+    keys = [{"k": k, "y": y, "h": h, "i": i} for i, (k, y, h) in enumerate(zip(*[got[c].to_pylist() for c in "kyh"], strict=True))]
+    rows = chosen(keys, per_label)
+    words, dense = (got[c].take(pa.array([r["i"] for r in rows], pa.int64())).combine_chunks() for c in ("words", "dense"))
+    sizes = np.asarray(words.value_lengths()).astype(np.int64)
+    return fit_features(np.asarray(words.flatten()).astype(np.int64), sizes, np.asarray(dense.flatten()).reshape(-1, STATS), np.array([r["y"] for r in rows], float))
 
 
 def score_quality(docs: DataFrame, model: FactorisationMachine, *, text: str = "text") -> DataFrame:

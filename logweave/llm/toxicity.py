@@ -1,14 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are read as symbols: insult, threat, target (a person addressed), negation, reported speech, quote marks,
-other. Four small transducers over these symbols are composed into one machine, built once: the target transducer
-raises an attack near a person, the negation transducer lowers one within NEAR words after a negation, the
-reported-speech transducer lowers what follows a verb of saying or stands in quotes, and the attack transducer emits
-the word's weight. A clause's score is the sum over its path, so that a word counts by the clause it is in.
+Words are read as symbols: insult, threat, target (a person spoken of or to), link (a form of "to be", an article or an
+intensifier), negation, reported speech, quote marks, other. Transducers over these symbols are composed into one
+machine. Two match and emit: the insult transducer emits an insult's weight, more where insults follow each other, and
+the threat transducer emits where a verb of harm and a person meet within NEAR words, in either order. The others weigh
+what is emitted: the target transducer raises an insult near a person, most if a link stands between, the negation
+transducer lowers what comes within NEAR words after a negation, the reported-speech transducers lower what follows a
+verb of saying or stands in quotes. A clause's score is the sum over its path. A verb of harm without a person emits
+nothing; an insult is the shortest clause that matches, with its plain weight.
 
 The words come from short lists (seeds) and from the labels: units (words and word beginnings of 3 to 8 letters)
 that occur in many toxic and hardly any other learnt text, with their log-odds as weight. Half of the learnt texts
-choose the units, the other half fits a logistic curve from clause scores to probability.
+choose the units, the other half fits a logistic curve from clause scores to probability. Executors read the learnt
+texts, whole; the driver gets their distinct words, and of the second half the clause scores.
 Neither labels nor language, source or id are read when scoring.
 
 Defined cases: null, empty and word-less texts have no clause and get the curve's value at zero; without labels the
@@ -21,19 +25,22 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.labelled import held_out, sample
+from logweave.llm.common import small_batches
+from logweave.llm.labelled import PER_LABEL, chosen, held_out, sample
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
+SYMBOLS = INSULT, THREAT, TARGET, LINK, NEGATION, REPORT, QUOTE, OTHER = range(8)
 NEAR = 3
 SHORTEST, LONGEST = 3, 8
-SEED_WEIGHT, MOST_WEIGHT, LEAST_ODDS = 4.0, 7.0, 2.5
+SEED_WEIGHT, THREAT_WEIGHT, MOST_WEIGHT, LEAST_ODDS = 4.0, 4.0, 7.0, 2.5
 MEMO_WORDS = 400_000
 
 #: Words of the four languages in the corpus that the symbols stand for.
@@ -44,6 +51,8 @@ SEEDS = {
     THREAT: "kill murder destroy hurt beat burn matar destruir tuer détruire töten vernichten",
     TARGET: "you your yours yourself he she they them his her their tu te toi vous votre ils elles du dich dein deine "
     "ihr euch sie tú ti usted ustedes vosotros ellos ellas",
+    LINK: "are is was were am be being such a an the so very really ist bist sind bin ein eine so sehr es est êtes sont "
+    "un une si très eres son soy muy tan",
     NEGATION: "not no never nobody nor without isn't aren't don't won't nicht kein keine nie niemals ohne pas jamais ni "
     "sans nunca jamás sin",
     REPORT: "said says say told called wrote claimed reported quoted allegedly sagte sagt nannte schrieb berichtete dit "
@@ -55,41 +64,84 @@ _QUOTES = frozenset("\"“”«»")
 
 
 class Transducer:
-    """states x symbols -> (state, weight factor), over the classes above."""
+    """(state, symbol) -> (state, own, bonus, scale), from state 0: what is emitted is (own * weight of the word + bonus) * scale."""
 
-    def __init__(self, step: dict[tuple[int, int], tuple[int, float]], states: int) -> None:
-        self.step, self.states = step, states
+    def __init__(self, step: Callable[[int, int], tuple[int, float, float, float]], states: int) -> None:
+        self.step = [[step(s, x) for x in SYMBOLS] for s in range(states)]
 
     def __mul__(self, other: Transducer) -> Transducer:
-        """Composition: both read the same symbols, weights multiply."""
-        step = {}
-        for (a, x), (a2, f) in self.step.items():
-            for b in range(other.states):
-                b2, g = other.step[b, x]
-                step[a * other.states + b, x] = (a2 * other.states + b2, f * g)
-        return Transducer(step, self.states * other.states)
+        """Composition: both read the same symbols; own weights and scales multiply, bonuses add up. Only the pairs of
+        states that can be reached are kept."""
+        number, queue, rows = {(0, 0): 0}, [(0, 0)], []
+        for a, b in queue:
+            row = []
+            for x in SYMBOLS:
+                a2, own, bonus, scale = self.step[a][x]
+                b2, own2, bonus2, scale2 = other.step[b][x]
+                if (a2, b2) not in number:
+                    number[a2, b2] = len(queue)
+                    queue.append((a2, b2))
+                row.append((number[a2, b2], own * own2, bonus + bonus2, scale * scale2))
+            rows.append(row)
+        return Transducer(lambda s, x: rows[s][x], len(rows))
 
 
-def _after(marks: set[int], attacks: dict[int, float], last: int) -> Transducer:
-    """For last symbols after a mark, attacks are weighed by the given factors."""
-    step = {}
-    for s in range(last + 1):
-        for x in range(7):
-            near = s > 0 and x in attacks
-            step[s, x] = (last if x in marks else max(0, s - 1), attacks[x] if near else 1.0)
-    return Transducer(step, last + 1)
+#: What an insult's weight is multiplied by close behind another one, near a person, and linked to a person.
+REPEATED, ADDRESSED, PREDICATED = 1.2, 1.25, 1.5
+#: Parts of THREAT_WEIGHT: verb before person, person before verb.
+DIRECT, INVERTED = 1.0, 0.5
 
 
-def _inside_quotes(factor: float) -> Transducer:
-    step = {(s, x): (1 - s if x == QUOTE else s, factor if s and x in (INSULT, THREAT) else 1.0) for s in (0, 1) for x in range(7)}
-    return Transducer(step, 2)
+def insults() -> Transducer:
+    """States: words left in which a further insult counts as repeated."""
+    return Transducer(lambda s, x: (NEAR if x == INSULT else max(0, s - 1), REPEATED if x == INSULT and s else 1.0, 0.0, 1.0), NEAR + 1)
 
 
+def threats() -> Transducer:
+    """States 1 .. NEAR: words left in which a verb completes a person; from there on: in which a person completes a verb."""
+
+    def step(s: int, x: int) -> tuple[int, float, float, float]:
+        person, verb = 0 < s <= NEAR, s > NEAR
+        if x == THREAT:
+            return 2 * NEAR, 1.0, INVERTED * THREAT_WEIGHT if person else 0.0, 1.0
+        if x == TARGET:
+            return NEAR, 1.0, DIRECT * THREAT_WEIGHT if verb else 0.0, 1.0
+        return (0 if s in (0, NEAR + 1) else s - 1), 1.0, 0.0, 1.0
+
+    return Transducer(step, 2 * NEAR + 1)
+
+
+def targets() -> Transducer:
+    """States 1 .. NEAR: words left near a person; from there on: with a link behind the person."""
+
+    def step(s: int, x: int) -> tuple[int, float, float, float]:
+        scale = 1.0 if not s or x != INSULT else PREDICATED if s > NEAR else ADDRESSED
+        if x == TARGET:
+            return NEAR, 1.0, 0.0, 1.0
+        left = (s - 1) % NEAR  # what a word leaves of the distance
+        linked = s > NEAR or (x == LINK and s > 0)
+        return (0 if not s or not left else left + NEAR * linked), 1.0, 0.0, scale
+
+    return Transducer(step, 2 * NEAR + 1)
+
+
+def after(marks: set[int], insult: float, threat: float, last: int) -> Transducer:
+    """For last words after a mark, insults and threats (emitted by verbs and persons) are weighed by the factors."""
+    factor = {INSULT: insult, THREAT: threat, TARGET: threat}
+    return Transducer(lambda s, x: (last if x in marks else max(0, s - 1), 1.0, 0.0, factor.get(x, 1.0) if s else 1.0), last + 1)
+
+
+def inside_quotes(factor: float) -> Transducer:
+    return Transducer(lambda s, x: (1 - s if x == QUOTE else s, 1.0, 0.0, factor if s else 1.0), 2)
+
+
+NEGATED, REPORTED, QUOTED = (0.5, 0.3), (0.6, 0.4), 0.7
+
+
+@lru_cache(1)
 def grammar() -> Transducer:
-    target = _after({TARGET}, {INSULT: 1.25, THREAT: 1.5}, NEAR)
-    negation = _after({NEGATION}, {INSULT: 0.5, THREAT: 0.3}, NEAR)
-    report = _after({REPORT}, {INSULT: 0.6, THREAT: 0.4}, 2 * NEAR)
-    return target * negation * report * _inside_quotes(0.7)
+    negations, reports = after({NEGATION}, *NEGATED, NEAR), after({REPORT}, *REPORTED, 2 * NEAR)
+    return insults() * threats() * targets() * negations * reports * inside_quotes(QUOTED)
 
 
 def _units(words: set[str]) -> set[str]:
@@ -150,18 +202,16 @@ class Model:
     def __init__(self, units: dict[str, float], curve: tuple[float, ...] = (-3.0, 0.6, 0.8, 0.0, 0.0)) -> None:
         self.units, self.curve = units, curve
         self.seeds = {w: c for c, ws in SEEDS.items() for w in ws.split()}
-        machine = grammar()
-        self.step = [[machine.step[s, x] for x in range(7)] for s in range(machine.states)]
 
     def symbol(self, word: str) -> tuple[int, float]:
-        """The word's class and, for attacks, its weight."""
+        """The word's class and, for attacks, its weight. A verb of harm has one only if it was learnt."""
         if word in _QUOTES:
             return QUOTE, 0.0
         weight = max([self.units.get(f"{word}$", 0.0), *(self.units.get(word[:k], 0.0) for k in range(SHORTEST, min(LONGEST, len(word)) + 1))])
         seed = self.seeds.get(word, OTHER)
         if weight and seed in (INSULT, THREAT, OTHER):
             return (seed if seed == THREAT else INSULT), weight
-        return seed, SEED_WEIGHT if seed == INSULT else SEED_WEIGHT / 4 if seed == THREAT else 0.0
+        return seed, SEED_WEIGHT if seed == INSULT else 0.0
 
     def clauses(self, text: str, memo: dict[str, tuple[int, float]] | None = None) -> list[tuple[int, float]]:
         """Clause number and score of the clauses with an attack."""
@@ -176,19 +226,19 @@ class Model:
                 if len(memo) >= MEMO_WORDS:
                     memo.clear()
                 x = memo[t] = self.symbol(t)
-            attack = attack or x[1] > 0
+            attack = attack or x[1] > 0 or x[0] == THREAT
             symbols.append(x)
         if not attack:
             return []
-        out, state, score, n = [], 0, 0.0, 0
+        out, state, score, n, step = [], 0, 0.0, 0, grammar().step
         for x in [*symbols, None]:
             if x is None:
                 if score:
                     out.append((n, score))
                 state, score, n = 0, 0.0, n + 1
             else:
-                state, factor = self.step[state][x[0]]
-                score += x[1] * factor
+                state, own, bonus, scale = step[state][x[0]]
+                score += (x[1] * own + bonus) * scale
         return out
 
     def evidence(self, text: str, memo=None) -> tuple[float, ...]:
@@ -215,21 +265,43 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    if len({y for _, y in rows}) < 2:
+Words = tuple[set[str], int]
+
+
+def _model(first: list[Words], both: list[Words], rest: Callable[[Model], tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Units of the first half, a curve on the evidence of the rest, in the end the units of both halves."""
+    if len({y for _, y in both}) < 2:
         return Model({})
-    half = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2 for t, _ in rows]
-    words = [(_words(t), y) for t, y in rows]
-    first = Model(choose_units([w for w, h in zip(words, half, strict=True) if h]))
-    rest = [r for r, h in zip(rows, half, strict=True) if not h]
-    curve = first.curve
-    if len({y for _, y in rest}) == 2:
-        curve = _fit_curve(np.array([first.evidence(t) for t, _ in rest]), np.array([float(y) for _, y in rest]))
-    return Model(choose_units(words) | first.units, curve)
-
-
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(sample(docs, labels, "toxic"))
+    model = Model(choose_units(first))
+    x, y = rest(model)
+    curve = _fit_curve(x, y) if len(set(y)) == 2 else model.curve
+    return Model(choose_units(both) | model.units, curve)
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([sorted(_words(t)) for t in batch.column("t").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in "kyh"], found], names=["k", "y", "h", "words"])
+
+    def evidence(model: Model) -> tuple[np.ndarray, np.ndarray]:
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # units are bounded by the sample
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [list(shared.value.evidence(t)) for t in batch.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(found, pa.list_(pa.float64()))], names=["h", "x"])
+
+        by_text = {r["h"]: r["x"] for r in texts.where("h % 2 = 0").mapInArrow(scored, "h long, x array<double>").collect()}
+        rest = [r for r in rows if r["h"] % 2 == 0]
+        return np.array([by_text[r["h"]] for r in rest]), np.array([float(r["y"]) for r in rest])
+
+    with small_batches(docs.sparkSession):
+        texts = sample(docs, labels, "toxic", per_label=per_label)
+        got = texts.mapInArrow(words, "k long, y int, h long, words array<string>").collect()
+        rows = [r | {"words": set(r["words"])} for r in chosen((r.asDict() for r in got), per_label)]
+        first = [(r["words"], r["y"]) for r in rows if r["h"] % 2]
+        return _model(first, [(r["words"], r["y"]) for r in rows], evidence)
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
