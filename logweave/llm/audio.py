@@ -1,13 +1,15 @@
 """Media columns: audio features of 8-bit sound kept in the rows.
 
 media_table() stores payloads as WAV, 8-bit mono at RATE. features() reads the stored bytes back and computes, per
-sound, log-mel frames of overlapped windows after polyphase resampling to HALF_RATE, in fixed-shape tensors of
+sound, log-mel frames of overlapped windows after polyphase resampling to RESAMPLED, in fixed-shape tensors of
 FRAMES x MELS values with the time span each covers, and the segments in which the energy, with hysteresis, is up.
-All sounds are computed in blocks of the same shape, and features are rounded to whole steps of 1/STEP, so that equal
-sounds have equal features whatever batch they are in.
+Tensors are rows of a stored table; as_tensors() reads them as Arrow tensors, and digest() sums the rows of each sound
+up. A sound is computed on its own, and features are rounded to whole steps of 1/STEP, so that equal sounds have equal
+features whatever batch they are in.
 
 Defined cases: a null text is an empty one, and an empty payload is padded to 64 bytes like any other; the last tensor
-is filled up with frames of silence; a null media value has no tensors and no segments.
+is filled up with frames of silence; a null media value has no tensors and no segments; repeated rows get a result row
+each; ids are of any type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +20,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import written
+from logweave.llm.common import small_batches, written
 
-RATE, UP, DOWN = 8000, 1, 2
-HALF_RATE = RATE * UP // DOWN
+RATE, UP, DOWN = 8000, 3, 4
+RESAMPLED = RATE * UP // DOWN
 TAPS = 16
 WINDOW, HOP = 256, 128
 FRAMES, MELS = 64, 16
@@ -56,43 +57,33 @@ def samples(media: bytes) -> bytes:
     raise ValueError("a WAV without data")
 
 
-def _filter() -> np.ndarray:
-    """A windowed sinc at the lower of both rates, TAPS for each of the UP phases."""
-    n = TAPS * max(UP, DOWN)
+def low_pass(up: int = UP, down: int = DOWN) -> np.ndarray:
+    """A windowed sinc at the lower of both rates, TAPS for each of its periods, a whole number for each of the phases."""
+    n = -(-TAPS * max(up, down) // up) * up
     t = np.arange(n) - (n - 1) / 2
-    h = np.sinc(t / max(UP, DOWN)) * np.hanning(n + 2)[1:-1]
-    return h / h.sum() * UP
+    h = np.sinc(t / max(up, down)) * np.hanning(n + 2)[1:-1]
+    return h / h.sum() * up
 
 
-def resample(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Polyphase resampling by UP / DOWN: each output is one phase of the filter over the samples it meets."""
-    out = -(-len(x) * UP // DOWN)
+def resample(x: np.ndarray, h: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
+    """Polyphase resampling by up / down: output m is the phase m * down % up of the filter over the samples up to
+    m * down // up. Outputs of one phase read samples at a regular distance; none between is computed."""
+    out, taps = -(-len(x) * up // down), len(h) // up
     y = np.zeros(out)
-    padded = np.concatenate([np.zeros(len(h)), x, np.zeros(len(h))])
-    for phase in range(UP):
-        taps = h[phase::UP]
-        for branch in range(DOWN):  # samples of one remainder, filtered at the low rate
-            part = taps[branch::DOWN]
-            # output m = phase + UP * k reads samples at (m * DOWN) // UP - branch - DOWN * j
-            k = np.arange(phase, out, UP)
-            if not len(k):
-                continue
-            first = len(h) + (k[0] * DOWN) // UP - branch
-            rows = padded[first % DOWN :: DOWN] if UP == 1 else padded
-            if UP == 1:
-                conv = np.convolve(rows, part)
-                y += conv[first // DOWN : first // DOWN + out]
-            else:
-                places = len(h) + (k * DOWN) // UP - branch
-                y[k] += sum(c * padded[places - DOWN * j] for j, c in enumerate(part))
+    padded = np.concatenate([np.zeros(taps - 1), x, np.zeros(1)])
+    seen = np.lib.stride_tricks.sliding_window_view(padded, taps)  # row i ends with sample i
+    for first in range(min(up, out)):  # outputs first, first + up, ... have one phase, and are down samples apart
+        phase, at = first * down % up, first * down // up
+        count = len(range(first, out, up))
+        y[first::up] = seen[at : at + (count - 1) * down + 1 : down] @ h[phase::up][::-1]
     return y
 
 
 def mel_bank() -> np.ndarray:
     """Triangles on the mel scale, (WINDOW // 2 + 1) x MELS."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
-    edges = 700 * (10 ** (np.linspace(mel(60.0), mel(HALF_RATE / 2), MELS + 2) / 2595) - 1)
-    f = np.linspace(0, HALF_RATE / 2, WINDOW // 2 + 1)[:, None]
+    edges = 700 * (10 ** (np.linspace(mel(60.0), mel(RESAMPLED / 2), MELS + 2) / 2595) - 1)
+    f = np.linspace(0, RESAMPLED / 2, WINDOW // 2 + 1)[:, None]
     up = (f - edges[:-2]) / (edges[1:-1] - edges[:-2])
     down = (edges[2:] - f) / (edges[2:] - edges[1:-1])
     return np.maximum(0, np.minimum(up, down))
@@ -100,7 +91,7 @@ def mel_bank() -> np.ndarray:
 
 class Analyser:
     def __init__(self) -> None:
-        self.h, self.bank, self.window = _filter(), mel_bank(), np.hanning(WINDOW)
+        self.h, self.bank, self.window = low_pass(), mel_bank(), np.hanning(WINDOW)
 
     def frames(self, payload: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Tensors (n, FRAMES, MELS) of int16 steps, and the energies in dB of the frames that are sound."""
@@ -110,15 +101,14 @@ class Analyser:
         blocks = -(-count // FRAMES)
         y = np.concatenate([y, np.zeros((blocks * FRAMES - 1) * HOP + WINDOW - len(y))])
         cut = np.lib.stride_tricks.sliding_window_view(y, WINDOW)[::HOP]
-        out = np.empty((blocks, FRAMES, MELS), np.int16)
-        energy = np.empty(blocks * FRAMES)
-        for b in range(blocks):
-            part = cut[b * FRAMES : (b + 1) * FRAMES] * self.window
-            power = np.abs(np.fft.rfft(part, axis=1)) ** 2
-            out[b] = np.rint(np.log10(np.maximum(power @ self.bank, 10**SILENCE)) * STEP)
-            energy[b * FRAMES : (b + 1) * FRAMES] = np.rint(100 * np.log10(np.maximum(power.sum(axis=1), 10**SILENCE))) / 10
-        out.reshape(-1, MELS)[count:] = round(SILENCE * STEP)
-        return out, energy[:count]
+        out = np.full((blocks * FRAMES, MELS), round(SILENCE * STEP), np.int16)
+        energy = np.empty(count)
+        for at in range(0, count, FRAMES):
+            to = min(at + FRAMES, count)
+            power = np.abs(np.fft.rfft(cut[at:to] * self.window, axis=1)) ** 2
+            out[at:to] = np.rint(np.log10(np.maximum(power @ self.bank, 10**SILENCE)) * STEP)
+            energy[at:to] = np.rint(100 * np.log10(np.maximum(power.sum(axis=1), 10**SILENCE))) / 10
+        return out.reshape(blocks, FRAMES, MELS), energy
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -137,7 +127,7 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _ms(frame: int) -> int:
-    return frame * HOP * 1000 // HALF_RATE
+    return frame * HOP * 1000 // RESAMPLED
 
 
 def as_tensors(column: pa.ChunkedArray | pa.Array) -> pa.Array:
@@ -151,71 +141,108 @@ def as_tensors(column: pa.ChunkedArray | pa.Array) -> pa.Array:
 def media_table(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, media): texts as UTF-8, padded with zero bytes to a positive multiple of PAD, as WAV."""
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("raw").to_pylist()
             media = [wav(b + bytes(max(PAD, -(-len(b) // PAD) * PAD) - len(b))) for b in raw]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len(b) for b in raw], "media": media})
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(store, "doc_id long, n_bytes long, media binary")
+            columns = [batch.column("doc_id"), pa.array([len(b) for b in raw], pa.int64()), pa.array(media, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "media"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(store, f"doc_id {id_type}, n_bytes long, media binary")
+
+
+#: Columns of features() beside those of the media table: SPANS begin in the tensor's span; SOUND, what is known of the
+#: whole sound, is on the row of its first tensor.
+SPANS = "array<struct<from_ms: bigint, to_ms: bigint>>"
+SOUND = (
+    "struct<media_bytes: bigint, payload_bytes: bigint, payload_sha256: string, tail_crc32: bigint, frames: bigint, median_db: double>"
+)
+COLUMNS = {
+    "media_sha256": "string",
+    "chunk": "bigint",
+    "from_ms": "bigint",
+    "to_ms": "bigint",
+    "segments": SPANS,
+    "sound": SOUND,
+    "log_mel": "array<float>",
+}
+
+
+def _types() -> dict[str, pa.DataType]:
+    spans = pa.list_(pa.struct([("from_ms", pa.int64()), ("to_ms", pa.int64())]))
+    texts = {"payload_sha256": pa.string(), "median_db": pa.float64()}
+    names = ("media_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "frames", "median_db")
+    sound = pa.struct([(c, texts.get(c, pa.int64())) for c in names])
+    return {"media_sha256": pa.string(), "chunk": pa.int64(), "from_ms": pa.int64(), "to_ms": pa.int64(), "segments": spans, "sound": sound}
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Rows (doc_id, chunk, from_ms, to_ms, log_mel, segments): log_mel has FRAMES * MELS values, see as_tensors();
-    segments (from_ms, to_ms) that begin in the chunk."""
-
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        analyser = Analyser()
-        for pdf in batches:
-            rows = []
-            for d, m in zip(pdf["doc_id"], pdf["media"], strict=True):
-                if not isinstance(m, (bytes, bytearray)):
+    """One row for each tensor of the sounds in column media: the other columns, which must not be named like these, and
+    COLUMNS. log_mel has FRAMES * MELS values, see as_tensors()."""
+    own = [c for c in media.columns if c != "media"]
+    kinds = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in own)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyser, types = Analyser(), _types()
+        for batch in batches:
+            row, tensors, found = [], [np.zeros(0, np.int16)], {c: [] for c in types}
+            for k, m in enumerate(batch.column("media").to_pylist()):
+                if m is None:
                     continue
-                tensors, energy = analyser.frames(samples(m))
-                found = segments(energy)
-                for c, tensor in enumerate(tensors):
-                    last = min((c + 1) * FRAMES, len(energy))
-                    here = [{"from_ms": _ms(a), "to_ms": _ms(b)} for a, b in found if c * FRAMES <= a < (c + 1) * FRAMES]
-                    rows.append((d, c, _ms(c * FRAMES), _ms(last), (tensor.reshape(-1) / STEP).astype(np.float32), here))
-            out = pd.DataFrame(rows, columns=["doc_id", "chunk", "from_ms", "to_ms", "log_mel", "segments"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return media.select("doc_id", "media").mapInPandas(
-        compute,
-        "doc_id long, chunk int, from_ms long, to_ms long, log_mel array<float>, segments array<struct<from_ms: long, to_ms: long>>",
+                payload, sha = samples(m), hashlib.sha256(m).hexdigest()
+                steps, energy = analyser.frames(payload)
+                up = segments(energy)
+                sound = (len(m), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(energy), float(np.median(energy)))
+                sound = dict(zip((f.name for f in types["sound"]), sound, strict=True))
+                for c in range(len(steps)):
+                    begin, end = c * FRAMES, min((c + 1) * FRAMES, len(energy))
+                    here = [{"from_ms": _ms(a), "to_ms": _ms(b)} for a, b in up if begin <= a < end]
+                    values = (sha, c, _ms(begin), _ms(end), here, None if c else sound)
+                    for name, value in zip(types, values, strict=True):
+                        found[name].append(value)
+                row += [k] * len(steps)
+                tensors.append(steps.reshape(-1))
+            log_mel = pa.array(np.concatenate(tensors).astype(np.float32) / STEP)
+            log_mel = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * FRAMES * MELS), log_mel)
+            same = [batch.column(c).take(pa.array(row, pa.int64())) for c in own]
+            made = [pa.array(found[c], t) for c, t in types.items()]
+            yield pa.RecordBatch.from_arrays([*same, *made, log_mel], names=[*own, *COLUMNS])
+
+    added = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
+    return media.select(*own, "media").mapInArrow(compute, f"{kinds}, {added}")
+
+
+def digest(stored: DataFrame) -> DataFrame:
+    """One row for each sound of a stored table of features(): its other columns, media_sha256, sound and feature, a
+    string that sums the tensors and segments up. Tensors are hashed where they are read."""
+    by = [c for c in stored.columns if c not in COLUMNS] + ["media_sha256"]
+    length = F.aggregate("segments", F.lit(0).cast("long"), lambda n, x: n + x["to_ms"] - x["from_ms"])
+    chunk = F.struct("chunk", F.hex(F.xxhash64("log_mel")).alias("hash"), F.size("segments").alias("n"), length.alias("ms"), "to_ms")
+    out = stored.select(*by, "sound", chunk.alias("_c")).groupBy(*by).agg(
+        F.array_sort(F.collect_set("_c")).alias("_all"), F.max("sound").alias("sound"), F.count("sound").alias("_rows")
     )
-
-
-def digest(media: DataFrame) -> DataFrame:
-    """One row per sound: the payload read back, the stored form, and a string that sums up its features."""
-
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        analyser = Analyser()
-        for pdf in batches:
-            rows = []
-            for d, n, m in zip(pdf["doc_id"], pdf["n_bytes"], pdf["media"], strict=True):
-                m = bytes(m)
-                payload = samples(m)
-                tensors, energy = analyser.frames(payload)
-                found = segments(energy)
-                feature = (
-                    f"frames={len(energy)};tensors={len(tensors)}x{FRAMES}x{MELS};ms={_ms(len(energy))};segments={len(found)};"
-                    f"voiced_ms={sum(_ms(b - a) for a, b in found)};db={float(np.median(energy)):.1f};"
-                    f"log_mel={hashlib.sha256(tensors.tobytes()).hexdigest()[:32]}"
-                )
-                rows.append((d, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            yield pd.DataFrame(
-                rows,
-                columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            ).astype({"doc_id": "Int64"})
-
-    return media.mapInPandas(
-        compute,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string",
+    total = lambda field: F.aggregate("_all", F.lit(0).cast("long"), lambda n, x: n + x[field])
+    hashes = F.array_join(F.transform("_all", lambda x: x["hash"]), ",")
+    feature = F.format_string(
+        f"frames=%d;tensors=%dx{FRAMES}x{MELS};ms=%d;segments=%d;voiced_ms=%d;db=%.1f;log_mel=%s",
+        "sound.frames",
+        F.size("_all"),
+        F.array_max(F.transform("_all", lambda x: x["to_ms"])),
+        total("n"),
+        total("ms"),
+        "sound.median_db",
+        F.substring(F.sha2(hashes, 256), 1, 32),
     )
+    repeated = F.explode(F.array_repeat(F.lit(1), F.col("_rows").cast("int")))
+    return out.select(*by, "sound", feature.alias("feature"), repeated.alias("_one")).drop("_one")
 
 
 def op7_audio(docs: DataFrame) -> DataFrame:
-    return digest(written(media_table(docs), "media"))
+    with small_batches(docs.sparkSession):
+        media = written(media_table(docs), "media")
+        tensors = written(features(media), "tensors")
+    return digest(tensors).select(
+        "doc_id", "n_bytes", "sound.payload_bytes", "sound.payload_sha256", "sound.tail_crc32", "sound.media_bytes", "media_sha256", "feature"
+    )

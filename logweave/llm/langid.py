@@ -7,11 +7,13 @@ Texts are read as lower-case letters with one blank for anything between them, i
 are parsed side by side (a block ends a phrase, the same for all languages). Every letter that was learnt is a symbol;
 the transitions by the DENSE most frequent ones are a table, those by the others are sorted and searched.
 
-Learning is bounded: DOCS_PER_LANG documents of each language, chosen by a hash of the id, with at most
-CHARS_PER_DOC characters each. Prediction reads whole texts and nothing but the text.
+Learning is bounded: PASSAGES of PASSAGE_CHARS characters of each language, drawn by a hash from all passages that whole
+texts fall into, so that any part of any document may be learnt; the model grows with the number of languages, by
+about 16 MB each. Prediction reads whole texts and nothing but the text.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0, as is everything if no language can be
-learnt; letters that a language never learnt are phrases of their own; equal texts are learnt once; repeated rows get equal results; null ids are held in.
+learnt; letters that a language never learnt are phrases of their own; equal passages are learnt once; repeated rows
+get equal results; null ids are held in; ids are of any type.
 """
 
 from __future__ import annotations
@@ -21,16 +23,20 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DOCS_PER_LANG = 48
-CHARS_PER_DOC = 800
+from logweave.llm.common import written
+
+PASSAGES = 48
+PASSAGE_CHARS = 800
+#: So many times the wanted passages are drawn at first, by the last bits of their hash.
+DRAWN, HASHES = 8, 1 << 40
 DENSE = 48
 BLOCK = 1024
 #: Symbols that are parsed side by side.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
 SHARPNESS = 12.0
 
 
@@ -210,46 +216,60 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def passages(rows: DataFrame, wanted: int, chars: int) -> DataFrame:
+    """Stored rows (lang, n, p): of the passages of chars characters of all texts t, wanted different ones of each
+    language, those of the least hash. Passages are drawn by a bound on their hash before they are dealt by language, so
+    that no task gets a language; where copies leave too few, the bound is raised until there are enough."""
+    total = rows.groupBy("lang").agg(F.sum(F.ceil(F.length("t") / chars)).alias("n"))
+    bounds = written(total.withColumn("bound", F.least(F.lit(HASHES), F.ceil(DRAWN * wanted * F.lit(float(HASHES)) / F.col("n")))), "lang-bounds")
+    every = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{chars}}}+"), F.lit(0))
+    while True:
+        each = rows.join(F.broadcast(bounds.select("lang", "bound")), "lang")
+        some = F.filter(every, lambda p: F.pmod(F.xxhash64(p), F.lit(HASHES)) < F.col("bound"))
+        each = each.select("lang", F.explode_outer(some).alias("p")).where("p is not null").distinct()
+        drawn = written(each, "passages")
+        counts = drawn.groupBy(F.col("lang").alias("_l")).agg(F.count(F.lit(1)).alias("c"))
+        few = (F.col("bound") < HASHES) & (F.coalesce("c", F.lit(0)) < wanted)
+        met = bounds.join(counts, F.col("lang") == F.col("_l"), "left")
+        if not met.where(few).limit(1).count():
+            break
+        raised = F.when(few, F.least(F.lit(HASHES), F.col("bound") * 16)).otherwise(F.col("bound"))
+        bounds = written(met.select("lang", "n", raised.alias("bound")), "lang-bounds")
+    first = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("p"), F.lit(HASHES)), "p")
+    return drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= wanted)
+
+
 def learn(
     docs: DataFrame,
     *,
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    docs_per_lang: int = DOCS_PER_LANG,
-    chars_per_doc: int = CHARS_PER_DOC,
+    per_lang: int = PASSAGES,
+    chars: int = PASSAGE_CHARS,
 ) -> Model:
-    """Fits on the documents that are not held out. Each task keeps docs_per_lang rows of a language before the shuffle."""
+    """Fits on the documents that are not held out."""
     rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(doc_id)))
-    text_part = F.substring(text, 1, chars_per_doc)
-    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("k"), text_part.alias("t"), F.xxhash64(text_part).alias("h"))
-    each = rows.groupBy("lang", "h").agg(F.min("k").alias("k"))  # equal texts count once
-    first = Window.partitionBy("lang").orderBy("k", "h")
-    each = each.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_lang).drop("k")
-    rows = rows.join(F.broadcast(each), ["lang", "h"]).groupBy("lang", "_n").agg(F.min("t").alias("t"))
+    found = passages(rows.select(F.col(lang).alias("lang"), F.col(text).alias("t")), per_lang, chars)
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows.select("lang", "_n", "t").collect()):
-        texts.setdefault(r["lang"], []).append(r["t"])
+    for r in sorted(found.select("lang", "n", "p").collect()):  # per_lang rows of each language
+        texts.setdefault(r["lang"], []).append(r["p"])
     return Model(texts)
 
 
 def identify(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages * docs_per_lang * chars_per_doc
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = shared.value.predict([t if isinstance(t, str) else None for t in pdf["text"]])
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"].astype("Int64"),
-                    "held_out": pdf["held_out"],
-                    "lang_pred": [f[0] for f in found],
-                    "score": [f[1] for f in found],
-                }
-            )
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
-    return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages * PASSAGES * PASSAGE_CHARS
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shared.value.predict(batch.column("text").to_pylist())
+            langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
+            same = [batch.column(c) for c in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*same, langs, scores], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(predict, f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
 
 
 def op9_language(docs: DataFrame) -> DataFrame:

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.common import same_rows
+from logweave.llm.common import same_rows, written
 
 
-def numbered(df: DataFrame, group: list[str], order: list[Column], out: str, salts: int) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[Column], out: str, salts: int, *, ties: bool = False) -> DataFrame:
     """Adds column out: a long from 0 without gaps in each group. No task holds more than one salt of a group.
 
-    order must tell different rows apart, and its hash picks the salt; equal rows may take each other's number.
-    df is read twice, so it should be a stored table.
+    The hash of order picks the salt. Where many rows may be equal in order, ties deals these over the salts by their
+    places in the table, so that they do not stay together; which of them takes which number is then chance. The salted
+    rows are stored, since they are read twice.
     """
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+    if ties:
+        salt = F.pmod(salt + F.pmod(F.monotonically_increasing_id(), F.lit(salts)), F.lit(salts))
+    df = written(df.withColumn("_salt", salt.cast("int")), "salted")
     counts = df.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(

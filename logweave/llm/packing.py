@@ -13,15 +13,17 @@ piece; repeated rows are packed each; an empty table gives no rows; other column
 from __future__ import annotations
 
 import array
+import json
+import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import spread, written
+from logweave.llm.common import small_batches, spread, written
 from logweave.llm.ordinals import numbered
 
 CAPACITY = 2048
@@ -33,6 +35,32 @@ CLOSING_MARKS = ".,;:!?%$*&#|)"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 SALTS = 256
 PER_SALT = 200_000
+#: The settings of a vocabulary whose chunks may be encoded one by one, and plain words by the model alone.
+PLAIN_SETTINGS = {
+    "truncation": None,
+    "padding": None,
+    "post_processor": None,
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: Python's split() also cuts at these, which are no white space for the tokenizer.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -53,14 +81,18 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Token ids of texts as little-endian bytes.
 
-    The vocabulary splits at white space and drops it, so the ids of a text are those of its chunks in turn. Chunks
-    are encoded once and remembered. A chunk of letters and closing punctuation is split there, as the tokenizer
-    does, and its letters go straight to the tokenizer's model; any other chunk goes through the whole tokenizer.
+    A vocabulary with PLAIN_SETTINGS splits at white space and drops it, so the ids of a text are those of its chunks in
+    turn. Chunks are encoded once and remembered. A chunk of letters and closing punctuation is split there, as the
+    tokenizer does, and its letters go straight to the tokenizer's model; any other chunk goes through the whole
+    tokenizer. With a vocabulary of other settings whole texts do.
     """
 
     def __init__(self, path: str, memo: int = MEMO_CHUNKS) -> None:
         self.tokenizer, self.memo, self.most = _tokenizer(path), {}, memo
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        settings = json.loads(self.tokenizer.to_str())
+        added = {x["content"] for x in settings["added_tokens"]}
+        self.plain = added == set(SPECIAL) and all(settings[k] == v for k, v in PLAIN_SETTINGS.items())
 
     def _whole(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -88,7 +120,7 @@ class Encoder:
         return ids
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACE):
+        if not self.plain or any(c in text for c in ODD_SPACE):
             return self._whole(text)
         memo, chunks = self.memo, text.split()
         if len(memo) > self.most:
@@ -110,26 +142,25 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY):
     """Rows (doc_id, h, piece, start, length, ids_crc32): the texts tokenized, closed and cut at capacity."""
-    import os
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = encoder(tokenizer_path).encode
-        for pdf in batches:
-            rows = []
-            for d, h, t in zip(pdf["doc_id"], pdf["h"], pdf["text"], strict=True):
-                ids = (encode(t) if isinstance(t, str) else b"") + CLOSING
+        for batch in batches:
+            row, cols = [], ([], [], [], [])
+            for k, t in enumerate(batch.column("text").to_pylist()):
+                ids = (encode(t) if t is not None else b"") + CLOSING
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((d, h, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "h", "piece", "start", "length", "ids_crc32"]).astype(
-                {"doc_id": "Int64"}
-            )
+                    row.append(k)
+                    for col, value in zip(cols, (i, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                        col.append(value)
+            found = [pa.array(col, t) for col, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            same = [batch.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "h")]
+            yield pa.RecordBatch.from_arrays([*same, *found], names=["doc_id", "h", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text")
-    )
-    return rows.mapInPandas(cut, "doc_id long, h long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"doc_id {id_type}, h long, piece int, start long, length long, ids_crc32 long")
 
 
 def _fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -197,7 +228,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     at = F.col("_at") - F.col("_lo")
     # at most two plan rows for each of the capacity's lengths and combinations: a few thousand rows
     return (
-        numbered(cut, ["length"], order, "_at", salts)
+        numbered(cut, ["length"], order, "_at", salts, ties=True)
         .join(
             F.broadcast(plan_df),
             (F.col("length") == F.col("_length")) & (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi")),
@@ -215,7 +246,9 @@ def default_tokenizer() -> str:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(written(pieces(docs, tokenizer_path or default_tokenizer(), capacity=capacity), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        cut = written(pieces(docs, tokenizer_path or default_tokenizer(), capacity=capacity), "pieces")
+    return pack(cut, capacity)
 
 
 def op8_pack(docs: DataFrame) -> DataFrame:

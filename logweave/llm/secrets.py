@@ -1,16 +1,19 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Candidates are found by three patterns: assignments to secret-like names, access keys and long hexadecimal tokens.
-The hashes of their values are counted over the corpus, by distinct repositories and owners: a value that many
-of them hold is a published example, one that a single repository and few owners hold is live-looking. Values
+The hashes of their values are counted over the corpus, by distinct repositories and owners: an owner is the source
+that a document comes from, a repository the document itself, copies of one text counting once (both are arguments). A
+value that several owners or many repositories hold is a widely copied example, any other is live-looking. Values
 assigned somewhere and live-looking are looked for wherever they stand alone, which adds spans of kind "reuse": a
 whole run of value characters, what follows the first "=" of a run, or a piece between "=" with or without the "="
 behind it (or all but the last of them), each also less its closing full stops or all its closing punctuation. Every
 such text of the least length of an assigned value is compared, by an equi-join with the live-looking values; of
 reuses in one another the longest stays.
 
+Long texts are searched in pieces that end before a character that no match can hold.
+
 Defined cases: a null text has no spans; spans are code points, end exclusive; a null repository or owner counts as
-one more; repeated rows get one result row each and count once as owners; other columns are ignored.
+one more; repeated rows get one result row each and count once as repositories; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,35 +41,50 @@ ALONE = [
     (rf"(?<!{_PART}){_PART}+=+", 0),
     (rf"(?<!{_PART}){_PART}+=+(?==)", 0),
 ]
-#: A value of at least so many repositories or owners is an example.
-EXAMPLE_REPOSITORIES, EXAMPLE_OWNERS = 2, 4
+#: A value of at least so many owners or repositories is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 2, 4
+#: Pieces of long texts: so many characters, and on to one that is in no match.
+PIECE_CHARS = 65_536
+PIECE = r"(?s).{1,%d}+[A-Za-z0-9+/_.=:\"'\x20-]*+"
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int, among: Column | None = None) -> Column:
+def _spans(
+    text: Column, kind: int, pattern: str, group: int, least: int, among: Column | None = None, piece: int = PIECE_CHARS
+) -> Column:
     """Matches, leftmost and non-overlapping, as structs (start, kind, end, value hash); short ones are dropped. With
     hashes to look among, others are dropped too, and a span is that of the value, with which the match ends."""
-    found = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
-    )
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,vh:bigint>>")
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["all"])
-        first = start if among is None else end - F.length(x["value"])
-        span = F.struct(
-            first.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(x["value"]).alias("vh")
+
+    def within(part: Column, begin: Column) -> Column:
+        found = F.arrays_zip(
+            F.split(part, pattern, -1).alias("gap"),
+            F.regexp_extract_all(part, F.lit(pattern), F.lit(0)).alias("all"),
+            F.regexp_extract_all(part, F.lit(pattern), F.lit(group)).alias("value"),
         )
-        # only long enough values are appended: the others just move the place
-        wanted = F.length(x["value"]) >= least
-        if among is not None:
-            wanted = wanted & F.array_contains(among, F.xxhash64(x["value"]))
-        kept = F.when(wanted, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.when(x["all"].isNull(), acc).otherwise(F.struct(end.alias("at"), kept.alias("out")))
+        empty = F.array().cast("array<struct<start:int,kind:int,end:int,vh:bigint>>")
+
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["gap"])
+            end = start + F.length(x["all"])
+            first = start if among is None else end - F.length(x["value"])
+            span = F.struct(
+                first.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(x["value"]).alias("vh")
+            )
+            # only long enough values are appended: the others just move the place
+            wanted = F.length(x["value"]) >= least
+            if among is not None:
+                wanted = wanted & F.array_contains(among, F.xxhash64(x["value"]))
+            kept = F.when(wanted, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+            return F.when(x["all"].isNull(), acc).otherwise(F.struct(end.alias("at"), kept.alias("out")))
+
+        return F.aggregate(found, F.struct(begin.alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+
+    def each(parts: Column) -> Column:
+        begin = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, x: n + F.length(x))
+        return F.flatten(F.transform(parts, lambda x, i: within(x, begin(i))))
 
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    pieces = F.array(F.regexp_extract_all(text, F.lit(PIECE % piece), F.lit(0)))
+    many = F.get(F.transform(pieces, each), 0)
+    return F.when(F.octet_length(text) <= piece, within(text, F.lit(0))).otherwise(many)
 
 
 def _base(t: Column) -> Column:
@@ -77,13 +95,13 @@ def _base(t: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
-def scan(docs: DataFrame, *, doc_id: str, text: str, repository: str, owner: Column) -> DataFrame:
+def scan(docs: DataFrame, *, doc_id: str, text: str, repository: Column, owner: str) -> DataFrame:
     """Rows (doc_id, h, repo, owner, base): spans of the patterns."""
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.xxhash64(F.col(text)).alias("h"),
-        F.col(repository).alias("repo"),
-        owner.alias("owner"),
+        repository.alias("repo"),
+        F.col(owner).alias("owner"),
         _base(F.coalesce(F.col(text), F.lit(""))).alias("base"),
     )
 
@@ -93,16 +111,16 @@ def reuses(docs: DataFrame, known: DataFrame, *, doc_id: str, text: str) -> Data
     first, so that places are counted in those only."""
     keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("t"))
     runs = F.array_distinct(F.regexp_extract_all("t", F.lit(RUN), F.lit(0)))
-    runs = keyed.select("doc_id", "h", F.explode(runs).alias("r"))
+    runs = keyed.select("doc_id", "h", F.explode_outer(runs).alias("r")).where("r is not null")
     forms = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("r", F.lit(p), F.lit(g)) for p, g in ALONE])))
-    each = runs.select("doc_id", "h", F.explode(F.when(F.col("r").rlike(PLAIN), F.array("r")).otherwise(forms)).alias("v"))
+    each = runs.select("doc_id", "h", F.explode_outer(F.when(F.col("r").rlike(PLAIN), F.array("r")).otherwise(forms)).alias("v"))
     each = each.where(F.length("v") >= LEAST["assign"]).select("doc_id", "h", F.xxhash64("v").alias("vh"))
     hold = each.join(known, "vh").groupBy("doc_id", "h").agg(F.collect_set("vh").alias("_among"))
     hold = written(hold.withColumnsRenamed({"doc_id": "_d", "h": "_h"}), "secret-reuse")
     met = keyed.join(hold, same_rows([F.col("doc_id"), F.col("h")], [F.col("_d"), F.col("_h")]))
     found = F.concat(*[_spans(F.col("t"), 3, p, g, LEAST["assign"], F.col("_among")) for p, g in ALONE])
     met = met.select("doc_id", "h", _base(F.col("t")).alias("base"), F.array_distinct(found).alias("found"))
-    met = met.select("doc_id", "h", "base", "found", F.explode("found").alias("b"))
+    met = met.select("doc_id", "h", "base", "found", F.explode_outer("found").alias("b")).where("b is not null")
     inside = lambda x: (x["start"] <= F.col("b.start")) & (F.col("b.end") <= x["end"])
     met = met.where(~F.exists("base", lambda x: (x["start"] < F.col("b.end")) & (F.col("b.start") < x["end"])))
     met = met.where(~F.exists("found", lambda x: inside(x) & (x["end"] - x["start"] > F.col("b.end") - F.col("b.start"))))
@@ -121,14 +139,13 @@ def ownership(spans: DataFrame) -> DataFrame:
     return repos.join(owners.groupBy("vh").agg(F.count(F.lit(1)).alias("n_owners")), "vh")
 
 
-def _join(spans: Column) -> Column:
-    return F.array_join(
-        F.transform(
-            spans,
-            lambda x: F.concat_ws(":", F.get(F.array(*[F.lit(k) for k in KINDS]), x["kind"]), x["start"], x["end"]),
-        ),
-        ",",
-    )
+def _join(spans: Column, rating: bool = False) -> Column:
+    def one(x: Column) -> Column:
+        parts = [F.get(F.array(*[F.lit(k) for k in KINDS]), x["kind"]), x["start"], x["end"]]
+        rated = [F.when(x["example"], "example").otherwise("live")] if rating else []
+        return F.concat_ws(":", *parts, *rated)
+
+    return F.array_join(F.transform(spans, one), ",")
 
 
 def secrets(
@@ -136,40 +153,32 @@ def secrets(
     *,
     doc_id: str = "doc_id",
     text: str = "text",
-    repository: str = "source",
-    owner: str | None = None,
+    repository: str | None = None,
+    owner: str = "source",
 ) -> DataFrame:
-    """Per document: base and all spans, and how many of them are live-looking or examples.
+    """Per document: base and all spans, each of these with its rating, and how many are live-looking or examples.
 
-    Without an owner column the text itself is the owner, so that copies of one text do not make a value an example.
+    Without a repository column the text itself is the repository, so that copies of one text count once.
     """
-    own = F.col(owner) if owner else F.xxhash64(F.col(text))
-    rows = written(scan(docs, doc_id=doc_id, text=text, repository=repository, owner=own), "secret-scan")
+    repo = F.col(repository) if repository else F.xxhash64(F.col(text))
+    rows = written(scan(docs, doc_id=doc_id, text=text, repository=repo, owner=owner), "secret-scan")
     held = rows.where(F.size("base") > 0).select("doc_id", "h", "repo", "owner", F.explode("base").alias("x"))
     held = held.select("doc_id", "h", "repo", "owner", "x.start", "x.kind", "x.end", "x.vh")
     owners = written(ownership(held), "secret-owners")
-    example = (F.col("n_repos") >= EXAMPLE_REPOSITORIES) | (F.col("n_owners") >= EXAMPLE_OWNERS)
+    example = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOSITORIES)
     owners = owners.withColumn("example", example)
     rated = held.join(owners.select("vh", "example"), "vh")
     known = owners.where("assigned and not example").select("vh")
     alone = reuses(docs, known, doc_id=doc_id, text=text).withColumn("example", F.lit(False))
     every = rated.select("doc_id", "h", "start", "kind", "end", "example").unionByName(alone)
-    per_doc = every.groupBy("doc_id", "h").agg(
-        F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).alias("spans"),
-        F.count_distinct(F.when(~F.col("example"), F.struct("start", "kind"))).alias("n_live"),
-        F.count_distinct(F.when(F.col("example"), F.struct("start", "kind"))).alias("n_example"),
-    )
+    span = F.struct("start", "kind", "end", "example")
+    per_doc = every.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(span)).alias("spans"))
     per_doc = per_doc.withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     keys = [F.col("doc_id"), F.col("h")], [F.col("_d"), F.col("_h")]
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.join(per_doc, same_rows(*keys), "left").select(
-        "doc_id",
-        "h",
-        "base",
-        F.coalesce("spans", none).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
-    )
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean>>")
+    out = rows.join(per_doc, same_rows(*keys), "left").select("doc_id", "h", "base", F.coalesce("spans", none).alias("spans"))
+    n = lambda example: F.size(F.filter("spans", lambda x: x["example"] == example)).cast("long")
+    return out.select("*", n(False).alias("n_live"), n(True).alias("n_example"))
 
 
 def op5_secrets(docs: DataFrame) -> DataFrame:
@@ -183,6 +192,7 @@ def op5_secrets(docs: DataFrame) -> DataFrame:
         n(2).alias("n_hex"),
         F.sha2(_join(F.col("base")), 256).alias("base_sha256"),
         _join(F.col("spans")).alias("spans"),
+        _join(F.col("spans"), rating=True).alias("ratings"),
         "n_live",
         "n_example",
     )

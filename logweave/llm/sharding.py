@@ -158,15 +158,14 @@ def shard(docs: DataFrame, shards: int = 40, *, doc_id: str = "doc_id", text: st
     cut = placed.where((F.col("piece") == 0) & (F.col("copies") > F.col("per"))).select(*group, "per")
     # documents of cut groups are numbered to find their piece; there are fewer such groups than twice the shards
     whole = rows.join(F.broadcast(cut), group, "left")
-    in_cut = written(whole.where(F.col("per").isNotNull()), "shard-cut")
-    in_cut = numbered(in_cut, group, [F.col("doc_id")], "nth", salts)
+    in_cut = numbered(whole.where(F.col("per").isNotNull()), group, [F.col("doc_id")], "nth", salts, ties=True)
     keyed = whole.where(F.col("per").isNull()).select("doc_id", *group, F.lit(0).cast("long").alias("piece"))
     keyed = keyed.unionByName(in_cut.select("doc_id", *group, F.floor(F.col("nth") / F.col("per")).alias("piece")))
     to = placed.select(*[F.col(c).alias(f"_{c}") for c in [*group, "piece"]], "shard")
     at = same_rows([F.col(c) for c in [*group, "piece"]], [F.col(f"_{c}") for c in [*group, "piece"]])
-    dealt = written(keyed.join(to, at).select("doc_id", "size", "text_crc32", "h", "shard"), "shard-dealt")
+    dealt = keyed.join(to, at).select("doc_id", "size", "text_crc32", "h", "shard")
     per_shard = spread(count, PER_SALT * shards, 64)
-    return numbered(dealt, ["shard"], [F.col("doc_id"), F.col("h")], "slot", per_shard).drop("h")
+    return numbered(dealt, ["shard"], [F.col("doc_id"), F.col("h")], "slot", per_shard, ties=True).drop("h")
 
 
 def op3_shard(docs: DataFrame) -> DataFrame:

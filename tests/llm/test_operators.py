@@ -11,9 +11,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from logweave.llm import audio, decontaminate, langid, linededup, minhash, packing, quality, secrets, sharding, toxicity
-from logweave.llm.labelled import sample
+from logweave.llm.labelled import chosen, sample
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, n string, shard string, key string"
 
@@ -64,17 +65,20 @@ def op1_brute(texts, items):
     return out
 
 
-@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-def test_decontamination_equals_brute_force(spark, rng, broadcast_rows, monkeypatch):
+@pytest.mark.parametrize("how", [{}, {"broadcast_rows": 0}, {"long_text": 100, "run_words": 16}, {"broadcast_rows": 0, "long_text": 100, "run_words": 16}])
+def test_decontamination_equals_brute_force(spark, rng, how, monkeypatch):
     passage, other = words(rng, 40), words(rng, 13)
     items = [(7, passage), (8, passage.upper()), (10, other), (9, "Short One"), (None, words(rng, 20)), (11, ""), (12, None), (13, "É Ç one two"), (10, other)]
     texts = [
         None, "", "...!?", passage, f"{words(rng, 30)} {passage[30:180]} {words(rng, 30)}", f"x {other}, y {other.title()}", "a short ONE, b", "short", words(rng, 600),
         f"{passage} {passage}", "é ç one two", "É Ç One two " * 3, " ".join(passage.split()[:12]), f"{words(rng, 300)} {' '.join(passage.split()[5:18])}",
+        "." * 300, f"{'...' * 90} {passage} {'?' * 90}", "x" * 500, " ".join([passage] * 5),
     ]
+    items += [(14, words(rng, 100)), (15, " ".join([words(rng, 16), passage[:100]]))]
+    texts += [items[-2][1][70:], items[-1][1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
     real = decontaminate.decontaminate
-    monkeypatch.setattr(decontaminate, "decontaminate", lambda d, b, **kw: real(d, b, broadcast_rows=broadcast_rows, **kw))
+    monkeypatch.setattr(decontaminate, "decontaminate", lambda d, b, **kw: real(d, b, **how, **kw))
     rows = {r.doc_id: tuple(r)[1:] for r in decontaminate.op1_decontaminate(docs(spark, texts), bench).collect()}
     assert [rows[i] for i in range(len(texts))] == op1_brute(texts, items)
 
@@ -148,6 +152,30 @@ def test_line_dedup_of_templated_texts_equals_brute_force(spark):
     assert [out[i] for i in range(len(texts))] == dedup_brute(texts, 25)
 
 
+def test_line_dedup_keeps_columns_of_its_own_names(spark, rng):
+    text = "\n".join(words(rng, 30) for _ in range(3))
+    frame = spark.createDataFrame([(1, text, 7, "a", 5), (2, text, 8, "b", 6)], "_d long, t string, _n int, _row string, n_lines int")
+    rows = linededup.line_dedup(frame, doc_id="_d", text="t").collect()
+    assert [(r._d, r._n, r._row, r.n_lines, r.n_removed) for r in sorted(rows)] == [(1, 7, "a", 3, 0), (2, 8, "b", 3, 3)]
+
+
+def test_suffix_ranks_are_sorted_and_intervals_share_a_prefix(spark):
+    rng = random.Random(4)
+    pool = [" ".join(f"l{n}w{j}" for j in range(4)) for n in range(6)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(2, 14))) for _ in range(30)]
+    lines = linededup.written(linededup._lines(docs(spark, texts), "doc_id", "text"), "test-lines")
+    positions = linededup._positions(lines)
+    ids = {r.pos: (r.h1, r.h2) for r in positions.collect()}
+    rounds = [{r.pos: r.rank for r in level.collect()} for level in linededup.suffix_ranks(positions, 8)]
+    assert len(rounds) == 4
+    for k, ranks in enumerate(rounds):
+        prefix = {p: tuple(ids.get(p + j) for j in range(1 << k)) for p in ids}
+        count = Counter(x for x in prefix.values() if None not in x)
+        assert set(ranks) == {p for p, x in prefix.items() if count[x] > 1}
+        by_rank = sorted(ranks, key=lambda p: (ranks[p], p))
+        assert by_rank == sorted(ranks, key=lambda p: (prefix[p], p))
+
+
 # -- sharding -------------------------------------------------------------------------------------------------------
 
 
@@ -243,6 +271,24 @@ def test_near_duplicates_equal_brute_force(spark, rng):
     assert [rows[i].n_shingles for i in range(len(texts))] == sizes
     assert [rows[i].component_id for i in range(len(texts))] == comps
     assert all(rows[i].kept == (rows[i].component_id == i) for i in rows)
+    # the same in runs of words, for texts that count as long
+    parts = minhash.near_duplicates(docs(spark, [*texts, " " * 900]), words=3, similarity=85, long_text=700, run_words=32).collect()
+    parts = {r.doc_id: r for r in parts}
+    assert [(parts[i].n_shingles, parts[i].component_id) for i in range(len(texts))] == list(zip(sizes, comps, strict=True))
+    assert all(parts[i].kept == (parts[i].component_id == i) for i in parts) and parts[len(texts)].n_shingles == 0
+
+
+def test_near_duplicates_take_ids_of_any_type(spark, rng):
+    text = words(rng, 60)
+    frame = spark.createDataFrame([("b", text), ("a", f"{text} more"), (None, "x y z"), ("c", None)], "doc_id string, text string")
+    rows = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect()}
+    assert rows == {"b": ("a", False), "a": ("a", True), None: (None, True), "c": ("c", True)}
+
+
+def test_near_duplicates_without_ids_keep_one_of_a_group(spark, rng):
+    a, b = words(rng, 80), words(rng, 80)
+    rows = minhash.near_duplicates(docs(spark, [a, edited(rng, a, 1), b, edited(rng, b, 1)], ids=[None, None, None, 4])).collect()
+    assert len({r.group for r in rows}) == 2 and sorted((r.component_id or -1, r.kept) for r in rows) == [(-1, False), (-1, True), (4, False), (4, True)]
 
 
 def test_near_duplicates_without_ids_and_rows(spark, rng):
@@ -298,6 +344,34 @@ def test_secret_spans_equal_brute_force(spark, rng):
         assert set(base) <= set(filter(None, rows[i].spans.split(",")))
     assert rows[4].spans == f"reuse:4:{4 + len(live)}"
     assert rows[11].n_example == 1 and rows[3].n_live == 1
+    for r in rows.values():
+        rated = [x.rsplit(":", 1) for x in filter(None, r.ratings.split(","))]
+        assert ",".join(x for x, _ in rated) == r.spans and Counter(x for _, x in rated) == Counter({"live": r.n_live, "example": r.n_example})
+
+
+def test_secret_values_of_several_owners_are_examples(spark):
+    texts = ["token=abcdef1"] * 5 + [f"token=abcdef2 {i}" for i in range(2)] + [f"token=abcdef3 {i}" for i in range(4)] + ["see abcdef1", "see abcdef2", "see abcdef3"]
+    sources = ["a"] * 5 + ["a", "b"] + ["a"] * 4 + ["a"] * 3
+    rows = {r.doc_id: r for r in secrets.op5_secrets(docs(spark, texts, sources=sources)).collect()}
+    assert all(rows[i].ratings == "assign:0:13:live" for i in range(5))  # copies of one text are one repository
+    assert all(rows[i].ratings == "assign:0:13:example" for i in range(5, 11))
+    assert [rows[i].ratings for i in (11, 12, 13)] == ["reuse:4:11:live", "", ""]
+
+
+def test_secrets_of_long_texts_in_pieces(spark, rng):
+    parts = ["token=abcdef1", " ", "words, of é prose\n", "AKIA" + "Q7" * 9, "ff" * 12, "password : 'hunter22'", ", ", "x" * 90]
+    text = "".join(rng.choice(parts) for _ in range(400))
+    frame = spark.createDataFrame([(text,)], "t string")
+    for kind, pattern, group in ((0, secrets.ASSIGN, 1), (1, secrets.ACCESS, 0), (2, secrets.HEX, 0)):
+        least = secrets.LEAST[secrets.KINDS[kind]]
+        whole, cut = frame.select(*[secrets._spans(F.col("t"), kind, pattern, group, least, piece=n) for n in (10**6, 200)]).first()
+        assert whole == cut and len(whole) > 5
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "Plain words, and more of them. " * 40_000 + "token=abcdef1"
+    row = secrets.op5_secrets(docs(spark, [text])).first()
+    assert row.spans == f"assign:{len(text) - 13}:{len(text)}"
 
 
 def test_secrets_of_repeated_rows(spark):
@@ -399,11 +473,73 @@ def test_factorisation_machine_is_the_sum_over_pairs(rng):
 
 
 def test_samples_leave_out_what_is_held(spark):
-    texts = docs(spark, [f"text {i}" for i in range(60)])
-    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
-    got = sample(texts, labels, "toxic", per_label=10)
-    ids = [int(t.split()[1]) for t, _ in got]
-    assert len(got) == 20 and not any(_held(i) for i in ids) and got == sample(texts, labels, "toxic", per_label=10)
+    long = "word " * 40_000
+    texts = docs(spark, [f"text {i}" for i in range(60)] + [long, "other text of 60", None], ids=[*range(60), 60, 60, 61])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(1, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    rows = [r.asDict() for r in sample(texts, labels, "toxic", per_label=10).collect()]
+    got = chosen(rows, 10)
+    ids = [int(r["t"].split()[1]) for r in got if r["t"].startswith("text")]
+    assert len(got) == 20 and not any(_held(i) for i in ids) and Counter(r["y"] for r in got) == {0: 10, 1: 10}
+    assert got == chosen([r.asDict() for r in sample(texts, labels, "toxic", per_label=10).collect()], 10)
+    whole = {r["t"] for r in chosen([r.asDict() for r in sample(texts, labels, "toxic").collect()])}
+    assert (long in whole or "other text of 60" in whole) and len(whole) == 1 + sum(not _held(i) for i in range(60))
+
+
+def test_equal_texts_are_learnt_once():
+    rows = [{"k": 1, "y": 0, "h": 7}, {"k": 2, "y": 1, "h": 7}, {"k": 0, "y": 1, "h": 8}]
+    assert chosen(rows, 5) == [{"k": 0, "y": 1, "h": 8}, {"k": 1, "y": 1, "h": 7}] and len(chosen(rows, 1)) == 1
+
+
+def brute_clause(symbols, weights):
+    """The grammar's rules read off the places of the symbols."""
+    total = 0.0
+    for i, (x, w) in enumerate(zip(symbols, weights, strict=True)):
+        near = lambda marks, n: any(symbols[j] in marks for j in range(max(0, i - n), i))
+        back = lambda marks, n: next((j for j in range(i - 1, max(-1, i - n - 1), -1) if symbols[j] in marks), None)
+        emitted = w
+        if x == toxicity.INSULT:
+            emitted *= toxicity.REPEATED if near({toxicity.INSULT}, 3) else 1.0
+            person = back({toxicity.TARGET}, 3)
+            if person is not None:
+                emitted *= toxicity.PREDICATED if toxicity.LINK in symbols[person + 1 : i] else toxicity.ADDRESSED
+        last = back({toxicity.THREAT, toxicity.TARGET}, 3)
+        if last is not None and (symbols[last], x) == (toxicity.TARGET, toxicity.THREAT):
+            emitted += toxicity.INVERTED * toxicity.THREAT_WEIGHT
+        if last is not None and (symbols[last], x) == (toxicity.THREAT, toxicity.TARGET):
+            emitted += toxicity.DIRECT * toxicity.THREAT_WEIGHT
+        kind = 0 if x == toxicity.INSULT else 1
+        if x in (toxicity.INSULT, toxicity.THREAT, toxicity.TARGET):
+            emitted *= toxicity.NEGATED[kind] if near({toxicity.NEGATION}, 3) else 1.0
+            emitted *= toxicity.REPORTED[kind] if near({toxicity.REPORT}, 6) else 1.0
+        emitted *= toxicity.QUOTED if symbols[:i].count(toxicity.QUOTE) % 2 else 1.0
+        total += emitted
+    return total
+
+
+def test_toxicity_machine_equals_its_rules():
+    rng, step = random.Random(8), toxicity.grammar().step
+    for _ in range(2000):
+        symbols = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(1, 16))]
+        weights = [float(x == toxicity.INSULT) * 4 + (x == toxicity.THREAT) * rng.choice([0, 3]) for x in symbols]
+        state, score = 0, 0.0
+        for x, w in zip(symbols, weights, strict=True):
+            state, own, bonus, scale = step[state][x]
+            score += (w * own + bonus) * scale
+        assert abs(score - brute_clause(symbols, weights)) < 1e-9
+
+
+def test_threats_need_a_person():
+    model = toxicity.Model({})
+    one = lambda t: sum(s for _, s in model.clauses(t))
+    assert one("kill time") == 0 and one("they kill") < one("i kill you") and one("i never kill you") < one("i kill you")
+    assert one("you are an idiot") > one("you idiot") > one("idiot") and one("stupid idiot") > one("stupid. idiot")
+
+
+def test_toxicity_of_empty_tables_and_long_texts(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    texts = docs(spark, ["word " * 200_000 + "idiot", "word " * 200_000])
+    scores = {r.doc_id: r.score for r in toxicity.op6_toxicity(texts, none).collect()}
+    assert scores[0] > scores[1] and toxicity.op6_toxicity(texts.limit(0), none).count() == 0
 
 
 # -- media ----------------------------------------------------------------------------------------------------------
@@ -432,15 +568,53 @@ def test_audio_features_are_tensors_with_spans(spark):
     (a, b), *rest = [(s.from_ms, s.to_ms) for r in rows for s in r.segments]
     assert not rest and abs(a - 4000) < 150 and abs(b - 5000) < 150
     mel = tensors.to_numpy_ndarray()[0][5]
-    assert np.argmax(mel) == np.argmax(audio.mel_bank()[round(500 / (audio.HALF_RATE / 2) * audio.WINDOW / 2)])
+    assert np.argmax(mel) == np.argmax(audio.mel_bank()[round(500 / (audio.RESAMPLED / 2) * audio.WINDOW / 2)])
 
 
 def test_resampling_keeps_a_tone_and_drops_what_would_fold():
     t = np.arange(4000) / audio.RATE
-    low, high = (audio.resample(np.sin(2 * np.pi * f * t), audio._filter())[100:-100] for f in (400, 3200))
+    low, high = (audio.resample(np.sin(2 * np.pi * f * t), audio.low_pass())[100:-100] for f in (400, 3700))
     assert abs(np.abs(low).max() - 1) < 0.05 and np.abs(high).max() < 0.1
 
 
+@pytest.mark.parametrize("up, down", [(3, 4), (1, 2), (5, 3), (1, 1)])
+def test_polyphase_equals_filling_filtering_and_thinning(up, down):
+    x = np.random.default_rng(0).normal(size=230)
+    h = audio.low_pass(up, down)
+    filled = np.zeros(len(x) * up)
+    filled[::up] = x
+    naive = np.convolve(filled, h)[: len(filled) : down]
+    assert np.allclose(audio.resample(x, h, up, down), naive) and len(audio.resample(x[:1], h, up, down)) >= 1
+
+
+def test_features_equal_a_naive_transform():
+    x = (np.random.default_rng(1).integers(0, 256, 9000)).astype(np.uint8)
+    steps, energy = audio.Analyser().frames(x.tobytes())
+    y = audio.resample((x.astype(float) - 128) / 128, audio.low_pass())
+    n = np.arange(audio.WINDOW)
+    dft = np.exp(-2j * np.pi * np.outer(np.arange(audio.WINDOW // 2 + 1), n) / audio.WINDOW)
+    for f in (0, 7, len(energy) - 2):
+        power = np.abs(dft @ (y[f * audio.HOP : f * audio.HOP + audio.WINDOW] * np.hanning(audio.WINDOW))) ** 2
+        want = np.log10(np.maximum(power @ audio.mel_bank(), 10**audio.SILENCE)) * audio.STEP
+        assert np.abs(steps.reshape(-1, audio.MELS)[f] - want).max() <= 0.5001
+        assert abs(energy[f] - 10 * np.log10(power.sum())) <= 0.0501
+
+
+def test_audio_of_repeated_rows_any_ids_and_no_rows(spark):
+    frame = spark.createDataFrame([("x", "same", 1), ("x", "same", 2), (None, None, 3), ("x", "same\0", 4)], "doc_id string, text string, chunk int")
+    rows = audio.op7_audio(frame).collect()
+    assert sorted((r.doc_id or "", r.n_bytes) for r in rows) == [("", 0), ("x", 4), ("x", 4), ("x", 5)]
+    assert audio.op7_audio(frame.limit(0)).count() == 0
+
+
+def test_audio_tensors_are_stored_with_their_spans(spark, rng):
+    media = audio.media_table(docs(spark, [words(rng, 9000), None, "é" * 40_000]))
+    rows = audio.written(audio.features(media), "test-tensors")
+    tensors = audio.as_tensors(rows.orderBy("doc_id", "chunk").select("log_mel").toArrow()["log_mel"])
+    assert tensors.type.shape == [audio.FRAMES, audio.MELS] and len(tensors) == rows.count()
+    assert all(r.from_ms < r.to_ms for r in rows.collect()) and rows.where("sound is not null").count() == 3
+
+
 # -- packing --------------------------------------------------------------------------------------------------------
 
 
@@ -456,6 +630,25 @@ def test_encoder_equals_the_tokenizer():
         assert fast.encode(t) == array.array("I", whole.encode(t, add_special_tokens=False).ids).tobytes()
 
 
+def test_encoder_of_other_settings_is_the_tokenizer(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    settings = json.loads(Tokenizer.from_file(packing.default_tokenizer()).to_str())
+    settings["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(settings))
+    fast, whole = packing.Encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not fast.plain and packing.Encoder(packing.default_tokenizer()).plain
+    assert fast.encode("E\u0301t\u00e9 it's") == array.array("I", whole.encode("E\u0301t\u00e9 it's", add_special_tokens=False).ids).tobytes()
+
+
+def test_packing_takes_ids_of_any_type_and_many_equal_rows(spark):
+    frame = spark.createDataFrame([("a", "one two"), (None, None)] + [("b", "three four five")] * 500, "doc_id string, text string")
+    rows = packing.op8_pack(frame).collect()
+    assert len(rows) == 502 and sorted({(r.sequence_id, r.offset) for r in rows}).__len__() == 502
+
+
 def test_minimum_bin_slack_finds_the_fullest(rng):
     for _ in range(30):
         counts = Counter(rng.randrange(1, 30) for _ in range(rng.randrange(1, 9)))
@@ -569,6 +762,17 @@ def test_languages_of_many_letters_and_copies(spark):
     assert [rows[i].lang_pred for i in range(90)] == langs
     copies = docs(spark, ["kopie"] * 300 + list("uvwxyzq"), langs=["aa"] * 307)
     held = {i for i in range(300, 307) if zlib.crc32(str(i).encode()) % 3 == 1}
-    model = langid.learn(copies, docs_per_lang=8)
+    model = langid.learn(copies, per_lang=8)
     assert set(model.alphabet) == set("kopie") | {c for i, c in enumerate("uvwxyzq", 300) if i not in held}
     assert model.bits[0] < 4
+
+
+def test_languages_are_learnt_from_all_of_a_text(spark):
+    rng = random.Random(23)
+    text = "a" * 5000 + "".join(rng.choice("bcdefg ") for _ in range(200_000))
+    frame = spark.createDataFrame([("x", text, "aa"), ("y", "zz", "bb"), (None, "zz", "bb")], "doc_id string, text string, lang string")
+    frame = frame.where(~langid.held_out(F.col("doc_id")))
+    rows = langid.passages(frame.selectExpr("lang", "text AS t"), 5, 100).collect()
+    assert len([r for r in rows if r.lang == "aa"]) == 5 and [r.p for r in rows if r.lang == "bb"] in ([], ["zz"])
+    assert any("b" in r.p for r in rows) and all(r.p in text or r.p == "zz" for r in rows)
+    assert {r.doc_id for r in langid.op9_language(frame).collect()} <= {"x", "y", None}
