@@ -31,9 +31,9 @@ RULES: dict[str, tuple[dict, str, dict]] = {
     "q_rule_not": ({"sel": {"rule_name": None}, "x": {"app|exists": True}, "condition": "not (sel or x)"}, "rule_name IS NOT NULL AND app IS NULL", {}),
     "q_rule_keywords": ({"kw": ["purchase", "H16"], "condition": "kw"}, "log_type = 'purchase' OR host_name = 'h16'", {}),
     "q_rule_raw_key": ({"sel": {"k|lte": 3}, "condition": "sel"}, "CAST(json_extract_string(raw, '$.k') AS DOUBLE) <= 3", {}),
-    "q_rule_base64": ({"sel": {"message|base64offset|contains": "by u1"}, "k": {"message|windash|contains": "by"}, "condition": "sel or (k and not k)"}, "false", {}),
+    "q_rule_base64": ({"sel": {"message|base64offset|contains": "by u1"}, "k": {"app|windash|contains": "svc-2"}, "condition": "sel or k"}, "app = 'svc-2'", {}),
     "q_rule_cidr": ({"sel": {"src_ip|cidr": ["10.1.0.0/16", "10.2.3.0/24"]}, "condition": "sel"}, "src_ip LIKE '10.1.%' OR src_ip LIKE '10.2.3.%'", {}),
-    "q_rule_fieldref": ({"sel": {"vendor|fieldref": "product"}, "b": {"log_type|fieldref": "raw_action"}, "c": {"dst_port|fieldref": "dst_port"}, "condition": "(sel or b) or c"}, "true", {}),
+    "q_rule_fieldref": ({"sel": {"vendor|fieldref": "product"}, "b": {"src_port|fieldref": "bytes_total"}, "c": {"dst_port|fieldref": "dst_port", "host_name": "h3"}, "condition": "sel or b or c"}, "src_port = bytes_total OR host_name = 'h3'", {}),
     "q_rule_cased": ({"a": {"action|cased": "DENY"}, "b": {"action|cased": "deny"}, "condition": "a or b"}, "action = 'deny'", {}),
     "q_rule_logsource": ({"sel": {"severity": "HIGH"}, "condition": "sel"}, "severity = 'high' AND vendor = 'cisco' AND log_type = 'http'", {"logsource": {"vendor": "cisco", "service": "http"}}),
     "q_rule_datamodel": ({"sel": {"severity": "high"}, "condition": "sel"}, "severity = 'high' AND log_type = 'modbus'", {"datamodels": "industrial"}),
@@ -187,12 +187,11 @@ def _ot_conversations(spark, sf_dir):
 
 
 def _chains(spark, sf_dir):
-    found = _alerts(spark, sf_dir).where("event_time < timestamp '2024-01-06'")
-    return killchain.chains(found, gap_s=600).select("alert_id", "chain_id")
+    return killchain.chains(_alerts(spark, sf_dir), gap_s=600).select("alert_id", "chain_id")
 
 
 def _stories(spark, sf_dir):
-    found = killchain.chains(_alerts(spark, sf_dir).where("event_time < timestamp '2024-01-06'"), gap_s=600)
+    found = killchain.chains(_alerts(spark, sf_dir), gap_s=600)
     out = killchain.stories(found)
     return flat(out.select("chain_id", "alert_count", "severity", "stages", "tactic_count", "signature"))
 
@@ -237,6 +236,17 @@ def _assets(spark, sf_dir):
     return enrich.assets(events(spark, sf_dir).select("id", "host_name", "src_ip", "dst_ip"), names.unionByName(more), nets).select("id", "asset_id")
 
 
+TI = [("198.51.2.7", "ip", "feed-a", "high"), ("198.51.2.0/24", "cidr", "feed-b", "medium"), ("10.1.0.0/16", "cidr", "feed-b", "low"), ("10.1.3.0/24", "cidr", "feed-c", "critical"), ("2001:db8::1", "ip", "feed-a", "high")]
+
+
+def _ti(spark, sf_dir):
+    iocs = spark.createDataFrame(TI, "indicator string, ioc_type string, source string, severity string")
+    rows = events(spark, sf_dir)
+    # every seventh event has an IPv6 source, written in full
+    six = F.when(F.col("id") % 7 == 0, F.concat(F.lit("2001:0DB8:0:0:0:0:0:"), F.col("id") % 3)).otherwise(F.col("src_ip"))
+    return enrich.ti_matches(rows.withColumn("src_ip", six), iocs)
+
+
 def _ioc(spark, sf_dir):
     iocs = spark.createDataFrame([("233.0.0.0/8", "cidr", "high"), ("114.0.0.0/8", "cidr", "low"), ("mail6.example.com", "domain", "medium"), ("example.org", "domain", "low")], "indicator string, ioc_type string, severity string")
     docs = table(spark, sf_dir, "documents")
@@ -377,6 +387,8 @@ def queries():
         "q_geo_range_join": _geo,
         "q_asset_precedence": _assets,
         "q_ioc_match_documents": _ioc,
+        "q_ti_events": lambda s, d: _ti(s, d).drop("observed"),
+        "q_ti_alerts": lambda s, d: flat(enrich.ti_alerts(_ti(s, d))),
         "q_mask_hash": _mask_hash,
         "q_mask_regex": _mask_regex,
         "q_sample_hash": _sample,
@@ -393,20 +405,9 @@ _OT = "ot AS (SELECT *, CASE WHEN id % 6 = 0 THEN 'write' WHEN id % 10 = 0 THEN
 _ENT = "ent AS (SELECT t AS entity_type, v AS entity_value, min(event_time) AS first_seen, max(event_time) AS last_seen, count(*) AS event_count FROM (SELECT event_time, 'user' AS t, user_name AS v FROM {0} UNION ALL SELECT event_time, 'host', host_name FROM {0} UNION ALL SELECT event_time, 'ip', src_ip FROM {0}) GROUP BY 1, 2)"
 _LINK = "lnk AS (SELECT t AS entity_type, v AS entity_value, pt AS peer_type, pv AS peer_value, min(event_time) AS first_seen, max(event_time) AS last_seen, count(*) AS n FROM (SELECT event_time, 'user' AS t, user_name AS v, 'ip' AS pt, src_ip AS pv FROM {0} UNION ALL SELECT event_time, 'user', user_name, 'host', host_name FROM {0} UNION ALL SELECT event_time, 'host', host_name, 'ip', dst_ip FROM {0}) GROUP BY 1, 2, 3, 4)"
 _RANK = "list_position(['informational', 'low', 'medium', 'high', 'critical'], {0})"
-_AENT = "ae AS (SELECT alert_id, event_time, unnest(['user|' || user_name, 'host|' || host_name, 'ip|' || src_ip]) AS e FROM al WHERE event_time < TIMESTAMP '2024-01-06')"
-_CHAIN = (
-    _AENT + ", lg AS (SELECT alert_id AS a, lag(alert_id) OVER w AS b, event_time - lag(event_time) OVER w AS gap FROM ae WINDOW w AS (PARTITION BY e ORDER BY event_time, alert_id)), "
-    "ed AS (SELECT a, b FROM lg WHERE b IS NOT NULL AND gap <= INTERVAL 600 SECOND UNION SELECT b, a FROM lg WHERE b IS NOT NULL AND gap <= INTERVAL 600 SECOND), "
-    "re AS (SELECT alert_id AS a, alert_id AS b FROM al WHERE event_time < TIMESTAMP '2024-01-06' UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b = ed.a), "
-    "ch AS (SELECT a AS alert_id, min(b) AS chain_id FROM re GROUP BY a)"
-)
 _IPNUM = "CAST(string_split({0}, '.')[{1}] AS INT)"
 
 
-def _kc(t):
-    return f"CASE WHEN list_contains(tl, '{t.replace('-', ' ')}') THEN '{t}' END"
-
-
 def oracle_sql():
     ev = f"ev AS ({SQL})"
     w = f"WITH {ev} "
@@ -444,10 +445,6 @@ def oracle_sql():
     out["q_ot_summary"] = wo + "SELECT log_type AS protocol, count(*) AS events, count(*) FILTER (WHERE operation = 'read') AS reads, count(*) FILTER (WHERE operation = 'write') AS writes, count(*) FILTER (WHERE operation = 'control') AS controls, count(DISTINCT dst_ip) AS controllers, max(event_time) AS last_seen FROM ot GROUP BY 1"
     out["q_ot_assets"] = wo + "SELECT dst_ip, 'modbus' AS protocols, count(DISTINCT src_ip) AS masters, count(*) AS events, count(*) FILTER (WHERE operation IN ('write', 'control')) AS changes, max(event_time) AS last_seen FROM ot GROUP BY 1"
     out["q_ot_conversations"] = wo + "SELECT src_ip, dst_ip, count(*) AS events, count(*) FILTER (WHERE operation = 'write') AS writes, count(*) FILTER (WHERE operation = 'control') AS controls, CASE WHEN min(event_time) < TIMESTAMP '2024-01-21' THEN 'known' WHEN count(*) FILTER (WHERE operation IN ('write', 'control')) > 0 THEN 'new-writer' ELSE 'new' END AS class, 'modbus' AS protocols FROM ot GROUP BY 1, 2"
-    wk = f"WITH RECURSIVE {ev}, {_ALERTS}, {_CHAIN} "
-    out["q_killchain_components"] = wk + "SELECT alert_id, chain_id FROM ch"
-    stages = "array_to_string(list_sort(list_filter([" + ", ".join(_kc(t) for t in ("initial-access", "credential-access", "lateral-movement", "exfiltration")) + "], lambda x: x IS NOT NULL)), ',')"
-    out["q_killchain_stories"] = wk + f", g AS (SELECT chain_id, count(*) AS alert_count, max({_RANK.format('level')}) AS top, list_distinct(flatten(list(tactics))) AS tl, sha256('kc|' || string_agg(CAST(alert_id AS VARCHAR), ',' ORDER BY alert_id)) AS signature FROM ch JOIN al USING (alert_id) GROUP BY 1) SELECT chain_id, alert_count, list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST(top AS INT)) AS severity, {stages} AS stages, CAST(len(tl) AS INT) AS tactic_count, signature FROM g WHERE len(tl) >= 2"
     out["q_coverage_rollup"] = "SELECT * FROM (VALUES ('T1110', 2, 'critical'), ('T1021.001', 1, 'medium')) t(technique, rules, highest)"
     out["q_tactic_coverage"] = "SELECT * FROM (VALUES ('credential access', 1, 1), ('lateral movement', 1, 1), ('initial access', 1, 1), ('exfiltration', 1, 0)) t(tactic, rules, techniques)"
     rows = ", ".join(str(c) for c in CONTROLS)
@@ -460,6 +457,18 @@ def oracle_sql():
     out["q_asset_precedence"] = w + "SELECT id, CASE WHEN host_name IN ('h0', 'h1', 'h2', 'h3', 'h4', 'h5') THEN 'asset-' || substr(host_name, 2) WHEN src_ip = '10.0.1.1' THEN 'asset-ip' WHEN dst_ip = '198.51.0.10' THEN 'asset-dst' WHEN src_ip LIKE '10.3.%' THEN 'asset-net' END AS asset_id FROM ev"
     dot = "regexp_extract_all(text, '(?:[^0-9.]|^)((?:[0-9]{1,3}\\.){3}[0-9]{1,3})', 1)"
     domain = "regexp_matches(lower(text), '(?:^|[^a-z0-9.@-]){0}(?:[^a-z0-9-]|$)')"
+    src, third = "CASE WHEN id % 7 = 0 THEN NULL ELSE src_ip END", f"{_IPNUM.format('dst_ip', 3)} = 2"
+    ti = w.rstrip() + (
+        ", x AS (SELECT id, indicator, ioc_type, source, severity FROM ("
+        f"SELECT id, '198.51.2.7' AS indicator, 'ip' AS ioc_type, 'feed-a' AS source, 'high' AS severity FROM ev WHERE dst_ip = '198.51.2.7' "
+        f"UNION SELECT id, '198.51.2.0/24', 'cidr', 'feed-b', 'medium' FROM ev WHERE {third} AND dst_ip <> '198.51.2.7' "
+        f"UNION SELECT id, '10.1.3.0/24', 'cidr', 'feed-c', 'critical' FROM ev WHERE {src} LIKE '10.1.3.%' "
+        f"UNION SELECT id, '10.1.0.0/16', 'cidr', 'feed-b', 'low' FROM ev WHERE {src} LIKE '10.1.%' AND {src} NOT LIKE '10.1.3.%' "
+        "UNION SELECT id, '2001:db8::1', 'ip', 'feed-a', 'high' FROM ev WHERE id % 21 = 7)) "
+    )
+    out["q_ti_events"] = ti + "SELECT * FROM x"
+    top = f"list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST(max({_RANK.format('severity')}) AS INT))"
+    out["q_ti_alerts"] = ti + f"SELECT id, 'ti-ioc-match' AS rule_id, 'Threat Intelligence Match' AS title, {top} AS level, string_agg(indicator, ',' ORDER BY indicator) AS indicators FROM x GROUP BY id"
     out["q_ioc_match_documents"] = (
         f"SELECT doc_id, '233.0.0.0/8' AS indicator, 'cidr' AS ioc_type, 'high' AS severity FROM documents WHERE len(list_filter({dot}, lambda x: x LIKE '233.%')) > 0 "
         f"UNION ALL SELECT doc_id, '114.0.0.0/8', 'cidr', 'low' FROM documents WHERE len(list_filter({dot}, lambda x: x LIKE '114.%')) > 0 "
@@ -468,7 +477,7 @@ def oracle_sql():
     )
     hidden = "'sha256:' || substr(sha256('s' || user_name), 1, 16)"
     hit = "severity = 'high'"
-    swap = f"CASE WHEN {hit} AND length(user_name) >= 3 THEN replace(message, user_name, {hidden}) ELSE message END"
+    swap = f"CASE WHEN {hit} THEN replace(message, user_name, {hidden}) ELSE message END"
     out["q_mask_hash"] = w + f"SELECT id, CASE WHEN {hit} THEN {hidden} ELSE user_name END AS user_name, {swap} AS message, raw FROM ev"
     out["q_mask_regex"] = w + "SELECT id, CASE WHEN action = 'allow' THEN '[redacted]' ELSE user_name END AS user_name, CASE WHEN action = 'allow' THEN regexp_replace(message, 'u[0-9]+', '[redacted]', 'g') ELSE message END AS message, CASE WHEN action = 'allow' THEN regexp_replace(raw, '(\"k\": *)[0-9]+', '\\1\"[redacted]\"') ELSE raw END AS raw, CASE WHEN action <> 'allow' THEN src_ip END AS src_ip FROM ev"
     out["q_sample_hash"] = w + "SELECT id FROM ev WHERE log_type <> 'click' OR CAST(concat('0x', substr(sha256(concat(user_name, chr(31), dst_port)), 1, 15)) AS BIGINT) % 10000 < 2500"

@@ -37,7 +37,7 @@ PIPE: dict[str, tuple[str, str]] = {
     "q_where_like": ("* | where message like 'click by u%1' | fields id, message", "SELECT id, message FROM ev WHERE message LIKE 'click by u%1'"),
     "q_where_isnull": ("* | where isnull(rule_name) and isnotnull(app) | stats count", 'SELECT count(*) AS "count" FROM ev WHERE rule_name IS NULL AND app IS NOT NULL'),
     "q_where_arith_cmp": ("* | where (bytes_total + 10) / 2 - 5 > 4000 and -bytes_total < -9000 | fields id, bytes_total", "SELECT id, bytes_total FROM ev WHERE (bytes_total + 10) / 2.0 - 5 > 4000 AND -bytes_total < -9000"),
-    "q_where_field_eq": ("* | where src_port = dst_port + 1000 or vendor = log_type | fields id", "SELECT id FROM ev WHERE src_port = dst_port + 1000 OR vendor = log_type"),
+    "q_where_field_eq": ("* | where src_port = dst_port + 1002 or vendor = log_type | fields id", "SELECT id FROM ev WHERE src_port = dst_port + 1002 OR vendor = log_type"),
     "q_eval_math": ("* | eval kb = bytes_total / 1024 | eval twice = kb * 2 + 1 | eval r = round(twice, 3) | fields id, r", "SELECT id, CAST(round(CAST(bytes_total AS DOUBLE) / 1024 * 2 + 1, 3) AS DOUBLE) AS r FROM ev"),
     "q_eval_modulo": ("* | eval m = id % 7 | eval n = (0 - id) % 3 | fields id, m, n", "SELECT id, CAST(id % 7 AS DOUBLE) AS m, CAST((0 - id) % 3 AS DOUBLE) AS n FROM ev"),
     "q_eval_concat": ("* | eval who = user_name . '@' . host_name | eval r = rule_name . '!' | fields id, who, r", "SELECT id, user_name || '@' || host_name AS who, rule_name || '!' AS r FROM ev"),

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import ip
+from logweave.operators import severity as severities
+from logweave.operators.sigma import flat_raw
+from logweave.scratch import written
 
 BROADCAST_ROWS = 200_000
 
@@ -33,7 +36,8 @@ def networks(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 def longest_prefix(rows: DataFrame, address: str, nets: DataFrame, out: str) -> DataFrame:
     """rows with the label of the narrowest network that holds the address: an equi-join per prefix length in use.
 
-    Addresses are matched once each, so a hot address is no hot key; lengths are at most 33 + 129.
+    Addresses are matched once each; lengths are at most 33 + 129. Labels are stored and then joined back, broadcast or
+    else as a bare shuffle, so that an address, or none, that many rows have can be split.
     """
     lengths = [(r["f"], r["length"]) for r in nets.select(F.substring("prefix", 1, 1).alias("f"), "length").distinct().collect()]
     if not lengths:
@@ -44,7 +48,7 @@ def longest_prefix(rows: DataFrame, address: str, nets: DataFrame, out: str) ->
     tried = distinct.select("address", "k", each.alias("l")).where(F.substring("k", 1, 1) == F.col("l.f"))
     tried = tried.select("address", F.col("l.length").alias("length"), ip.masked(F.col("k"), F.col("l.length")).alias("prefix"))
     best = tried.join(bounded(nets), ["prefix", "length"]).groupBy("address").agg(F.max_by("label", "length").alias(out))
-    return rows.join(best.withColumnRenamed("address", address), address, "left")
+    return rows.join(bounded(written(best.withColumnRenamed("address", address), "labels")), address, "left")
 
 
 def flatten_ranges(ranges: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -73,10 +77,25 @@ def flatten_ranges(ranges: list[tuple[int, int, str]]) -> list[tuple[int, int, s
     return out
 
 
+#: Positions of IPv6 addresses among those of both versions: IPv4 comes first.
+V6 = 1 << 32
+
+
 def range_table(spark: SparkSession, segments: list[tuple[int, int, str]]) -> DataFrame:
-    """Disjoint IPv4 segments, cut at the borders of /16 bins, for range_label()."""
+    """Disjoint segments for range_label(): of IPv4 cut at the borders of /16 bins, of IPv6 into aligned blocks of whole
+    hexadecimal digits, at most 960 for any segment."""
     data = []
     for low, high, label in segments:
+        if high >= V6:
+            low, high = max(low - V6, 0), high - V6
+            while low <= high:
+                digits = 0  # of the block's addresses
+                while digits < 32 and low % 16 ** (digits + 1) == 0 and low + 16 ** (digits + 1) - 1 <= high:
+                    digits += 1
+                end = low + 16**digits - 1
+                data.append((f"6{low:032x}"[: 33 - digits], f"6{low:032x}", f"6{end:032x}", label))
+                low = end + 1
+            continue
         while low <= high:
             end = min(high, low | 0xFFFF)
             data.append((f"4{low:08x}"[:5], f"4{low:08x}", f"4{end:08x}", label))
@@ -85,28 +104,36 @@ def range_table(spark: SparkSession, segments: list[tuple[int, int, str]]) -> Da
 
 
 def range_label(rows: DataFrame, address: str, table: DataFrame, out: str) -> DataFrame:
-    """rows with the label of the segment that holds the address: an equi-join on the bin, then a comparison."""
+    """rows with the label of the segment that holds the address: an equi-join on the bin, for each length of bins in use,
+    at most 33 beside IPv4's, then a comparison."""
     distinct = rows.select(F.col(address).alias("_a")).where("_a is not null").distinct().withColumn("_k", ip.key(F.col("_a")))
-    hits = distinct.withColumn("bin", F.substring("_k", 1, 5)).join(bounded(table), "bin")
+    sizes = [(r["f"], r["n"]) for r in table.select(F.substring("bin", 1, 1).alias("f"), F.length("bin").alias("n")).distinct().collect()]
+    if not sizes:
+        return rows.withColumn(out, F.lit(None).cast(table.schema["label"].dataType))
+    each = F.array(*[F.when(F.col("_k").startswith(f), F.substring("_k", 1, n)) for f, n in sorted(sizes)])
+    hits = distinct.select("_a", "_k", F.explode_outer(each).alias("bin")).where("bin is not null").join(bounded(table), "bin")
     hits = hits.where((F.col("_k") >= F.col("low")) & (F.col("_k") <= F.col("high"))).select(F.col("_a").alias(address), F.col("label").alias(out))
-    return rows.join(hits, address, "left")
+    return rows.join(bounded(written(hits, "labels")), address, "left")
 
 
 def csv_ranges(lines: list[str], sep: str = ",") -> list[tuple[int, int, str]]:
-    """IPv4 ranges of "start,end,label" or "cidr,label" lines; a header and lines that name no address are passed over."""
+    """Ranges of "start,end,label" or "cidr,label" lines as positions: IPv4 addresses as numbers, IPv6 ones behind them,
+    from V6 on; a header and lines that name no address, or two versions, are passed over."""
     out = []
+    at = lambda a: int(a) + (V6 if a.version == 6 else 0)
     for line in lines:
         parts = [p.strip().strip('"') for p in line.split(sep)]
         try:
             if "/" in parts[0]:
                 net = ipaddress.ip_network(parts[0], strict=False)
-                low, high, label = int(net.network_address), int(net.broadcast_address), parts[1]
+                first, last, label = net.network_address, net.broadcast_address, parts[1]
             else:
-                low, high, label = int(ipaddress.ip_address(parts[0])), int(ipaddress.ip_address(parts[1])), parts[2]
+                first, last, label = ipaddress.ip_address(parts[0]), ipaddress.ip_address(parts[1]), parts[2]
         except (ValueError, IndexError):
             continue
         if label and label.lower() not in ("-", "null", "none", "n/a", "zz"):
-            out.append((low, high, label))
+            if first.version == last.version:
+                out.append((at(first), at(last), label))
     return out
 
 
@@ -215,8 +242,14 @@ def replace_feed(store: DataFrame, new: DataFrame, source: str) -> DataFrame:
 
 def observables(rows: DataFrame, id_: str, text: Column) -> DataFrame:
     """Distinct (id, ioc_type, value) of what a text mentions."""
-    found = F.concat(*[_mentions(text, kind, pattern) for kind, pattern in _KINDS.items()])
-    return rows.select(F.col(id_), F.explode(found).alias("o")).select(id_, "o.ioc_type", "o.value")
+    found = _found(text)
+    # explode_outer: for explode() the optimizer would compute all patterns a second time, for a filter on the size
+    return rows.select(F.col(id_), F.explode_outer(found).alias("o")).where("o is not null").select(id_, "o.ioc_type", "o.value")
+
+
+def _found(text: Column) -> Column:
+    """All mentions; the text is computed once for all patterns."""
+    return ip.bind(text, lambda t: F.concat(*[_mentions(t, kind, pattern) for kind, pattern in _KINDS.items()]))
 
 
 def _mentions(text: Column, kind: str, pattern: str) -> Column:
@@ -226,7 +259,7 @@ def _mentions(text: Column, kind: str, pattern: str) -> Column:
 
 def ioc_matches(rows: DataFrame, id_: str, text: Column, iocs: DataFrame) -> DataFrame:
     """One row per row and indicator that its text mentions: exact values, and networks for addresses."""
-    seen = observables(rows, id_, text)
+    seen = written(observables(rows, id_, text), "observables")
     exact = iocs.where("ioc_type <> 'cidr'").select("ioc_type", F.col("indicator").alias("value"), "severity")
     hits = seen.join(bounded(exact), ["ioc_type", "value"]).select(id_, F.col("value").alias("indicator"), "ioc_type", "severity")
     label = F.struct("indicator", "severity").alias("label")
@@ -234,3 +267,49 @@ def ioc_matches(rows: DataFrame, id_: str, text: Column, iocs: DataFrame) -> Dat
     nets = nets.where("n is not null").select("n.prefix", "n.length", "label")
     inside = longest_prefix(seen.where("ioc_type = 'ip'"), "value", nets, "_n").where("_n is not null")
     return hits.unionByName(inside.select(id_, "_n.indicator", F.lit("cidr").alias("ioc_type"), "_n.severity").distinct())
+
+
+#: Columns of an event that indicators are looked for in, and the rule that an alert names.
+OBSERVED = ("src_ip", "dst_ip", "host_name", "app", "user_name", "rule_name", "message")
+TI_RULE = ("ti-ioc-match", "Threat Intelligence Match")
+
+
+def event_observables(events: DataFrame, id_: str = "id") -> DataFrame:
+    """Distinct (id, ioc_type, value) of what an event's columns and the values of its raw record mention; its own
+    addresses count whatever their version."""
+    leaves = F.array_join(F.transform(flat_raw(F.col("raw")), lambda e: e["v"]), " ") if "raw" in events.columns else F.lit("")
+    text = F.concat_ws(" ", *[F.col(c) for c in OBSERVED if c in events.columns], leaves)
+    found = _found(text)
+    own = F.array(*[F.struct(F.lit("ip").alias("ioc_type"), F.lower(c).alias("value")) for c in ("src_ip", "dst_ip") if c in events.columns])
+    rows = events.select(F.col(id_), F.explode_outer(F.concat(found, own)).alias("o")).where("o.value is not null")
+    return rows.select(id_, "o.ioc_type", "o.value").distinct()
+
+
+def ti_matches(events: DataFrame, iocs: DataFrame, id_: str = "id") -> DataFrame:
+    """Rows (id, indicator, ioc_type, source, severity, observed), one for each event and indicator that it touches: an
+    address that is an indicator itself is not looked for in networks, others match the narrowest network."""
+    seen = event_observables(events, id_)
+    address = F.col("ioc_type") == "ip"
+    seen = written(seen.select(id_, "ioc_type", "value", F.when(address, ip.key(F.col("value"))).otherwise(F.col("value")).alias("k")), "observables")
+    label = F.struct("indicator", "source", "severity").alias("label")
+    exact = iocs.where("ioc_type <> 'cidr'").withColumn("indicator", F.lower("indicator"))
+    exact = exact.select("ioc_type", F.when(address, ip.key(F.col("indicator"))).otherwise(F.col("indicator")).alias("k"), label)
+    exact = written(exact.where("k is not null").dropDuplicates(["ioc_type", "k"]), "indicators")
+    hits = seen.join(bounded(exact), ["ioc_type", "k"]).select(id_, "label", "ioc_type", "value")
+    nets = iocs.where("ioc_type = 'cidr'").select(ip.networked(F.col("indicator")).alias("n"), label)
+    nets = nets.where("n is not null").select("n.prefix", "n.length", "label")
+    others = seen.where(address).join(bounded(exact.where(address).select("k")), "k", "left_anti")
+    inside = longest_prefix(others.select(id_, "value"), "value", nets, "label").where("label is not null")
+    every = hits.unionByName(inside.select(id_, "label", F.lit("cidr").alias("ioc_type"), "value"))
+    every = every.groupBy(id_, "label.indicator", "ioc_type").agg(F.min(F.struct("label.source", "label.severity", "value")).alias("x"))
+    return every.select(id_, "indicator", "ioc_type", "x.source", "x.severity", F.col("x.value").alias("observed"))
+
+
+def ti_alerts(matches: DataFrame, id_: str = "id") -> DataFrame:
+    """One alert for each event that touches an indicator: the rule, the highest severity and the sorted indicators."""
+    return matches.groupBy(id_).agg(
+        F.lit(TI_RULE[0]).alias("rule_id"),
+        F.lit(TI_RULE[1]).alias("title"),
+        severities.highest(F.col("severity")).alias("level"),
+        F.array_sort(F.collect_set("indicator")).alias("indicators"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -173,35 +174,51 @@ def _hidden(action: Action, value: Column) -> Column:
     return F.lit("[redacted]")
 
 
-def _literal_regex(value: Column) -> Column:
-    """The value as a pattern that matches it as a whole word."""
-    return F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9_])"))
+#: Values of so many characters are hidden inside words too, and the network of pseudonym addresses.
+EMBEDDED_FROM = 8
+PSEUDONYMS = ("100.64.0.0", 22)
+
 
+def pseudonym(action: Action, value: Column) -> Column:
+    """An address of the shared address space (100.64.0.0/10) that stands for a value: equal for equal ones."""
+    digest = F.sha2(F.concat(F.lit(action.salt), value.cast("string")), 256)
+    host = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long").bitwiseAND(F.lit((1 << PSEUDONYMS[1]) - 1))
+    parts = [F.lit("100"), 64 + F.shiftright(host, 16), F.shiftright(host, 8).bitwiseAND(F.lit(255)), host.bitwiseAND(F.lit(255))]
+    return F.concat_ws(".", *[p.cast("string") for p in parts])
 
-def _json_values(text: Column, change) -> Column:
-    """A change of the string values of a JSON text; keys, which a colon follows, stay."""
-    return change(text, r"(?!\"\s*:)")
+
+def _literal_regex(value: Column) -> Column:
+    """The value as a pattern: a long one anywhere, a short one where it stands as a whole word."""
+    quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    word, long = "^[A-Za-z0-9_]$", F.length(value) >= EMBEDDED_FROM
+    left = F.when(long | ~F.substring(value, 1, 1).rlike(word), "").otherwise(r"(?<![A-Za-z0-9_])")
+    right = F.when(long | ~F.substring(value, -1, 1).rlike(word), "").otherwise(r"(?![A-Za-z0-9_])")
+    return F.concat(left, quoted, right)
 
 
 def mask(events: DataFrame, action: Action) -> DataFrame:
-    """Named columns are replaced (addresses and numbers become null), and their former values wherever else they stand;
-    raw keys at the top level are replaced; patterns are replaced in all texts and raw values."""
+    """Named columns are replaced (redacted addresses and numbers become null, hashed addresses a pseudonym one), and
+    their former values wherever else they stand, short ones as whole words; raw keys at the top level are replaced;
+    patterns are replaced in all texts and raw values."""
     hit = condition(action.when)
     out = events.withColumn("_hit", hit)
     texts = [c for c in TEXT_COLUMNS if c in events.columns]
     for name in action.fields:
         out = out.withColumn("_old", F.when(F.col("_hit"), F.col(name).cast("string")))
-        known = F.col("_old").isNotNull() & (F.length("_old") >= 3)
-        new = _hidden(action, F.col("_old"))
+        known = F.length("_old") > 0
+        address = name in ("src_ip", "dst_ip") and action.method == "hash"
+        new = (pseudonym if address else _hidden)(action, F.col("_old"))
         places = {c: F.when(known, F.regexp_replace(F.col(c), _literal_regex(F.col("_old")), new)).otherwise(F.col(c)) for c in texts if c != name}
         if "raw" in events.columns:
-            pattern = F.concat(_literal_regex(F.col("_old")), F.lit(r"(?![^\"]*\"\s*:)"))
+            escaped = F.replace(F.replace("_old", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+            pattern = F.concat(_literal_regex(escaped), F.lit(r"(?![^\"]*\"\s*:)"))
             places["raw"] = F.when(known, F.regexp_replace("raw", pattern, new)).otherwise(F.col("raw"))
-        own = new if name in TEXT_COLUMNS else F.lit(None).cast(events.schema[name].dataType)
+        own = new if name in TEXT_COLUMNS or address else F.lit(None).cast(events.schema[name].dataType)
         places[name] = F.when(F.col("_old").isNotNull(), own).otherwise(F.col(name))
         out = out.withColumns(places).drop("_old")
     for key in action.raw_keys:
-        pattern = rf'("{key}"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}}\]\s]+)'
+        name = r"\Q" + json.dumps(key, ensure_ascii=False).replace(r"\E", r"\E\\E\Q") + r"\E"
+        pattern = rf'({name}\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}}\]\s]+)'
         value = raw_json.value(F.col("raw"), [key])
         new = F.concat(F.lit('$1"'), _hidden(action, value), F.lit('"'))
         out = out.withColumn("raw", F.when(F.col("_hit") & value.isNotNull(), F.regexp_replace("raw", F.lit(pattern), new)).otherwise(F.col("raw")))

@@ -75,20 +75,28 @@ class Rule:
         )
 
 
+#: Fixed value: objects are opened down to this depth below the record.
+DEEPEST = 16
+
+
 def flat_raw(raw: Column) -> Column:
-    """The raw record's top two levels as a map of lower-cased, dot-joined keys to lower-cased text."""
-    top = F.from_json(raw, "map<string,string>")
-    inner = F.flatten(
-        F.transform(
-            F.map_entries(F.map_filter(top, lambda k, v: v.startswith("{"))),
-            lambda e: F.transform(
-                F.map_entries(F.from_json(e["value"], "map<string,string>")),
-                lambda x: F.struct(F.lower(F.concat_ws(".", e["key"], x["key"])).alias("k"), x["value"].alias("v")),
-            ),
-        )
-    )
-    outer = F.transform(F.map_entries(top), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
-    return F.coalesce(F.concat(outer, inner), F.array().cast("array<struct<k:string,v:string>>"))
+    """The raw record as structs (k, v): lower-cased, dot-joined keys and the text of values that are no objects. One
+    step of the aggregation opens the objects of one depth; where none is left the rest of the steps do nothing."""
+    none = F.array().cast("array<struct<k:string,v:string>>")
+
+    def entries(text: Column, prefix: Column) -> Column:
+        pairs = F.map_entries(F.from_json(text, "map<string,string>"))
+        return F.transform(pairs, lambda x: F.struct(F.lower(F.concat(prefix, x["key"])).alias("k"), x["value"].alias("v")))
+
+    is_object = lambda e: F.coalesce(e["v"].startswith("{") & F.from_json(e["v"], "map<string,string>").isNotNull(), F.lit(False))
+
+    def opened(acc: Column, _: Column) -> Column:
+        inner = F.flatten(F.transform(F.filter(acc["open"], is_object), lambda e: entries(e["v"], F.concat(e["k"], F.lit(".")))))
+        leaves = F.concat(acc["done"], F.filter(acc["open"], lambda e: ~is_object(e)))
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(F.struct(leaves.alias("done"), F.coalesce(inner, none).alias("open")))
+
+    top = F.coalesce(entries(raw, F.lit("")), none)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(DEEPEST)), F.struct(none.alias("done"), top.alias("open")), opened, lambda acc: acc["done"])
 
 
 class Compiler:

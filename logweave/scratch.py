@@ -60,10 +60,10 @@ def scope() -> Iterator[None]:
         _remove_all(before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The same rows, written as Parquet to the shared scratch folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/logweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _written.append((spark, path))
     return spark.read.options(**READ_OPTIONS).schema(df.schema).parquet(path)

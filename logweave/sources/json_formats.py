@@ -73,27 +73,34 @@ def _result(base: Column, result: Column) -> Column:
     return F.when(base.isNotNull() & result.isNotNull(), F.concat(base, F.lit(" ("), result, F.lit(")"))).otherwise(F.coalesce(base, result))
 
 
+#: The keys that a column is looked for under, the first that is there.
+GENERIC_KEYS = {
+    "vendor": ("observer.vendor", "vendor"),
+    "product": ("observer.product", "product"),
+    "event_time": ("@timestamp", "timestamp", "time", "eventtime", "event_time", "_time", "datetime", "created_at", "ts", "observedtimestamp", "date"),
+    "log_type": ("event.category", "event.type", "event_type", "event.dataset", "log_type", "logtype", "category", "type", "eventtype"),
+    "severity": ("event.severity", "severity", "level", "sev", "priority", "log.level"),
+    "action": ("event.action", "action", "act", "event_action", "disposition", "outcome", "activity"),
+    "src_ip": ("source.ip", "src_ip", "srcip", "source_ip", "sourceip", "client.ip", "client_ip", "clientip", "src", "ipaddress", "ip"),
+    "dst_ip": ("destination.ip", "dst_ip", "dstip", "dest_ip", "destip", "destination_ip", "server.ip", "dst"),
+    "src_port": ("source.port", "src_port", "srcport", "sport", "sourceport"),
+    "dst_port": ("destination.port", "dst_port", "dstport", "dport", "destinationport"),
+    "protocol": ("network.protocol", "network.transport", "protocol", "proto", "transport", "ip_proto"),
+    "user_name": ("user.name", "username", "user_name", "user", "account", "principal", "actor", "src_user", "subject"),
+    "host_name": ("host.name", "hostname", "host", "computer", "device", "dvc", "observer.hostname"),
+    "rule_name": ("rule.name", "rule", "rule_name", "signature", "alert.signature", "policy", "rulename"),
+    "bytes_total": ("network.bytes", "bytes", "bytes_total", "total_bytes"),
+    "message": ("message", "msg", "description", "summary", "text", "event.original", "raw_message"),
+}
+
+
 def generic_json(rows: DataFrame) -> DataFrame:
+    """Records of any JSON log, bare or in a list under a usual name."""
     rows, g = with_flat(records(rows, "records", "data", "events", "logs"))
-    return events(
-        rows,
-        F.lower(F.coalesce(g("observer.vendor", "vendor"), F.lit("json"))),
-        g("observer.product", "product"),
-        event_time=timestamp(g("@timestamp", "timestamp", "time", "eventtime", "event_time", "_time", "datetime", "created_at", "ts", "observedtimestamp", "date")),
-        log_type=g("event.category", "event.type", "event_type", "event.dataset", "log_type", "logtype", "category", "type", "eventtype"),
-        severity=F.lower(g("event.severity", "severity", "level", "sev", "priority", "log.level")),
-        action=g("event.action", "action", "act", "event_action", "disposition", "outcome", "activity"),
-        src_ip=g("source.ip", "src_ip", "srcip", "source_ip", "sourceip", "client.ip", "client_ip", "clientip", "src", "ipaddress", "ip"),
-        dst_ip=g("destination.ip", "dst_ip", "dstip", "dest_ip", "destip", "destination_ip", "server.ip", "dst"),
-        src_port=g("source.port", "src_port", "srcport", "sport", "sourceport"),
-        dst_port=g("destination.port", "dst_port", "dstport", "dport", "destinationport"),
-        protocol=F.lower(g("network.protocol", "network.transport", "protocol", "proto", "transport", "ip_proto")),
-        user_name=g("user.name", "username", "user_name", "user", "account", "principal", "actor", "src_user", "subject"),
-        host_name=g("host.name", "hostname", "host", "computer", "device", "dvc", "observer.hostname"),
-        rule_name=g("rule.name", "rule", "rule_name", "signature", "alert.signature", "policy", "rulename"),
-        bytes_total=g("network.bytes", "bytes", "bytes_total", "total_bytes"),
-        message=g("message", "msg", "description", "summary", "text", "event.original", "raw_message"),
-    )
+    found = {column: g(*keys) for column, keys in GENERIC_KEYS.items()}
+    found |= {column: F.lower(found[column]) for column in ("severity", "protocol")}
+    vendor, product = F.lower(F.coalesce(found.pop("vendor"), F.lit("json"))), found.pop("product")
+    return events(rows, vendor, product, **(found | {"event_time": timestamp(found["event_time"])}))
 
 
 def aws_cloudtrail(rows: DataFrame) -> DataFrame:

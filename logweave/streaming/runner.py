@@ -37,6 +37,20 @@ def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
+#: Stands for a batch's time where no event needs it.
+EPOCH = dt.datetime(1970, 1, 1)
+
+
+def batch_time(spark: SparkSession, path: str) -> dt.datetime:
+    """When a batch was first seen, for events without a time. It is stored beside the checkpoint before it is used, so
+    that a batch that is replayed gets the same time and its events the same identity."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        spark.createDataFrame([(now.isoformat(),)], "value string").write.mode("overwrite").text(path)
+    return dt.datetime.fromisoformat(spark.read.text(path).first()[0])
+
+
 def to_store(
     events: DataFrame,
     store: str,
@@ -52,7 +66,7 @@ def to_store(
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        now = batch_time(spark, f"{checkpoint.rstrip('/')}-times/{number}") if batch.where("event_time is null").limit(1).count() else EPOCH
         out = ingest.chain(batch, batch_time=now, mappers=mappers, actions=actions, models=models)
         known = stored(spark, store)
         if known is not None:

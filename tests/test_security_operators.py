@@ -220,3 +220,95 @@ def test_streams_equal_batches(spark, tmp_path):
     runner.correlate_to(runner.read_events(spark, ordered, rows.schema, files_per_batch=1), rule, out, str(tmp_path / "m2"), slide_s=300).awaitTermination(120)
     got = {(r.window_start, r.user_name, r.n) for r in spark.read.parquet(out).collect()}
     assert got == {(r.bucket, r.user_name, r.n) for r in correlate.buckets(rows, rule).collect()}
+
+
+def test_rules_read_raw_keys_at_any_depth(spark):
+    deep = "x"
+    for k in range(16, 0, -1):
+        deep = f'{{"k{k}": {deep if k < 16 else chr(34) + "Found" + chr(34)}}}'
+    path = ".".join(f"k{k}" for k in range(1, 17))
+    assert fires(spark, {"s": {path: "found"}, "condition": "s"}, event(raw=deep))
+    assert fires(spark, {"s": {"a.B.c|contains": "ell"}, "condition": "s"}, event(raw='{"A": {"b": {"C": "Hello", "d": {}}}}'))
+    assert fires(spark, {"k": ["hello"], "condition": "k"}, event(raw='{"a": {"b": {"c": ["x", "say Hello"]}}}'))
+    assert not fires(spark, {"s": {"a|exists": True}, "condition": "s"}, event(raw='{"a": {"b": 1}}'))
+    assert fires(spark, {"s": {"a": "{odd"}, "condition": "s"}, event(raw='{"a": "{odd", "b": null}'))
+
+
+def test_masked_values_do_not_stay_elsewhere(spark):
+    rows = [
+        event(1, user_name="al", message="runas al, al.x (pal)", raw='{"who": "CORP\\\\al", "al": 1}', src_ip="10.1.2.3"),
+        event(2, user_name="jdoe.smith", message="abcjdoe.smithxyz", raw='{"url": "/u/jdoe.smith2"}', src_ip="10.1.2.3"),
+        event(3, user_name="-x", message="a-x -xb", src_ip=None),
+    ]
+    act = ingest.Action.parse({"id": "m", "action": "mask", "mask": {"fields": ["user_name", "src_ip"], "method": "hash", "salt": "s", "raw": ["pi+n"]}})
+    a, b, c = ingest.apply_actions(spark.createDataFrame(rows, EVENT), [act]).orderBy("id").collect()
+    assert a.message == f"runas {a.user_name}, {a.user_name}.x (pal)" and a.raw == f'{{"who": "CORP\\\\{a.user_name}", "al": 1}}'
+    assert b.message == f"abc{b.user_name}xyz" and b.raw == f'{{"url": "/u/{b.user_name}2"}}'
+    assert c.message == f"a{c.user_name} -xb" and c.src_ip is None
+    assert a.src_ip == b.src_ip and ipaddress.ip_address(a.src_ip) in ipaddress.ip_network("100.64.0.0/10")
+    act = ingest.Action.parse({"id": "m", "action": "mask", "mask": {"raw": ["p.n"]}})
+    assert ingest.apply_actions(spark.createDataFrame([event(raw='{"pin": 1, "p.n": 2}')], EVENT), [act]).first().raw == '{"pin": 1, "p.n": "[redacted]"}'
+
+
+def test_ranges_of_both_versions(spark):
+    rng = random.Random(3)
+    lines = ["start,end,country", "2001:db8::/32,DE", "2001:db8:5::,2001:db8:9:ffff::1,FR", "10.0.0.0/8,US", "::/0,XX", "10.0.0.1,::1,no", "1.2.3.4,ZZ"]
+    ranges = enrich.csv_ranges(lines)
+    assert len(ranges) == 4
+    table = enrich.range_table(spark, enrich.flatten_ranges(ranges))
+    assert table.count() < 3000
+    addresses = [str(ipaddress.IPv6Address((0x20010DB8 << 96) + rng.getrandbits(96))) for _ in range(60)] + [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(20)]
+    addresses += ["2001:db8:5::", "2001:db8:9:ffff::1", "2001:db8:9:ffff::2", "10.9.8.7", "11.0.0.0", "x"]
+    rows = spark.createDataFrame([(a,) for a in addresses] + [(None,)], "a string")
+    got = {r.a: r.c for r in enrich.range_label(rows, "a", table, "c").collect()}
+
+    def want(a):
+        try:
+            x = ipaddress.ip_address(a)
+        except ValueError:
+            return None
+        if x.version == 4:
+            return "US" if x in ipaddress.ip_network("10.0.0.0/8") else None
+        if ipaddress.ip_address("2001:db8:5::") <= x <= ipaddress.ip_address("2001:db8:9:ffff::1"):
+            return "FR"
+        return "DE" if x in ipaddress.ip_network("2001:db8::/32") else "XX"
+
+    assert got == {a: want(a) for a in addresses} | {None: None}
+
+
+def test_events_that_touch_indicators(spark):
+    rows = [
+        event(1, src_ip="10.1.2.3", raw='{"a": {"b": "see bad.example.com"}, "evil.example": 1}'),
+        event(2, dst_ip="2001:DB8:0::1", message="10.1.9.9 and " + "AB" * 16),
+        event(3, src_ip="10.1.2.4", user_name="x"),
+        event(4, raw=None),
+    ]
+    iocs = [("10.1.2.3", "ip", "f", "low"), ("10.1.0.0/16", "cidr", "g", "medium"), ("10.0.0.0/8", "cidr", "g", "high"), ("2001:db8::1", "ip", "f", "critical"), ("Bad.example.com", "domain", "f", "high"), ("evil.example", "domain", "f", "high"), ("ab" * 16, "hash", "h", None)]
+    matches = enrich.ti_matches(spark.createDataFrame(rows, EVENT), spark.createDataFrame(iocs, "indicator string, ioc_type string, source string, severity string"))
+    got = sorted((r.id, r.indicator, r.ioc_type) for r in matches.collect())
+    assert got == [(1, "10.1.2.3", "ip"), (1, "bad.example.com", "domain"), (2, "10.1.0.0/16", "cidr"), (2, "2001:db8::1", "ip"), (2, "ab" * 16, "hash"), (3, "10.1.0.0/16", "cidr")]
+    alerts = {r.id: (r.level, len(r.indicators)) for r in enrich.ti_alerts(matches).collect()}
+    assert alerts == {1: ("high", 2), 2: ("critical", 3), 3: ("medium", 1)}
+
+
+def test_replayed_batches_keep_their_time(spark, tmp_path):
+    path = str(tmp_path / "times" / "0")
+    first = runner.batch_time(spark, path)
+    assert runner.batch_time(spark, path) == first and runner.batch_time(spark, path + "1") >= first
+
+
+def test_chains_equal_brute_force(spark):
+    rng, t = random.Random(6), dt.datetime(2024, 1, 1)
+    rows = [(i, t + dt.timedelta(seconds=rng.randrange(4000)), f"u{rng.randrange(12)}", rng.choice([None, "", f"h{rng.randrange(9)}"]), f"ip{rng.randrange(30)}") for i in range(60)]
+    alerts = spark.createDataFrame(rows, "alert_id long, event_time timestamp, user_name string, host_name string, src_ip string")
+    group = {r[0]: {r[0]} for r in rows}
+    for column in (2, 3, 4):
+        for value in {r[column] for r in rows if r[column]}:
+            same = sorted((r[1], r[0]) for r in rows if r[column] == value)
+            for (t1, a), (t2, b) in zip(same, same[1:]):
+                if (t2 - t1).total_seconds() <= 300 and group[a] is not group[b]:
+                    group[a] |= group[b]
+                    for x in group[b]:
+                        group[x] = group[a]
+    got = {r.alert_id: r.chain_id for r in killchain.chains(alerts, 300).collect()}
+    assert got == {i: min(g) for i, g in group.items()} and len(set(got.values())) > 3
