@@ -241,8 +241,8 @@ def digest(stored: DataFrame) -> DataFrame:
 
 def op7_audio(docs: DataFrame) -> DataFrame:
     with small_batches(docs.sparkSession):
-        media = written(media_table(docs), "media")
-        tensors = written(features(media), "tensors")
+        media = written(media_table(docs), "media", "zstd")
+        tensors = written(features(media), "tensors", "zstd")
     return digest(tensors).select(
         "doc_id", "n_bytes", "sound.payload_bytes", "sound.payload_sha256", "sound.tail_crc32", "sound.media_bytes", "media_sha256", "feature"
     )

@@ -298,8 +298,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
 
     with small_batches(docs.sparkSession):
         texts = sample(docs, labels, "toxic", per_label=per_label)
-        got = texts.mapInArrow(words, "k long, y int, h long, words array<string>").collect()
-        rows = [r | {"words": set(r["words"])} for r in chosen((r.asDict() for r in got), per_label)]
+        got = texts.mapInArrow(words, "k long, y int, h long, words array<string>").toArrow()
+        keys = [dict(zip("kyhi", x, strict=True)) for x in zip(*[got[c].to_pylist() for c in "kyh"], range(len(got)), strict=True)]
+        once: dict[str, str] = {}  # a word that many texts have is held once
+        rows = chosen(keys, per_label)
+        rows = [r | {"words": {once.setdefault(w, w) for w in got["words"][r["i"]].as_py()}} for r in rows]
+        del got
         first = [(r["words"], r["y"]) for r in rows if r["h"] % 2]
         return _model(first, [(r["words"], r["y"]) for r in rows], evidence)
 
