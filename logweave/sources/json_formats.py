@@ -333,10 +333,10 @@ def windows_security(rows: DataFrame) -> DataFrame:
 
     def last(label: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(rf"{label}:\s*([^\r\n\t]+)"), F.lit(1))
-        return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.transform(found, F.btrim), lambda v: ~v.isin("-", "NULL SID", ""))), -1)
+        return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.transform(found, lambda x: F.btrim(x)), lambda v: ~v.isin("-", "NULL SID", ""))), -1)
 
     user, domain = last("Account Name"), last("Account Domain")
-    summary = F.get(F.filter(F.transform(F.split(text, r"[\r\n]+"), F.btrim), lambda x: x != ""), 0)
+    summary = F.get(F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.btrim(x)), lambda x: x != ""), 0)
     return events(
         rows.withColumn("raw", _put(F.col("raw"), event_id=code)), "microsoft", "windows",
         event_time=timestamp(g("timecreated", "date and time", "date", "time created")),
@@ -390,7 +390,7 @@ def sysmon(rows: DataFrame) -> DataFrame:
     summary = (
         F.when(code == 1, f("CommandLine")).when(code == 3, connect).when(code == 22, F.concat(F.lit("DNS query "), unknown(f("QueryName"))))
         .when(code.isin(11, 23, 26), f("TargetFilename")).when(code.isin(12, 13, 14), f("TargetObject"))
-        .otherwise(F.coalesce(f("Image"), F.get(F.filter(F.transform(F.split(text, r"[\r\n]+"), F.btrim), lambda x: x != ""), 0)))
+        .otherwise(F.coalesce(f("Image"), F.get(F.filter(F.transform(F.split(text, r"[\r\n]+"), lambda x: F.btrim(x)), lambda x: x != ""), 0)))
     )
     lifted = {k: F.when(g(k).isNull(), f(k)) for k in SYSMON_LIFTED}
     rule = f("RuleName")
