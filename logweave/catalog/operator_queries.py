@@ -167,6 +167,91 @@ def _cases(spark, sf_dir):
     return analytics.case_rollup(cases, found)
 
 
+def _related_to(spark, sf_dir):
+    found = _alerts(spark, sf_dir)
+    found = found.withColumn("status", F.when(F.col("event_id") % 9 == 0, "suppressed").otherwise("new"))
+    one = found.where("rule_id = 'q_rule_all_of'").agg(F.min("alert_id")).first()[0]
+    return analytics.related_to_alert(found, one, limit=20).select("alert_id", "event_time")
+
+
+def _uncased(spark, sf_dir):
+    found = _alerts(spark, sf_dir).withColumn("case_id", F.when(F.col("user_name").isin("u1", "u2"), F.lit("c")))
+    found = found.withColumn("status", F.when(F.col("event_id") % 9 == 0, "closed").otherwise("new"))
+    return analytics.recent_uncased(found, AS_OF, hours=72, limit=5000).select("alert_id", "event_time")
+
+
+def _recent(spark, sf_dir):
+    found = _alerts(spark, sf_dir).withColumn("status", F.when(F.col("event_id") % 9 == 0, "suppressed").otherwise("new"))
+    return analytics.recent_alerts(found, level="HIGH").select("alert_id", "level")
+
+
+def _new_alerts(spark, sf_dir):
+    found = _alerts(spark, sf_dir)
+    return sigma.new_alerts(found, found.where("event_id % 3 = 0")).select("alert_id")
+
+
+def _top_risk(spark, sf_dir):
+    scored = analytics.top_risk(_alerts(spark, sf_dir), _known(spark, sf_dir), AS_OF, limit=15)
+    return scored.select("entity_type", "entity_value", F.round("score", 4).alias("score"), "alerts", "event_count")
+
+
+def _registry(spark, sf_dir):
+    """Nations as assets, and their customers as aliases."""
+    rank = F.expr("CASE n_regionkey WHEN 0 THEN 'critical' WHEN 1 THEN 'low' WHEN 2 THEN 'high' WHEN 3 THEN 'odd' END")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("asset_id"), "n_nationkey", rank.alias("criticality"))
+    names = table(spark, sf_dir, "customer").where("c_nationkey % 4 <> 0").join(enrich.bounded(rows), F.col("c_nationkey") == F.col("n_nationkey"))
+    kind = F.when(F.col("c_custkey") % 2 == 0, "hostname").otherwise("fqdn")
+    names = names.select("asset_id", kind.alias("alias_type"), F.col("c_name").alias("alias_value"))
+    return flat(analytics.registry_page(rows, names, "asset_id", "criticality", find="A", limit=12, offset=2).drop("n_nationkey"))
+
+
+def _identities(spark, sf_dir):
+    names = spark.createDataFrame([("corp\\u3", "id-q"), ("u4", "id-4"), ("u5@x.org", "id-5"), ("u3", "id-3")], "alias string, identity_id string")
+    user = F.expr("CASE id % 3 WHEN 0 THEN concat('CORP', chr(92), upper(user_name)) WHEN 1 THEN concat(user_name, '@x.org') ELSE user_name END")
+    rows = events(spark, sf_dir).withColumn("user_name", user).select("id", "user_name")
+    return enrich.identities(rows, names).select("id", "identity_id")
+
+
+def _labels(spark, sf_dir):
+    own = F.when(F.col("id") % 2 == 0, F.array(F.lit("PCI"), F.concat(F.lit("Zone-"), F.col("dst_port").cast("string"))))
+    user = F.when(F.col("id") % 3 == 0, F.array(F.lit("Admin"), F.lit("admin")))
+    return flat(events(spark, sf_dir).select("id", enrich.context_tags({"dest": own, "user": user}).alias("tags")))
+
+
+REVERTS = ["block_ip", "disable_user", "isolate_host", "add_ioc", "notify"]
+
+
+def _reverts(spark, sf_dir):
+    action = F.element_at(F.array(*[F.lit(a) for a in REVERTS]), (F.col("id") % 5 + 1).cast("int"))
+    status = F.when(F.col("id") % 2 == 0, "executed").otherwise("failed")
+    rows = events(spark, sf_dir).select("id", action.alias("action"), status.alias("status"), F.col("event_time").alias("revert_at"))
+    return analytics.due_reverts(rows, dt.datetime(2024, 1, 10)).select("id", "revert_action")
+
+
+def _retention(spark, sf_dir):
+    """Orders as rows of a month-partitioned store, and what the floor of three years keeps of them."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    kept = table(spark, sf_dir, "orders").withColumn("event_month", month).where(F.col("event_month") >= analytics.retention_cutoff(dt.date(1998, 8, 1), 1))
+    return kept.groupBy("event_month").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _diagnosis(spark, sf_dir):
+    rule = _rule("d", {"a": {"action": "deny"}, "b": {"dst_port": [443, 502]}, "condition": "a and not b"}, logsource={"product": "asa"})
+    out = sigma.diagnose(events(spark, sf_dir), rule)
+    return out.select("id", "matched", "logsource_ok", "datamodel_ok", F.col("selections")["a"].alias("a"), F.col("selections")["b"].alias("b"))
+
+
+def _dry_run(spark, sf_dir):
+    rule = _rule("d", {"a": {"action": "deny"}, "condition": "a"})
+    return sigma.dry_run(events(spark, sf_dir), rule, limit=300).select("id", "matched")
+
+
+def _coverage_map(spark, sf_dir):
+    found = _rules_frame(spark).withColumn("enabled", F.col("level") != "critical")
+    odd = spark.createDataFrame([("x", "low", ["t1048", "T1021.001"], ["exfiltration"], False), ("y", "low", [], [], True)], "rule_id string, level string, techniques array<string>, tactics array<string>, enabled boolean")
+    return flat(analytics.coverage_map(found.unionByName(odd)))
+
+
 SUPPRESSIONS = [{"id": 1, "rule_id": "Q_RULE_CIDR", "src_ip": "10.1.0.0/17"}, {"id": 2, "user_name": "u5"}, {"id": 3}, {"id": 4, "host_name": "h5", "enabled": False}]
 
 
@@ -371,6 +456,19 @@ def queries():
         "q_alert_techniques_unnest": lambda s, d: analytics.technique_counts(_alerts(s, d)),
         "q_rule_stats_left_joins": _rule_stats,
         "q_related_alerts_semi": _related,
+        "q_related_to_alert": _related_to,
+        "q_recent_uncased": _uncased,
+        "q_recent_alerts": _recent,
+        "q_new_alerts": _new_alerts,
+        "q_top_risk": _top_risk,
+        "q_registry_page": _registry,
+        "q_identity_lookup": _identities,
+        "q_context_labels": _labels,
+        "q_due_reverts": _reverts,
+        "q_retention": _retention,
+        "q_rule_diagnosis": _diagnosis,
+        "q_rule_dry_run": _dry_run,
+        "q_coverage_map": _coverage_map,
         "q_case_rollup": _cases,
         "q_suppression": _suppress,
         "q_playbook_match": lambda s, d: analytics.playbook_matches(_alerts(s, d), {"min_level": "high", "techniques": ["T1110"]}).select("alert_id"),
@@ -432,10 +530,23 @@ def oracle_sql():
     out["q_new_entities"] = f"WITH {ev}, {_ENT.format('ev')} SELECT entity_type, entity_value FROM ent WHERE first_seen >= TIMESTAMP '2023-12-31 12:00:00'"
     out["q_new_associations"] = f"WITH {ev}, e2 AS (SELECT * FROM ev WHERE event_time < TIMESTAMP '2024-01-03'), {_ENT.format('e2')}, {_LINK.format('e2')} SELECT l.entity_type, l.entity_value, l.peer_type, l.peer_value, l.n FROM lnk l JOIN ent e USING (entity_type, entity_value) WHERE l.first_seen >= TIMESTAMP '2024-01-02' AND e.first_seen < l.first_seen - INTERVAL 1 HOUR"
     out["q_risk_score"] = wa + ", x AS (SELECT (CASE level WHEN 'critical' THEN 10.0 WHEN 'high' THEN 6.0 WHEN 'medium' THEN 3.0 ELSE 1.0 END) * power(0.5, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(event_time)) / 1e6 / (7 * 86400.0)) AS s, unnest([{'t': 'user', 'v': user_name}, {'t': 'host', 'v': host_name}, {'t': 'ip', 'v': src_ip}]) AS e FROM al WHERE event_time >= TIMESTAMP '2024-01-01') SELECT e.t AS entity_type, e.v AS entity_value, round(sum(s), 4) AS score, count(*) AS alerts FROM x GROUP BY 1, 2"
+    out["q_top_risk"] = out["q_risk_score"].replace("SELECT e.t AS", ", " + _ENT.format("ev") + ", r AS (SELECT e.t AS", 1) + ") SELECT r.*, event_count FROM r LEFT JOIN ent USING (entity_type, entity_value) ORDER BY score DESC, entity_type, entity_value LIMIT 15"
     out["q_alert_levels"] = wa + "SELECT level, count(*) AS n FROM al GROUP BY 1"
     out["q_alert_techniques_unnest"] = wa + "SELECT technique, count(*) AS n FROM (SELECT unnest(techniques) AS technique FROM al) GROUP BY 1"
     out["q_rule_stats_left_joins"] = wa + "SELECT r.rule_id, coalesce(a.n, 0) AS alerts, a.last_alert, coalesce(s.n, 0) AS suppressed FROM (SELECT unnest(['" + "', '".join([*LEVELS, "never"]) + "']) AS rule_id) r LEFT JOIN (SELECT rule_id, count(*) AS n, max(event_time) AS last_alert FROM al GROUP BY 1) a USING (rule_id) LEFT JOIN (SELECT rule_id, count(*) AS n FROM al WHERE severity = 'low' GROUP BY 1) s USING (rule_id)"
     out["q_related_alerts_semi"] = wa + "SELECT alert_id, user_name FROM al WHERE EXISTS (SELECT 1 FROM al x WHERE x.rule_id = 'q_rule_all_of' AND x.user_name IN ('u3', 'u4') AND (x.user_name = al.user_name OR x.src_ip = al.src_ip))"
+    out["q_related_to_alert"] = wa + ", me AS (SELECT * FROM al WHERE alert_id = (SELECT min(alert_id) FROM al WHERE rule_id = 'q_rule_all_of')) SELECT al.alert_id, al.event_time FROM al, me WHERE al.alert_id <> me.alert_id AND al.id % 9 <> 0 AND (al.src_ip = me.src_ip OR al.user_name = me.user_name OR al.host_name = me.host_name) ORDER BY al.event_time DESC, al.alert_id DESC LIMIT 20"
+    out["q_recent_uncased"] = wa + "SELECT alert_id, event_time FROM al WHERE user_name NOT IN ('u1', 'u2') AND id % 9 <> 0 AND event_time >= TIMESTAMP '2024-01-28' ORDER BY event_time, alert_id LIMIT 5000"
+    out["q_recent_alerts"] = wa + "SELECT alert_id, level FROM al WHERE id % 9 <> 0 AND level = 'high'"
+    out["q_new_alerts"] = wa + "SELECT alert_id FROM al WHERE id % 3 <> 0"
+    out["q_registry_page"] = "SELECT n.n_name AS asset_id, CASE n_regionkey WHEN 0 THEN 'critical' WHEN 1 THEN 'low' WHEN 2 THEN 'high' WHEN 3 THEN 'odd' END AS criticality, coalesce(string_agg(CASE WHEN c_custkey % 2 = 0 THEN 'hostname:' ELSE 'fqdn:' END || c_name, ',' ORDER BY CASE WHEN c_custkey % 2 = 0 THEN 'hostname:' ELSE 'fqdn:' END || c_name) FILTER (WHERE c_name IS NOT NULL), '') AS aliases FROM nation n LEFT JOIN customer ON c_nationkey = n_nationkey AND c_nationkey % 4 <> 0 WHERE n_name ILIKE '%a%' GROUP BY n_name, n_regionkey ORDER BY CASE n_regionkey WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 3 ELSE 4 END, n_name LIMIT 12 OFFSET 2"
+    out["q_identity_lookup"] = w + "SELECT id, CASE WHEN id % 3 = 0 AND user_name = 'u3' THEN 'id-q' WHEN id % 3 = 0 AND user_name = 'u4' THEN 'id-4' WHEN id % 3 = 1 AND user_name = 'u5' THEN 'id-5' WHEN id % 3 = 2 AND user_name = 'u4' THEN 'id-4' WHEN id % 3 = 2 AND user_name = 'u3' THEN 'id-3' END AS identity_id FROM ev"
+    out["q_context_labels"] = w + "SELECT id, nullif(concat_ws(',', CASE WHEN id % 2 = 0 THEN concat('dest:pci,dest:zone-', dst_port) END, CASE WHEN id % 3 = 0 THEN 'user:admin' END), '') AS tags FROM ev"
+    out["q_due_reverts"] = w + "SELECT id, list_extract(['unblock_ip', 'enable_user', 'release_host', 'remove_ioc'], CAST(id % 5 + 1 AS INT)) AS revert_action FROM ev WHERE id % 2 = 0 AND id % 5 < 4 AND event_time <= TIMESTAMP '2024-01-10'"
+    out["q_retention"] = "SELECT strftime(o_orderdate, '%Y-%m') AS event_month, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m') >= '1995-08' GROUP BY 1"
+    out["q_rule_diagnosis"] = w + "SELECT id, action = 'deny' AND dst_port NOT IN (443, 502) AND product = 'asa' AS matched, product = 'asa' AS logsource_ok, true AS datamodel_ok, action = 'deny' AS a, dst_port IN (443, 502) AS b FROM ev"
+    out["q_rule_dry_run"] = w + "SELECT id, action = 'deny' AS matched FROM ev ORDER BY event_time DESC, id DESC LIMIT 300"
+    out["q_coverage_map"] = "SELECT * FROM (VALUES ('credential access', 1, 1, 'T1110', ''), ('lateral movement', 1, 1, 'T1021.001', ''), ('initial access', 1, 0, '', 'T1110'), ('exfiltration', 2, 1, '', 'T1021.001,T1048'), ('(untagged)', 1, 1, '', '')) t(tactic, rules, enabled_rules, covered, uncovered)"
     top = f"greatest({_RANK.format('c.severity')}, coalesce(m.top, 0))"
     out["q_case_rollup"] = wa + f"SELECT c.case_id, list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST({top} AS INT)) AS severity, coalesce(m.n, 0) AS alert_count FROM (VALUES ('u1', 'low'), ('u2', 'critical'), ('u99', 'medium')) c(case_id, severity) LEFT JOIN (SELECT user_name, count(*) AS n, max({_RANK.format('level')}) AS top FROM al WHERE user_name IN ('u1', 'u2', 'u3') GROUP BY 1) m ON m.user_name = c.case_id"
     third = _IPNUM.format("src_ip", 3)

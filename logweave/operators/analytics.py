@@ -124,14 +124,33 @@ def case_rollup(cases: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def related_open_alerts(alerts: DataFrame, entities: DataFrame) -> DataFrame:
-    """Open alerts that share a user, a host or an address with the given ones: three equi-joins, not one OR."""
-    open_ = alerts.where(F.col("status").isin("new", "open", "acknowledged"))
+    """Open alerts that share a user, a host or an address with the given ones."""
+    return _sharing(alerts.where(F.col("status").isin("new", "open", "acknowledged")), entities)
+
+
+def related_to_alert(alerts: DataFrame, alert_id, limit: int = 8) -> DataFrame:
+    """The latest alerts, but suppressed ones, that share a user, a host or an address with one alert."""
+    others = alerts.where((F.col("alert_id") != F.lit(alert_id)) & (F.col("status") != "suppressed"))
+    found = _sharing(others, alerts.where(F.col("alert_id") == F.lit(alert_id)))
+    return found.orderBy(F.col("event_time").desc_nulls_last(), F.col("alert_id").desc()).limit(limit)
+
+
+def _sharing(alerts: DataFrame, entities: DataFrame) -> DataFrame:
+    """Alerts with an entity of the given rows: three equi-joins, not one OR."""
     hits = None
     for column in ENTITY_COLUMNS.values():
         values = entities.select(column).where(F.col(column).isNotNull()).distinct()
-        part = open_.join(values, column, "left_semi").select("alert_id")
+        part = alerts.join(values, column, "left_semi").select("alert_id")
         hits = part if hits is None else hits.unionByName(part)
-    return open_.join(hits.distinct(), "alert_id", "left_semi")
+    return alerts.join(hits.distinct(), "alert_id", "left_semi")
+
+
+def recent_uncased(alerts: DataFrame, as_of: dt.datetime, hours: float = 24, limit: int = 5000) -> DataFrame:
+    """The oldest alerts of the last hours that belong to no case and are neither closed nor suppressed: what stories
+    are made of. An alert without a time counts by created_at, where there is such a column."""
+    time = F.coalesce("event_time", "created_at") if "created_at" in alerts.columns else F.col("event_time")
+    free = F.col("case_id").isNull() & ~F.col("status").isin("suppressed", "closed")
+    return alerts.where(free & (time >= F.lit(as_of - dt.timedelta(hours=hours)))).orderBy(time, "alert_id").limit(limit)
 
 
 SUPPRESSION_COLUMNS = {"rule_id": "rule_id", "user_name": "user_name", "host_name": "host_name", "vendor": "vendor"}
@@ -274,6 +293,28 @@ def in_class_order(conversations: DataFrame) -> DataFrame:
     return conversations.orderBy(first, (F.col("writes") + F.col("controls")).desc(), F.col("events").desc(), "src_ip", "dst_ip")
 
 
+# -- registries --------------------------------------------------------------------------------------------------
+
+RANKS = ("critical", "high", "medium", "low")
+
+
+def registry_page(rows: DataFrame, aliases: DataFrame, id_: str, rank: str, *, find: str | None = None, search=(), limit: int = 500, offset: int = 0) -> DataFrame:
+    """A page of assets or identities, the most important first, with their sorted "type:value" aliases: an empty list
+    where there are none. find is looked for in the search columns whatever its case."""
+    if find:
+        low = find.lower()
+        hits = [F.coalesce(F.lower(c).contains(low), F.lit(False)) for c in (id_, *search)]
+        rows = rows.where(F.exists(F.array(*hits), lambda h: h))
+    order = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in RANKS]), F.col(rank)), F.lit(0))
+    order = [F.when(order == 0, len(RANKS) + 1).otherwise(order), F.col(id_)]
+    shown = rows.orderBy(*order).offset(offset).limit(limit)
+    each = F.concat_ws(":", "alias_type", "alias_value")
+    known = aliases.where("alias_type is not null").join(shown.select(id_), id_, "left_semi")
+    known = known.groupBy(id_).agg(F.transform(F.array_sort(F.collect_list(F.struct("alias_type", "alias_value", each.alias("x")))), lambda s: s["x"]).alias("aliases"))
+    out = shown.join(known, id_, "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    return out.orderBy(*order)
+
+
 # -- coverage and compliance -------------------------------------------------------------------------------------
 
 
@@ -290,6 +331,21 @@ def tactic_coverage(rules: DataFrame) -> DataFrame:
     return rows.groupBy("tactic").agg(F.count_distinct("rule_id").alias("rules"), F.sum("n").alias("techniques"))
 
 
+def coverage_map(rules: DataFrame) -> DataFrame:
+    """Rules, enabled ones, and covered and uncovered techniques for each tactic; rules without one are "(untagged)".
+
+    rules has rule_id, enabled, techniques, tactics. A technique is covered in a tactic if an enabled rule has both.
+    """
+    tactics = F.when(F.size("tactics") > 0, F.col("tactics")).otherwise(F.array(F.lit("(untagged)")))
+    each = rules.select("rule_id", F.coalesce("enabled", F.lit(False)).alias("on"), "techniques", F.explode(tactics).alias("tactic"))
+    counts = each.groupBy("tactic").agg(F.count_distinct("rule_id").alias("rules"), F.count_distinct(F.when(F.col("on"), F.col("rule_id"))).alias("enabled_rules"))
+    pairs = each.select("tactic", "on", F.explode("techniques").alias("t")).groupBy("tactic", F.upper("t").alias("t")).agg(F.max("on").alias("on"))
+    lists = {name: F.array_sort(F.collect_list(F.when(F.col("on") == on, F.col("t")))) for name, on in (("covered", True), ("uncovered", False))}
+    named = pairs.groupBy("tactic").agg(*[c.alias(k) for k, c in lists.items()])
+    out = counts.join(named, "tactic", "left")
+    return out.withColumns({k: F.coalesce(k, F.array().cast("array<string>")) for k in lists})
+
+
 def compliance(controls: DataFrame, rules: DataFrame, alerts: DataFrame) -> DataFrame:
     """Controls (framework, control, technique): whether a rule covers any of a control's techniques, and its alerts."""
     covered = rules.select(F.explode("techniques").alias("technique")).distinct().withColumn("covered", F.lit(1))

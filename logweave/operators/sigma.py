@@ -182,33 +182,37 @@ class Compiler:
             return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
         return self.keyword(spec)
 
+    def selections(self, rule: Rule) -> dict[str, Column]:
+        return {k: self.selection(v) for k, v in rule.detection.items() if k != "condition"}
+
     def rule(self, rule: Rule, model_tags: dict[str, str] | None = None) -> Column:
-        selections = {k: self.selection(v) for k, v in rule.detection.items() if k != "condition"}
+        selections = self.selections(rule)
         condition = rule.detection.get("condition")
-        if isinstance(condition, list):
-            parts = [Condition(str(c), selections).column() for c in condition]
-            out = reduce(lambda a, b: a | b, parts)
-        else:
-            out = Condition(str(condition or ""), selections).column()
-        for name in ("vendor", "log_type"):
-            if name in rule.logsource:
-                out = out & self.same(name, rule.logsource[name])
+        texts = condition if isinstance(condition, list) else [condition or ""]
+        out = reduce(lambda a, b: a | b, [Condition(str(c), selections).column() for c in texts])
+        return out & self.logsource_gate(rule) & self.model_gate(rule, model_tags)
+
+    def logsource_gate(self, rule: Rule) -> Column:
+        """Whether the event is of the rule's log source; true for a rule without one."""
+        gates = [self.same(name, rule.logsource[name]) for name in ("vendor", "log_type") if name in rule.logsource]
         if "service" in rule.logsource:
-            out = out & self.same("log_type", rule.logsource["service"])
+            gates.append(self.same("log_type", rule.logsource["service"]))
         if "product" in rule.logsource:
             product = str(rule.logsource["product"]).lower()
-            gate = self.same("product", product)
-            for vendor in VENDORS.get(product, []):
-                gate = gate | self.same("vendor", vendor)
-            out = out & gate
-        if rule.datamodels:
-            tags = []
-            for m in rule.datamodels:
-                if not model_tags or m.lower() not in model_tags:
-                    raise ConfigError(f"{rule.id}: unknown data model {m!r}")
-                tags.append(model_tags[m.lower()])
-            out = out & F.coalesce(F.arrays_overlap("cim_models", F.array(*[F.lit(t) for t in tags])), F.lit(False))
-        return out
+            makers = [self.same("vendor", vendor) for vendor in VENDORS.get(product, [])]
+            gates.append(reduce(lambda a, b: a | b, makers, self.same("product", product)))
+        return reduce(lambda a, b: a & b, gates, F.lit(True))
+
+    def model_gate(self, rule: Rule, model_tags: dict[str, str] | None = None) -> Column:
+        """Whether the event is of a data model that the rule is bound to; true for a rule that is not bound."""
+        if not rule.datamodels:
+            return F.lit(True)
+        tags = []
+        for m in rule.datamodels:
+            if not model_tags or m.lower() not in model_tags:
+                raise ConfigError(f"{rule.id}: unknown data model {m!r}")
+            tags.append(model_tags[m.lower()])
+        return F.coalesce(F.arrays_overlap("cim_models", F.array(*[F.lit(t) for t in tags])), F.lit(False))
 
     def same(self, name: str, value: object) -> Column:
         return F.coalesce(F.lower(self.value(name)) == str(value).lower(), F.lit(False))
@@ -423,6 +427,26 @@ def alerts(events: DataFrame, compiled: Compiled) -> DataFrame:
     ).dropDuplicates(["rule_id", "dedup_hash"])
 
 
+def diagnose(events: DataFrame, rule: Rule, model_tags: dict[str, str] | None = None) -> DataFrame:
+    """events with a rule's verdict and why: matched, logsource_ok, datamodel_ok, and selections, a map of each by name.
+    A rule that cannot be compiled raises ConfigError."""
+    compiler = Compiler(events.columns)
+    named = [x for k, c in compiler.selections(rule).items() for x in (F.lit(k), F.coalesce(c, F.lit(False)))]
+    verdict = {
+        "matched": F.coalesce(compiler.rule(rule, model_tags), F.lit(False)),
+        "logsource_ok": compiler.logsource_gate(rule),
+        "datamodel_ok": compiler.model_gate(rule, model_tags),
+        "selections": F.create_map(*named),
+    }
+    return events.withColumn("_flat", flat_raw(F.col("raw"))).withColumns(verdict).drop("_flat")
+
+
+def dry_run(events: DataFrame, rule: Rule, limit: int = 200, model_tags: dict[str, str] | None = None) -> DataFrame:
+    """The verdict on the latest events, at most 1,000: what a rule would do before it is enabled. No alert is stored."""
+    latest = events.orderBy(F.col("event_time").desc_nulls_last(), F.col("id").desc()).limit(min(max(limit, 1), 1000))
+    return diagnose(latest, rule, model_tags)
+
+
 def new_alerts(found: DataFrame, store: DataFrame) -> DataFrame:
     """Alerts that the store does not hold."""
     return found.join(store.select("rule_id", "dedup_hash"), ["rule_id", "dedup_hash"], "left_anti")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,54 @@ def envelopes(rows: DataFrame) -> DataFrame:
     return out.where(F.col("value").isNotNull())
 
 
+_COUNTED = re.compile(rb"([0-9]+) (?=<)")
+
+#: No message of a stream is longer; what follows is a sender's error.
+LONGEST_MESSAGE = 1024 * 1024
+
+
+def frames(stream: bytes) -> list[str]:
+    """Messages of a recorded TCP syslog stream: counted octets where a count stands before a priority, else lines.
+    A counted message that the stream ends in goes, as it is not whole; a last line without an end is kept."""
+    out, at = [], 0
+    while at < len(stream):
+        counted = _COUNTED.match(stream, at)
+        if counted:
+            first = counted.end()
+            at = first + int(counted[1])
+            if at > len(stream):
+                break
+            body = stream[first:at]
+        else:
+            line = stream.find(b"\n", at)
+            line = len(stream) if line < 0 else line
+            body, at = stream[at:line], line + 1
+        text = body[:LONGEST_MESSAGE].decode("utf-8", "replace").strip()
+        if text:
+            out.append(text)
+    return out
+
+
+def syslog_streams(rows: DataFrame, column: str = "content") -> DataFrame:
+    """Rows (value) of the messages of recorded streams, a stream a row as spark.read.format("binaryFile") gives them.
+    Framing is sequential within a stream, so this is a vectorised function; null streams have no messages."""
+
+    def split(batches):
+        for batch in batches:
+            for content in batch[column]:
+                yield pd.DataFrame({"value": frames(bytes(content))})
+
+    return rows.select(column).where(F.col(column).isNotNull()).mapInPandas(split, "value string")
+
+
+def ingested_before(files: DataFrame, batches: DataFrame) -> DataFrame:
+    """Files (path, content) with their sha256 and the first batch that had the same content, null for new content:
+    batches has batch_id, sha256. Contents are hashed at the scan and go no further."""
+    hashed = files.select("path", F.sha2("content", 256).alias("sha256"))
+    known = batches.groupBy("sha256").agg(F.min("batch_id").alias("batch_id"))
+    return hashed.join(known, "sha256", "left")
+
+
 def parse_mixed(rows: DataFrame) -> DataFrame:
     """Events of rows (format, value): each format in use is parsed by its own parser."""
     formats = [r[0] for r in rows.select("format").distinct().collect()]  # a closed vocabulary

@@ -1,4 +1,4 @@
-from logweave.sources.transports import envelopes, export_csv, parse_mixed
+from logweave.sources.transports import envelopes, export_csv, frames, ingested_before, parse_mixed, syslog_streams
 
 
 def test_envelopes_are_split_and_parsed(spark):
@@ -14,3 +14,22 @@ def test_exports_are_no_formulas(spark, tmp_path):
     path = str(tmp_path / "x")
     export_csv(spark.createDataFrame([("=1+1", ["a"], 3)], "a string, b array<string>, c int"), path)
     assert [tuple(r) for r in spark.read.csv(path, header=True).collect()] == [("'=1+1", '["a"]', "3")]
+
+
+def test_streams_are_framed(spark):
+    counted = b"".join(b"%d %s" % (len(m), m) for m in (b"<13>a\nb", b"<14>c"))
+    assert frames(counted) == ["<13>a\nb", "<14>c"]
+    assert frames(b"12 Jun plain\n\n7 <13>abc<9>rest\nlast") == ["12 Jun plain", "<13>abc", "<9>rest", "last"]
+    assert frames(b"<13>x\n50 <13>cut off") == ["<13>x"]
+    assert frames(b"") == [] and frames(b"\xff\n") == ["\ufffd"]
+    rows = spark.createDataFrame([(bytearray(counted),), (None,), (bytearray(b""),)], "content binary")
+    assert sorted(r.value for r in syslog_streams(rows).collect()) == ["<13>a\nb", "<14>c"]
+
+
+def test_content_is_known_again(spark):
+    files = spark.createDataFrame([("p1", bytearray(b"x")), ("p2", bytearray(b"y")), ("p3", bytearray(b"x"))], "path string, content binary")
+    first = ingested_before(files, spark.createDataFrame([], "batch_id long, sha256 string"))
+    assert {r.batch_id for r in first.collect()} == {None}
+    batches = first.where("path = 'p1'").select("sha256").selectExpr("7L as batch_id", "sha256")
+    again = ingested_before(files, batches.unionByName(batches.selectExpr("9L as batch_id", "sha256")))
+    assert {(r.path, r.batch_id) for r in again.collect()} == {("p1", 7), ("p2", None), ("p3", 7)}
