@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,10 +70,10 @@ def syslog_streams(rows: DataFrame, column: str = "content") -> DataFrame:
 
     def split(batches):
         for batch in batches:
-            for content in batch[column]:
-                yield pd.DataFrame({"value": frames(bytes(content))})
+            for content in batch.column(0):
+                yield pa.RecordBatch.from_pydict({"value": pa.array(frames(content.as_py()), pa.string())})
 
-    return rows.select(column).where(F.col(column).isNotNull()).mapInPandas(split, "value string")
+    return rows.select(column).where(F.col(column).isNotNull()).mapInArrow(split, "value string")
 
 
 def ingested_before(files: DataFrame, batches: DataFrame) -> DataFrame:
