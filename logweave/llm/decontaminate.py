@@ -127,14 +127,27 @@ def benchmark_fingerprints(
     ).distinct(), short
 
 
+def _met_words(df: DataFrame) -> DataFrame:
+    """For column wh, and p on rows that met, adds dpos, the gram's place, and around, the document's words from place
+    afirst on that windows with this gram can hold. A few words ride on in place of the whole run of words."""
+    df = df.withColumn("dpos", _pos(F.col("p")))
+    df = df.withColumn("afirst", F.greatest(F.lit(0), F.col("dpos") - (PER_WINDOW - 1)))
+    around = F.slice("wh", F.col("afirst") + 1, WINDOW + PER_WINDOW - 1)
+    return df.withColumn("around", F.when(F.col("p") != -1, around)).drop("wh")
+
+
 def _equal_windows() -> Column:
     """Starts, in the document, of the windows around a met gram that equal the item's."""
     shift = F.col("dpos") - F.col("ipos")
-    lo = F.greatest(F.col("first"), -shift)
-    hi = F.least(F.col("ipos"), F.col("first") + F.size("near") - F.col("win"), F.size("wh") - shift - F.col("win"))
+    lo = F.greatest(F.col("first"), F.col("afirst") - shift)
+    hi = F.least(
+        F.col("ipos"),
+        F.col("first") + F.size("near") - F.col("win"),
+        F.col("afirst") + F.size("around") - shift - F.col("win"),
+    )
     found = F.filter(
         F.sequence(lo, hi),
-        lambda j: F.slice(F.col("wh"), j + shift + 1, F.col("win"))
+        lambda j: F.slice(F.col("around"), j + shift - F.col("afirst") + 1, F.col("win"))
         == F.slice(F.col("near"), j - F.col("first") + 1, F.col("win")),
     )
     spans = F.transform(
@@ -160,8 +173,12 @@ def meetings(
 
     One pass over the documents. The benchmark's fingerprints are broadcast if there are at most broadcast_rows
     of them; otherwise both sides are shuffled by fingerprint and the words of runs that met are joined back.
+
+    Generated code holds all rows that it makes of one run of words until it is left. Hence what leaves it are met
+    fingerprints with the words around them, stored before each is paired with the items that have it.
     """
     fps, short = benchmark_fingerprints(bench, item_id, item_text, long_text, run_words)
+    fps = written(fps, "fingerprints")
     small = fps.limit(broadcast_rows + 1).count() <= broadcast_rows
     base = _runs(docs, doc_id, text, long_text, run_words)
     # the first row of each run stands for itself; its key is outside the fingerprints' range and evenly dealt
@@ -171,17 +188,18 @@ def meetings(
     )
     key = F.when(mark, F.lit(1 << 60) + F.pmod(F.col("thash"), F.lit(1 << 20))).otherwise(_key(F.col("p")))
     prints = prints.withColumn("key", key)
-    met_some = mark | F.col("item").isNotNull()
     if small:
-        met = prints.join(F.broadcast(fps), "key", "left").where(met_some)
+        keys = F.broadcast(fps.select("key", F.lit(True).alias("known")).distinct())
+        met = _met_words(prints.join(keys, "key", "left").where(mark | F.col("known")).drop("known"))
+        met = written(met, "met").join(F.broadcast(fps), "key", "left")
     else:
-        met = written(prints.drop("wh").join(fps, "key", "left").where(met_some), "met")
+        met = written(prints.drop("wh").join(fps, "key", "left").where(mark | F.col("item").isNotNull()), "met")
         at = ["doc_id", "thash", "c"]
         wanted = met.where(~mark).select(*[F.col(k).alias(f"_{k}") for k in at]).distinct()
         same = same_rows([F.col(k) for k in at], [F.col(f"_{k}") for k in at])
         rows = base.join(wanted, same).groupBy(*[f"_{k}" for k in at]).agg(F.first("wh").alias("wh"))
-        met = met.join(rows, same, "left").drop(*[f"_{k}" for k in at])
-    met = met.withColumn("dpos", _pos(F.col("p"))).select(
+        met = _met_words(met.join(rows, same, "left").drop(*[f"_{k}" for k in at]))
+    met = met.select(
         "doc_id",
         "thash",
         "c",
@@ -189,9 +207,9 @@ def meetings(
         F.when(~mark, F.col("item")).alias("item"),
         F.when(~mark, _equal_windows()).alias("spans"),
     )
-    met = met.where(F.col("own").isNotNull() | (F.size("spans") > 0))
+    # a condition on the array would be moved below and compute it twice
+    met = met.select("doc_id", "thash", "c", "own", "item", F.explode_outer("spans").alias("x")).where("own is not null or x is not null")
     first = F.col("c").cast("long") * run_words
-    met = met.select("doc_id", "thash", "c", "own", "item", F.explode_outer("spans").alias("x"))
     return written(met.select("doc_id", "thash", "c", "own", "item", (first + F.col("x.s")).alias("s"), (first + F.col("x.e")).alias("e")), "meetings")
 
 

@@ -93,6 +93,17 @@ def test_decontamination_of_repeated_rows_and_empty_tables(spark, rng):
     assert decontaminate.op1_decontaminate(twice, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_many_words_in_one_run(spark, rng):
+    """Memory follows a run's words: not their square, and not the items that each of them meets."""
+    passage = words(rng, 20)
+    letters = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(65_000))
+    template = " ".join([passage] * 750)
+    assert max(len(letters) + 1 + len(passage), len(template)) <= decontaminate.LONG_TEXT
+    bench = spark.createDataFrame([(i, f"{passage} {words(rng, 20)}") for i in range(100)], "item_id long, text string")
+    out = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.op1_decontaminate(docs(spark, [f"{letters} {passage}", template]), bench).collect()}
+    assert out == {0: (65_020, 20, 100), 1: (15_000, 15_000, 100)}
+
+
 # -- line dedup -----------------------------------------------------------------------------------------------------
 
 
