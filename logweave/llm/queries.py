@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import audio, decontaminate, langid, linededup, minhash, packing, quality, secrets, sharding, toxicity
+from logweave.llm import audio, decontaminate, interactions, langid, linededup, minhash, packing, quality, secrets, sharding, toxicity, whitening, windows
 from logweave.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.op11_filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op12_whitening(table(spark, sf_dir, "embeddings"))
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.op13_window_packing(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pack": op8_pack,
         "op9_language": op9_language,
         "op10_quality": op10_quality,
+        "op11_filter_interactions": op11_filter_interactions,
+        "op12_whitening": op12_whitening,
+        "op13_window_packing": op13_window_packing,
     }
 
 
@@ -107,5 +122,31 @@ FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+# every document is sent through every order, filter by filter
+OP11_SQL = """
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+    coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS fails FROM w),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT row_number() OVER () AS r, part, fails, len(list_filter(fails, lambda x: x)) AS n_fails,
+    coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ways AS (SELECT o AS filter_order, step, ascii(o[step]) - 64 AS k FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+out AS (SELECT r, o, min(step) AS gone FROM d, (SELECT filter_order AS o, step, k FROM ways) WHERE fails[k] GROUP BY r, o),
+each AS (SELECT part, filter_order, step, k, coalesce(gone, 6) AS gone, fails[k] AS fails, n_fails, good, toxic
+    FROM d CROSS JOIN ways LEFT JOIN out ON out.r = d.r AND out.o = ways.filter_order),
+steps AS (SELECT part, filter_order, step, k, count(*) FILTER (gone > step) AS kept, count(*) FILTER (gone = step) AS removed,
+    count(*) FILTER (fails AND gone < step) AS redundant, count(*) FILTER (fails AND n_fails = 1) AS unique_fails,
+    count(*) FILTER (gone = step AND good) AS good_lost, count(*) FILTER (gone = step AND toxic) AS toxic_lost
+    FROM each GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM steps
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op4_near_duplicates": OP4_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_near_duplicates": OP4_SQL, "op11_filter_interactions": OP11_SQL}
