@@ -37,24 +37,24 @@ LINE_BITS = 26
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows (d, t, r, i, at, h1, h2, w): the i-th line that is not blank of row r, at its place in the text, its id and
     its words; d is the document's id and t the hash of its text."""
-    split = docs.select(
+    keyed = docs.select(
         F.col(doc_id).alias("d"),
         F.xxhash64(F.col(text)).alias("t"),
         F.monotonically_increasing_id().alias("r"),
-        F.transform(F.split(F.col(text), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\r\f\x0b"))).alias("l"),
-    ).where(F.col("l").isNotNull())
-    places = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get(F.col("l"), i) != "")
-    rows = split.select("d", "t", "r", "l", F.posexplode_outer(places).alias("i", "at")).where("i is not null")
-    line = F.get(F.col("l"), F.col("at"))
+        F.col(text).alias("x"),
+    )
+    # places and lines are exploded together, so that nothing but keys stands beside them on a row
+    trimmed = F.transform(F.split("x", "\n", -1), lambda x, at: F.struct(at.alias("at"), F.btrim(x, F.lit(" \t\r\f\x0b")).alias("line")))
+    rows = keyed.select("d", "t", "r", F.posexplode_outer(F.filter(trimmed, lambda x: x["line"] != "")).alias("i", "l")).where("i is not null")
     return rows.select(
         "d",
         "t",
         "r",
         "i",
-        "at",
-        F.xxhash64(line).alias("h1"),
-        F.xxhash64(F.lit(7), line).alias("h2"),
-        F.size(F.split(line, r"\s+")).alias("w"),
+        "l.at",
+        F.xxhash64("l.line").alias("h1"),
+        F.xxhash64(F.lit(7), "l.line").alias("h2"),
+        F.size(F.split("l.line", r"\s+")).alias("w"),
     )
 
 

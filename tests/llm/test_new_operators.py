@@ -10,9 +10,10 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logweave.llm import interactions, whitening, windows
+from logweave.llm import decontaminate, interactions, linededup, minhash, whitening, windows
 
 # -- filter interactions --------------------------------------------------------------------------------------------
 
@@ -231,3 +232,30 @@ def test_the_plan_of_windows_uses_each_length_once():
         assert taken == counts
         line = sum((hi - lo) * length for length, lo, hi, *_, place in rows if place is not None)
         assert bounds[-1] == line and bounds[0] % capacity == 0 and all((b - a).bit_count() == 1 for a, b in itertools.pairwise(bounds))
+
+
+# -- long texts -----------------------------------------------------------------------------------------------------
+
+
+def beside_generators(df):
+    """What stands on the rows that a plan's generators make, besides what they generate."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"\), \[([^\[\]]*)\], (?:true|false), \[[^\[\]]*\]", plan)
+    assert len(found) == plan.count("Generate ") > 0
+    return [set(re.sub(r"#\d+L?", "", x).split(", ")) for x in found]
+
+
+def test_nothing_but_keys_stands_beside_the_runs_of_a_text(spark):
+    df = documents(spark, [(1, "a b c", "en")])
+    assert beside_generators(linededup._lines(df, "doc_id", "text")) == [{"d", "t", "r"}]
+    assert beside_generators(decontaminate._runs(df, "doc_id", "text", 100, 10)) == [{"doc_id", "thash"}]
+    keys = [F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("h")]
+    assert beside_generators(minhash._sets(df, keys, F.col("text"), 3, 100, 10)) == [{"doc_id", "h"}]
+
+
+def test_a_text_of_very_many_lines(spark):
+    """A work quadratic in a text's lines would not end here."""
+    half = [f"line {i} has some words of its own" for i in range(60_000)]
+    once = {r.doc_id: r for r in linededup.op2_line_dedup(documents(spark, [(1, "\n".join(half + half), "en"), (2, "\n".join(half[:9]), "en")])).collect()}
+    assert (once[1].n_lines, once[1].n_removed, once[1].text) == (120_000, 60_000, "\n".join(half))
+    assert (once[2].n_removed, once[2].text) == (9, "")
