@@ -83,12 +83,10 @@ def _pos(packed: Column) -> Column:
 def _runs(docs: DataFrame, doc_id: str, text: str, long_text: int, run_words: int) -> DataFrame:
     """Rows (doc_id, thash, c, own, wh): of the c-th run of a text's words, how many are its own, and the hashes of
     these and of the WINDOW - 1 words behind them."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    runs = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.xxhash64(F.col(text)).alias("thash"),
-        F.posexplode_outer(word_runs(body, SPACE, WINDOW - 1, long_text=long_text, run_words=run_words)).alias("c", "x"),
-    )
+    # what is worked out of the text stands below the runs, so that these do not carry it
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("thash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    each = word_runs(F.col("text"), SPACE, WINDOW - 1, long_text=long_text, run_words=run_words)
+    runs = keyed.select("doc_id", "thash", F.posexplode_outer(each).alias("c", "x"))
     joined = F.when(F.col("x.next").isNull(), F.col("x.run")).otherwise(F.concat_ws(" ", "x.run", "x.next"))
     runs = runs.select("doc_id", "thash", F.coalesce("c", F.lit(0)).alias("c"), F.col("x.next").isNull().alias("last"), word_hashes(joined).alias("wh"))
     return runs.select("doc_id", "thash", "c", F.when(F.col("last"), F.size("wh")).otherwise(F.lit(run_words)).alias("own"), "wh")
