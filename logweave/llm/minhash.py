@@ -221,8 +221,10 @@ def _links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 def _sets(docs: DataFrame, keep: list[Column], text: Column, words: int, long_text: int, run_words: int) -> DataFrame:
     """keep and (c, part, set): the shingles of whole texts, or, where part is true, those that begin in the c-th run of
     a long text's words."""
-    runs = word_runs(F.coalesce(text, F.lit("")), BLANK, max(1, words - 1), long_text=long_text, run_words=run_words)
-    each = docs.select(*keep, F.posexplode_outer(runs).alias("c", "x"))
+    runs = word_runs(F.col("_text"), BLANK, max(1, words - 1), long_text=long_text, run_words=run_words)
+    # what is worked out of the text stands below the runs, so that these do not carry it
+    keyed = docs.select(*keep, F.coalesce(text, F.lit("")).alias("_text"))
+    each = keyed.select(*[c for c in keyed.columns if c != "_text"], F.posexplode_outer(runs).alias("c", "x"))
     joined = F.when(F.col("x.next").isNull(), F.col("x.run")).otherwise(F.concat_ws(" ", "x.run", "x.next"))
     first = F.coalesce(F.col("c") == 0, F.lit(True))
     part = ~first | F.col("x.next").isNotNull()
