@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.common import small_batches, spread, written
 from logweave.llm.ordinals import numbered
-from logweave.llm.packing import CAPACITY, CLOSING_MARKS, MEMO_CHUNKS, PER_SALT, SALTS, _byte_letters, _tokenizer, minimum_bin_slack
+from logweave.llm.packing import CAPACITY, MEMO_CHUNKS, PER_SALT, SALTS, _byte_letters, _tokenizer, minimum_bin_slack
 
 CLOSING = (1).to_bytes(4, "little")
 #: The settings of a vocabulary whose chunks may be encoded one by one, and plain words by the model alone.
@@ -40,17 +40,21 @@ PLAIN_SETTINGS = {
     "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
 }
 SPECIAL = "<|endoftext|>"
-#: Between a character that is no white space and a space before another such: here the tokenizer always begins anew.
-BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
+#: Parts of a text at whose ends the tokenizer always begins anew: Latin letters, with the space before them, that no other
+#: letter follows; another run without white space, with the space before it; and white space before such a run, its
+#: last character apart. The separators from 1C to 1F are no white space to the tokenizer.
+PARTS = re.compile(
+    r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]++(?![^\W\d_])| ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]"
+)
 
 
 class Encoder:
     """Token ids of texts as little-endian bytes.
 
     A vocabulary with PLAIN_SETTINGS keeps white space: a word's space is its first letter. The ids of a text are those
-    of its chunks in turn, which are cut at BOUNDARY, encoded once and remembered. Letters with closing punctuation are
-    split there, as the tokenizer does, and the letters go straight to the tokenizer's model; any other chunk goes
-    through the whole tokenizer. So do texts with the special token, and all texts with a vocabulary of other settings.
+    of its PARTS in turn, which are encoded once and remembered. Letters go straight to the tokenizer's model; any other
+    part goes through the whole tokenizer. So do texts with the special token, and all texts with a vocabulary of other
+    settings.
     """
 
     def __init__(self, path: str, memo: int = MEMO_CHUNKS) -> None:
@@ -63,28 +67,21 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        word = chunk.rstrip(CLOSING_MARKS)
-        if not word.removeprefix(" ").isalpha():
-            return self._whole(chunk)
-        ids = self.memo.get(word)
-        if ids is None:
-            spelled = word.encode().decode("latin-1").translate(self.letters)
-            ids = self.memo[word] = array.array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        tail = chunk[len(word) :]
-        if tail and tail not in self.memo:
-            self.memo[tail] = self._whole(tail)
-        return ids + self.memo[tail] if tail else ids
+    def _part(self, part: str) -> bytes:
+        if not part.removeprefix(" ").isalpha():
+            return self._whole(part)
+        spelled = part.encode().decode("latin-1").translate(self.letters)
+        return array.array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str) -> bytes:
         if not self.plain or SPECIAL in text:
             return self._whole(text)
-        memo, chunks = self.memo, BOUNDARY.split(text)
+        memo, parts = self.memo, PARTS.findall(text)
         if len(memo) > self.most:
             memo.clear()
-        for c in set(chunks).difference(memo):
-            memo[c] = self._chunk(c)
-        return b"".join(map(memo.__getitem__, chunks))
+        for p in set(parts).difference(memo):
+            memo[p] = self._part(p)
+        return b"".join(map(memo.__getitem__, parts))
 
 
 _encoders: dict[str, Encoder] = {}
