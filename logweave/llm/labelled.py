@@ -29,9 +29,10 @@ def sample(
     doc_id: str = "doc_id",
     text: str = "text",
     per_label: int = PER_LABEL,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Stored rows (k, y, h, t): the whole texts of somewhat more than per_label documents of each label (0 or 1), their
-    hash h and a number k to order them by; never a document that is held out, nor an empty text. Of several texts
+    hash h, the columns to keep and a number k to order them by; never a document that is held out, nor an empty text. Of several texts
     under one id the one with the least hash is taken. No window and no sort goes over a label.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
@@ -41,9 +42,9 @@ def sample(
         bound = HASHES if n <= per_label else int(min(1.0, (MORE * per_label + MARGIN) / n) * HASHES)
         drawn = drawn | ((F.col("y") == y) & (F.pmod(F.xxhash64("_id"), F.lit(HASHES)) < bound))
     known = known.where(drawn).select("_id", "y", F.xxhash64("_id").alias("k"))
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).where(F.length("t") > 0)
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h"), *keep).where(F.length("t") > 0)
     found = texts.join(F.broadcast(known), "_id")  # twice per_label rows and a margin
-    return written(found.groupBy("_id", "y", "k").agg(F.min_by("t", "h").alias("t"), F.min("h").alias("h")).drop("_id"), "labelled")
+    return written(found.groupBy("_id", "y", "k").agg(F.min_by("t", "h").alias("t"), *[F.min_by(c, "h").alias(c) for c in keep], F.min("h").alias("h")).drop("_id"), "labelled")
 
 
 def chosen(rows: Iterable[dict[str, Any]], per_label: int = PER_LABEL) -> list[dict[str, Any]]:

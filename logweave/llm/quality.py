@@ -2,12 +2,14 @@
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)): all pairwise interactions of
 the features at a cost linear in their number. The features are the text's distinct words, hashed into BUCKETS and
-scaled to unit length, and the standardised statistics of stats(). Neither labels nor language, source or id are read.
+scaled to unit length, and, standardised, the statistics of stats() and the documents' metadata: numeric columns, as
+logarithms beside a sign of their absence. Neither labels nor language, source or id are read.
 It is fitted on the bounded sample of labelled.sample() by AdaGrad in a fixed order; executors read the sample's texts,
 whole, and the driver gets their features: at most BUCKETS numbers and the statistics of a text.
 
 Defined cases: null and empty texts score as a text without words; without labels of both kinds every score is the
-share of label 1 (0.5 without any); equal texts have equal scores.
+share of label 1 (0.5 without any); equal texts with equal metadata have equal scores; a metadata column that is not there,
+or not a number, counts as null.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.common import small_batches
@@ -38,6 +40,8 @@ MEMO_WORDS = 300_000
 AT_ONCE = 500_000
 
 STATS = 14
+#: Numeric columns of documents that are features, two numbers each.
+METADATA = ("n_chars",)
 #: Kinds of characters, as bits. Plain marks are no symbols.
 LETTER, UPPER, DIGIT, SPACE, SYMBOL, STOP, PIPE, BANG = (1 << i for i in range(8))
 PLAIN_MARKS = frozenset("_.,;:'’\"()?-")
@@ -157,9 +161,10 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS) -> FactorisationMachi
 
 def fit_features(at: np.ndarray, sizes: np.ndarray, dense: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> FactorisationMachine:
     rng = np.random.default_rng(7)
-    w, v = np.zeros(BUCKETS + STATS), rng.normal(0, 0.05, (BUCKETS + STATS, RANK))
+    n_dense = dense.shape[1]
+    w, v = np.zeros(BUCKETS + n_dense), rng.normal(0, 0.05, (BUCKETS + n_dense, RANK))
     share = float(np.clip(y.mean() if len(y) else 0.5, 0.02, 0.98))
-    model = FactorisationMachine(np.zeros(STATS), np.ones(STATS), float(np.log(share / (1 - share))), w, v)
+    model = FactorisationMachine(np.zeros(n_dense), np.ones(n_dense), float(np.log(share / (1 - share))), w, v)
     if len(set(y)) < 2:
         model.v[:] = 0
         return model
@@ -167,7 +172,7 @@ def fit_features(at: np.ndarray, sizes: np.ndarray, dense: np.ndarray, y: np.nda
     dense = model.dense(dense)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     gw, gv, g0 = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
-    tail = np.arange(BUCKETS, BUCKETS + STATS)
+    tail = np.arange(BUCKETS, BUCKETS + n_dense)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
             words = at[ends[i] : ends[i + 1]]
@@ -188,45 +193,62 @@ def fit_features(at: np.ndarray, sizes: np.ndarray, dense: np.ndarray, y: np.nda
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> FactorisationMachine:
+def metadata_of(docs: DataFrame, names: tuple[str, ...]) -> Column:
+    """The features of the metadata as one array, two for each name."""
+    out = []
+    for name in names:
+        value = F.col(name).cast("string").try_cast("double") if name in docs.columns else F.lit(None).cast("double")
+        value = F.when(~F.isnan(value), F.log1p(F.least(F.greatest(value, F.lit(0.0)), F.lit(1e18))))
+        out += [F.coalesce(value, F.lit(0.0)), value.isNull().cast("double")]
+    return F.array(*out).cast("array<double>")
+
+
+def _numbers(column: pa.Array, rows: int) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=float).reshape(rows, -1)
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, metadata: tuple[str, ...] = METADATA) -> FactorisationMachine:
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Featurizer()
         for batch in batches:
             at, sizes, rows = read(batch.column("t").to_pylist())
+            rows = np.hstack([rows, _numbers(batch.column("_m"), len(sizes))])
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             words = pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32)))
-            dense = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * STATS), pa.array(rows.reshape(-1)))
+            dense = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in "kyh"], words, dense], names=["k", "y", "h", "words", "dense"])
 
     with small_batches(docs.sparkSession):
-        texts = sample(docs, labels, "quality", per_label=per_label)
+        texts = sample(docs.withColumn("_m", metadata_of(docs, metadata)), labels, "quality", per_label=per_label, keep=("_m",))
         got = texts.mapInArrow(featurize, "k long, y int, h long, words array<int>, dense array<double>").toArrow()
     keys = [{"k": k, "y": y, "h": h, "i": i} for i, (k, y, h) in enumerate(zip(*[got[c].to_pylist() for c in "kyh"], strict=True))]
     rows = chosen(keys, per_label)
     words, dense = (got[c].take(pa.array([r["i"] for r in rows], pa.int64())).combine_chunks() for c in ("words", "dense"))
     sizes = np.asarray(words.value_lengths()).astype(np.int64)
-    return fit_features(np.asarray(words.flatten()).astype(np.int64), sizes, np.asarray(dense.flatten()).reshape(-1, STATS), np.array([r["y"] for r in rows], float))
+    return fit_features(np.asarray(words.flatten()).astype(np.int64), sizes, np.asarray(dense.flatten()).reshape(-1, STATS + 2 * len(metadata)), np.array([r["y"] for r in rows], float))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, *, text: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: FactorisationMachine, *, text: str = "text", metadata: tuple[str, ...] = METADATA) -> DataFrame:
     """docs with the column score; input columns of that name are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS * (RANK + 1) numbers
 
-    def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def quality(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         read, model = Featurizer(), shared.value
-        for texts in batches:
-            yield pd.Series(model.score(*read([t if isinstance(t, str) else "" for t in texts])), dtype=float)
+        for texts, more in batches:
+            at, sizes, rows = read([t if isinstance(t, str) else "" for t in texts])
+            rows = np.hstack([rows, np.array(more.tolist(), dtype=float).reshape(len(rows), -1)])
+            yield pd.Series(model.score(at, sizes, rows), dtype=float)
 
-    return docs.withColumn("score", F.pandas_udf("double")(_typed(quality))(F.col(text)))
+    return docs.withColumn("score", F.pandas_udf("double")(_typed(quality))(F.col(text), metadata_of(docs, metadata)))
 
 
 def _typed(fn):
-    fn.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    fn.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
     return fn
 
 
 def op10_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    out = score_quality(docs.select("doc_id", "text"), learn(docs, labels))
+    out = score_quality(docs.select("doc_id", "text", *[c for c in METADATA if c in docs.columns]), learn(docs, labels))
     return out.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
