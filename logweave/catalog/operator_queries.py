@@ -97,11 +97,13 @@ def _all_matches(spark, sf_dir):
 CORRELATIONS = {
     "q_corr_threshold": correlate.Correlation("c1", "Many failures", 7 * 86400, 4, ("user_name",), {"action": "FAILED-logon"}),
     "q_corr_distinct": correlate.Correlation("c2", "Many users on a host", 10 * 86400, 9, ("host_name",), {"action": ["deny", "allow"]}, "user_name"),
+    "q_corr_distinct_nulls": correlate.Correlation("c5", "Many applications of a user", 12 * 86400, 2, ("user_name",), {"action": "deny"}, "app"),
     "q_corr_multi_key": correlate.Correlation("c3", "Noisy pair", 86400 * 30, 45, ("host_name", "dst_port"), {}),
 }
 _CORR_SQL = {
     "q_corr_threshold": "SELECT user_name, count(*) AS n, min(event_time) AS first_seen, max(event_time) AS last_seen FROM ev WHERE event_time BETWEEN TIMESTAMP '2024-01-24' AND TIMESTAMP '2024-01-31' AND action = 'failed-logon' GROUP BY 1 HAVING count(*) >= 4",
     "q_corr_distinct": "SELECT host_name, count(DISTINCT user_name) AS n, min(event_time) AS first_seen, max(event_time) AS last_seen FROM ev WHERE event_time BETWEEN TIMESTAMP '2024-01-21' AND TIMESTAMP '2024-01-31' AND action IN ('deny', 'allow') GROUP BY 1 HAVING count(DISTINCT user_name) >= 9",
+    "q_corr_distinct_nulls": "SELECT user_name, count(DISTINCT app) AS n, min(event_time) AS first_seen, max(event_time) AS last_seen FROM ev WHERE event_time BETWEEN TIMESTAMP '2024-01-19' AND TIMESTAMP '2024-01-31' AND action = 'deny' AND app IS NOT NULL GROUP BY 1 HAVING count(DISTINCT app) >= 2",
     "q_corr_multi_key": "SELECT host_name, dst_port, count(*) AS n, min(event_time) AS first_seen, max(event_time) AS last_seen FROM ev WHERE event_time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-31' GROUP BY 1, 2 HAVING count(*) >= 45",
 }
 
@@ -139,14 +141,19 @@ def _known(spark, sf_dir):
 
 def _new_associations(spark, sf_dir):
     rows = events(spark, sf_dir)
-    as_of = dt.datetime(2024, 1, 3)
-    rows = rows.where(F.col("event_time") < F.lit(as_of))
-    found = analytics.new_associations(analytics.entities(rows), analytics.entity_links(rows), as_of, hours=24)
+    found = analytics.new_associations(analytics.entities(rows), analytics.entity_links(rows), AS_OF, hours=24 * 20)
     return found.select("entity_type", "entity_value", "peer_type", "peer_value", "n")
 
 
+def _mixed_alerts(spark, sf_dir):
+    """Alerts of which every ninth is suppressed, every seventh closed, and every fifth in a case."""
+    found = _alerts(spark, sf_dir)
+    status = F.when(F.col("event_id") % 9 == 0, "suppressed").when(F.col("event_id") % 7 == 0, "closed").otherwise("new")
+    return found.withColumns({"status": status, "case_id": F.when(F.col("event_id") % 5 == 0, F.lit("c"))})
+
+
 def _risk(spark, sf_dir):
-    return analytics.risk(_alerts(spark, sf_dir), AS_OF).withColumn("score", F.round("score", 4))
+    return analytics.risk(_mixed_alerts(spark, sf_dir), AS_OF).withColumn("score", F.round("score", 4))
 
 
 def _rule_stats(spark, sf_dir):
@@ -156,7 +163,7 @@ def _rule_stats(spark, sf_dir):
 
 
 def _related(spark, sf_dir):
-    found = _alerts(spark, sf_dir)
+    found = _mixed_alerts(spark, sf_dir)
     seen = found.where("rule_id = 'q_rule_all_of'").select("user_name", F.lit(None).cast("string").alias("host_name"), "src_ip").where("user_name in ('u3', 'u4')")
     return analytics.related_open_alerts(found, seen).select("alert_id", "user_name")
 
@@ -191,7 +198,7 @@ def _new_alerts(spark, sf_dir):
 
 
 def _top_risk(spark, sf_dir):
-    scored = analytics.top_risk(_alerts(spark, sf_dir), _known(spark, sf_dir), AS_OF, limit=15)
+    scored = analytics.top_risk(_mixed_alerts(spark, sf_dir), _known(spark, sf_dir), AS_OF, limit=15)
     return scored.select("entity_type", "entity_value", F.round("score", 4).alias("score"), "alerts", "event_count")
 
 
@@ -486,7 +493,7 @@ def queries():
         "q_asset_precedence": _assets,
         "q_ioc_match_documents": _ioc,
         "q_ti_events": lambda s, d: _ti(s, d).drop("observed"),
-        "q_ti_alerts": lambda s, d: flat(enrich.ti_alerts(_ti(s, d))),
+        "q_ti_alerts": lambda s, d: flat(enrich.ti_alerts(_ti(s, d), ev(s, d))),
         "q_mask_hash": _mask_hash,
         "q_mask_regex": _mask_regex,
         "q_sample_hash": _sample,
@@ -528,13 +535,13 @@ def oracle_sql():
     out["q_entities"] = f"WITH {ev}, {_ENT.format('ev')} SELECT * FROM ent"
     out["q_entity_links"] = f"WITH {ev}, {_LINK.format('ev')} SELECT * FROM lnk"
     out["q_new_entities"] = f"WITH {ev}, {_ENT.format('ev')} SELECT entity_type, entity_value FROM ent WHERE first_seen >= TIMESTAMP '2023-12-31 12:00:00'"
-    out["q_new_associations"] = f"WITH {ev}, e2 AS (SELECT * FROM ev WHERE event_time < TIMESTAMP '2024-01-03'), {_ENT.format('e2')}, {_LINK.format('e2')} SELECT l.entity_type, l.entity_value, l.peer_type, l.peer_value, l.n FROM lnk l JOIN ent e USING (entity_type, entity_value) WHERE l.first_seen >= TIMESTAMP '2024-01-02' AND e.first_seen < l.first_seen - INTERVAL 1 HOUR"
-    out["q_risk_score"] = wa + ", x AS (SELECT (CASE level WHEN 'critical' THEN 10.0 WHEN 'high' THEN 6.0 WHEN 'medium' THEN 3.0 ELSE 1.0 END) * power(0.5, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(event_time)) / 1e6 / (7 * 86400.0)) AS s, unnest([{'t': 'user', 'v': user_name}, {'t': 'host', 'v': host_name}, {'t': 'ip', 'v': src_ip}]) AS e FROM al WHERE event_time >= TIMESTAMP '2024-01-01') SELECT e.t AS entity_type, e.v AS entity_value, round(sum(s), 4) AS score, count(*) AS alerts FROM x GROUP BY 1, 2"
+    out["q_new_associations"] = f"WITH {ev}, {_ENT.format('ev')}, {_LINK.format('ev')} SELECT l.entity_type, l.entity_value, l.peer_type, l.peer_value, l.n FROM lnk l JOIN ent e USING (entity_type, entity_value) WHERE l.first_seen >= TIMESTAMP '2024-01-11' AND e.first_seen < l.first_seen - INTERVAL 1 HOUR"
+    out["q_risk_score"] = wa + ", x AS (SELECT (CASE level WHEN 'critical' THEN 10.0 WHEN 'high' THEN 6.0 WHEN 'medium' THEN 3.0 ELSE 1.0 END) * power(0.5, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(event_time)) / 1e6 / (7 * 86400.0)) AS s, unnest([{'t': 'user', 'v': user_name}, {'t': 'host', 'v': host_name}, {'t': 'ip', 'v': src_ip}]) AS e FROM al WHERE id % 9 <> 0 AND event_time >= TIMESTAMP '2024-01-01') SELECT e.t AS entity_type, e.v AS entity_value, round(sum(s), 4) AS score, count(*) AS alerts FROM x GROUP BY 1, 2"
     out["q_top_risk"] = out["q_risk_score"].replace("SELECT e.t AS", ", " + _ENT.format("ev") + ", r AS (SELECT e.t AS", 1) + ") SELECT r.*, event_count FROM r LEFT JOIN ent USING (entity_type, entity_value) ORDER BY score DESC, entity_type, entity_value LIMIT 15"
     out["q_alert_levels"] = wa + "SELECT level, count(*) AS n FROM al GROUP BY 1"
     out["q_alert_techniques_unnest"] = wa + "SELECT technique, count(*) AS n FROM (SELECT unnest(techniques) AS technique FROM al) GROUP BY 1"
     out["q_rule_stats_left_joins"] = wa + "SELECT r.rule_id, coalesce(a.n, 0) AS alerts, a.last_alert, coalesce(s.n, 0) AS suppressed FROM (SELECT unnest(['" + "', '".join([*LEVELS, "never"]) + "']) AS rule_id) r LEFT JOIN (SELECT rule_id, count(*) AS n, max(event_time) AS last_alert FROM al GROUP BY 1) a USING (rule_id) LEFT JOIN (SELECT rule_id, count(*) AS n FROM al WHERE severity = 'low' GROUP BY 1) s USING (rule_id)"
-    out["q_related_alerts_semi"] = wa + "SELECT alert_id, user_name FROM al WHERE EXISTS (SELECT 1 FROM al x WHERE x.rule_id = 'q_rule_all_of' AND x.user_name IN ('u3', 'u4') AND (x.user_name = al.user_name OR x.src_ip = al.src_ip))"
+    out["q_related_alerts_semi"] = wa + "SELECT alert_id, user_name FROM al WHERE id % 9 <> 0 AND id % 5 <> 0 AND EXISTS (SELECT 1 FROM al x WHERE x.rule_id = 'q_rule_all_of' AND x.user_name IN ('u3', 'u4') AND (x.user_name = al.user_name OR x.src_ip = al.src_ip))"
     out["q_related_to_alert"] = wa + ", me AS (SELECT * FROM al WHERE alert_id = (SELECT min(alert_id) FROM al WHERE rule_id = 'q_rule_all_of')) SELECT al.alert_id, al.event_time FROM al, me WHERE al.alert_id <> me.alert_id AND al.id % 9 <> 0 AND (al.src_ip = me.src_ip OR al.user_name = me.user_name OR al.host_name = me.host_name) ORDER BY al.event_time DESC, al.alert_id DESC LIMIT 20"
     out["q_recent_uncased"] = wa + "SELECT alert_id, event_time FROM al WHERE user_name NOT IN ('u1', 'u2') AND id % 9 <> 0 AND event_time >= TIMESTAMP '2024-01-28' ORDER BY event_time, alert_id LIMIT 5000"
     out["q_recent_alerts"] = wa + "SELECT alert_id, level FROM al WHERE id % 9 <> 0 AND level = 'high'"
@@ -566,8 +573,8 @@ def oracle_sql():
     b, c = (_IPNUM.format("dst_ip", i) for i in (3, 4))
     out["q_geo_range_join"] = w + f"SELECT id, dst_ip, CASE WHEN {b} = 1 THEN 'BB' WHEN {b} = 2 THEN 'CC' ELSE 'AA' END AS country FROM ev"
     out["q_asset_precedence"] = w + "SELECT id, CASE WHEN host_name IN ('h0', 'h1', 'h2', 'h3', 'h4', 'h5') THEN 'asset-' || substr(host_name, 2) WHEN src_ip = '10.0.1.1' THEN 'asset-ip' WHEN dst_ip = '198.51.0.10' THEN 'asset-dst' WHEN src_ip LIKE '10.3.%' THEN 'asset-net' END AS asset_id FROM ev"
-    dot = "regexp_extract_all(text, '(?:[^0-9.]|^)((?:[0-9]{1,3}\\.){3}[0-9]{1,3})', 1)"
-    domain = "regexp_matches(lower(text), '(?:^|[^a-z0-9.@-]){0}(?:[^a-z0-9-]|$)')"
+    dot = "regexp_extract_all(text, '\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b')"
+    domain = "list_contains(regexp_extract_all(lower(text), '\\b(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\\.)+[a-z]{{2,}}\\b'), '{0}')"
     src, third = "CASE WHEN id % 7 = 0 THEN NULL ELSE src_ip END", f"{_IPNUM.format('dst_ip', 3)} = 2"
     ti = w.rstrip() + (
         ", x AS (SELECT id, indicator, ioc_type, source, severity FROM ("
@@ -579,12 +586,19 @@ def oracle_sql():
     )
     out["q_ti_events"] = ti + "SELECT * FROM x"
     top = f"list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST(max({_RANK.format('severity')}) AS INT))"
-    out["q_ti_alerts"] = ti + f"SELECT id, 'ti-ioc-match' AS rule_id, 'Threat Intelligence Match' AS title, {top} AS level, string_agg(indicator, ',' ORDER BY indicator) AS indicators FROM x GROUP BY id"
+    out["q_ti_alerts"] = ti + (
+        f", g AS (SELECT id, {top} AS level, count(*) AS n, string_agg(indicator, ',' ORDER BY indicator) AS indicators, "
+        "string_agg(concat(indicator, ' (', ioc_type, ')'), ', ' ORDER BY ioc_type = 'cidr', indicator) AS shown, "
+        "string_agg(DISTINCT source, ', ' ORDER BY source) AS feeds FROM x GROUP BY id) "
+        "SELECT id, 'ti-ioc-match' AS rule_id, 'Threat Intelligence Match' AS rule_title, level, '' AS tactics, '' AS techniques, "
+        "concat('Threat-intel match: ', shown, ' — source: ', feeds) AS message, sha256(concat('ti-ioc-match|', id)) AS dedup_hash, "
+        "'open' AS status, indicators, event_time, vendor, src_ip, dst_ip, user_name, host_name FROM g JOIN ev USING (id)"
+    )
     out["q_ioc_match_documents"] = (
         f"SELECT doc_id, '233.0.0.0/8' AS indicator, 'cidr' AS ioc_type, 'high' AS severity FROM documents WHERE len(list_filter({dot}, lambda x: x LIKE '233.%')) > 0 "
         f"UNION ALL SELECT doc_id, '114.0.0.0/8', 'cidr', 'low' FROM documents WHERE len(list_filter({dot}, lambda x: x LIKE '114.%')) > 0 "
-        f"UNION ALL SELECT doc_id, 'mail6.example.com', 'domain', 'medium' FROM documents WHERE {domain.format('mail6[.]example[.]com')} "
-        f"UNION ALL SELECT doc_id, 'example.org', 'domain', 'low' FROM documents WHERE {domain.format('example[.]org')}"
+        f"UNION ALL SELECT doc_id, 'mail6.example.com', 'domain', 'medium' FROM documents WHERE {domain.format('mail6.example.com')} "
+        f"UNION ALL SELECT doc_id, 'example.org', 'domain', 'low' FROM documents WHERE {domain.format('example.org')}"
     )
     hidden = "'sha256:' || substr(sha256('s' || user_name), 1, 16)"
     hit = "severity = 'high'"

@@ -124,8 +124,9 @@ def case_rollup(cases: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def related_open_alerts(alerts: DataFrame, entities: DataFrame) -> DataFrame:
-    """Open alerts that share a user, a host or an address with the given ones."""
-    return _sharing(alerts.where(F.col("status").isin("new", "open", "acknowledged")), entities)
+    """Alerts that belong to no case and are not suppressed, and share a user, a host or an address with the given ones."""
+    free = F.col("case_id").isNull() if "case_id" in alerts.columns else F.lit(True)
+    return _sharing(alerts.where(free & (F.col("status") != "suppressed")), entities)
 
 
 def related_to_alert(alerts: DataFrame, alert_id, limit: int = 8) -> DataFrame:
@@ -226,12 +227,15 @@ def new_associations(known: DataFrame, links: DataFrame, as_of: dt.datetime, hou
 
 
 def risk(alerts: DataFrame, as_of: dt.datetime, *, half_life_days: float = 7.0, window_days: int = 30) -> DataFrame:
-    """Decayed, weighted alert scores of entities."""
+    """Decayed, weighted alert scores of entities; suppressed alerts do not count. An alert's age is that of created_at,
+    where there is such a column, else of its event."""
+    time = F.col("created_at" if "created_at" in alerts.columns else "event_time")
+    shown = F.col("status") != "suppressed" if "status" in alerts.columns else F.lit(True)
     since = F.lit(as_of - dt.timedelta(days=window_days))
     each = F.array(*[F.struct(F.lit(k).alias("t"), F.col(c).alias("v")) for k, c in ENTITY_COLUMNS.items()])
-    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("event_time").cast("timestamp"))) / 1e6
+    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(time.cast("timestamp"))) / 1e6
     score = severity.weight(F.col("level")) * severity.decay(age, half_life_days)
-    rows = alerts.where(F.col("event_time") >= since).select(score.alias("s"), F.explode(each).alias("e")).where("e.v is not null")
+    rows = alerts.where((time >= since) & shown).select(score.alias("s"), F.explode(each).alias("e")).where("e.v is not null")
     return rows.groupBy(F.col("e.t").alias("entity_type"), F.col("e.v").alias("entity_value")).agg(
         F.sum("s").alias("score"), F.count(F.lit(1)).alias("alerts")
     )

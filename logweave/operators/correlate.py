@@ -44,12 +44,12 @@ class Correlation:
         )
 
     def condition(self) -> Column:
-        """All filters, case-insensitively, and no null key."""
+        """All filters, case-insensitively, no null key, and no null among the values that are counted."""
         out = F.lit(True)
         for name, wanted in self.filters.items():
             values = [str(v).lower() for v in (wanted if isinstance(wanted, (list, tuple)) else [wanted])]
             out = out & F.coalesce(F.lower(F.col(name).cast("string")).isin(*values), F.lit(False))
-        for name in self.group_by:
+        for name in (*self.group_by, *([self.counted] if self.counted else [])):
             out = out & F.col(name).isNotNull()
         return out
 

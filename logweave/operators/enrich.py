@@ -191,13 +191,16 @@ def context_tags(columns: dict[str, Column]) -> Column:
 
 # -- indicators ----------------------------------------------------------------------------------------------------
 
-_TOKEN = r"[^\s\"'<>()\[\]{},;|]+"
+#: How addresses, digests, links and domains are found in texts. They begin and end where words do, so that
+#: a domain is found behind the "@" of a mail address; addresses of IPv6 are looked for in address columns only.
+_BEGIN, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _KINDS = {
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "hash": r"(?i)(?<![0-9a-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9a-z])",
-    "url": r"(?i)https?://[^\s\"'<>]+",
-    "domain": r"(?i)(?<![a-z0-9.@-])(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,24}(?![a-z0-9-])",
+    "ip": _BEGIN + r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}" + _END,
+    "hash": "(?i)" + _BEGIN + "(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})" + _END,
+    "url": r"(?i)https?://[^\s\"'<>\\]+",
+    "domain": "(?i)" + _BEGIN + r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,}" + _END,
 }
+_DOMAIN = r"(?:[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?\.)+[a-z]{2,}"
 
 
 def classify(indicator: str) -> str | None:
@@ -217,7 +220,7 @@ def classify(indicator: str) -> str | None:
                     return None
     if re.fullmatch(r"(?i)[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}", s):
         return "hash"
-    return "domain" if re.fullmatch(r"(?i)(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}", s) else None
+    return "domain" if len(s) <= 253 and re.fullmatch(_DOMAIN, s, re.I) else None
 
 
 def feed(lines: DataFrame, source: str, column: str = "value") -> DataFrame:
@@ -229,7 +232,7 @@ def feed(lines: DataFrame, source: str, column: str = "value") -> DataFrame:
         .when(low.contains("/") & ip.key(F.split_part(low, F.lit("/"), F.lit(1))).isNotNull(), "cidr")
         .when(ip.key(low).isNotNull(), "ip")
         .when(low.rlike(r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"), "hash")
-        .when(low.rlike(r"^([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}$"), "domain")
+        .when(low.rlike(f"^{_DOMAIN}$") & (F.length(low) <= 253), "domain")
     )
     rows = lines.select(low.alias("indicator"), kind.alias("ioc_type"), F.lit(source).alias("source"), F.lit("high").alias("severity"))
     return rows.where("ioc_type is not null").dropDuplicates(["indicator", "ioc_type"])
@@ -253,7 +256,8 @@ def _found(text: Column) -> Column:
 
 
 def _mentions(text: Column, kind: str, pattern: str) -> Column:
-    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.rtrim(F.lower(v), F.lit(".,);")))
+    ends = ".,);" if kind == "url" else ""
+    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda v: F.rtrim(F.lower(v), F.lit(ends)) if ends else F.lower(v))
     return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("ioc_type"), v.alias("value")))
 
 
@@ -305,11 +309,40 @@ def ti_matches(events: DataFrame, iocs: DataFrame, id_: str = "id") -> DataFrame
     return every.select(id_, "indicator", "ioc_type", "x.source", "x.severity", F.col("x.value").alias("observed"))
 
 
-def ti_alerts(matches: DataFrame, id_: str = "id") -> DataFrame:
-    """One alert for each event that touches an indicator: the rule, the highest severity and the sorted indicators."""
-    return matches.groupBy(id_).agg(
+#: Indicators that a message names, and the length of a feed's name and of a message.
+SHOWN, FEED_CHARS, MESSAGE_CHARS = 5, 40, 1000
+
+
+def _feed_name(source: Column) -> Column:
+    """The host of a feed's address, or the beginning of its name."""
+    host = F.substring(F.split_part(F.regexp_replace(source, "^https?://", ""), F.lit("/"), F.lit(1)), 1, FEED_CHARS)
+    return F.when(host != "", host).otherwise(F.substring(source, 1, FEED_CHARS))
+
+
+def ti_alerts(matches: DataFrame, events: DataFrame | None = None, id_: str = "id") -> DataFrame:
+    """One alert for each event that touches an indicator: its id, the rule, the highest severity, the sorted indicators,
+    the message and the identity by rule and event; with events, also their time, vendor, addresses, user and host."""
+    kind = F.array_position(F.array(*[F.lit(k) for k in ("ip", "cidr", "hash", "url", "domain")]), F.col("ioc_type"))
+    hits = F.array_sort(F.collect_set(F.struct(kind.alias("k"), "indicator", "ioc_type", _feed_name(F.col("source")).alias("feed"))))
+    out = matches.groupBy(id_).agg(severities.highest(F.col("severity")).alias("level"), hits.alias("_hits"))
+    named = F.transform(F.slice("_hits", 1, SHOWN), lambda h: F.concat(h["indicator"], F.lit(" ("), h["ioc_type"], F.lit(")")))
+    more = F.when(F.size("_hits") > SHOWN, F.concat(F.lit(" [+"), (F.size("_hits") - SHOWN).cast("string"), F.lit(" more]"))).otherwise("")
+    feeds = F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["feed"]))), ", ")
+    message = F.concat(F.lit("Threat-intel match: "), F.array_join(named, ", "), more, F.lit(" — source: "), feeds)
+    none = F.array().cast("array<string>")
+    out = out.select(
+        id_,
         F.lit(TI_RULE[0]).alias("rule_id"),
-        F.lit(TI_RULE[1]).alias("title"),
-        severities.highest(F.col("severity")).alias("level"),
-        F.array_sort(F.collect_set("indicator")).alias("indicators"),
+        F.lit(TI_RULE[1]).alias("rule_title"),
+        "level",
+        none.alias("tactics"),
+        none.alias("techniques"),
+        F.substring(message, 1, MESSAGE_CHARS).alias("message"),
+        F.sha2(F.concat_ws("|", F.lit(TI_RULE[0]), F.col(id_).cast("string")), 256).alias("dedup_hash"),
+        F.lit("open").alias("status"),
+        F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["indicator"]))).alias("indicators"),
     )
+    if events is None:
+        return out
+    own = [c for c in ("event_time", "vendor", "src_ip", "dst_ip", "user_name", "host_name") if c in events.columns]
+    return out.join(events.select(id_, *own), id_)

@@ -8,6 +8,7 @@ import re
 from logweave.sources import json_formats as j
 from logweave.sources import line_formats as t
 from logweave.sources import scanner_formats as s
+from logweave.sources import zeek as z
 
 SAMPLE_CHARS = 16_384
 
@@ -16,7 +17,7 @@ PARSERS = {
     "generic_json": j.generic_json, "aws_cloudtrail": j.aws_cloudtrail, "azure_activity": j.azure_activity, "entra_signin": j.entra_signin,
     "gcp_audit": j.gcp_audit, "github_audit": j.github_audit, "gitlab_audit": j.gitlab_audit, "m365_audit": j.m365_audit,
     "okta_system_log": j.okta_system_log, "netflow": j.netflow, "crowdstrike_json": j.crowdstrike_json, "suricata_eve": j.suricata_eve,
-    "windows_security": j.windows_security, "sysmon": j.sysmon, "zeek_json": j.zeek_json, "zeek_tsv": t.zeek_tsv,
+    "windows_security": j.windows_security, "sysmon": j.sysmon, "zeek_json": j.zeek_json, "zeek_tsv": z.zeek_tsv,
     "fortinet_fortigate": t.fortinet_fortigate, "linux_auditd": t.linux_auditd, "web_access": t.web_access, "cef": t.cef, "leef": t.leef,
     "cisco_asa": t.cisco_asa, "cisco_ftd": t.cisco_ftd, "cisco_ios": t.cisco_ios, "generic_syslog": t.generic_syslog, "meraki": t.meraki,
     "paloalto_syslog": t.paloalto_syslog, "paloalto_csv": t.paloalto_csv, "crowdstrike_csv": t.crowdstrike_csv,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.ip import bind
+from logweave.sources import industrial
 from logweave.sources.event import events, host_port, lookup, timestamp, to_long, when_set
 
 Get = Callable[..., Column]
@@ -420,21 +421,15 @@ def zeek_events(rows: DataFrame) -> DataFrame:
     web = F.coalesce(g("method"), g("uri"), g("host"), g("status_code")).isNotNull()
     path = F.coalesce(F.lower(g("_path")), F.when(g("query").isNotNull(), "dns").when(web, "http").otherwise("conn"))
     sizes = [to_long(g(k)) for k in ("orig_bytes", "resp_bytes", "request_body_len", "response_body_len")]
-    protocol, operation = ot_operation(path, g)
-    action = F.when(protocol.isNotNull(), operation["action"]).when(path == "dns", g("rcode_name")).when(path == "http", g("status_code")).otherwise(g("conn_state"))
+    action, ot = industrial.enriched(path, g)
+    protocol = ot["protocol"]
+    action = F.when(protocol.isNotNull(), action).when(path == "dns", g("rcode_name")).when(path == "http", g("status_code")).otherwise(g("conn_state"))
     text = (
-        F.when(protocol.isNotNull(), F.concat_ws(" ", protocol, operation["action"]))
+        F.when(protocol.isNotNull(), F.concat_ws(" ", protocol, action))
         .when(path == "dns", F.concat_ws(" ", F.lit("DNS"), g("qtype_name"), g("query")))
         .when(path == "http", F.concat_ws(" ", F.lit("HTTP"), g("method"), F.concat(F.coalesce(g("host"), F.lit("")), F.coalesce(g("uri"), F.lit("")))))
         .otherwise(F.coalesce(g("service"), g("conn_state"), path))
     )
-    ot = F.when(
-        protocol.isNotNull(),
-        F.struct(
-            protocol.alias("protocol"), operation["operation"].alias("operation"), operation["operation"].isin("write", "control").alias("is_write"),
-            g("address", "start_address", "reference_number").alias("address"), g("quantity").alias("quantity"), g("unit_id", "unit").alias("unit_id"),
-        ),
-    )
     out = events(
         rows.withColumn("raw", _put(F.col("raw"), ot=ot)), "zeek", path,
         event_time=timestamp(g("ts")),
@@ -450,25 +445,3 @@ def zeek_events(rows: DataFrame) -> DataFrame:
         message=text,
     )
     return out
-
-
-#: Logs of industrial protocols and their canonical tag.
-OT_PATHS = {
-    "modbus": "modbus", "modbus_detailed": "modbus", "dnp3": "dnp3", "dnp3_control": "dnp3", "s7comm": "s7comm", "cip": "cip", "cip_io": "cip",
-    "enip": "enip", "bacnet": "bacnet", "bacnet_property": "bacnet", "iec104": "iec104", "opcua_binary": "opcua", "opcua": "opcua",
-    "profinet": "profinet", "profinet_dce_rpc": "profinet",
-}
-
-
-def ot_operation(path: Column, g: Get) -> tuple[Column, Column]:
-    """The protocol of an industrial log, and the action and operation (read, write, control, other) of its function."""
-    protocol = lookup(OT_PATHS, path)
-    name = F.lower(g("func", "function_code", "fc_request", "function_name", "cip_service", "bacnet_service", "service_choice", "rosctr"))
-    spelled = F.regexp_replace(F.regexp_replace(name, r"[\s_]+", "-"), r"-+", "-")
-    operation = (
-        F.when(name.rlike(r"write|download|set[-_ ]attribute|\bset\b|delete"), "write")
-        .when(name.rlike(r"operate|control|stop|start|restart|select|reset|reinitialize"), "control")
-        .when(name.rlike(r"read|get|upload|report|response|poll"), "read")
-        .otherwise("other")
-    )
-    return protocol, F.struct(F.coalesce(spelled, F.lit("other")).alias("action"), operation.alias("operation"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.ip import bind
 from logweave.sources.event import events, lookup, timestamp, to_long, to_port, when_set
 from logweave.sources.json_formats import _noted, _put, _result, records, with_flat
 from logweave.sources.line_formats import found, syslog_parts
@@ -141,7 +142,12 @@ def defender_xdr(rows: DataFrame) -> DataFrame:
     inner = F.transform(F.coalesce(F.when(incident, nested), F.array().cast("array<string>")), lambda a: F.struct(a.alias("raw"), F.lit(False).alias("incident")))
     rows = rows.select(F.explode(F.concat(F.array(own), inner)).alias("x")).select("x.raw", "x.incident")
     rows, g = with_flat(rows)
-    evidence = _items(F.col("raw"), "$.evidence", "$.alerts[0].evidence")
+    own_evidence = _items(F.col("raw"), "$.evidence")
+    # an incident has what its expanded alerts show, the first of them first
+    alerts = F.coalesce(F.from_json(F.get_json_object("raw", "$.alerts"), "array<string>"), F.array().cast("array<string>"))
+    shown = F.flatten(F.transform(alerts, lambda a: F.coalesce(F.from_json(F.get_json_object(a, "$.evidence"), "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))))
+    rows = rows.withColumn("_own", own_evidence).withColumn("_evidence", F.when(F.col("incident"), shown).otherwise(F.col("_own")))
+    evidence = F.col("_evidence")
 
     def of(kind: str, *paths: str) -> Column:
         one = F.get(F.filter(evidence, lambda e: F.lower(F.coalesce(F.try_element_at(e, F.lit("@odata.type")), F.lit(""))).contains(kind)), 0)
@@ -152,24 +158,47 @@ def defender_xdr(rows: DataFrame) -> DataFrame:
             tests.append(when_set(F.get_json_object(top, f"$.{rest}") if rest else F.when(~top.rlike(r"^\s*[\[{]"), top)))
         return F.coalesce(*tests)
 
-    outcomes = F.flatten(F.transform(evidence, lambda e: F.array(F.lower(F.try_element_at(e, F.lit("remediationStatus"))), F.lower(F.try_element_at(e, F.lit("detectionStatus"))))))
-    decisive = F.get(F.filter(F.array(*[F.lit(d) for d in DISPOSITIONS]), lambda d: F.array_contains(F.array_compact(outcomes), d)), 0)
+    outcomes = F.flatten(F.transform("_own", lambda e: F.array(*[F.lower(F.btrim(F.try_element_at(e, F.lit(k)))) for k in ("remediationStatus", "detectionStatus")])))
+    outcomes = F.array_sort(F.filter(F.array_compact(outcomes), lambda o: ~o.isin(*_HIDDEN)))
+    decisive = bind(outcomes, lambda o: F.coalesce(F.get(F.filter(F.array(*[F.lit(d) for d in DISPOSITIONS]), lambda d: F.array_contains(o, d)), 0), F.get(o, 0)))
     provider = F.regexp_replace(F.lower(g("servicesource", "detectionsource")), r"[ _]", "")
     hinted = reduce(lambda acc, h: acc.when(provider.contains(h[0]), h[1]), PROVIDER_HINTS[1:], F.when(provider.contains(PROVIDER_HINTS[0][0]), PROVIDER_HINTS[0][1]))
     log_type = F.when(F.col("incident"), "incident").otherwise(F.coalesce(lookup(PROVIDERS, provider), hinted, F.lit("alert")))
     hide = lambda c: F.when(~F.lower(c).isin(*_HIDDEN), F.lower(c))
     sender = of("analyzedmessage", "p2Sender.emailAddress", "p1Sender.emailAddress", "p2Sender", "p1Sender", "senderFromAddress")
     recipient = F.coalesce(of("analyzedmessage", "recipientEmailAddress"), of("mailbox", "primaryAddress", "upn"))
-    domain, account = of("user", "userAccount.domainName"), of("user", "userAccount.userPrincipalName", "userAccount.accountName")
-    user = F.when(domain.isNotNull() & ~account.rlike(r"[@\\]"), F.concat(domain, F.lit("\\"), account)).otherwise(account)
+
+    def path_of(item: Column) -> Column:
+        """Folder and name of a file's details."""
+        folder, name = when_set(F.get_json_object(item, "$.filePath")), when_set(F.get_json_object(item, "$.fileName"))
+        gap = F.when(folder.rlike(r"[\\/]$"), "").otherwise("\\")
+        return F.when(folder.isNotNull() & name.isNotNull(), F.concat(folder, gap, name)).otherwise(F.coalesce(name, folder))
+
+    def part_of(kind: str, key: str) -> Column:
+        one = F.get(F.filter(evidence, lambda e: F.lower(F.coalesce(F.try_element_at(e, F.lit("@odata.type")), F.lit(""))).contains(kind)), 0)
+        return F.try_element_at(one, F.lit(key))
+
+    def label(account: Column) -> Column:
+        """A principal name, or a name behind its domain."""
+        at = lambda *keys: F.coalesce(*[when_set(F.get_json_object(account, f"$.{k}")) for k in keys])
+        name, domain = at("accountName", "displayName"), at("domainName")
+        return F.coalesce(at("userPrincipalName", "upn"), F.when(domain.isNotNull(), F.concat(domain, F.lit("\\"), name)), name)
+
+    accounts = lambda items: F.get(F.filter(F.transform(items, lambda e: label(F.try_element_at(e, F.lit("userAccount")))), lambda x: x.isNotNull()), 0)
+    registry = F.concat_ws("\\", *[of("registry", k) for k in ("registryHive", "registryKey", "registryValueName")])
     address, sent_from = of("ipevidence", "ipAddress"), of("analyzedmessage", "senderIp")
     lifted = {
         "CommandLine": of("processevidence", "processCommandLine"), "FileName": F.coalesce(of("fileevidence", "fileDetails.fileName"), of("processevidence", "imageFile.fileName")),
-        "SHA256": F.coalesce(of("fileevidence", "fileDetails.sha256"), of("processevidence", "imageFile.sha256")), "Image": of("processevidence", "imageFile.filePath"),
-        "DeviceName": of("deviceevidence", "deviceDnsName", "hostName"), "TargetObject": of("registry", "registryKey"), "Url": of("urlevidence", "url"),
-        "IpAddress": address, "subject": of("analyzedmessage", "subject"), "sender": sender, "recipient": recipient, "SenderIp": sent_from,
-        "threat": g("threatdisplayname", "threatfamilyname"),
+        "FilePath": path_of(part_of("fileevidence", "fileDetails")), "Image": path_of(part_of("processevidence", "imageFile")),
+        "SHA256": F.coalesce(of("fileevidence", "fileDetails.sha256"), of("processevidence", "imageFile.sha256")),
+        "SHA1": F.coalesce(of("fileevidence", "fileDetails.sha1"), of("processevidence", "imageFile.sha1")),
+        "ProcessId": of("processevidence", "processId"), "ParentProcessId": of("processevidence", "parentProcessId"), "ParentImage": path_of(part_of("processevidence", "parentProcessImageFile")),
+        "DeviceName": of("deviceevidence", "deviceDnsName", "hostName"), "DeviceId": of("deviceevidence", "mdeDeviceId", "azureAdDeviceId"), "OsPlatform": of("deviceevidence", "osPlatform"),
+        "AccountName": accounts(evidence), "TargetObject": when_set(registry), "RegistryValue": of("registry", "registryValue"), "Url": of("urlevidence", "url"),
+        "IpAddress": address, "subject": of("analyzedmessage", "subject"), "sender": sender, "recipient": recipient, "SenderIp": sent_from, "NetworkMessageId": of("analyzedmessage", "networkMessageId"),
+        "mitre_techniques": F.array_join(F.from_json(F.get_json_object("raw", "$.mitreTechniques"), "array<string>"), ","), "threat": g("threatdisplayname", "threatfamilyname"),
     }
+    user = F.coalesce(accounts(F.col("_own")), lifted["AccountName"], recipient)
     title = g("title", "description")
     threat = g("threatdisplayname", "threatfamilyname")
     return events(
@@ -179,7 +208,7 @@ def defender_xdr(rows: DataFrame) -> DataFrame:
         severity=hide(g("severity")),
         action=F.coalesce(decisive, hide(g("status"))),
         src_ip=F.coalesce(address, sent_from),
-        user_name=F.coalesce(user, recipient),
+        user_name=user,
         host_name=of("deviceevidence", "deviceDnsName", "hostName"),
         rule_name=g("title", "displayname"),
         message=F.when(F.col("incident"), _result(g("displayname", "title"), hide(g("classification")))).otherwise(_noted(title, threat)),

@@ -24,7 +24,7 @@ CASES = {
     "windows_security": (J({"Id": 4625, "ProviderName": "p", "MachineName": "pc", "Message": "An account failed.\r\nSubject:\r\n\tAccount Name:\t-\r\nTarget:\r\n\tAccount Name:\tann\r\n\tAccount Domain:\tCORP\r\n\tSource Network Address:\t10.0.0.9"}), {"action": "failed-logon", "user_name": "CORP\\ann", "src_ip": "10.0.0.9", "rule_name": "Event 4625", "message": "An account failed."}),
     "sysmon": (J({"Id": 3, "ProviderName": "Microsoft-Windows-Sysmon", "Message": "Network connection:\r\nUtcTime: 2024-01-02 03:04:05.000\r\nImage: C:\\x.exe\r\nUser: CORP\\ann\r\nProtocol: TCP\r\nSourceIp: 10.0.0.1\r\nDestinationIp: 8.8.8.8\r\nDestinationPort: 443"}), {"log_type": "network-connect", "dst_ip": "8.8.8.8", "dst_port": 443, "message": "C:\\x.exe -> 8.8.8.8:443", "user_name": "CORP\\ann"}),
     "zeek_json": (J({"_path": "dns", "ts": 1704164645.5, "uid": "C1", "id.orig_h": "10.0.0.1", "id.resp_h": "10.0.0.2", "id.orig_p": 5, "id.resp_p": 53, "proto": "udp", "query": "x.org", "qtype_name": "A", "rcode_name": "NOERROR"}), {"log_type": "dns", "action": "NOERROR", "message": "DNS A x.org", "rule_name": "C1"}),
-    "zeek_tsv": ("#separator \\x09\n#unset_field\t-\n#path\tmodbus\n#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tfunc\n1704164645.1\tC2\t10.0.0.1\t5\t10.0.0.2\t502\tWRITE_MULTIPLE_REGISTERS\n#path\tconn\n#fields\tts\tproto\tconn_state\n1704164646\ttcp\t-", {"log_type": "modbus", "action": "write-multiple-registers", "dst_port": 502}),
+    "zeek_tsv": ("#separator \\x09\n#unset_field\t-\n#path\tmodbus\n#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tfunc\n1704164645.1\tC2\t10.0.0.1\t5\t10.0.0.2\t502\tWRITE_MULTIPLE_REGISTERS\n#path\tconn\n#fields\tts\tproto\tconn_state\n1704164646\ttcp\t-", {"log_type": "modbus", "action": "write-registers", "dst_port": 502}),
     "fortinet_fortigate": ('date=2024-01-02 time=03:04:05 devname="f w" logid="1" type="traffic" subtype="forward" proto=17 srcip=10.0.0.1 sentbyte=5 msg="a b"', {"protocol": "udp", "bytes_total": 5, "host_name": "f w", "message": "a b"}),
     "linux_auditd": ("type=EXECVE msg=audit(1704164645.123:45): argc=2 a0=\"curl\" a1=\"-O\" key=\"exec\"", {"action": "process-create", "message": "curl -O", "rule_name": "exec", "log_type": "execve"}),
     "web_access": ('1.2.3.4 - ann [02/Jan/2024:03:04:05 +0000] "GET /a HTTP/1.1" 404 12 "-" "curl"', {"action": "GET", "severity": "warning", "user_name": "ann", "bytes_total": 12}),
