@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("pipe_queries", "operator_queries", "parser_queries")
+PARTS = ("pipe_queries", "operator_queries", "parser_queries", "flow_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -144,6 +144,26 @@ def masked(address_key: Column, length: Column) -> Column:
     return F.concat(F.substring(address_key, F.lit(1), whole + 1), partial)
 
 
+def text_of(digits: Column) -> Column:
+    """The usual text of an address of 8 or 32 hexadecimal digits: the first of the longest runs of zero groups of IPv6 is
+    left out, and IPv4 in IPv6 is dotted. Null for other texts."""
+    dotted = lambda h: F.concat_ws(".", *[F.conv(F.substring(h, i, 2), 16, 10) for i in (1, 3, 5, 7)])
+
+    def shortened(t: Column) -> Column:
+        out = F.when(F.lit(False), t)
+        for n in range(8, 1, -1):
+            run = rf"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
+            sides = F.concat(F.regexp_replace(F.regexp_extract(t, run, 1), ":$", ""), F.lit("::"), F.regexp_replace(F.regexp_extract(t, run, 2), "^:", ""))
+            out = out.when(t.rlike(run), sides)
+        return out.otherwise(t)
+
+    def six(h: Column) -> Column:
+        groups = F.concat_ws(":", *[F.regexp_replace(F.substring(h, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)])
+        return F.when(h.startswith(_MAPPED), F.concat(F.lit("::ffff:"), dotted(F.substring(h, 25, 8)))).otherwise(bind(groups, shortened))
+
+    return bind(F.lower(digits), lambda h: F.when(F.length(h) == 8, dotted(h)).when(F.length(h) == 32, six(h)))
+
+
 def network(cidr: str) -> tuple[str, int]:
     """(masked key, prefix length) of a network, as masked() gives for the addresses inside."""
     net = ipaddress.ip_network(cidr.strip(), strict=False)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logweave.operators.carry import carried
 from logweave.operators.enrich import bounded
 from logweave.scratch import written
 from logweave.sources.json_formats import zeek_events
@@ -20,16 +21,6 @@ BLOCK = 256
 SPLIT = ["file", "start"]
 
 
-def _carried(rows: DataFrame, names: list[str]) -> DataFrame:
-    """rows (file, start, line, names) with each name's last value up to the row, from earlier splits of the file too."""
-    within = Window.partitionBy(*SPLIT).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    here = rows.withColumns({n: F.last(n, ignorenulls=True).over(within) for n in names})
-    ends = here.groupBy(*SPLIT).agg(*[F.max_by(n, "line").alias(n) for n in names])
-    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*SPLIT, *[F.last(n, ignorenulls=True).over(before).alias(f"_{n}") for n in names])
-    return here.join(ends, SPLIT).withColumns({n: F.coalesce(n, f"_{n}") for n in names}).drop(*[f"_{n}" for n in names])
-
-
 def _separator(spec: Column) -> Column:
     """The character of a "\\x09" specification; anything else stands for itself."""
     digits = F.regexp_extract(spec, r"(?i)^\\x([0-9a-f]+)$", 1)
@@ -53,7 +44,7 @@ def _segments(lines: DataFrame) -> DataFrame:
     opening = lines.groupBy(*SPLIT).agg((F.min("line") - 1).alias("line")).withColumn("value", F.lit(None).cast("string"))
     head = written(head.unionByName(opening), "headers")
     sep = F.when(F.col("value").startswith("#separator"), _separator(F.btrim(F.regexp_extract("value", r"^#separator\S* ?(.*)$", 1))))
-    head = _carried(head.withColumn("sep", sep), ["sep"]).withColumn("sep", F.coalesce("sep", F.lit("\t")))
+    head = carried(head.withColumn("sep", sep), ["file"], "start", "line", ["sep"]).withColumn("sep", F.coalesce("sep", F.lit("\t")))
     at = F.instr(F.col("value"), F.col("sep"))
     key = F.btrim(F.when(at > 0, F.substring("value", F.lit(2), at - 2)).otherwise(F.substring("value", 2, 1 << 30)))
     rest = F.when(at > 0, F.substring("value", at + F.length("sep"), F.lit(1 << 30))).otherwise("")
@@ -63,7 +54,7 @@ def _segments(lines: DataFrame) -> DataFrame:
         *SPLIT, "line", "sep", F.when(F.col("key") == "fields", F.split("rest", _quoted(F.col("sep")), -1)).alias("names"),
         value_of("path").alias("path"), value_of("unset_field").alias("unset"), value_of("empty_field").alias("empty"),
     )
-    head = _carried(head, ["names", "path", "unset", "empty"]).where("names is not null")
+    head = carried(head, ["file"], "start", "line", ["names", "path", "unset", "empty"]).where("names is not null")
     following = Window.partitionBy(*SPLIT).orderBy("line")
     out = head.withColumn("hi", F.coalesce(F.lead("line").over(following), F.lit((1 << 63) - 1))).where("hi > line + 1")
     return written(
