@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from logweave.scratch import written
+from logweave.scratch import scope, written
 from logweave.sources import flows
 from logweave.sources.json_formats import netflow
 
@@ -79,6 +79,10 @@ def flow_stream(packets: DataFrame, sink: Callable[[DataFrame, int], None], chec
     """Starts a stream of recorded packets (exporter, n, data); sink gets each batch's flow events and its number. Without
     an interval it takes what is there and ends."""
     def each(batch: DataFrame, number: int) -> None:
+        with scope():
+            take(batch, number)
+
+    def take(batch: DataFrame, number: int) -> None:
         met = batch.withColumns({"layout": F.from_json("text", flows._LAYOUT), "h": F.from_json("head", _HEAD)})
         # stored once: it is read for records of fixed and of variable length, and computing it again would run the state again
         met = written(met.select("exporter", "domain", "n", "k", "kind", "h.*", "body", "layout"), "flow-sets")

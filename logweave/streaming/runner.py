@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from logweave.operators import analytics, ingest
 from logweave.operators.correlate import Correlation
 from logweave.operators.correlate import stream as correlation_stream
+from logweave.scratch import scope, written
 
 
 def read_lines(spark: SparkSession, path: str, *, files_per_batch: int = 100) -> DataFrame:
@@ -65,14 +66,21 @@ def to_store(
     """Starts the ingest of a stream of events. Without an interval it takes what is there and ends."""
 
     def sink(batch: DataFrame, number: int) -> None:
+        with scope():  # a batch's scratch tables go with it
+            take(batch, number)
+
+    def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = written(batch, "parsed")
         now = batch_time(spark, f"{checkpoint.rstrip('/')}-times/{number}") if batch.where("event_time is null").limit(1).count() else EPOCH
-        out = ingest.chain(batch, batch_time=now, mappers=mappers, actions=actions, models=models)
+        # stored once: months, the write and what comes after it read it again
+        out = written(ingest.chain(batch, batch_time=now, mappers=mappers, actions=actions, models=models), "batch")
         known = stored(spark, store)
         if known is not None:
             months = [r[0] for r in out.select(F.date_format("event_time", "yyyy-MM")).distinct().collect()]
             known = known.where(F.col("event_month").isin(months)).select("dedup_hash", "event_time")
             out = out.join(known, ["dedup_hash", "event_time"], "left_anti")
+            out = written(out, "new") if after is not None else out
         ingest.write_store(out, store)
         if after is not None:
             after(out, number)
