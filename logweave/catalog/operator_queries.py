@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from logweave.catalog.adapter import AS_OF, SQL, events, flat, table
 from logweave.catalog.pipe_queries import registry
 from logweave.functions import ip
-from logweave.operators import analytics, correlate, enrich, ingest, killchain, severity, sigma
+from logweave import scratch
+from logweave.operators import analytics, casework, correlate, enrich, ingest, killchain, severity, sigma
+from logweave.operators.tables import Table
 from logweave.sources import json_formats, line_formats
 
 ID = "SELECT id FROM ev WHERE "
@@ -253,10 +255,21 @@ def _dry_run(spark, sf_dir):
     return sigma.dry_run(events(spark, sf_dir), rule, limit=300).select("id", "matched")
 
 
+#: Parts as rules: what each is, as SQL that both engines read alike.
+_PART_RULES = """SELECT CAST(p_partkey AS {text}) AS rule_id, CASE p_partkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'low' ELSE 'high' END AS level, p_size % 4 <> 0 AS enabled,
+    CASE p_partkey % 4 WHEN 0 THEN {array}('T1110', 't1048') WHEN 1 THEN {array}('T1021.001') WHEN 2 THEN {array}('T1110') ELSE {none} END AS techniques,
+    CASE p_size % 7 WHEN 0 THEN {array}('initial access', 'exfiltration') WHEN 1 THEN {none} WHEN 2 THEN {array}('lateral movement') ELSE {array}('credential access') END AS tactics
+    FROM part WHERE p_size % 7 <> 2 OR p_partkey % 4 = 1"""
+_PART_SQL = _PART_RULES.format(text="VARCHAR", array="list_value", none="CAST([] AS VARCHAR[])")
+
+
+def _part_rules(spark, sf_dir):
+    shaped = _PART_RULES.format(text="STRING", array="array", none="CAST(array() AS ARRAY<STRING>)").replace("FROM part", "FROM {part}")
+    return spark.sql(shaped, part=table(spark, sf_dir, "part"))
+
+
 def _coverage_map(spark, sf_dir):
-    found = _rules_frame(spark).withColumn("enabled", F.col("level") != "critical")
-    odd = spark.createDataFrame([("x", "low", ["t1048", "T1021.001"], ["exfiltration"], False), ("y", "low", [], [], True)], "rule_id string, level string, techniques array<string>, tactics array<string>, enabled boolean")
-    return flat(analytics.coverage_map(found.unionByName(odd)))
+    return flat(analytics.coverage_map(_part_rules(spark, sf_dir)))
 
 
 SUPPRESSIONS = [{"id": 1, "rule_id": "Q_RULE_CIDR", "src_ip": "10.1.0.0/17"}, {"id": 2, "user_name": "u5"}, {"id": 3}, {"id": 4, "host_name": "h5", "enabled": False}]
@@ -301,6 +314,29 @@ def _compliance(spark, sf_dir):
     return analytics.compliance(controls, _rules_frame(spark), _alerts(spark, sf_dir))
 
 
+DAYS = (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 9), dt.datetime(2024, 1, 20), dt.datetime(2024, 3, 1))
+
+
+def _baseline_upserts(spark, sf_dir):
+    """Entity baselines as a table that takes the events of one period after another."""
+    rows = events(spark, sf_dir)
+    known = Table(spark, scratch.folder(spark, "baselines"), ["entity_type", "entity_value"], analytics.entities(rows).schema, buckets=8)
+    for since, until in zip(DAYS, DAYS[1:]):
+        casework.update_baselines(known, rows.where((F.col("event_time") >= F.lit(since)) & (F.col("event_time") < F.lit(until))))
+    return known.read()
+
+
+def _alert_writes(spark, sf_dir):
+    """Alerts stored twice, of which some are closed in between: what analysts did stays."""
+    found = _alerts(spark, sf_dir).select("alert_id", "rule_id", "level", "status", F.lit(None).cast("string").alias("assignee"))
+    table = Table(spark, scratch.folder(spark, "alerts"), ["alert_id"], found.schema, buckets=8)
+    casework.store_alerts(table, found.where("alert_id % 2 = 0"))
+    table.change(F.col("level") == "high", {"status": F.lit("closed"), "assignee": F.lit("ann")})
+    casework.store_alerts(table, found)
+    table.delete((F.col("rule_id") == "q_rule_numeric") & (F.col("alert_id") % 3 == 0))
+    return table.read()
+
+
 # -- enrichment --------------------------------------------------------------------------------------------------------
 
 NETS = [("10.0.0.0/8", "corp"), ("10.1.0.0/16", "site-1"), ("10.1.4.0/24", "lab"), ("10.2.0.0/15", "site-2"), ("10.3.2.128/25", "dmz"), ("2001:db8::/32", "six")]
@@ -455,6 +491,8 @@ def queries():
         "q_top_sources": lambda s, d: analytics.top_values(ev(s, d), "src_ip", 12),
         "q_silent_sources": lambda s, d: analytics.silent_sources(ev(s, d).where("log_type <> 'error' or event_time < timestamp '2024-01-26'"), AS_OF),
         "q_entities": lambda s, d: _known(s, d),
+        "q_baseline_upserts": _baseline_upserts,
+        "q_alert_writes": _alert_writes,
         "q_entity_links": lambda s, d: analytics.entity_links(ev(s, d)),
         "q_new_entities": lambda s, d: analytics.new_entities(_known(s, d), dt.datetime(2024, 1, 1, 12), 24).select("entity_type", "entity_value"),
         "q_new_associations": _new_associations,
@@ -484,8 +522,8 @@ def queries():
         "q_ot_conversations": _ot_conversations,
         "q_killchain_components": _chains,
         "q_killchain_stories": _stories,
-        "q_coverage_rollup": lambda s, d: analytics.coverage(_rules_frame(s)),
-        "q_tactic_coverage": lambda s, d: analytics.tactic_coverage(_rules_frame(s)),
+        "q_coverage_rollup": lambda s, d: analytics.coverage(_part_rules(s, d)),
+        "q_tactic_coverage": lambda s, d: analytics.tactic_coverage(_part_rules(s, d)),
         "q_compliance": _compliance,
         "q_scope_labels": _scope,
         "q_cidr_longest_prefix": _prefix,
@@ -533,6 +571,8 @@ def oracle_sql():
     out["q_top_sources"] = w + "SELECT src_ip, count(*) AS n FROM ev GROUP BY 1 ORDER BY n DESC, src_ip LIMIT 12"
     out["q_silent_sources"] = w + "SELECT vendor, log_type, max(event_time) AS last_seen, count(*) AS n FROM ev WHERE (log_type <> 'error' OR event_time < TIMESTAMP '2024-01-26') AND event_time BETWEEN TIMESTAMP '2024-01-24' AND TIMESTAMP '2024-01-31' GROUP BY 1, 2 HAVING count(*) >= 10 AND max(event_time) < TIMESTAMP '2024-01-30'"
     out["q_entities"] = f"WITH {ev}, {_ENT.format('ev')} SELECT * FROM ent"
+    out["q_baseline_upserts"] = f"WITH {ev}, {_ENT.format('ev')} SELECT * FROM ent"
+    out["q_alert_writes"] = wa + "SELECT alert_id, rule_id, level, CASE WHEN level = 'high' AND alert_id % 2 = 0 THEN 'closed' ELSE 'new' END AS status, CASE WHEN level = 'high' AND alert_id % 2 = 0 THEN 'ann' END AS assignee FROM al WHERE NOT (rule_id = 'q_rule_numeric' AND alert_id % 3 = 0)"
     out["q_entity_links"] = f"WITH {ev}, {_LINK.format('ev')} SELECT * FROM lnk"
     out["q_new_entities"] = f"WITH {ev}, {_ENT.format('ev')} SELECT entity_type, entity_value FROM ent WHERE first_seen >= TIMESTAMP '2023-12-31 12:00:00'"
     out["q_new_associations"] = f"WITH {ev}, {_ENT.format('ev')}, {_LINK.format('ev')} SELECT l.entity_type, l.entity_value, l.peer_type, l.peer_value, l.n FROM lnk l JOIN ent e USING (entity_type, entity_value) WHERE l.first_seen >= TIMESTAMP '2024-01-11' AND e.first_seen < l.first_seen - INTERVAL 1 HOUR"
@@ -553,7 +593,14 @@ def oracle_sql():
     out["q_retention"] = "SELECT strftime(o_orderdate, '%Y-%m') AS event_month, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m') >= '1995-08' GROUP BY 1"
     out["q_rule_diagnosis"] = w + "SELECT id, action = 'deny' AND dst_port NOT IN (443, 502) AND product = 'asa' AS matched, product = 'asa' AS logsource_ok, true AS datamodel_ok, action = 'deny' AS a, dst_port IN (443, 502) AS b FROM ev"
     out["q_rule_dry_run"] = w + "SELECT id, action = 'deny' AS matched FROM ev ORDER BY event_time DESC, id DESC LIMIT 300"
-    out["q_coverage_map"] = "SELECT * FROM (VALUES ('credential access', 1, 1, 'T1110', ''), ('lateral movement', 1, 1, 'T1021.001', ''), ('initial access', 1, 0, '', 'T1110'), ('exfiltration', 2, 1, '', 'T1021.001,T1048'), ('(untagged)', 1, 1, '', '')) t(tactic, rules, enabled_rules, covered, uncovered)"
+    r = f"WITH r AS ({_PART_SQL}), "
+    each = "e AS (SELECT rule_id, enabled, techniques, unnest(CASE WHEN len(tactics) > 0 THEN tactics ELSE ['(untagged)'] END) AS tactic FROM r)"
+    out["q_coverage_map"] = r + each + (
+        ", c AS (SELECT tactic, count(DISTINCT rule_id) AS rules, count(DISTINCT rule_id) FILTER (enabled) AS enabled_rules FROM e GROUP BY 1)"
+        ", p AS (SELECT tactic, upper(t) AS t, bool_or(enabled) AS o FROM (SELECT tactic, enabled, unnest(techniques) AS t FROM e) GROUP BY 1, 2)"
+        " SELECT c.*, coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM p WHERE p.tactic = c.tactic AND o), '') AS covered,"
+        " coalesce((SELECT string_agg(t, ',' ORDER BY t) FROM p WHERE p.tactic = c.tactic AND NOT o), '') AS uncovered FROM c"
+    )
     top = f"greatest({_RANK.format('c.severity')}, coalesce(m.top, 0))"
     out["q_case_rollup"] = wa + f"SELECT c.case_id, list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST({top} AS INT)) AS severity, coalesce(m.n, 0) AS alert_count FROM (VALUES ('u1', 'low'), ('u2', 'critical'), ('u99', 'medium')) c(case_id, severity) LEFT JOIN (SELECT user_name, count(*) AS n, max({_RANK.format('level')}) AS top FROM al WHERE user_name IN ('u1', 'u2', 'u3') GROUP BY 1) m ON m.user_name = c.case_id"
     third = _IPNUM.format("src_ip", 3)
@@ -563,8 +610,8 @@ def oracle_sql():
     out["q_ot_summary"] = wo + "SELECT log_type AS protocol, count(*) AS events, count(*) FILTER (WHERE operation = 'read') AS reads, count(*) FILTER (WHERE operation = 'write') AS writes, count(*) FILTER (WHERE operation = 'control') AS controls, count(DISTINCT dst_ip) AS controllers, max(event_time) AS last_seen FROM ot GROUP BY 1"
     out["q_ot_assets"] = wo + "SELECT dst_ip, 'modbus' AS protocols, count(DISTINCT src_ip) AS masters, count(*) AS events, count(*) FILTER (WHERE operation IN ('write', 'control')) AS changes, max(event_time) AS last_seen FROM ot GROUP BY 1"
     out["q_ot_conversations"] = wo + "SELECT src_ip, dst_ip, count(*) AS events, count(*) FILTER (WHERE operation = 'write') AS writes, count(*) FILTER (WHERE operation = 'control') AS controls, CASE WHEN min(event_time) < TIMESTAMP '2024-01-21' THEN 'known' WHEN count(*) FILTER (WHERE operation IN ('write', 'control')) > 0 THEN 'new-writer' ELSE 'new' END AS class, 'modbus' AS protocols FROM ot GROUP BY 1, 2"
-    out["q_coverage_rollup"] = "SELECT * FROM (VALUES ('T1110', 2, 'critical'), ('T1021.001', 1, 'medium')) t(technique, rules, highest)"
-    out["q_tactic_coverage"] = "SELECT * FROM (VALUES ('credential access', 1, 1), ('lateral movement', 1, 1), ('initial access', 1, 1), ('exfiltration', 1, 0)) t(tactic, rules, techniques)"
+    out["q_coverage_rollup"] = r + f"x AS (SELECT rule_id, level, unnest(techniques) AS technique FROM r) SELECT technique, count(DISTINCT rule_id) AS rules, list_extract(['informational', 'low', 'medium', 'high', 'critical'], CAST(max({_RANK.format('level')}) AS INT)) AS highest FROM x GROUP BY 1"
+    out["q_tactic_coverage"] = r + "x AS (SELECT rule_id, len(techniques) AS n, unnest(tactics) AS tactic FROM r) SELECT tactic, count(DISTINCT rule_id) AS rules, CAST(sum(n) AS BIGINT) AS techniques FROM x GROUP BY 1"
     rows = ", ".join(str(c) for c in CONTROLS)
     out["q_compliance"] = wa + f", k AS (SELECT * FROM (VALUES {rows}) t(framework, control, technique)), f AS (SELECT technique, count(*) AS n FROM (SELECT unnest(techniques) AS technique FROM al) GROUP BY 1) SELECT framework, control, count(DISTINCT technique) AS techniques, count(DISTINCT CASE WHEN technique IN ('T1110', 'T1021.001') THEN technique END) AS covered, coalesce(sum(n), 0)::BIGINT AS alerts FROM k LEFT JOIN f USING (technique) GROUP BY 1, 2"
     out["q_scope_labels"] = w + f"SELECT id, 'private' AS src_scope, CASE WHEN {_IPNUM.format('dst_ip', 3)} = 100 THEN 'documentation' ELSE 'public' END AS dst_scope, CASE WHEN id % 64 BETWEEN 16 AND 31 THEN 'private' ELSE 'public' END AS odd_scope FROM ev"

@@ -155,11 +155,12 @@ def identity_candidates(user: Column) -> list[Column]:
 
 
 def _resolve(rows: DataFrame, ranked: list[Column], aliases: DataFrame, id_: str, out: str) -> DataFrame:
-    """The target of the first candidate that is an alias. Candidate lists are matched once each, then joined back."""
+    """The target of the first candidate that is an alias. Candidate lists are matched once each; what was found is stored
+    and then joined back, broadcast or else as a bare shuffle, so that a list that many rows have can be split."""
     keyed = rows.withColumn("_c", F.array(*ranked))
     lists = keyed.select("_c").distinct().select("_c", F.posexplode("_c").alias("rank", "alias")).where("alias is not null and alias <> ''")
     best = lists.join(bounded(aliases.select("alias", F.col(id_).alias("_id"))), "alias").groupBy("_c").agg(F.min_by("_id", "rank").alias(out))
-    return keyed.join(best, "_c", "left").drop("_c")
+    return keyed.join(bounded(written(best, "targets")), "_c", "left").drop("_c")
 
 
 def assets(events: DataFrame, aliases: DataFrame, nets: DataFrame | None = None, out: str = "asset_id") -> DataFrame:

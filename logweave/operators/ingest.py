@@ -6,7 +6,7 @@ import datetime as dt
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from logweave.errors import ConfigError
@@ -257,16 +257,39 @@ def apply_actions(events: DataFrame, actions: list[Action]) -> DataFrame:
     return out
 
 
-def chain(events: DataFrame, *, batch_time: dt.datetime, mappers=(), actions=(), models=None, store: DataFrame | None = None) -> DataFrame:
+class Accounting:
+    """What became of a batch, counted by the job that writes it: total, dropped by actions, duplicates, inserted. counts()
+    waits for that job; steps of the job that are computed twice would be counted twice, so it reads stored rows."""
+
+    def __init__(self) -> None:
+        self.came, self.kept, self.new = Observation(), Observation(), Observation()
+
+    @staticmethod
+    def seen(df: DataFrame, at: Observation) -> DataFrame:
+        return df.observe(at, F.count(F.lit(1)).alias("n"))
+
+    def counts(self) -> dict[str, int]:
+        total, kept, new = (int(o.get["n"]) for o in (self.came, self.kept, self.new))
+        return {"total": total, "inserted": new, "dropped": total - kept, "duplicates": kept - new}
+
+
+def chain(
+    events: DataFrame, *, batch_time: dt.datetime, mappers=(), actions=(), models=None, store: DataFrame | None = None, counted: Accounting | None = None
+) -> DataFrame:
     """The ingest order: fallback time, mappers, actions, tags, de-dup. The same function serves batches and streams."""
     out = fallback_time(events, batch_time)
+    if counted is not None:
+        out = counted.seen(out, counted.came)
     if mappers:
         out = map_fields(out, list(mappers))
     if actions:
         out = apply_actions(out, list(actions))
+    if counted is not None:
+        out = counted.seen(out, counted.kept)
     if models is not None:
         out = models.tag(out)
-    return dedup(out, store)
+    out = dedup(out, store)
+    return out if counted is None else counted.seen(out, counted.new)
 
 
 def accounting(total: int, dropped: int, stored: int) -> dict[str, int]:

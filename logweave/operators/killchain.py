@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logweave.operators import severity
 from logweave.operators.analytics import ENTITY_COLUMNS
 from logweave.operators.graph import components
+from logweave.scratch import written
 
 #: Tactics in the order of a campaign, IT and OT merged.
 TACTICS = (
@@ -34,16 +35,29 @@ def _known(tactics: Column) -> Column:
     return F.filter(spelled, lambda t: t.isin(*TACTICS))
 
 
+#: Longest stretch of an entity's time line in one window, in gaps.
+STRETCH_GAPS = 24
+
+
 def edges(alerts: DataFrame, gap_s: float = 3600) -> DataFrame:
-    """Pairs of alerts next to each other in an entity's time order, at most gap_s apart."""
+    """Pairs of alerts next to each other in an entity's time order, at most gap_s apart.
+
+    The time line is cut into stretches of STRETCH_GAPS gaps, so that a busy entity is many windows. Where one stretch goes
+    on in the next, the last alert of the one and the first of the other are neighbours: a row of each, stored, is joined.
+    """
     each = F.array(*[F.struct(F.lit(k).alias("t"), F.col(c).alias("v")) for k, c in ENTITY_COLUMNS.items()])
     rows = alerts.select("alert_id", "event_time", F.explode(each).alias("e")).where("e.v is not null and e.v <> ''")
-    before = Window.partitionBy("e.t", "e.v").orderBy("event_time", "alert_id")
-    rows = rows.select(
-        "alert_id", "event_time", F.lag("alert_id").over(before).alias("prev"), F.lag("event_time").over(before).alias("then")
-    )
-    apart = (F.unix_micros(F.col("event_time").cast("timestamp")) - F.unix_micros(F.col("then").cast("timestamp"))) / 1e6
-    return rows.where(F.col("prev").isNotNull() & (apart <= gap_s)).select(F.col("alert_id").alias("a"), F.col("prev").alias("b")).distinct()
+    micros = F.unix_micros(F.col("event_time").cast("timestamp"))
+    stretch = F.floor(micros / max(1, int(STRETCH_GAPS * gap_s * 1e6)))
+    rows = rows.select("alert_id", "e.t", "e.v", micros.alias("m"), stretch.alias("s")).where("m is not null")
+    before = Window.partitionBy("t", "v", "s").orderBy("m", "alert_id")
+    near = rows.select("alert_id", "m", F.lag("alert_id").over(before).alias("prev"), F.lag("m").over(before).alias("then"))
+    at = F.struct("m", "alert_id")
+    ends = written(rows.groupBy("t", "v", "s").agg(F.min(at).alias("first"), F.max(at).alias("last")), "stretches")
+    following = ends.select("t", "v", (F.col("s") + 1).alias("s"), F.col("last").alias("_last"))
+    seams = ends.join(following, ["t", "v", "s"]).select("first.alert_id", "first.m", F.col("_last.alert_id").alias("prev"), F.col("_last.m").alias("then"))
+    close = F.col("prev").isNotNull() & ((F.col("m") - F.col("then")) / 1e6 <= gap_s)
+    return near.unionByName(seams).where(close).select(F.col("alert_id").alias("a"), F.col("prev").alias("b")).distinct()
 
 
 def chains(alerts: DataFrame, gap_s: float = 3600) -> DataFrame:

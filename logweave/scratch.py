@@ -60,6 +60,13 @@ def scope() -> Iterator[None]:
         _remove_all(before)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared scratch folder, removed at the end like scratch tables."""
+    path = f"{scratch_root(spark)}/logweave/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The same rows, written as Parquet to the shared scratch folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

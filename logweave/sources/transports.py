@@ -10,31 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.sources.detect import PARSERS
-from logweave.sources.event import timestamp
-
-#: Source types of collectors and the format they carry.
-SOURCE_TYPES = {
-    "access_combined": "web_access", "cisco:asa": "cisco_asa", "cisco:ios": "cisco_ios", "pan:traffic": "paloalto_syslog", "pan:threat": "paloalto_syslog",
-    "pan:log": "paloalto_syslog", "fortigate": "fortinet_fortigate", "linux:audit": "linux_auditd", "suricata": "suricata_eve", "aws:cloudtrail": "aws_cloudtrail",
-    "syslog": "generic_syslog", "_json": "generic_json", "cef": "cef", "leef": "leef",
-}
-
-
-def envelopes(rows: DataFrame) -> DataFrame:
-    """Rows (format, value, time, host) of collector envelopes: one, or several after each other, in column value.
-
-    The event of an envelope is text or a JSON object; the format is that of its source type, else generic.
-    """
-    # envelopes stand one after the other: a brace that closes one is followed by one that opens the next
-    parts = F.split(F.regexp_replace("value", r"\}\s*\{(?=\s*\"(?:event|time|host|source|sourcetype|index|fields)\")", "}\u001e{"), "\u001e")
-    one = rows.select(F.explode(parts).alias("e"))
-    get = lambda k: F.get_json_object("e", f"$.{k}")
-    names = F.create_map(*[F.lit(x) for kv in SOURCE_TYPES.items() for x in kv])
-    known = F.try_element_at(names, F.lower(get("sourcetype")))
-    generic = F.when(get("event").startswith("{"), "generic_json").otherwise("generic_syslog")
-    out = one.select(F.coalesce(known, generic).alias("format"), get("event").alias("value"), timestamp(get("time")).alias("time"), get("host").alias("host"))
-    return out.where(F.col("value").isNotNull())
-
 
 _COUNTED = re.compile(rb"([0-9]+) (?=<)")
 
@@ -42,9 +17,10 @@ _COUNTED = re.compile(rb"([0-9]+) (?=<)")
 LONGEST_MESSAGE = 1024 * 1024
 
 
-def frames(stream: bytes) -> list[str]:
-    """Messages of a recorded TCP syslog stream: counted octets where a count stands before a priority, else lines.
-    A counted message that the stream ends in goes, as it is not whole; a last line without an end is kept."""
+def framed(stream: bytes) -> list[tuple[str, int]]:
+    """Messages of a recorded TCP syslog stream, each with the number of its bytes beyond LONGEST_MESSAGE, which are left
+    out: counted octets where a count stands before a priority, else lines. A counted message that the stream ends in
+    goes, as it is not whole; a last line without an end is kept."""
     out, at = [], 0
     while at < len(stream):
         counted = _COUNTED.match(stream, at)
@@ -60,20 +36,25 @@ def frames(stream: bytes) -> list[str]:
             body, at = stream[at:line], line + 1
         text = body[:LONGEST_MESSAGE].decode("utf-8", "replace").strip()
         if text:
-            out.append(text)
+            out.append((text, max(0, len(body) - LONGEST_MESSAGE)))
     return out
 
 
+def frames(stream: bytes) -> list[str]:
+    return [text for text, _ in framed(stream)]
+
+
 def syslog_streams(rows: DataFrame, column: str = "content") -> DataFrame:
-    """Rows (value) of the messages of recorded streams, a stream a row as spark.read.format("binaryFile") gives them.
-    Framing is sequential within a stream, so this is a vectorised function; null streams have no messages."""
+    """Rows (value, cut) of the messages of recorded streams, a stream a row as spark.read.format("binaryFile") gives them;
+    cut is the number of a message's bytes that are left out. Framing is sequential within a stream, so this is a vectorised function; null streams have no messages."""
 
     def split(batches):
         for batch in batches:
             for content in batch.column(0):
-                yield pa.RecordBatch.from_pydict({"value": pa.array(frames(content.as_py()), pa.string())})
+                found = framed(content.as_py())
+                yield pa.RecordBatch.from_pydict({"value": pa.array([t for t, _ in found], pa.string()), "cut": pa.array([n for _, n in found], pa.int64())})
 
-    return rows.select(column).where(F.col(column).isNotNull()).mapInArrow(split, "value string")
+    return rows.select(column).where(F.col(column).isNotNull()).mapInArrow(split, "value string, cut long")
 
 
 def ingested_before(files: DataFrame, batches: DataFrame) -> DataFrame:

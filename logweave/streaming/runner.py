@@ -18,6 +18,7 @@ from logweave.operators import analytics, ingest
 from logweave.operators.correlate import Correlation
 from logweave.operators.correlate import stream as correlation_stream
 from logweave.scratch import scope, written
+from logweave.sources.transports import parse_mixed
 
 
 def read_lines(spark: SparkSession, path: str, *, files_per_batch: int = 100) -> DataFrame:
@@ -52,6 +53,19 @@ def batch_time(spark: SparkSession, path: str) -> dt.datetime:
     return dt.datetime.fromisoformat(spark.read.text(path).first()[0])
 
 
+def store_batch(batch: DataFrame, store: str, now: dt.datetime, *, mappers=(), actions=(), models=None) -> tuple[DataFrame, dict[str, int]]:
+    """Runs stored rows through the ingest order and appends what is new to the store: (the new events, the accounting).
+    The events are computed once, by the job that stores them and counts on its way."""
+    counted = ingest.Accounting()
+    known = stored(batch.sparkSession, store)
+    if known is not None:
+        months = [r[0] for r in ingest.fallback_time(batch, now).select(F.date_format("event_time", "yyyy-MM")).distinct().collect()]
+        known = known.where(F.col("event_month").isin(months))
+    out = written(ingest.chain(batch, batch_time=now, mappers=mappers, actions=actions, models=models, store=known, counted=counted), "new-events")
+    ingest.write_store(out, store)
+    return out, counted.counts()
+
+
 def to_store(
     events: DataFrame,
     store: str,
@@ -62,33 +76,53 @@ def to_store(
     models=None,
     interval: str | None = None,
     after: Callable[[DataFrame, int], None] | None = None,
+    account: Callable[[int, dict[str, int]], None] | None = None,
 ) -> StreamingQuery:
-    """Starts the ingest of a stream of events. Without an interval it takes what is there and ends."""
+    """Starts the ingest of a stream of events. Without an interval it takes what is there and ends. after gets a batch's
+    new events, account its counts."""
 
     def sink(batch: DataFrame, number: int) -> None:
         with scope():  # a batch's scratch tables go with it
-            take(batch, number)
-
-    def take(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch = written(batch, "parsed")
-        now = batch_time(spark, f"{checkpoint.rstrip('/')}-times/{number}") if batch.where("event_time is null").limit(1).count() else EPOCH
-        # stored once: months, the write and what comes after it read it again
-        out = written(ingest.chain(batch, batch_time=now, mappers=mappers, actions=actions, models=models), "batch")
-        known = stored(spark, store)
-        if known is not None:
-            months = [r[0] for r in out.select(F.date_format("event_time", "yyyy-MM")).distinct().collect()]
-            known = known.where(F.col("event_month").isin(months)).select("dedup_hash", "event_time")
-            out = out.join(known, ["dedup_hash", "event_time"], "left_anti")
-            out = written(out, "new") if after is not None else out
-        ingest.write_store(out, store)
-        if after is not None:
-            after(out, number)
+            batch = written(batch, "parsed")
+            now = EPOCH
+            if batch.where("event_time is null").limit(1).count():
+                now = batch_time(batch.sparkSession, f"{checkpoint.rstrip('/')}-times/{number}")
+            out, counts = store_batch(batch, store, now, mappers=mappers, actions=actions, models=models)
+            if after is not None:
+                after(out, number)
+            if account is not None:
+                account(number, counts)
 
     writer = events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def dispatch(
+    mixed: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, *, interval: str | None = None
+) -> StreamingQuery:
+    """Starts a stream of rows (format, value) of many formats. A micro-batch is stored once, its formats (a closed
+    vocabulary) fan out to their parsers, and each sink gets the batch's events and number. A sink that is done leaves a
+    mark: when a later one fails and the batch is replayed, it is not called again."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        with scope():
+            events = written(parse_mixed(written(batch, "mixed")), "mixed-events")
+            for name, put in sinks.items():
+                fs, mark = _path(spark, f"{checkpoint.rstrip('/')}-marks/{number}/{name}")
+                if not fs.exists(mark):
+                    put(events, number)
+                    fs.create(mark, True).close()
+
+    writer = mixed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
 def stored(spark: SparkSession, store: str) -> DataFrame | None:
     """The store as a table, or None while it is empty."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)

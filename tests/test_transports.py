@@ -1,12 +1,14 @@
-from logweave.sources.transports import envelopes, export_csv, frames, ingested_before, parse_mixed, syslog_streams
+from logweave.sources.envelopes import envelopes, routed
+from logweave.sources.transports import LONGEST_MESSAGE, export_csv, framed, frames, ingested_before, parse_mixed, syslog_streams
 
 
 def test_envelopes_are_split_and_parsed(spark):
     text = '{"sourcetype": "cisco:ios", "event": "R1: %SEC-6-X: list 1 denied tcp 1.2.3.4(44) -> 10.0.0.1(22)", "time": 1704164645}\n{"event": {"action": "go", "user": "ann"}} {"event": "<13>Jan  2 03:04:05 h app: hi"}{"host": "x"}'
-    rows = envelopes(spark.createDataFrame([(text,), (None,)], "value string"))
-    assert sorted(r.format for r in rows.collect()) == ["cisco_ios", "generic_json", "generic_syslog"]
-    got = {(r.vendor, r.action, r.user_name, r.host_name) for r in parse_mixed(rows).collect()}
-    assert got == {("cisco", "deny", None, "R1"), ("json", "go", "ann", None), ("syslog", None, None, "h")}
+    rows = routed(envelopes(spark.createDataFrame([(text,), (None,)], "value string")))
+    assert sorted(r.format for r in rows.collect()) == ["cisco_ios", "generic_json", "generic_json"]
+    got = {(r.vendor, r.action, r.user_name, r.host_name, r.message) for r in parse_mixed(rows).collect()}
+    assert {g[:4] for g in got} == {("cisco", "deny", None, "R1"), ("json", "go", "ann", None), ("json", None, None, None)}
+    assert "<13>Jan  2 03:04:05 h app: hi" in {g[4] for g in got}
     assert parse_mixed(rows.limit(0)).count() == 0
 
 
@@ -21,6 +23,7 @@ def test_streams_are_framed(spark):
     assert frames(counted) == ["<13>a\nb", "<14>c"]
     assert frames(b"12 Jun plain\n\n7 <13>abc<9>rest\nlast") == ["12 Jun plain", "<13>abc", "<9>rest", "last"]
     assert frames(b"<13>x\n50 <13>cut off") == ["<13>x"]
+    assert [(len(t), n) for t, n in framed(b"x" * (LONGEST_MESSAGE + 5) + b"\nshort")] == [(LONGEST_MESSAGE, 5), (5, 0)]
     assert frames(b"") == [] and frames(b"\xff\n") == ["\ufffd"]
     rows = spark.createDataFrame([(bytearray(counted),), (None,), (bytearray(b""),)], "content binary")
     assert sorted(r.value for r in syslog_streams(rows).collect()) == ["<13>a\nb", "<14>c"]
