@@ -23,6 +23,8 @@ from logweave.plans.scope import BASE, CARRIED, Scope
 
 #: Elements of a values() or list() cell.
 CELL_CAP = 10_000
+#: Parts that a group's values are dealt over before they are cut.
+CELL_SALTS = 64
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -352,12 +354,42 @@ class Lowering:
             "avg": lambda: F.avg(c.cast("double")),
             "min": lambda: F.min(c),
             "max": lambda: F.max(c),
-            # a struct keeps the null that collect_set would drop
-            "values": lambda: F.slice(F.transform(F.array_sort(F.collect_set(F.struct(c.alias("v")))), lambda s: s["v"]), 1, self.cell_cap),
-            "list": lambda: F.slice(F.transform(F.collect_list(F.struct(c.alias("v"))), lambda s: s["v"]), 1, self.cell_cap),
         }[agg.func]()
         return out.alias(agg.label)
 
+    def _cells(self, keys: list[tuple[str, Column]], agg: n.Aggregate) -> DataFrame:
+        """Rows (_k0, ..., cell) of values() or list(): the least different values of each group, or its first ones, null
+        among them. A task holds no more of a group than cell_cap for each of CELL_SALTS, however many it has."""
+        names = [f"_k{i}" for i in range(len(keys))]
+        rows = self.df.select(*[c.alias(k) for k, (_, c) in zip(names, keys, strict=True)], self.column(agg.field, agg.pos).alias("v"))
+        rows = rows.distinct().withColumn("r", F.col("v")) if agg.func == "values" else rows.withColumn("r", F.monotonically_increasing_id())
+        # a group is dealt over salts that each keep a cell's worth, of which the least are then taken
+        each = Window.partitionBy(*names, "_salt").orderBy("r")
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("r"), F.lit(CELL_SALTS))).withColumn("_place", F.row_number().over(each))
+        last = Window.partitionBy(*[F.col(k) for k in names] or [F.lit(1)]).orderBy("r")
+        some = rows.where(F.col("_place") <= self.cell_cap).withColumn("_place", F.row_number().over(last)).where(F.col("_place") <= self.cell_cap)
+        # a struct keeps the null that a list would drop
+        cell = F.transform(F.array_sort(F.collect_list(F.struct("_place", "v"))), lambda s: s["v"])
+        return some.groupBy(*names).agg(cell.alias("cell"))
+
+    def _aggregated(self, keys: list[tuple[str, Column]], aggregates: tuple[n.Aggregate, ...]) -> DataFrame:
+        listed = [a for a in aggregates if a.func in ("values", "list")]
+        plain = [self.aggregate(a) for a in aggregates if a not in listed]
+        if not listed:
+            return self.df.groupBy(*[c.alias(k) for k, c in keys]).agg(*plain)
+        mine = [f"_k{i}" for i in range(len(keys))]
+        out = self.df.groupBy(*[c.alias(m) for m, (_, c) in zip(mine, keys, strict=True)]).agg(*plain, F.count(F.lit(1)).alias("_rows"))
+        for i, a in enumerate(listed):
+            side = self._cells(keys, a).select(*[F.col(m).alias(f"_s{i}{m}") for m in mine], F.col("cell").alias(f"_c{i}"))
+            if mine:
+                met = reduce(lambda x, y: x & y, [F.col(m).eqNullSafe(F.col(f"_s{i}{m}")) for m in mine])
+                out = out.join(side, met)
+            else:  # one row each
+                out = out.join(F.broadcast(side))
+        cells = {a.label: f"_c{i}" for i, a in enumerate(listed)}
+        shown = [F.col(f"`{cells.get(a.label, a.label)}`").alias(a.label) for a in aggregates]
+        return out.select(*[F.col(m).alias(k) for m, (k, _) in zip(mine, keys, strict=True)], *shown)
+
     def _grouped(self, keys: list[tuple[str, Column]], aggregates: tuple[n.Aggregate, ...], pos: int) -> None:
         names = [k for k, _ in keys] + [a.label for a in aggregates]
         scope = self.scope.with_columns(names, pos)
@@ -365,7 +397,7 @@ class Lowering:
         for a in aggregates:
             if a.func in ("min", "max") and a.field and self.scope.live(a.field) in self.scope.times:
                 timed.add(a.label)
-        self.df = self.df.groupBy(*[c.alias(k) for k, c in keys]).agg(*[self.aggregate(a) for a in aggregates])
+        self.df = self._aggregated(keys, aggregates)
         self.scope = replace(scope, row_level=False, order=(), named_order=False, times=frozenset(timed), hidden=frozenset())
 
     def _do_stats(self, stage: n.Stats) -> None:

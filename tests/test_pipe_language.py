@@ -136,3 +136,13 @@ def test_tags_views_and_rederivation(spark, events):
     assert [r.id for r in registry.rederive(old).collect()] == [4]
     registry.create_views(registry.tag(events))
     assert spark.table("model_network").columns[:4] == ["id", "event_time", "action", "src"]
+
+
+def test_cells_of_huge_groups_are_cut_before_they_are_collected(spark):
+    """Ten million values of one group: a task holds a cell's worth of each salt."""
+    from logweave.plans.lower import CELL_CAP
+
+    rows = spark.range(10_000_000).selectExpr("id", "timestamp'2024-01-01 00:00:00' as event_time", "cast(id % 3000000 as string) as user_name", "'h' as host_name", "'{}' as raw", "array('x') as search_tokens")
+    out = pipe(rows, "* | stats values(user_name) as v, list(user_name) as l, count as n by host_name")
+    row = out.first()
+    assert (row.host_name, row.n, len(row.v), len(row.l)) == ("h", 10_000_000, CELL_CAP, CELL_CAP) and row.v == sorted(row.v) and row.v[0] == "0"
