@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import datetime as dt
 from functools import cache
 
@@ -62,6 +63,17 @@ def _rule_query(name: str):
     return query
 
 
+def _base64(spark, sf_dir):
+    """Messages of every second event are encoded; a part of a text and a whole one are looked for in them."""
+    rows = events(spark, sf_dir).withColumn("message", F.when(F.col("id") % 2 == 0, F.base64(F.encode("message", "UTF-8"))).otherwise(F.col("message")))
+    rule = _rule("b", {"part": {"message|base64offset|contains": "by u1"}, "whole": {"message|base64": "view by u7"}, "condition": "part or whole"})
+    return sigma.matches(rows, sigma.compile_rules([rule], rows.columns, _tags())).where(F.size("rule_ids") > 0).select("id")
+
+
+def _navigator(spark, sf_dir):
+    return analytics.navigator_layer(analytics.coverage(_part_rules(spark, sf_dir)).where("technique <> 't1048'"))
+
+
 LEVELS = {"q_rule_contains": ("high", ["attack.t1110", "attack.credential_access"]), "q_rule_cidr": ("medium", ["attack.t1021.001", "attack.lateral_movement"]), "q_rule_all_of": ("critical", ["attack.t1110", "attack.initial_access"]), "q_rule_numeric": ("low", ["attack.exfiltration"])}
 
 
@@ -479,6 +491,8 @@ def queries():
     ev = events
     return out | {
         "q_rules_all_matches": _all_matches,
+        "q_rule_base64_encoded": _base64,
+        "q_navigator_layer": _navigator,
         "q_corr_alerts": _corr_alerts,
         "q_corr_buckets": _corr_buckets,
         "q_form_search_cidr": _form,
@@ -573,6 +587,12 @@ def oracle_sql():
     out["q_entities"] = f"WITH {ev}, {_ENT.format('ev')} SELECT * FROM ent"
     out["q_baseline_upserts"] = f"WITH {ev}, {_ENT.format('ev')} SELECT * FROM ent"
     out["q_alert_writes"] = wa + "SELECT alert_id, rule_id, level, CASE WHEN level = 'high' AND alert_id % 2 = 0 THEN 'closed' ELSE 'new' END AS status, CASE WHEN level = 'high' AND alert_id % 2 = 0 THEN 'ann' END AS assignee FROM al WHERE NOT (rule_id = 'q_rule_numeric' AND alert_id % 3 = 0)"
+    # the text's digits in an encoded one depend on its place modulo three; digits that other bytes have a part in are left out
+    digits = [base64.b64encode(b" " * i + b"by u1").decode().rstrip("=")[-(-8 * i // 6) : 8 * (i + 5) // 6] for i in range(3)]
+    coded = "lower(to_base64(encode(message)))"
+    part = " OR ".join(f"contains({coded}, '{d.lower()}')" for d in digits)
+    out["q_rule_base64_encoded"] = w + f"SELECT id FROM ev WHERE id % 2 = 0 AND ({part} OR message = 'view by u7')"
+    out["q_navigator_layer"] = f"WITH r AS ({_PART_SQL}), c AS (SELECT technique, count(DISTINCT rule_id) AS n FROM (SELECT rule_id, unnest(techniques) AS technique FROM r) WHERE technique <> 't1048' GROUP BY 1) SELECT concat('{{\"name\":\"coverage\",\"domain\":\"enterprise-attack\",\"techniques\":[', string_agg(concat('{{\"techniqueID\":\"', technique, '\",\"score\":', n, '}}'), ',' ORDER BY technique), ']}}') AS layer FROM c"
     out["q_entity_links"] = f"WITH {ev}, {_LINK.format('ev')} SELECT * FROM lnk"
     out["q_new_entities"] = f"WITH {ev}, {_ENT.format('ev')} SELECT entity_type, entity_value FROM ent WHERE first_seen >= TIMESTAMP '2023-12-31 12:00:00'"
     out["q_new_associations"] = f"WITH {ev}, {_ENT.format('ev')}, {_LINK.format('ev')} SELECT l.entity_type, l.entity_value, l.peer_type, l.peer_value, l.n FROM lnk l JOIN ent e USING (entity_type, entity_value) WHERE l.first_seen >= TIMESTAMP '2024-01-11' AND e.first_seen < l.first_seen - INTERVAL 1 HOUR"

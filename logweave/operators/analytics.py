@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import ip, text
@@ -362,10 +363,13 @@ def compliance(controls: DataFrame, rules: DataFrame, alerts: DataFrame) -> Data
     )
 
 
-def navigator_layer(coverage_: DataFrame, name: str = "coverage") -> DataFrame:
-    """One row: the layer's JSON, techniques scored by their rules. Techniques are a closed vocabulary of under 1,000."""
+def navigator_layer(coverage_: DataFrame, name: str = "coverage", domain: str = "enterprise-attack") -> DataFrame:
+    """One row: the layer's JSON, techniques of one domain scored by their rules: those of industrial systems begin with
+    T0. Techniques are a closed vocabulary of under 1,000."""
+    industrial = F.col("technique").rlike("(?i)^T0")
+    coverage_ = coverage_.where(industrial if domain == "ics-attack" else ~industrial)
     each = F.array_sort(F.collect_list(F.struct(F.col("technique").alias("techniqueID"), F.col("rules").alias("score"))))
-    return coverage_.agg(F.to_json(F.struct(F.lit(name).alias("name"), F.lit("enterprise-attack").alias("domain"), each.alias("techniques"))).alias("layer"))
+    return coverage_.agg(F.to_json(F.struct(F.lit(name).alias("name"), F.lit(domain).alias("domain"), each.alias("techniques"))).alias("layer"))
 
 
 def playbook_matches(alerts: DataFrame, playbook: dict) -> DataFrame:
@@ -389,6 +393,20 @@ def due_reverts(actions: DataFrame, as_of: dt.datetime) -> DataFrame:
     return out.where(F.col("revert_action").isNotNull()).orderBy("revert_at")
 
 
+def drop_expired(spark: SparkSession, store: str, as_of: dt.date, years: int, floor_years: int = 3) -> list[str]:
+    """Deletes the months of a store before the cutoff, as whole partitions, and tells which."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    first, gone = retention_cutoff(as_of, years, floor_years), []
+    for f in fs.listStatus(path):
+        name = f.getPath().getName()
+        month = name.removeprefix("event_month=")
+        if f.isDirectory() and re.fullmatch(r"event_month=\d{4}-\d{2}", name) and month < first:
+            fs.delete(f.getPath(), True)
+            gone.append(month)
+    return sorted(gone)
+
+
 def retention_cutoff(as_of: dt.date, years: int, floor_years: int = 3) -> str:
     """The first month that is kept: whole calendar years back, never fewer than the floor."""
     return f"{as_of.year - max(years, floor_years):04d}-{as_of.month:02d}"
