@@ -14,7 +14,7 @@ from logweave.functions import ip
 from logweave import scratch
 from logweave.operators import analytics, casework, correlate, enrich, ingest, killchain, severity, sigma
 from logweave.operators.tables import Table
-from logweave.sources import json_formats, line_formats
+from logweave.sources import json_formats, line_formats, ranges
 
 ID = "SELECT id FROM ev WHERE "
 
@@ -369,6 +369,24 @@ def _geo(spark, sf_dir):
     return enrich.range_label(events(spark, sf_dir).select("id", "dst_ip"), "dst_ip", segments, "country")
 
 
+def _located(spark, sf_dir):
+    """Nations, then regions, then two wide networks as sources of ranges; every seventh address is an IPv6 one."""
+    hexed = lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")
+    k = F.col("n_nationkey")
+    own = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("4c633"), hexed(k), F.lit("00")).alias("low"), F.concat(F.lit("4c633"), hexed(k), F.lit("ff")).alias("high"),
+        F.when(k < 3, F.upper(F.substring("n_name", 1, 2))).alias("country"), F.when(k.isin(1, 3), k + 100).alias("asn"),
+    )
+    r = F.col("r_regionkey")
+    more = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("4c633"), hexed(r), F.lit("00")).alias("low"), F.concat(F.lit("4c633"), hexed(r), F.lit("7f")).alias("high"), F.concat(F.lit("R"), F.char(r + 65)).alias("country"), (r + 900).alias("asn")
+    )
+    wide = spark.createDataFrame([("4c6000000", "4c6ffffff", "WW", 7), ("620010db8" + "0" * 24, "620010db8" + "f" * 24, "SX", 6)], "low string, high string, country string, asn long")
+    address = F.when(F.col("id") % 7 == 0, F.concat(F.lit("2001:DB8::"), F.col("id") % 3)).otherwise(F.col("dst_ip"))
+    rows = events(spark, sf_dir).select("id", address.alias("address"))
+    return ranges.located(rows, "address", [ranges.range_networks(x) for x in (own, more, wide)]).select("id", "country", "asn")
+
+
 def _assets(spark, sf_dir):
     names = table(spark, sf_dir, "nation").select(F.concat(F.lit("h"), "n_nationkey").alias("alias"), F.concat(F.lit("asset-"), "n_nationkey").alias("asset_id")).where("n_nationkey < 6")
     more = spark.createDataFrame([("10.0.1.1", "asset-ip"), ("198.51.0.10", "asset-dst")], "alias string, asset_id string")
@@ -542,6 +560,7 @@ def queries():
         "q_scope_labels": _scope,
         "q_cidr_longest_prefix": _prefix,
         "q_geo_range_join": _geo,
+        "q_geo_precedence": _located,
         "q_asset_precedence": _assets,
         "q_ioc_match_documents": _ioc,
         "q_ti_events": lambda s, d: _ti(s, d).drop("observed"),
@@ -639,6 +658,7 @@ def oracle_sql():
     out["q_cidr_longest_prefix"] = w + f"SELECT id, src_ip, CASE WHEN {a} = 1 AND {b} = 4 THEN 'lab' WHEN {a} = 1 THEN 'site-1' WHEN {a} = 3 AND {b} = 2 AND {c} >= 128 THEN 'dmz' WHEN {a} IN (2, 3) THEN 'site-2' ELSE 'corp' END AS zone FROM ev"
     b, c = (_IPNUM.format("dst_ip", i) for i in (3, 4))
     out["q_geo_range_join"] = w + f"SELECT id, dst_ip, CASE WHEN {b} = 1 THEN 'BB' WHEN {b} = 2 THEN 'CC' ELSE 'AA' END AS country FROM ev"
+    out["q_geo_precedence"] = w + "SELECT id, CASE WHEN id % 7 = 0 THEN 'SX' WHEN id % 5 < 3 THEN upper(substr(n_name, 1, 2)) WHEN id % 250 < 128 THEN 'R' || chr(CAST(65 + id % 5 AS INT)) ELSE 'WW' END AS country, CAST(CASE WHEN id % 7 = 0 THEN 6 WHEN id % 5 IN (1, 3) THEN id % 5 + 100 WHEN id % 250 < 128 THEN 900 + id % 5 ELSE 7 END AS BIGINT) AS asn FROM ev JOIN nation ON n_nationkey = id % 5"
     out["q_asset_precedence"] = w + "SELECT id, CASE WHEN host_name IN ('h0', 'h1', 'h2', 'h3', 'h4', 'h5') THEN 'asset-' || substr(host_name, 2) WHEN src_ip = '10.0.1.1' THEN 'asset-ip' WHEN dst_ip = '198.51.0.10' THEN 'asset-dst' WHEN src_ip LIKE '10.3.%' THEN 'asset-net' END AS asset_id FROM ev"
     dot = "regexp_extract_all(text, '\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b')"
     domain = "list_contains(regexp_extract_all(lower(text), '\\b(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\\.)+[a-z]{{2,}}\\b'), '{0}')"
