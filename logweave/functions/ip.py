@@ -213,5 +213,4 @@ def scope(address: Column) -> Column:
 
 def clean(address: Column) -> Column:
     """Lower-cased text of an address or null; unspecified addresses are null. A pattern is enough here: no key is made."""
-    text = F.lower(F.btrim(address))
-    return F.when(text.rlike(_ADDRESS) & ~text.rlike(r"^(?:0\.0\.0\.0|[0:]+)$"), text)
+    return bind(F.lower(F.btrim(address)), lambda t: F.when(t.rlike(_ADDRESS) & ~t.rlike(r"^(?:0\.0\.0\.0|[0:]+)$"), t))

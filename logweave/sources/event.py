@@ -30,8 +30,8 @@ TIME_FORMATS = (
 
 
 def when_set(value: Column) -> Column:
-    """Null for empty text."""
-    return F.nullif(F.btrim(value.cast("string")), F.lit(""))
+    """Null for empty text. The value is computed once: it is often a search, and nullif() would repeat it."""
+    return ip.bind(F.btrim(value.cast("string")), lambda t: F.when(t != "", t))
 
 
 def first_set(*values: Column) -> Column:
@@ -44,8 +44,7 @@ def to_long(value: Column) -> Column:
 
 
 def to_port(value: Column) -> Column:
-    n = to_long(value)
-    return F.when(n.between(0, 65535), n.cast("int"))
+    return ip.bind(to_long(value), lambda n: F.when(n.between(0, 65535), n.cast("int")))
 
 
 def timestamp(value: Column, year: int | None = None) -> Column:

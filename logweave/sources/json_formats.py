@@ -14,54 +14,58 @@ from logweave.sources.event import events, host_port, lookup, timestamp, to_long
 Get = Callable[..., Column]
 
 
-def records(rows: DataFrame, *wrappers: str) -> DataFrame:
-    """One row per record, as text in column raw; lines that are no JSON objects go."""
-    text = F.rtrim(F.btrim(F.col("value"), F.lit(" \t\r\n﻿")), F.lit(","))
-    inner = [F.from_json(F.get_json_object(text, f"$['{w}']"), "array<string>") for w in wrappers]
-    listed = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.coalesce(*inner, F.array(text)))
-    return rows.select(F.explode(listed).alias("raw")).where(F.col("raw").startswith("{") & F.from_json("raw", "map<string,string>").isNotNull())
-
+_MAP = "map<string,string>"
 
-def _entries(text: Column) -> Column:
-    return F.coalesce(F.map_entries(F.from_json(text, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
 
+def records(rows: DataFrame, *wrappers: str) -> DataFrame:
+    """One row per record, as text in column raw, with its own keys in column _top; lines that are no JSON objects go."""
+    rows = rows.select(F.rtrim(F.btrim(F.col("value"), F.lit(" \t\r\n﻿")), F.lit(",")).alias("_text"))
+    text = F.col("_text")
+    # a wrapper's name is in the text as it is, or escaped: other texts are not searched for it
+    inner = [F.when(text.contains(w) | text.contains("\\u"), F.from_json(F.get_json_object(text, f"$['{w}']"), "array<string>")) for w in wrappers]
+    listed = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.coalesce(*inner, F.array(text)))
+    read = F.transform(listed, lambda r: F.struct(r.alias("raw"), F.when(r.startswith("{"), F.from_json(r, _MAP)).alias("_top")))
+    return rows.select(F.explode(read).alias("x")).select("x.raw", "x._top").where(F.col("_top").isNotNull())
 
-def flat(text: Column, levels: int = 3) -> Column:
-    """A map of lower-cased, dot-joined keys to scalar texts; of a list its first scalar. Earlier, shallower keys win."""
-
-    def named(prefix: Column | None, e: Column) -> Column:
-        key = F.lower(e["key"] if prefix is None else F.concat_ws(".", prefix, e["key"]))
-        return F.struct(key.alias("key"), e["value"].alias("value"))
 
-    def below(level: Column) -> Column:
-        nested = F.filter(level, lambda e: e["value"].startswith("{"))
-        return F.flatten(F.transform(nested, lambda e: F.transform(_entries(e["value"]), lambda x: named(e["key"], x))))
+def _entries(map_: Column) -> Column:
+    return F.coalesce(F.map_entries(map_), F.array().cast("array<struct<key:string,value:string>>"))
 
-    def value(v: Column) -> Column:
-        first = F.get(F.filter(F.from_json(v, "array<string>"), lambda x: ~x.rlike(r"^\s*[\[{]")), 0)
-        return F.when(v.startswith("["), first).when(~v.startswith("{"), v)
 
-    def to_map(every: Column) -> Column:
-        kept = F.filter(F.transform(every, lambda e: F.struct(e["key"], value(e["value"]).alias("value"))), lambda e: F.length(e["value"]) > 0)
+def _below(level: Column) -> Column:
+    """The entries of the objects among a level's values, under dot-joined keys."""
+    nested = F.filter(level, lambda e: e["value"].startswith("{"))
+    named = lambda e: lambda x: F.struct(F.lower(F.concat_ws(".", e["key"], x["key"])).alias("key"), x["value"].alias("value"))
+    return F.flatten(F.transform(nested, lambda e: F.transform(_entries(F.from_json(e["value"], _MAP)), named(e))))
 
-        def of(k: Column) -> Column:
-            first = lambda name: F.get(F.filter(k, lambda e: e["key"] == name), 0)["value"]
-            return bind(F.array_distinct(F.transform(k, lambda e: e["key"])), lambda d: F.map_from_arrays(d, F.transform(d, first)))
 
-        return bind(kept, of)
+def _scalar(v: Column) -> Column:
+    """A scalar's text, of a list its first scalar's."""
+    first = F.get(F.filter(F.from_json(v, "array<string>"), lambda x: ~x.rlike(r"^\s*[\[{]")), 0)
+    return F.when(v.startswith("["), first).when(~v.startswith("{"), v)
 
-    def deeper(level: Column, left: int) -> Column:
-        """The level's entries and all below, to that many more levels."""
-        return level if left == 0 else F.concat(level, bind(below(level), lambda x: deeper(x, left - 1)))
 
-    return bind(F.transform(_entries(text), lambda e: named(None, e)), lambda top: bind(deeper(top, levels - 1), to_map))
+def flat(rows: DataFrame, levels: int = 3) -> DataFrame:
+    """Rows with column _m, a map of raw's lower-cased, dot-joined keys to scalar texts, trimmed and null where that leaves
+    none; of a list its first scalar. Earlier, shallower keys win. Each step is a column, so that it is computed once."""
+    top = F.col("_top") if "_top" in rows.columns else F.from_json("raw", _MAP)
+    rows = rows.withColumn("_level1", F.transform(_entries(top), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    for k in range(2, levels + 1):
+        rows = rows.withColumn(f"_level{k}", _below(F.col(f"_level{k - 1}")))
+    every = F.concat(*[F.col(f"_level{k}") for k in range(1, levels + 1)])
+    rows = rows.withColumn("_kept", F.filter(F.transform(every, lambda e: F.struct(e["key"], _scalar(e["value"]).alias("value"))), lambda e: F.length(e["value"]) > 0))
+    keys, trimmed = F.col("_kept")["key"], lambda v: when_set(v)
+    first = lambda name: trimmed(F.get(F.filter("_kept", lambda e: e["key"] == name), 0)["value"])
+    once = F.map_from_arrays(keys, F.transform(F.col("_kept")["value"], trimmed))
+    again = bind(F.array_distinct(keys), lambda d: F.map_from_arrays(d, F.transform(d, first)))
+    return rows.withColumn("_m", F.when(F.size(F.array_distinct(keys)) == F.size(keys), once).otherwise(again)).drop("_kept", *[f"_level{k}" for k in range(1, levels + 1)])
 
 
 def with_flat(rows: DataFrame) -> tuple[DataFrame, Get]:
-    rows = rows.withColumn("_m", flat(F.col("raw")))
+    rows = flat(rows)
 
     def g(*names: str) -> Column:
-        return F.coalesce(*[when_set(F.try_element_at("_m", F.lit(n.lower()))) for n in names])
+        return F.coalesce(*[F.try_element_at("_m", F.lit(n.lower())) for n in names])
 
     return rows, g
 
@@ -213,7 +217,7 @@ def m365_audit(rows: DataFrame) -> DataFrame:
     rows = records(rows)
     embedded = F.get_json_object("raw", "$.AuditData")
     merged = F.concat(F.regexp_replace(embedded, r"\}\s*$", ","), F.substring("raw", 2, 1 << 30))
-    rows = rows.withColumn("raw", F.when(embedded.startswith("{"), merged).otherwise(F.col("raw")))
+    rows = rows.withColumn("raw", F.when(embedded.startswith("{"), merged).otherwise(F.col("raw"))).drop("_top")
     rows, g = with_flat(rows)
     address, port = host_port(g("clientip", "clientipaddress", "actoripaddress"))
     return events(
