@@ -238,10 +238,10 @@ def with_templates(found: DataFrame) -> DataFrame:
 
 
 def _records(met: DataFrame) -> DataFrame:
-    """Sets with their records, an array of structs (rec, fields)."""
+    """Sets with their records, an array of structs (rec, fields); fields are the layout's where they are null."""
     fixed = met.where("layout.size > 0")
     size, n = F.col("layout.size"), F.expr("octet_length(body) div layout.size")
-    each = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.struct(F.substring("body", i * size + 1, size).alias("rec"), F.col("layout.fields").alias("fields")))
+    each = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.struct(F.substring("body", i * size + 1, size).alias("rec"), F.lit(None).cast(_FIELD).alias("fields")))
     fixed = fixed.withColumn("records", F.when(n > 0, each).otherwise(F.array().cast(f"array<struct<rec:binary,fields:{_FIELD}>>")))
 
     @F.pandas_udf(f"array<struct<rec:binary,fields:{_FIELD}>>")
@@ -267,7 +267,9 @@ def _json_value(rec: Column, f: Column) -> Column:
     """A field as JSON; null where there is no value."""
 
     def of(b: Column) -> Column:
-        digits = F.hex(b)
+        return ip.bind(F.hex(b), lambda digits: spelled(b, digits))
+
+    def spelled(b: Column, digits: Column) -> Column:
         text = F.nullif(F.btrim(F.rtrim(F.make_valid_utf8(b.cast("string")), F.lit("\0")), F.lit(" \t\r\n\f\x0b")), F.lit(""))
         mac = F.when(F.length(digits) == 12, F.regexp_replace(F.lower(digits), "(..)(?!$)", "$1:"))
         quoted = F.when(f["kind"] == "ip", ip.text_of(digits)).when(f["kind"] == "mac", mac)
@@ -279,18 +281,19 @@ def _json_value(rec: Column, f: Column) -> Column:
 
 def _number(place: Column, rec: Column, fields: Column) -> Column:
     """The whole number at a place of the fields, or null."""
-    f = F.get(fields, F.when(place >= 0, place))
-    return _whole(F.hex(F.substring(rec, f["at"] + 1, f["length"])))
+    digits = lambda f: F.hex(F.substring(rec, f["at"] + 1, f["length"]))
+    return ip.bind(F.get(fields, F.when(place >= 0, place)), lambda f: ip.bind(digits(f), _whole))
 
 
 def _edge(edge: str) -> Column:
     """A flow's start or end in nanoseconds; a time outside belief is the export's."""
-    value = _number(F.col(f"layout.{edge}"), F.col("rec"), F.col("fields")).try_cast("decimal(38,0)")
+    number = _number(F.col(f"layout.{edge}"), F.col("rec"), F.col("fields")).try_cast("decimal(38,0)")
     unit = F.col(f"layout.{edge}_unit")
-    relative = F.col("boot").cast("decimal(38,0)") + value * 1_000_000
-    time = F.when(unit == 0, relative).otherwise(F.try_multiply(value, unit.cast("decimal(20,0)")))
+    relative = lambda value: F.col("boot").cast("decimal(38,0)") + value * 1_000_000
+    time = lambda value: F.when(unit == 0, relative(value)).otherwise(F.try_multiply(value, unit.cast("decimal(20,0)")))
     export = F.when(F.col("exported").between(0, LAST_TIME), F.col("exported"))
-    return F.when(time.between(0, LAST_TIME), time.cast("long")).when(time.isNotNull(), export)
+    believed = lambda t: F.when(t.between(0, LAST_TIME), t.cast("long")).when(t.isNotNull(), export)
+    return ip.bind(number, lambda value: ip.bind(time(value), believed))
 
 
 def _iso(nanos: Column) -> Column:
@@ -307,7 +310,7 @@ def flows(met: DataFrame) -> DataFrame:
 
 def _as_json(rows: DataFrame) -> DataFrame:
     kept = ["exporter", "n", "version", "domain", "sequence", "exported", "boot", "engine", "before", "layout"]
-    rows = rows.select(*kept, F.posexplode_outer("records").alias("i", "x")).where("x is not null").select(*kept, "i", "x.rec", "x.fields")
+    rows = rows.select(*kept, F.posexplode_outer("records").alias("i", "x")).where("x is not null").select(*kept, "i", "x.rec", F.coalesce("x.fields", "layout.fields").alias("fields"))
     pair = lambda k, v: F.struct(F.lit(k).alias("k") if isinstance(k, str) else k.alias("k"), v.cast("string").alias("v"))
     own = F.transform(F.filter("fields", lambda f: f["kind"] != "padding"), lambda f: pair(f["key"], _json_value(F.col("rec"), f)))
     own = F.filter(own, lambda e: e["v"].isNotNull())

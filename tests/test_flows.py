@@ -147,3 +147,11 @@ def test_addresses_are_written_as_usual(spark):
     samples = [ipaddress.IPv6Address(bytes(rng.choice([0, 0, 0, 1, 255]) for _ in range(16))) for _ in range(200)] + [ipaddress.IPv6Address(x) for x in ("::", "::1", "1::", "::ffff:1.2.3.4", "1:0:0:2:0:0:3:4", "0:1::", "1:2:3:4:5:6:7:8", "10::10:0:0:100")]
     rows = spark.createDataFrame([(a.packed.hex(), str(a)) for a in samples] + [("0a000001", "10.0.0.1"), ("0a", None)], "h string, want string")
     assert rows.where(~ip.text_of(F.col("h")).eqNullSafe(F.col("want"))).collect() == []
+
+
+def test_fixed_records_do_not_carry_their_fields(spark):
+    """A record of a fixed layout has no copy of the layout's fields; they are taken from the set's layout."""
+    what = flows.layout([(8, 4, 0), (1, 4, 0)], False)
+    met = spark.createDataFrame([("e", 1, 0, bytearray(range(16)), what)], f"exporter string, n long, k int, body binary, layout {flows._LAYOUT}")
+    row = flows._records(met).select("records").first()
+    assert [(bytes(x["rec"]), x["fields"]) for x in row["records"]] == [(bytes(range(8)), None), (bytes(range(8, 16)), None)]
