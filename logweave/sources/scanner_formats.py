@@ -168,28 +168,33 @@ DISPOSITIONS = ("blocked", "prevented", "remediated", "quarantined", "cleaned",
 def defender_xdr(rows: DataFrame) -> DataFrame:
     """Alerts, and incidents followed by the alerts that are expanded in them, as events of their own."""
     rows = records(rows, "value")
-    nested = F.from_json(F.get_json_object("raw", "$.alerts"), "array<string>")
-    alert_keys = F.coalesce(*[F.get_json_object("raw", f"$.{k}") for k in ("serviceSource", "evidence", "alertWebUrl", "providerAlertId")])
-    incident = alert_keys.isNull() & F.coalesce(*[F.get_json_object("raw", f"$.{k}") for k in ("incidentWebUrl", "displayName", "alerts")]).isNotNull()
-    own = F.struct(F.col("raw").alias("raw"), incident.alias("incident"))
-    inner = F.transform(F.coalesce(F.when(incident, nested), F.array().cast("array<string>")), lambda a: F.struct(a.alias("raw"), F.lit(False).alias("incident")))
-    rows = rows.select(F.explode(F.concat(F.array(own), inner)).alias("x")).select("x.raw", "x.incident")
-    rows, g = with_flat(rows)
-    own_evidence = _items(F.col("raw"), "$.evidence")
+    at = lambda m, key: F.try_element_at(m, F.lit(key))
+    texts, empty = F.array().cast("array<string>"), F.array().cast("array<map<string,string>>")
+    has = lambda *keys: F.coalesce(*[at(F.col("_top"), k) for k in keys]).isNotNull()
+    incident = ~has("serviceSource", "evidence", "alertWebUrl", "providerAlertId") & has("incidentWebUrl", "displayName", "alerts")
+    alerts = F.coalesce(F.from_json(at(F.col("_top"), "alerts"), "array<string>"), texts)
+    inner = F.transform(alerts, lambda a: F.struct(a.alias("raw"), F.from_json(a, "map<string,string>").alias("_top")))
+    rows = rows.withColumns({"incident": incident, "_inner": inner})
+    shown = F.flatten(F.transform("_inner", lambda a: F.coalesce(_maps(at(a["_top"], "evidence")), empty)))
+    one = lambda raw, top, first, seen: F.struct(raw.alias("raw"), top.alias("_top"), F.lit(first).alias("incident"), seen.alias("_shown"))
     # an incident has what its expanded alerts show, the first of them first
-    alerts = F.coalesce(F.from_json(F.get_json_object("raw", "$.alerts"), "array<string>"), F.array().cast("array<string>"))
-    shown = F.flatten(F.transform(alerts, lambda a: F.coalesce(F.from_json(F.get_json_object(a, "$.evidence"), "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))))
-    rows = rows.withColumn("_own", own_evidence).withColumn("_evidence", F.when(F.col("incident"), shown).otherwise(F.col("_own")))
+    own = F.when(F.col("incident"), one(F.col("raw"), F.col("_top"), True, shown)).otherwise(one(F.col("raw"), F.col("_top"), False, empty))
+    expanded = F.when(F.col("incident"), F.transform("_inner", lambda a: one(a["raw"], a["_top"], False, empty))).otherwise(F.array().cast("array<struct<raw:string,_top:map<string,string>,incident:boolean,_shown:array<map<string,string>>>>"))
+    rows = rows.select(F.explode(F.concat(F.array(own), expanded)).alias("x")).select("x.raw", "x._top", "x.incident", "x._shown")
+    rows, g = with_flat(rows)
+    rows = rows.withColumn("_own", F.coalesce(_maps(at(F.col("_top"), "evidence")), empty)).withColumn("_evidence", F.when(F.col("incident"), F.col("_shown")).otherwise(F.col("_own")))
     evidence = F.col("_evidence")
 
+    def first_of(kind: str) -> Column:
+        return F.get(F.filter(evidence, lambda e: F.lower(F.coalesce(at(e, "@odata.type"), F.lit(""))).contains(kind)), 0)
+
     def of(kind: str, *paths: str) -> Column:
-        one = F.get(F.filter(evidence, lambda e: F.lower(F.coalesce(F.try_element_at(e, F.lit("@odata.type")), F.lit(""))).contains(kind)), 0)
-        tests = []
-        for p in paths:
-            head, _, rest = p.partition(".")
-            top = F.try_element_at(one, F.lit(head))
-            tests.append(when_set(F.get_json_object(top, f"$.{rest}") if rest else F.when(~top.rlike(r"^\s*[\[{]"), top)))
-        return F.coalesce(*tests)
+        def test(one: Column, path: str) -> Column:
+            head, _, rest = path.partition(".")
+            scalar = lambda t: F.when(~t.rlike(r"^\s*[\[{]"), t)
+            return when_set(F.get_json_object(at(one, head), f"$.{rest}") if rest else bind(at(one, head), scalar))
+
+        return bind(first_of(kind), lambda one: F.coalesce(*[test(one, p) for p in paths]))
 
     outcomes = F.flatten(F.transform("_own", lambda e: F.array(*[F.lower(F.btrim(F.try_element_at(e, F.lit(k)))) for k in ("remediationStatus", "detectionStatus")])))
     outcomes = F.array_sort(F.filter(F.array_compact(outcomes), lambda o: ~o.isin(*_HIDDEN)))
@@ -208,14 +213,17 @@ def defender_xdr(rows: DataFrame) -> DataFrame:
         return F.when(folder.isNotNull() & name.isNotNull(), F.concat(folder, gap, name)).otherwise(F.coalesce(name, folder))
 
     def part_of(kind: str, key: str) -> Column:
-        one = F.get(F.filter(evidence, lambda e: F.lower(F.coalesce(F.try_element_at(e, F.lit("@odata.type")), F.lit(""))).contains(kind)), 0)
-        return F.try_element_at(one, F.lit(key))
+        return at(first_of(kind), key)
 
     def label(account: Column) -> Column:
         """A principal name, or a name behind its domain."""
-        at = lambda *keys: F.coalesce(*[when_set(F.get_json_object(account, f"$.{k}")) for k in keys])
-        name, domain = at("accountName", "displayName"), at("domainName")
-        return F.coalesce(at("userPrincipalName", "upn"), F.when(domain.isNotNull(), F.concat(domain, F.lit("\\"), name)), name)
+
+        def read(m: Column) -> Column:
+            found_ = lambda *keys: F.coalesce(*[when_set(at(m, k)) for k in keys])
+            name, domain = found_("accountName", "displayName"), found_("domainName")
+            return F.coalesce(found_("userPrincipalName", "upn"), F.when(domain.isNotNull(), F.concat(domain, F.lit("\\"), name)), name)
+
+        return bind(_map(account), lambda m: F.when(m.isNotNull(), read(m)))
 
     accounts = lambda items: F.get(F.filter(F.transform(items, lambda e: label(F.try_element_at(e, F.lit("userAccount")))), lambda x: x.isNotNull()), 0)
     registry = F.concat_ws("\\", *[of("registry", k) for k in ("registryHive", "registryKey", "registryValueName")])
@@ -229,13 +237,13 @@ def defender_xdr(rows: DataFrame) -> DataFrame:
         "DeviceName": of("deviceevidence", "deviceDnsName", "hostName"), "DeviceId": of("deviceevidence", "mdeDeviceId", "azureAdDeviceId"), "OsPlatform": of("deviceevidence", "osPlatform"),
         "AccountName": accounts(evidence), "TargetObject": when_set(registry), "RegistryValue": of("registry", "registryValue"), "Url": of("urlevidence", "url"),
         "IpAddress": address, "subject": of("analyzedmessage", "subject"), "sender": sender, "recipient": recipient, "SenderIp": sent_from, "NetworkMessageId": of("analyzedmessage", "networkMessageId"),
-        "mitre_techniques": F.array_join(F.from_json(F.get_json_object("raw", "$.mitreTechniques"), "array<string>"), ","), "threat": g("threatdisplayname", "threatfamilyname"),
+        "mitre_techniques": F.array_join(F.from_json(at(F.col("_top"), "mitreTechniques"), "array<string>"), ","), "threat": g("threatdisplayname", "threatfamilyname"),
     }
     user = F.coalesce(accounts(F.col("_own")), lifted["AccountName"], recipient)
     title = g("title", "description")
     threat = g("threatdisplayname", "threatfamilyname")
     return events(
-        rows.withColumn("raw", _put(F.col("raw"), **{k: F.when(F.get_json_object("raw", f"$.{k}").isNull(), v) for k, v in lifted.items()})), "microsoft", "defender",
+        rows.withColumn("raw", _put(F.col("raw"), **{k: F.when(at(F.col("_top"), k).isNull(), v) for k, v in lifted.items()})), "microsoft", "defender",
         event_time=timestamp(g("firstactivitydatetime", "createddatetime", "lastupdatedatetime")),
         log_type=log_type,
         severity=hide(g("severity")),
