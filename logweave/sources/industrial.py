@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.ip import bind
@@ -114,10 +114,11 @@ def _of(table: Protocol, name: Column) -> Column:
     return out.otherwise(pair(spelled, "other"))
 
 
-def enriched(path: Column, g: Get) -> tuple[Column, Column]:
-    """The action of an industrial row, null for other logs, and what is kept of it: the protocol, the operation, whether
-    it writes, and the protocol's details."""
-    protocol = lookup(PATHS, path)
+def enriched(rows: DataFrame, path: Column, g: Get) -> tuple[DataFrame, Column, Column]:
+    """Rows with the columns that the others stand on, the action of an industrial row, null for other logs, and what is
+    kept of it: the protocol, the operation, whether it writes, and the protocol's details."""
+    rows = rows.withColumn("_protocol", lookup(PATHS, path))
+    protocol = F.col("_protocol")
     found = _of(Protocol(), F.lit(""))
     details: dict[str, Column] = {}
     for name, table in PROTOCOLS.items():
@@ -126,7 +127,9 @@ def enriched(path: Column, g: Get) -> tuple[Column, Column]:
         found = F.when(here, each).otherwise(found)
         for key, fields in table.details.items():
             details[key] = F.when(here, g(*fields)).otherwise(details.get(key))
-    found = bind(found, lambda f: F.when(protocol.isNotNull(), f))
+    rows = rows.withColumn("_function", F.when(protocol.isNotNull(), found))
+    found = F.col("_function")
     writes = F.when(found["operation"] == "write", "true").otherwise("false")
     kept = F.struct(protocol.alias("protocol"), found["operation"].alias("operation"), writes.alias("is_write"), *[v.alias(k) for k, v in details.items()])
-    return found["action"], F.when(protocol.isNotNull(), kept)
+    rows = rows.withColumn("_ot", F.when(protocol.isNotNull(), kept))
+    return rows, found["action"], F.col("_ot")

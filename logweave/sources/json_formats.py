@@ -380,8 +380,8 @@ SYSMON_LIFTED = (
 
 def sysmon(rows: DataFrame) -> DataFrame:
     rows, g = with_flat(records(rows))
-    text = F.coalesce(g("message", "description"), F.lit(""))
-    code = to_long(g("id", "eventid", "event id"))
+    rows = rows.withColumns({"_said": F.coalesce(g("message", "description"), F.lit("")), "_code": to_long(g("id", "eventid", "event id"))})
+    text, code = F.col("_said"), F.col("_code")
 
     def f(*names: str) -> Column:
         found = []
@@ -425,7 +425,9 @@ def zeek_events(rows: DataFrame) -> DataFrame:
     web = F.coalesce(g("method"), g("uri"), g("host"), g("status_code")).isNotNull()
     path = F.coalesce(F.lower(g("_path")), F.when(g("query").isNotNull(), "dns").when(web, "http").otherwise("conn"))
     sizes = [to_long(g(k)) for k in ("orig_bytes", "resp_bytes", "request_body_len", "response_body_len")]
-    action, ot = industrial.enriched(path, g)
+    rows = rows.withColumn("_log", path)
+    path = F.col("_log")
+    rows, action, ot = industrial.enriched(rows, path, g)
     protocol = ot["protocol"]
     action = F.when(protocol.isNotNull(), action).when(path == "dns", g("rcode_name")).when(path == "http", g("status_code")).otherwise(g("conn_state"))
     text = (

@@ -9,7 +9,7 @@ from logweave.sources.json_formats import records, with_flat
 
 
 #: Most lookups and searches in the plan of all columns but the record and the time; each is evaluated once a row.
-MOST = {"aws_guardduty": (60, 60), "generic_json": (120, 6), "tenable": (40, 6)}
+MOST = {"aws_guardduty": (60, 60), "generic_json": (120, 6), "tenable": (40, 6), "sysmon": (200, 6), "zeek_json": (400, 6), "defender_xdr": (80, 45)}
 
 
 @pytest.mark.parametrize("name", list(MOST))
@@ -21,6 +21,12 @@ def test_values_are_computed_once(spark, name):
     assert plan.count("get_json_object(") <= searches
 
 
+def test_tags_are_searched_once(spark):
+    rows = spark.createDataFrame([("<HOST></HOST>",)], "value string")
+    plan = PARSERS["qualys"](rows).drop("raw", "event_time")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 60
+
+
 def test_flat_keys(spark):
     doc = '{"A":{"B":{"C":{"d":1}},"b.c":" x "},"a.b":"","a":[{"x":1},[2]," 3 ",4],"n":null,"l":[],"U":1.50,"w":"  ","W":"late","q":{"Q":[true]}}'
     rows = spark.createDataFrame([(doc,), ("[" + doc + ",1,null]",), ('{"records":[' + doc + "]}",), (r'{"records":[' + doc + "]}",), ('{"records":[]',), (None,)], "value string")
