@@ -304,11 +304,13 @@ def _ot_conversations(spark, sf_dir):
 
 
 def _chains(spark, sf_dir):
-    return killchain.chains(_alerts(spark, sf_dir), gap_s=600).select("alert_id", "chain_id")
+    linked = ["alert_id", "event_time", *analytics.ENTITY_COLUMNS.values()]
+    return killchain.chains(_alerts(spark, sf_dir).select(*linked), gap_s=600).select("alert_id", "chain_id")
 
 
 def _stories(spark, sf_dir):
-    found = killchain.chains(_alerts(spark, sf_dir), gap_s=600)
+    told = ["alert_id", "event_time", "level", "tactics", "techniques", *analytics.ENTITY_COLUMNS.values()]
+    found = killchain.chains(_alerts(spark, sf_dir).select(*told), gap_s=600)
     out = killchain.stories(found)
     return flat(out.select("chain_id", "alert_count", "severity", "stages", "tactic_count", "signature"))
 

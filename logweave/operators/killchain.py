@@ -61,7 +61,9 @@ def edges(alerts: DataFrame, gap_s: float = 3600) -> DataFrame:
 
 
 def chains(alerts: DataFrame, gap_s: float = 3600) -> DataFrame:
-    """alerts with chain_id, the least alert id that links reach; unlinked alerts are chains of one."""
+    """alerts with chain_id, the least alert id that links reach; unlinked alerts are chains of one. Alerts are stored, since
+    they are read for links, for seams and for the result: what makes them runs once."""
+    alerts = written(alerts, "alerts")
     named = components(edges(alerts, gap_s)).select(F.col("node").alias("alert_id"), "component")
     return alerts.join(named, "alert_id", "left").withColumn("chain_id", F.coalesce("component", "alert_id")).drop("component")
 
