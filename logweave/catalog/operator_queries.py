@@ -103,7 +103,7 @@ def _all_matches(spark, sf_dir):
     rows = events(spark, sf_dir)
     names = [n for n in RULES if n != "q_rule_datamodel"]
     compiled = sigma.compile_rules(_rules(names), rows.columns, _tags())
-    return sigma.matches(rows, compiled).select("id", F.explode("rule_ids").alias("rule_id")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return sigma.matched(rows, compiled).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- correlations ------------------------------------------------------------------------------------------------------

@@ -81,7 +81,8 @@ DEEPEST = 16
 
 def flat_raw(raw: Column) -> Column:
     """The raw record as structs (k, v): lower-cased, dot-joined keys and the text of values that are no objects. One
-    step of the aggregation opens the objects of one depth; where none is left the rest of the steps do nothing."""
+    step of the aggregation opens the objects of one depth; where none is left the rest of the steps do nothing. A record
+    without any object is left as it is."""
     none = F.array().cast("array<struct<k:string,v:string>>")
 
     def entries(text: Column, prefix: Column) -> Column:
@@ -96,7 +97,8 @@ def flat_raw(raw: Column) -> Column:
         return F.when(F.size(acc["open"]) == 0, acc).otherwise(F.struct(leaves.alias("done"), F.coalesce(inner, none).alias("open")))
 
     top = F.coalesce(entries(raw, F.lit("")), none)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(DEEPEST)), F.struct(none.alias("done"), top.alias("open")), opened, lambda acc: acc["done"])
+    steps = lambda t: F.aggregate(F.sequence(F.lit(0), F.lit(DEEPEST)), F.struct(none.alias("done"), t.alias("open")), opened, lambda acc: acc["done"])
+    return ip.bind(top, lambda t: F.when(F.exists(t, is_object), steps(t)).otherwise(t))
 
 
 class Compiler:
@@ -393,12 +395,18 @@ def matches(events: DataFrame, compiled: Compiled) -> DataFrame:
     return out.withColumn("rule_ids", F.array_sort(found)).drop("_flat", *groups)
 
 
+def matched(events: DataFrame, compiled: Compiled) -> DataFrame:
+    """One row per event and rule that matches, in column rule_id."""
+    # explode_outer: for explode() the optimizer would compute all rules a second time, for a filter on the size
+    return matches(events, compiled).withColumn("rule_id", F.explode_outer("rule_ids")).where(F.col("rule_id").isNotNull())
+
+
 def alerts(events: DataFrame, compiled: Compiled) -> DataFrame:
     """One row per rule and event, with the rule's metadata from a map (no join)."""
     if not compiled.rules:
         compiled = Compiled([], {})
     by = {r.id: r for r, _ in compiled.rules}
-    rows = matches(events, compiled).where(F.size("rule_ids") > 0).withColumn("rule_id", F.explode("rule_ids"))
+    rows = matched(events, compiled)
 
     def meta(get, kind: str) -> Column:
         if not by:
