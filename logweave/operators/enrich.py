@@ -282,18 +282,23 @@ TI_RULE = ("ti-ioc-match", "Threat Intelligence Match")
 def event_observables(events: DataFrame, id_: str = "id") -> DataFrame:
     """Distinct (id, ioc_type, value) of what an event's columns and the values of its raw record mention; its own
     addresses count whatever their version."""
+    return _observed(events, id_).distinct()
+
+
+def _observed(events: DataFrame, id_: str) -> DataFrame:
+    """event_observables(), distinct within each row of events: no shuffle of them all."""
     leaves = F.array_join(F.transform(flat_raw(F.col("raw")), lambda e: e["v"]), " ") if "raw" in events.columns else F.lit("")
     text = F.concat_ws(" ", *[F.col(c) for c in OBSERVED if c in events.columns], leaves)
     found = _found(text)
     own = F.array(*[F.struct(F.lit("ip").alias("ioc_type"), F.lower(c).alias("value")) for c in ("src_ip", "dst_ip") if c in events.columns])
-    rows = events.select(F.col(id_), F.explode_outer(F.concat(found, own)).alias("o")).where("o.value is not null")
-    return rows.select(id_, "o.ioc_type", "o.value").distinct()
+    rows = events.select(F.col(id_), F.explode_outer(F.array_distinct(F.concat(found, own))).alias("o")).where("o.value is not null")
+    return rows.select(id_, "o.ioc_type", "o.value")
 
 
 def ti_matches(events: DataFrame, iocs: DataFrame, id_: str = "id") -> DataFrame:
     """Rows (id, indicator, ioc_type, source, severity, observed), one for each event and indicator that it touches: an
     address that is an indicator itself is not looked for in networks, others match the narrowest network."""
-    seen = event_observables(events, id_)
+    seen = _observed(events, id_)  # equal rows of several events with one id end in the last grouping
     address = F.col("ioc_type") == "ip"
     seen = written(seen.select(id_, "ioc_type", "value", F.when(address, ip.key(F.col("value"))).otherwise(F.col("value")).alias("k")), "observables")
     label = F.struct("indicator", "source", "severity").alias("label")
