@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Vectored reads keep direct buffers as large as a column chunk for each thread that has ever read one; in runs of many
 #: small tasks they outgrew the heap.
 READ_OPTIONS = {"parquet.hadoop.vectored.io.enabled": "false"}
+#: No marker of success: nothing reads it, and in a local folder the driver starts two child processes to set its
+#: permissions, which share the driver's memory for a moment.
+WRITE_OPTIONS = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 
 _own_root: str | None = None
 _written: list[tuple[SparkSession, str]] = []
@@ -71,6 +74,6 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The same rows, written as Parquet to the shared scratch folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/logweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **WRITE_OPTIONS).parquet(path)
     _written.append((spark, path))
     return spark.read.options(**READ_OPTIONS).schema(df.schema).parquet(path)
