@@ -54,9 +54,10 @@ def flat(rows: DataFrame, levels: int = 3) -> DataFrame:
         rows = rows.withColumn(f"_level{k}", _below(F.col(f"_level{k - 1}")))
     every = F.concat(*[F.col(f"_level{k}") for k in range(1, levels + 1)])
     rows = rows.withColumn("_kept", F.filter(F.transform(every, lambda e: F.struct(e["key"], _scalar(e["value"]).alias("value"))), lambda e: F.length(e["value"]) > 0))
-    keys, trimmed = F.col("_kept")["key"], lambda v: when_set(v)
-    first = lambda name: trimmed(F.get(F.filter("_kept", lambda e: e["key"] == name), 0)["value"])
-    once = F.map_from_arrays(keys, F.transform(F.col("_kept")["value"], trimmed))
+    keys = F.col("_kept")["key"]
+    first = lambda name: when_set(F.get(F.filter("_kept", lambda e: e["key"] == name), 0)["value"])
+    trimmed = F.transform(F.transform(F.col("_kept")["value"], lambda v: F.btrim(v)), lambda v: F.when(v != "", v))
+    once = F.map_from_arrays(keys, trimmed)
     again = bind(F.array_distinct(keys), lambda d: F.map_from_arrays(d, F.transform(d, first)))
     return rows.withColumn("_m", F.when(F.size(F.array_distinct(keys)) == F.size(keys), once).otherwise(again)).drop("_kept", *[f"_level{k}" for k in range(1, levels + 1)])
 
